@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, toxicity
+from . import lines, mixing, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,58 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(_table(spark, sf_dir, "documents")).drop("n_near")
+
+
 QUERIES = {
+    "op10_line_dedup": op10_line_dedup,
     "op5_quality": op5_quality,
     "op4_toxicity": op4_toxicity,
     "op2_mixing": op2_mixing,
     "op8_packing": op8_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Equal lines by grouping; lines at distance 1 by joining on an equal first or last half and deleting characters.
+    "op10_line_dedup": r"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
+l AS (
+    SELECT doc_id, p - 1 AS pos, parts[p] AS line, trim(parts[p], E' \t\r') AS s
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS p
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs WHERE text IS NOT NULL))
+),
+u AS (
+    SELECT s, length(s) AS n, min((coalesce(doc_id, 9223372036854775807), pos)) AS first
+    FROM l WHERE length(s) >= 20 GROUP BY s
+),
+k AS (
+    SELECT s, n, first, m, side, CASE side WHEN 'head' THEN left(s, m // 2) ELSE right(s, m // 2) END AS half
+    FROM (SELECT *, unnest([n, n - 1]) AS m FROM u), (VALUES ('head'), ('tail')) AS v(side)
+),
+near AS (
+    SELECT DISTINCT a.s
+    FROM k AS a JOIN k AS b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.s <> b.s AND b.first < a.first
+    WHERE least(a.n, b.n) = a.m
+      AND CASE WHEN a.n = b.n
+               THEN len(list_filter(range(1, a.n + 1), lambda i: left(a.s, i - 1) || substr(a.s, i + 1) = left(b.s, i - 1) || substr(b.s, i + 1))) > 0
+               WHEN a.n > b.n
+               THEN len(list_filter(range(1, a.n + 1), lambda i: left(a.s, i - 1) || substr(a.s, i + 1) = b.s)) > 0
+               ELSE len(list_filter(range(1, b.n + 1), lambda i: left(b.s, i - 1) || substr(b.s, i + 1) = a.s)) > 0 END
+),
+gone AS (
+    SELECT l.doc_id, l.pos
+    FROM l JOIN u ON l.s = u.s LEFT JOIN near ON near.s = l.s
+    WHERE near.s IS NOT NULL OR (coalesce(l.doc_id, 9223372036854775807), l.pos) <> u.first
+),
+sums AS (
+    SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
+           coalesce(string_agg(CASE WHEN gone.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS kept
+    FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos
+    GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       length(coalesce(kept, '')) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents AS d LEFT JOIN sums ON d.doc_id = sums.doc_id
+""",
+}
