@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, packing, quality, toxicity
+from . import lines, mixing, ngram_join, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_table(spark, sf_dir, "documents")).drop("n_near")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.Join(_table(spark, sf_dir, "documents"), n=4, t="0.85").classes()
+
+
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op10_line_dedup": op10_line_dedup,
     "op5_quality": op5_quality,
     "op4_toxicity": op4_toxicity,
@@ -40,6 +45,32 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # Every pair that shares a shingle is counted; components by reachability.
+    "op1_ngram_join": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+s AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 3], ' ') END AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+    SELECT o.a, o.b
+    FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) AS o
+    JOIN n AS p ON p.doc_id = o.a JOIN n AS q ON q.doc_id = o.b
+    WHERE 100 * c >= 85 * (p.n + q.n - c)
+),
+reach AS (
+    SELECT doc_id, doc_id AS seen FROM documents
+    UNION
+    SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.seen
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) AS c ON c.doc_id = d.doc_id
+""",
     # Equal lines by grouping; lines at distance 1 by joining on an equal first or last half and deleting characters.
     "op10_line_dedup": r"""
 WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
