@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, ngram_join, packing, quality, toxicity
+from . import lines, mixing, ngram_join, packing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.Join(_table(spark, sf_dir, "documents"), n=4, t="0.85").classes()
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op7_warc": op7_warc,
     "op1_ngram_join": op1_ngram_join,
     "op10_line_dedup": op10_line_dedup,
     "op5_quality": op5_quality,
@@ -45,6 +50,14 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+d AS (SELECT page_id, n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS largest FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> largest THEN largest END AS refers_to
+FROM d
+""",
     # Every pair that shares a shingle is counted; components by reachability.
     "op1_ngram_join": r"""
 WITH RECURSIVE w AS (
