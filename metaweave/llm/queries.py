@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, ngram_join, packing, quality, toxicity, warc
+from . import lines, mixing, ngram_join, packing, quality, repeats, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.Repeats(_table(spark, sf_dir, "documents")).digest()
+
+
 QUERIES = {
+    "op6_repeats": op6_repeats,
     "op7_warc": op7_warc,
     "op1_ngram_join": op1_ngram_join,
     "op10_line_dedup": op10_line_dedup,
