@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,11 @@ class Work:
         out._work_path = path
         return out
 
+    def sized(self, df: DataFrame, most_rows: int, name: str = "t") -> DataFrame:
+        """The saved rows, to be broadcast in a join if they are counted to be most_rows at most; beyond it the join shuffles."""
+        saved = self.save(df, name)
+        return F.broadcast(saved) if saved.count() <= most_rows else saved
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self.remove(t._work_path)

@@ -24,6 +24,8 @@ from ._work import Work
 
 LAST = (1 << 63) - 1
 SPACES = " \t\r"
+#: Rows of a counted side that a join may broadcast.
+MOST_BROADCAST = 500_000
 
 
 def _order(doc_id: Column) -> Column:
@@ -37,10 +39,10 @@ def _half(side: str, rest: Column, size: Column, key: Column) -> Column:
     return F.struct(F.xxhash64(key, F.lit(side), shared).alias("key"), left.alias("rest"), (size - cut).cast("int").alias("size"))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(work: Work, rows: DataFrame) -> DataFrame:
     """Rows whose key another line has too."""
     hot = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("key")
-    return rows.join(hot, "key", "left_semi")
+    return rows.join(work.sized(hot, MOST_BROADCAST, "hot"), "key", "left_semi")
 
 
 class Lines:
@@ -56,14 +58,15 @@ class Lines:
         found = self.work.save(own.select("ord", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.array(*keys).alias("keys")), "found")
         place = F.struct("ord", "th", "pos")
         unique = self.work.save(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")), "unique")
-        met = _shared(unique.select("h1", "h2", F.explode("keys").alias("key")))
-        near = met.select("h1", "h2").distinct().join(unique.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "first", "first.*")
-        texts = own.join(near, ["ord", "th", "pos"]).dropDuplicates(["h1", "h2"])
+        met = _shared(self.work, unique.select("h1", "first", F.explode("keys").alias("key")))
+        near = self.work.sized(met.select("h1", "first", "first.*").distinct(), MOST_BROADCAST, "near")
+        texts = own.join(near, ["ord", "th", "pos"]).dropDuplicates(["first"])
         size = F.explode(F.array(F.length("line"), F.length("line") - 1)).alias("size")
         rows = texts.select("h1", "first", F.col("line").alias("rest"), size).withColumn("key", F.col("size").cast("long"))
+        rows = self.work.save(rows, "rows")
         for k in range(halvings):
             halves = F.explode(F.array(*[_half(s, F.col("rest"), F.col("size"), F.col("key")) for s in ("head", "tail")])).alias("x")
-            rows = self.work.save(_shared(rows.select("h1", "first", halves).select("h1", "first", "x.*")), f"half{k}")
+            rows = self.work.save(_shared(self.work, rows.select("h1", "first", halves).select("h1", "first", "x.*")), f"half{k}")
         self.found, self.unique = found, unique
         self.near = self.work.save(self._earlier(rows), "near")
 
@@ -88,7 +91,7 @@ class Lines:
         """ord, th, n_near and the sorted positions of a document's dropped lines."""
         copies = self.found.select("h1", "h2", "ord", "th", "pos").join(self.unique.filter("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).filter(F.struct("ord", "th", "pos") != F.col("first"))
         each = copies.select("ord", "th", "pos", F.lit(0).alias("near")).unionByName(self.near.select("first.*", F.lit(1).alias("near")))
-        return each.groupBy("ord", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"), F.sum("near").alias("n_near"))
+        return self.work.sized(each.groupBy("ord", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"), F.sum("near").alias("n_near")), MOST_BROADCAST, "dropped")
 
     def apply(self) -> DataFrame:
         """row: the table's columns; x: n_lines, n_removed, n_near and kept, the text without the dropped lines."""
