@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, ngram_join, packing, quality, repeats, toxicity, warc
+from . import lines, mixing, ngram_join, packing, quality, repeats, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,12 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.Repeats(_table(spark, sf_dir, "documents")).digest()
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.Near(_table(spark, sf_dir, "embeddings")).rows()
+
+
 QUERIES = {
+    "op9_embeddings": op9_embeddings,
     "op6_repeats": op6_repeats,
     "op7_warc": op7_warc,
     "op1_ngram_join": op1_ngram_join,
@@ -55,6 +60,25 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # Brute force; the graph search is approximate, and finds all links at the small scales.
+    "op9_embeddings": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach AS (
+    SELECT vec_id, vec_id AS seen FROM embeddings
+    UNION
+    SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.seen
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY vec_id) AS c
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) AS l ON l.a = c.vec_id
+""",
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 d AS (SELECT page_id, n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS largest FROM p)
