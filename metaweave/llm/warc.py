@@ -43,18 +43,24 @@ VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def marked(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 1000) -> DataFrame:
-    """page_id, url, payload, digest, n (number among equal rows), refers_to, revisit."""
+#: Rows of a counted side that a join may broadcast.
+MOST_BROADCAST = 500_000
+
+
+def marked(work: Work, df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(page_id, url, payload, digest, n (number among equal rows), revisit, refers_to; page_id, digest, bytes). Only digests are shuffled."""
     payload = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
-    rows = df.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    # the largest id of each payload is found on digests alone, partially aggregated before the shuffle
-    large = rows.filter(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) - 1)
-    rows = rows.join(large, "digest", "left")
-    found = F.col("largest").isNotNull()
-    revisit = found & (~F.col("page_id").eqNullSafe(F.col("largest")) | (F.col("n") > 0))
-    return rows.select("page_id", "url", "payload", "digest", "n", F.coalesce(revisit, F.lit(False)).alias("revisit"), F.when(revisit, F.col("largest")).alias("refers_to"))
+    rows = df.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    narrow = work.save(rows.select("page_id", "digest", F.octet_length("payload").alias("bytes")), "digests")
+    large = narrow.filter(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    twice = narrow.groupBy("digest", "page_id").agg(F.count("*").alias("copies")).filter("copies > 1").select(F.col("digest").alias("d"), F.col("page_id").alias("p"))
+    twice = work.sized(twice, MOST_BROADCAST, "twice")
+    same = (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p"))
+    number = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) - 1
+    rows = rows.join(twice, same, "left_anti").withColumn("n", F.lit(0)).unionByName(rows.join(twice, same, "left_semi").withColumn("n", number))
+    rows = rows.join(work.sized(large, MOST_BROADCAST, "large"), "digest", "left")
+    revisit = F.col("largest").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("largest")) | (F.col("n") > 0))
+    return rows.select("page_id", "url", "payload", "digest", "n", F.coalesce(revisit, F.lit(False)).alias("revisit"), F.when(revisit, F.col("largest")).alias("refers_to")), narrow
 
 
 def bounds(df: DataFrame, shards: int, sample: int = 8192) -> list[int]:
@@ -129,9 +135,9 @@ class Roll:
         return row
 
 
-def write(rows: DataFrame, path: str, shards: int, roll_bytes: int = 16 << 20, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """Writes the marked rows under path, an existing shared folder, and commits them by path/manifest.json; gives the manifest."""
-    edges = bounds(rows, shards)
+def write(rows: DataFrame, ids: DataFrame, path: str, shards: int, roll_bytes: int = 16 << 20, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+    """Writes the marked rows, whose page_ids are ids, under path, an existing shared folder, and commits them by path/manifest.json; gives the manifest."""
+    edges = bounds(ids, shards)
 
     def shard_of(ids: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ids:
@@ -230,8 +236,6 @@ def round_trip(df: DataFrame, shards: int | None = None, roll_bytes: int = 16 <<
     path = work.mkdir("archive")
     if "://" not in path:
         path = "file://" + path
-    n = shards or max(1, df.count() // 4000)
-    rows = work.save(marked(df, **columns), "marked")
-    write(rows, path, n, roll_bytes)
-    work.drop(rows)
+    rows, ids = marked(work, df, **columns)
+    write(rows, ids, path, shards or max(1, ids.count() // 4000), roll_bytes)
     return read(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -40,7 +40,7 @@ def test_files_are_the_same_however_the_rows_come(spark):
     for parts in (1, 5):
         work = Work(spark, "t")
         path = work.mkdir("a")
-        m = warc.write(warc.marked(table(spark).repartition(parts)), path, 3, 3000).collect()
+        m = warc.write(*warc.marked(work, table(spark).repartition(parts)), path, 3, 3000).collect()
         made.append([tuple(r) for r in m])
         files = os.listdir(path.removeprefix("file://"))
         assert not [f for f in files if f.startswith("_writing") and not f.endswith("crc")]
