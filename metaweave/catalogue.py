@@ -1,7 +1,642 @@
-"""Every registered query of the library's own operators, with its SQL twin."""
+"""Every registered query of the library's own operators on the relational tables, each with its SQL twin."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from metaweave.operators import edges as E
+from metaweave.operators import evaluate as V
+from metaweave.operators import harmonise as H
+from metaweave.operators import matrix as M
+from metaweave.operators import ontology as O
+from metaweave.operators import stats as S
+from metaweave.operators import text as T
+from metaweave.operators import walks as K
+from metaweave.operators.components import components
+from metaweave.plans import metapath, network
+from metaweave.views import Views, with_views
+
 FLAGSHIP = "metapath_2hop_dwpc_pruned"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: str = ""):
+    """Registers a function of Views under its name, with the SQL that gives the same rows."""
+
+    def put(f: Callable[[Views], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(views, sql) if views else sql
+        return f
+
+    return put
+
+
+def ren(df: DataFrame, **names: str) -> DataFrame:
+    return df.withColumnsRenamed(names)
+
+
+# --- edges -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT a.m AS n1, b.m AS n2 FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m < b.m", "mem")
+def complex_member_pairs(v: Views) -> DataFrame:
+    return E.member_pairs(v.together(), "g", "m")
+
+
+@query("SELECT DISTINCT least(a.m, b.m) AS n1, greatest(a.m, b.m) AS n2 FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m <> b.m", "mem")
+def edge_distinct_undirected(v: Views) -> DataFrame:
+    m = v.together()
+    return E.redundant_free(m.select("g", F.col("m").alias("n1")).join(m.select("g", F.col("m").alias("n2")), "g"), True)
+
+
+@query("SELECT n1, n2 FROM cb WHERE n1 IN (SELECT 'CUS:' || c_custkey FROM customer WHERE c_acctbal > 0) AND n2 IN (SELECT 'PRT:' || p_partkey FROM part WHERE p_size > 25)", "cb")
+def edge_universe_filter(v: Views) -> DataFrame:
+    c = v.t("customer").filter("c_acctbal > 0").select(v.id("CUS", "c_custkey").alias("code"))
+    p = v.t("part").filter("p_size > 25").select(v.id("PRT", "p_partkey").alias("code"))
+    return E.in_universe(v.cus_buy_prt().select("n1", "n2"), c, p)
+
+
+@query("SELECT n1, n2, w FROM cb WHERE w >= 45", "cb")
+def edge_threshold_filter(v: Views) -> DataFrame:
+    return v.cus_buy_prt().filter("w >= 45")
+
+
+@query("SELECT event_id, event_type FROM events WHERE len(list_intersect(string_split(event_type || ';' || CASE WHEN (props::JSON ->> 'k')::INT > 50 THEN 'high' ELSE 'low' END, ';'), ['high', 'purchase'])) > 0")
+def evidence_list_filter(v: Views) -> DataFrame:
+    e = v.t("events").withColumn("k", F.from_json("props", "k int")["k"])
+    listed = F.concat_ws(";", "event_type", F.when(F.col("k") > 50, "high").otherwise("low"))
+    return e.filter(E.has_evidence(listed, ["high", "purchase"])).select("event_id", "event_type")
+
+
+@query("SELECT n1, parent AS n2 FROM cbs JOIN hp ON n2 = child", "cbs hp")
+def map_one_to_many(v: Views) -> DataFrame:
+    return E.map_ids(v.cus_buy_prt(True).select("n1", "n2"), ren(v.parts(), child="src", parent="dst"), "n2")
+
+
+@query("SELECT DISTINCT least(x.parent, y.parent) AS n1, greatest(x.parent, y.parent) AS n2 FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m < b.m JOIN hp AS x ON x.child = a.m JOIN hp AS y ON y.child = b.m WHERE x.parent <> y.parent", "mem hp")
+def map_two_sided_fanout(v: Views) -> DataFrame:
+    return E.map_both(E.member_pairs(v.together(), "g", "m"), ren(v.parts(), child="src", parent="dst"))
+
+
+PRIMARY = "(SELECT n_name AS src, 'NAT:' || n_nationkey AS dst FROM nation WHERE n_nationkey % 2 = 0)"
+
+
+@query(f"SELECT event_id, dst AS nat FROM (SELECT event_id, n_name AS nat FROM events JOIN nation ON user_id % 25 = n_nationkey) AS e JOIN (SELECT * FROM {PRIMARY} UNION ALL SELECT n_name, 'SYN:' || n_regionkey FROM nation WHERE n_nationkey % 3 = 0 AND n_name NOT IN (SELECT src FROM {PRIMARY})) AS m ON e.nat = m.src")
+def map_fallback_chain(v: Views) -> DataFrame:
+    n = v.t("nation")
+    e = v.t("events").join(n, F.col("user_id") % 25 == F.col("n_nationkey")).select("event_id", F.col("n_name").alias("nat"))
+    primary = n.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("src"), v.id("NAT", "n_nationkey").alias("dst"))
+    return E.map_fallback(e, "nat", primary, n.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("src"), v.id("SYN", "n_regionkey").alias("dst")))
+
+
+@query("SELECT n1, 'REG:' || n_regionkey AS n2 FROM (SELECT n1, CASE WHEN n2 = 'NAT:0' THEN 'NAT:24' WHEN n2 = 'NAT:1' THEN 'NAT:23' ELSE n2 END AS n2 FROM cn) JOIN nation ON n2 = 'NAT:' || n_nationkey", "cn")
+def map_update_then_map(v: Views) -> DataFrame:
+    new = v.spark.createDataFrame([("NAT:0", "NAT:24"), ("NAT:1", "NAT:23")], "src string, dst string")
+    return E.map_updated(v.loc_nat("CUS"), "n2", new, ren(v.places().filter("child LIKE 'NAT:%'"), child="src", parent="dst"))
+
+
+@query("SELECT event_id, CASE WHEN contains(x, 'OMIM') THEN 'OMIM:' || k WHEN contains(x, 'ORPHA') THEN 'ORPHA:' || k WHEN contains(x, 'DOID') THEN 'DOID:' || k WHEN contains(x, 'MESH') THEN 'MESH:' || k END AS id FROM (SELECT event_id, props::JSON ->> 'k' AS k, ['omim:', 'Orphanet_', 'DOID:', 'mesh', 'x'][event_id % 5 + 1] AS p, upper(p || k) AS x FROM events)")
+def id_normalise_case_chain(v: Views) -> DataFrame:
+    p = F.array(*[F.lit(x) for x in ("omim:", "Orphanet_", "DOID:", "mesh", "x")])
+    e = v.t("events").select("event_id", F.concat(p[(F.col("event_id") % 5).cast("int")], F.get_json_object("props", "$.k")).alias("raw"))
+    return e.select("event_id", E.normalise_id(F.col("raw")).alias("id"))
+
+
+def _two(v: Views) -> DataFrame:
+    a, b = v.cus_buy_prt(True).withColumn("ordinal", F.lit(0)), v.cus_buy_prt().filter("w >= 40").withColumn("ordinal", F.lit(1))
+    return a.unionByName(b)
+
+
+BOTH = "(SELECT *, 0 AS o FROM cbs UNION ALL SELECT *, 1 FROM cb WHERE w >= 40)"
+
+
+@query(f"SELECT n1, n2, arg_min(w, o) AS w FROM {BOTH} GROUP BY ALL", "cb cbs")
+def merge_priority_datasets(v: Views) -> DataFrame:
+    return E.merge_conservative(_two(v))
+
+
+@query(f"SELECT n1, n2, sum(w) AS w FROM {BOTH} GROUP BY ALL", "cb cbs")
+def merge_sum_datasets(v: Views) -> DataFrame:
+    return E.merge_sum(_two(v))
+
+
+@query(f"SELECT n1, n2, count(*) AS n FROM {BOTH} GROUP BY ALL", "cb cbs")
+def evidence_count_edges(v: Views) -> DataFrame:
+    return E.evidence_count(_two(v))
+
+
+@query("SELECT l_partkey AS n1, l_suppkey AS n2, round(exp(avg(ln(l_quantity))), 6) AS g, min(l_extendedprice) AS low FROM lineitem GROUP BY ALL")
+def gmean_min_duplicate_edges(v: Views) -> DataFrame:
+    l = v.t("lineitem").groupBy(F.col("l_partkey").alias("n1"), F.col("l_suppkey").alias("n2"))
+    return l.agg(F.round(E.geometric_mean("l_quantity"), 6).alias("g"), F.min("l_extendedprice").alias("low"))
+
+
+@query("""
+SELECT l_partkey, round(coalesce(pre, CASE WHEN up = dn THEN mean WHEN up > dn THEN bu ELSE bd END), 6) AS t FROM (
+SELECT l_partkey, (min(CASE WHEN ds = 'A' THEN (p, t) END))[2] AS pre, sum((t > 0)::INT) AS up, sum((t < 0)::INT) AS dn, avg(t) AS mean,
+(min(CASE WHEN t > 0 THEN (p, t) END))[2] AS bu, (min(CASE WHEN t < 0 THEN (p, t) END))[2] AS bd
+FROM (SELECT l_partkey, CASE WHEN l_returnflag = 'A' AND l_quantity > 45 THEN 'A' ELSE 'B' END AS ds, l_quantity - 25.5 AS t, l_extendedprice AS p FROM lineitem) GROUP BY l_partkey)
+""")
+def majority_direction_stat(v: Views) -> DataFrame:
+    l = v.t("lineitem").select("l_partkey", F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 45), "A").otherwise("B").alias("dataset"), (F.col("l_quantity") - 25.5).alias("t"), F.col("l_extendedprice").alias("p"))
+    return E.majority_direction(l, ["l_partkey"], "A").withColumn("t", F.round("t", 6))
+
+
+@query("SELECT l_suppkey AS n1, l_partkey AS n2, min(sign(l_quantity - 25))::INT AS sign FROM lineitem GROUP BY ALL HAVING min(sign(l_quantity - 25)) = max(sign(l_quantity - 25))")
+def incongruence_removal(v: Views) -> DataFrame:
+    return E.congruent(v.t("lineitem").select(F.col("l_suppkey").alias("n1"), F.col("l_partkey").alias("n2"), F.signum(F.col("l_quantity") - 25).cast("int").alias("sign")))
+
+
+@query("SELECT l_suppkey AS n1, l_returnflag AS n2 FROM lineitem WHERE l_quantity > 49 GROUP BY ALL HAVING count(DISTINCT l_linestatus) = 2")
+def replicate_agreement(v: Views) -> DataFrame:
+    return E.replicate_agreement(v.t("lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("n1"), F.col("l_returnflag").alias("n2"), "l_linestatus"), "l_linestatus", 2)
+
+
+@query("SELECT n1, n2 FROM cbs EXCEPT SELECT n1, n2 FROM cb WHERE w >= 40", "cb cbs")
+def edge_difference(v: Views) -> DataFrame:
+    return v.cus_buy_prt(True).select("n1", "n2").subtract(v.cus_buy_prt().filter("w >= 40").select("n1", "n2"))
+
+
+@query("SELECT n1, CASE WHEN n2 IN ('NAT:1', 'NAT:2') THEN 'DOID:' || n2 ELSE n2 END AS n2 FROM cn WHERE n2 IN ('NAT:1', 'NAT:2', 'NAT:3') AND n2 <> 'NAT:3'", "cn")
+def map_reference_vocab(v: Views) -> DataFrame:
+    m = v.spark.createDataFrame([("NAT:1", "DOID:NAT:1"), ("NAT:2", "DOID:NAT:2")], "src string, dst string")
+    return E.to_reference(v.loc_nat("CUS").filter("n2 IN ('NAT:1', 'NAT:2', 'NAT:3')"), m, "n2", "DOID:")
+
+
+# --- ontologies ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT node, anc FROM cl", "pl clo cl")
+def ontology_closure(v: Views) -> DataFrame:
+    return O.closure(v.places())
+
+
+@query("SELECT DISTINCT n1, coalesce(anc, n2) AS n2 FROM cn LEFT JOIN cl ON n2 = node", "cn pl clo cl")
+def propagate_one_side(v: Views) -> DataFrame:
+    return O.propagate(v.loc_nat("CUS"), None, O.closure(v.places()))
+
+
+@query("SELECT DISTINCT a.anc AS n1, b.anc AS n2 FROM cn JOIN sn ON substr(cn.n2, 5)::INT % 5 = substr(sn.n2, 5)::INT % 5 JOIN cl AS a ON a.node = cn.n2 JOIN cl AS b ON b.node = sn.n2", "cn sn pl clo cl")
+def propagate_two_sides(v: Views) -> DataFrame:
+    c = O.closure(v.places())
+    k = lambda d, n: d.select(F.col("n2").alias(n), (F.substring("n2", 5, 9).cast("int") % 5).alias("k")).distinct()
+    return O.propagate(k(v.loc_nat("CUS"), "n1").join(k(v.loc_nat("SUP"), "n2"), "k"), c, c)
+
+
+UP = "u AS (SELECT DISTINCT n1, coalesce(anc, n2) AS n2 FROM cn LEFT JOIN cl ON n2 = node WHERE n1 LIKE '%7')"
+
+
+@query("SELECT n1, n2 FROM (SELECT DISTINCT n1, coalesce(anc, n2) AS n2 FROM cn LEFT JOIN cl ON n2 = node) AS e WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT n1, coalesce(anc, n2) AS n2 FROM cn LEFT JOIN cl ON n2 = node) AS f JOIN cl AS c ON c.node = f.n2 WHERE f.n1 = e.n1 AND c.anc = e.n2 AND f.n2 <> e.n2)", "cn pl clo cl")
+def depropagate_one_side(v: Views) -> DataFrame:
+    c = O.closure(v.places())
+    return O.depropagate(O.propagate(v.loc_nat("CUS"), None, c), None, c)
+
+
+PAIRS = "(SELECT DISTINCT a.anc AS n1, b.anc AS n2 FROM nation JOIN cl AS a ON a.node = 'NAT:' || n_nationkey JOIN cl AS b ON b.node = 'NAT:' || (n_nationkey * 7) % 25)"
+
+
+@query(f"SELECT n1, n2 FROM {PAIRS} AS e WHERE NOT EXISTS (SELECT 1 FROM {PAIRS} AS f JOIN cl AS c ON c.node = f.n1 JOIN cl AS d ON d.node = f.n2 WHERE c.anc = e.n1 AND d.anc = e.n2 AND (f.n1 <> e.n1 OR f.n2 <> e.n2))", "pl clo cl")
+def depropagate_two_sides(v: Views) -> DataFrame:
+    c = O.closure(v.places())
+    e = v.t("nation").select(v.id("NAT", "n_nationkey").alias("n1"), F.concat(F.lit("NAT:"), ((F.col("n_nationkey") * 7) % 25).cast("string")).alias("n2"))
+    return O.depropagate(O.propagate(e, c, c), c, c)
+
+
+@query("SELECT DISTINCT a.anc AS n1, b.anc AS n2 FROM cb JOIN cp AS b ON b.node = n2 JOIN (SELECT node, anc FROM (SELECT 'CUS:' || c_custkey AS node, 'SEG:' || c_mktsegment AS anc FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'CUS:' || c_custkey, 'CUS:' || c_custkey FROM customer WHERE c_custkey % 2 = 0)) AS a ON a.node = n1 WHERE w >= 40", "cb hp cp")
+def propagate_dispatch_strict(v: Views) -> DataFrame:
+    c = v.t("customer").filter("c_custkey % 2 = 0").select(v.id("CUS", "c_custkey").alias("child"), v.id("SEG", "c_mktsegment").alias("parent"))
+    return O.dispatch(v.cus_buy_prt().filter("w >= 40"), O.closure(c), O.closure(v.parts()))
+
+
+@query("SELECT node FROM cl WHERE anc = 'REG:world' AND node NOT IN (SELECT node FROM cl WHERE anc IN ('REG:1', 'REG:2'))", "pl clo cl")
+def descendants_minus_skips(v: Views) -> DataFrame:
+    return O.descendants(O.closure(v.places()), ["REG:world"], ["REG:1", "REG:2"])
+
+
+@query("""
+, s AS (SELECT node, anc FROM cl WHERE node <> anc), lv AS (SELECT DISTINCT node FROM cl WHERE node NOT IN (SELECT anc FROM s)),
+n AS (SELECT node, (SELECT count(*) FROM s WHERE s.anc = t.node) AS hy, (SELECT count(*) FROM s WHERE s.node = t.node) AS su, (SELECT count(*) FROM cl JOIN lv ON lv.node = cl.node WHERE cl.anc = t.node) AS le FROM (SELECT DISTINCT node FROM cl) AS t)
+SELECT node, round(1 - ln(hy + 1) / ln((SELECT count(*) FROM n)), 6) AS seco, round(-ln((le / greatest(su, 1) + 1) / ((SELECT count(*) FROM lv) + 1)), 6) AS sanchez FROM n
+""", "pl clo cl")
+def information_content(v: Views) -> DataFrame:
+    return O.information_content(O.closure(v.places())).select("node", F.round("seco", 6).alias("seco"), F.round("sanchez", 6).alias("sanchez"))
+
+
+# --- metapaths -------------------------------------------------------------------------------------------------------
+
+
+def edges_of(v: Views) -> Callable[[str, str], DataFrame]:
+    table = {
+        ("CUS-buy-PRT", "all"): v.cus_buy_prt, ("CUS-buy-PRT", "sparse"): lambda: v.cus_buy_prt(True),
+        ("PRT-sby-SUP", "all"): v.prt_sby_sup, ("PRT-sby-SUP", "sparse"): lambda: v.prt_sby_sup(True),
+        ("CUS-loc-NAT", "all"): lambda: v.loc_nat("CUS"), ("SUP-loc-NAT", "all"): lambda: v.loc_nat("SUP"),
+        ("PRT-hsp-TYP", "all"): lambda: v.t("part").select(v.id("PRT", "p_partkey").alias("n1"), v.id("TYP", "p_type").alias("n2")),
+    }
+
+    def get(edge: str, dataset: str) -> DataFrame:
+        if (edge, dataset) in table:
+            return table[edge, dataset]()
+        if (metapath.flip(edge), dataset) in table:
+            return table[metapath.flip(edge), dataset]().withColumnsRenamed({"n1": "n2", "n2": "n1"})
+        raise KeyError(f"no dataset {dataset} for {edge}")
+
+    return get
+
+
+def run(v: Views, text: str, digits: int = 8) -> DataFrame:
+    cells = network.query(metapath.parse(text), edges_of(v), digits).cells
+    return cells.select("r", "c", F.round("w", 6).alias("w"))
+
+
+def dwpc_sql(name: str, source: str) -> str:
+    return f"{name}f AS (SELECT n1, n2, w * w * pow(sum(w) OVER (PARTITION BY n1), -0.5) * pow(sum(w) OVER (PARTITION BY n2), -0.5) AS w FROM {source})"
+
+
+def two_hop_sql(cb: str, ps: str, keep: str) -> str:
+    return f""", a AS (SELECT n1, n2, 1.0 AS w FROM {cb} WHERE n2 IN (SELECT n1 FROM {ps})), b AS (SELECT n1, n2, 1.0 AS w FROM {ps} WHERE n1 IN (SELECT n2 FROM {cb})),
+{dwpc_sql('a', 'a')}, {dwpc_sql('b', 'b')},
+p AS (SELECT af.n1 AS r, bf.n2 AS c, round(sum(af.w * bf.w), 8) AS w FROM af JOIN bf ON af.n2 = bf.n1 GROUP BY ALL),
+k AS (SELECT greatest(3, least(250, round_even((SELECT count(DISTINCT n2) FROM b) * 0.05, 0))) AS nr, greatest(3, least(250, round_even((SELECT count(DISTINCT n1) FROM a) * 0.05, 0))) AS nc),
+q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p, k)
+SELECT r, c, round(w, 6) AS w FROM q WHERE {keep}"""
+
+
+TWO = "metapath\tCUS-buy-PRT-sby-SUP\ndatasets\t{0}||{0}\n{1}"
+
+
+@query(two_hop_sql("cb", "ps", "kr <= nr OR kc <= nc"), "cb ps")
+def metapath_2hop_dwpc_pruned(v: Views) -> DataFrame:
+    return run(v, TWO.format("all", ""))
+
+
+@query(two_hop_sql("cbs", "pss", "kr <= nr AND kc <= nc"), "cbs pss")
+def metapath_2hop_pruned_intersection(v: Views) -> DataFrame:
+    return run(v, TWO.format("sparse", "pruning_method\tintersection"))
+
+
+@query(two_hop_sql("cbs", "pss", "true").replace("least(250", "least(100000000"), "cbs pss")
+def metapath_2hop_dwpc(v: Views) -> DataFrame:
+    return run(v, TWO.format("sparse", "pruning_cutoffs\t1.0,3,100000000"))
+
+
+@query("SELECT cbs.n1 AS r, pss.n2 AS c, count(*)::DOUBLE AS w FROM cbs JOIN pss ON cbs.n2 = pss.n1 GROUP BY ALL", "cbs pss")
+def metapath_2hop_count(v: Views) -> DataFrame:
+    return run(v, TWO.format("sparse", "compute_dwpc\tFalse\npruning_cutoffs\t1.0,3,100000000"))
+
+
+@query("SELECT n1 AS r, n2 AS c, 1.0::DOUBLE AS w FROM cb", "cb")
+def metapath_1hop(v: Views) -> DataFrame:
+    return run(v, "metapath\tCUS-buy-PRT\ndatasets\tall")
+
+
+def shared_sql() -> str:
+    return f""", a AS (SELECT n1, n2, 1.0 AS w FROM cbs), {dwpc_sql('a', 'a')},
+p AS (SELECT x.n1 AS r, y.n1 AS c, round(sum(x.w * y.w), 8) AS w FROM af AS x JOIN af AS y ON x.n2 = y.n2 GROUP BY ALL),
+k AS (SELECT greatest(3, least(250, round_even((SELECT count(DISTINCT n1) FROM a) * 0.05, 0))) AS n),
+q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p, k)
+SELECT r, c, round(w, 6) AS w FROM q WHERE (kr <= n OR kc <= n) AND r <> c"""
+
+
+@query(shared_sql(), "cbs")
+def metapath_symmetric_shared(v: Views) -> DataFrame:
+    return run(v, "metapath\tCUS-buy-PRT-buy-CUS\ndatasets\tsparse||sparse")
+
+
+@query("""
+, a AS (SELECT n1, n2, 1.0 AS w FROM cbs WHERE n2 IN (SELECT n1 FROM pss)), b0 AS (SELECT n1, n2, 1.0 AS w FROM pss WHERE n1 IN (SELECT n2 FROM cbs)), c0 AS (SELECT n1, n2, 1.0 AS w FROM sn WHERE n1 IN (SELECT n2 FROM b0)),
+af AS (SELECT n1, n2, w * w * pow(sum(w) OVER (PARTITION BY n1), -0.5) * pow(sum(w) OVER (PARTITION BY n2), -0.5) AS w FROM a),
+bf AS (SELECT n1, n2, w * w * pow(sum(w) OVER (PARTITION BY n1), -0.5) * pow(sum(w) OVER (PARTITION BY n2), -0.5) AS w FROM b0),
+cf AS (SELECT n1, n2, w * w * pow(sum(w) OVER (PARTITION BY n1), -0.5) * pow(sum(w) OVER (PARTITION BY n2), -0.5) AS w FROM c0),
+p AS (SELECT af.n1 AS r, bf.n2 AS c, round(sum(af.w * bf.w), 8) AS w FROM af JOIN bf ON af.n2 = bf.n1 GROUP BY ALL),
+k AS (SELECT greatest(3, least(250, round_even((SELECT count(DISTINCT n2) FROM b0) * 0.05, 0))) AS nr, greatest(3, least(250, round_even((SELECT count(DISTINCT n1) FROM a) * 0.05, 0))) AS nc, greatest(3, least(250, round_even((SELECT count(DISTINCT n2) FROM c0) * 0.05, 0))) AS nn),
+q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p, k),
+p2 AS (SELECT q.r, cf.n2 AS c, round(sum(q.w * cf.w), 8) AS w, any_value(nn) AS nn, any_value(nc) AS nc FROM q JOIN cf ON q.c = cf.n1 WHERE kr <= nr OR kc <= nc GROUP BY q.r, cf.n2),
+q2 AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p2)
+SELECT r, c, round(w, 6) AS w FROM q2 WHERE kr <= nn OR kc <= nc
+""", "cbs pss sn")
+def metapath_3hop_ordered(v: Views) -> DataFrame:
+    return run(v, "metapath\tCUS-buy-PRT-sby-SUP-loc-NAT\ndatasets\tsparse||sparse||all")
+
+
+@query("SELECT r, c, w FROM (SELECT n1 AS r, n2 AS c, count(*)::DOUBLE AS w FROM (SELECT n1, n2 FROM cn UNION ALL SELECT cbs.n1, sn.n2 FROM cbs JOIN pss ON cbs.n2 = pss.n1 JOIN sn ON sn.n1 = pss.n2) GROUP BY ALL)", "cbs pss cn sn")
+def metapath_union_of_paths(v: Views) -> DataFrame:
+    return run(v, "metapath\tCUS-loc-NAT\tCUS-buy-PRT-sby-SUP-loc-NAT\ndatasets\tall\tsparse||sparse||all\ncompute_dwpc\tFalse\npruning_cutoffs\t1.0,3,100000000")
+
+
+@query("SELECT cbs.n1, pss.n2 FROM cbs JOIN pss ON cbs.n2 = pss.n1 GROUP BY ALL HAVING count(*) = 1", "cbs pss")
+def metapath_bridge_exactly_one(v: Views) -> DataFrame:
+    return E.bridge_paths(v.cus_buy_prt(True), v.prt_sby_sup(True))
+
+
+@query("SELECT 1 AS hop, n1, n2 FROM cbs WHERE n2 IN (SELECT n1 FROM pss) UNION ALL SELECT 2, n1, n2 FROM pss WHERE n1 IN (SELECT n2 FROM cbs)", "cbs pss")
+def metapath_bridging_semijoin(v: Views) -> DataFrame:
+    a, b = E.bridged([v.cus_buy_prt(True).select("n1", "n2"), v.prt_sby_sup(True)])
+    return a.select(F.lit(1).alias("hop"), "n1", "n2").unionByName(b.select(F.lit(2).alias("hop"), "n1", "n2"))
+
+
+@query("SELECT 'prt' AS side, id FROM (SELECT n2 AS id FROM cbs INTERSECT SELECT n1 FROM pss) UNION ALL SELECT 'cus', n1 FROM cbs GROUP BY n1", "cbs pss")
+def universe_fit_chain(v: Views) -> DataFrame:
+    a, _ = M.fit([M.matrix(v.cus_buy_prt(True)), M.matrix(v.prt_sby_sup(True))])
+    return a.cols.select(F.lit("prt").alias("side"), "id").unionByName(a.rows.select(F.lit("cus").alias("side"), "id"))
+
+
+@query("SELECT n1 AS r, n2 AS c, 1.0::DOUBLE AS w FROM cbs WHERE n2 IN (SELECT n1 FROM pss)", "cbs pss")
+def drop_empty_lines(v: Views) -> DataFrame:
+    return M.drop_empty(M.fit([M.matrix(v.cus_buy_prt(True)), M.matrix(v.prt_sby_sup(True))]))[0].cells
+
+
+@query("SELECT r, c, 1.0::DOUBLE AS w FROM (SELECT a.m AS r, b.m AS c FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m <> b.m WHERE a.g < 500 UNION SELECT a.m, a.m FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m <> b.m WHERE a.g < 500)", "mem")
+def self_loop_set(v: Views) -> DataFrame:
+    return M.set_diagonal(M.matrix(E.member_pairs(v.together().filter("g < 500"), "g", "m"), undirected=True), 1).cells
+
+
+@query("""
+, a AS (SELECT n1, n2, w FROM cbs), x AS (SELECT n1, n2, round(w / sum(w) OVER (PARTITION BY n2), 8) AS w FROM a), y AS (SELECT n1, n2, round(w / sum(w) OVER (PARTITION BY n1), 8) AS w FROM a),
+k AS (SELECT greatest(1, least(250, round_even(count(DISTINCT n2) * 0.01, 0))) AS nr, greatest(1, least(250, round_even(count(DISTINCT n1) * 0.01, 0))) AS nc FROM a),
+x2 AS (SELECT n1, n2, w FROM (SELECT x.*, nr, row_number() OVER (PARTITION BY n1 ORDER BY w DESC, n2) AS q FROM x, k) WHERE q <= nr), y2 AS (SELECT n1, n2, w FROM (SELECT y.*, nc, row_number() OVER (PARTITION BY n2 ORDER BY w DESC, n1) AS q FROM y, k) WHERE q <= nc)
+SELECT n1 AS r, n2 AS c, round(sum(s), 6) AS w FROM (SELECT n1, n2, rank() OVER (PARTITION BY n1 ORDER BY w) / count(*) OVER (PARTITION BY n1) AS s FROM x2 UNION ALL SELECT n1, n2, rank() OVER (PARTITION BY n2 ORDER BY w) / count(*) OVER (PARTITION BY n2) FROM y2) GROUP BY ALL
+""", "cbs")
+def metapath_norm_prune(v: Views) -> DataFrame:
+    m = M.matrix(v.cus_buy_prt(True), weight=F.col("w"))
+    return M.norm_prune(m).select("r", "c", F.round("w", 6).alias("w"))
+
+
+# --- graphs ----------------------------------------------------------------------------------------------------------
+
+
+LINKS = "e AS (SELECT n1 AS a, n2 AS b FROM cbs WHERE w >= 45), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), re AS (SELECT a AS node, a AS seen FROM u UNION SELECT re.node, u.b FROM re JOIN u ON u.a = re.seen)"
+
+
+def heavy(v: Views) -> DataFrame:
+    return v.cus_buy_prt(True).filter("w >= 45")
+
+
+@query(f", {LINKS} SELECT node, min(seen) AS component FROM re GROUP BY node", "cbs")
+def connected_components(v: Views) -> DataFrame:
+    return components(ren(heavy(v), n1="a", n2="b"))
+
+
+@query(f""", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node),
+s AS (SELECT component, count(*) AS n, count(*) FILTER (node LIKE 'CUS%') / (SELECT count(DISTINCT a) FROM e) AS fr, count(*) FILTER (node LIKE 'PRT%') / (SELECT count(DISTINCT b) FROM e) AS fc FROM co GROUP BY component),
+k AS (SELECT component, row_number() OVER (ORDER BY n DESC, component) AS number FROM s WHERE n = (SELECT max(n) FROM s) OR (fr >= 0.005 AND fc >= 0.005))
+SELECT node AS id, number AS component FROM co JOIN k USING (component)""", "cbs")
+def component_retention(v: Views) -> DataFrame:
+    return network.retained(M.matrix(heavy(v)), 0.005)
+
+
+@query(", n AS (SELECT DISTINCT n1 AS nd, 0 AS s FROM cbs UNION SELECT DISTINCT n2, 1 FROM cbs), d AS (SELECT nd, count(*) AS degree FROM (SELECT n1 AS nd FROM cbs UNION ALL SELECT n2 FROM cbs) GROUP BY nd) SELECT n.nd, row_number() OVER (ORDER BY s, n.nd) AS id, degree FROM n JOIN d ON d.nd = n.nd", "cbs")
+def dense_ids_degree(v: Views) -> DataFrame:
+    m = M.matrix(v.cus_buy_prt(True))
+    return network.nodes_and_edges(m, False, 0.0)[0].select("nd", "id", "degree")
+
+
+@query(", e AS (SELECT DISTINCT a.m AS n1, b.m AS n2 FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m < b.m WHERE a.g < 300) SELECT DISTINCT x.n1, y.n2 FROM e AS x JOIN e AS y ON x.n2 = y.n1 WHERE x.n1 <> y.n2 AND (x.n1, y.n2) NOT IN (SELECT n1, n2 FROM e) AND (y.n2, x.n1) NOT IN (SELECT n1, n2 FROM e)", "mem")
+def k_hop_shortcuts(v: Views) -> DataFrame:
+    return K.step_shortcuts(E.member_pairs(v.together().filter("g < 300"), "g", "m"), 2)
+
+
+DEG = "d AS (SELECT nd, count(*) AS degree FROM (SELECT n1 AS nd FROM cb UNION ALL SELECT n2 FROM cb) GROUP BY nd)"
+
+
+@query(f", {DEG} SELECT nd, degree FROM d", "cb")
+def network_stats_degree(v: Views) -> DataFrame:
+    return S.degrees(v.cus_buy_prt())
+
+
+@query(f", {DEG} SELECT CASE WHEN degree <= 5 THEN degree WHEN degree <= 10 THEN 10 WHEN degree <= 20 THEN 20 WHEN degree <= 50 THEN 50 WHEN degree <= 100 THEN 100 WHEN degree <= 500 THEN 500 WHEN degree <= 1000 THEN 1000 END::INT AS bin, count(*) AS n FROM d GROUP BY ALL", "cb")
+def degree_histogram(v: Views) -> DataFrame:
+    return S.degree_histogram(S.degrees(v.cus_buy_prt()))
+
+
+@query("SELECT quantile_cont(w, 0.0) AS q0, quantile_cont(w, 0.25) AS q25, quantile_cont(w, 0.5) AS q50, quantile_cont(w, 0.75) AS q75, quantile_cont(w, 1.0) AS q100 FROM cb", "cb")
+def weight_quantiles(v: Views) -> DataFrame:
+    return S.quantiles(v.cus_buy_prt(), "w")
+
+
+@query(f", {DEG} SELECT round(sum((2 * i - n - 1) * x) / (n * sum(x)), 6) AS gini FROM (SELECT degree + 1e-7 AS x, row_number() OVER (ORDER BY degree) AS i, count(*) OVER () AS n FROM d) GROUP BY n", "cb")
+def gini_degree(v: Views) -> DataFrame:
+    return S.gini(S.degrees(v.cus_buy_prt())).select(F.round("gini", 6).alias("gini"))
+
+
+@query(f""", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node), s AS (SELECT component, count(*) AS n FROM co GROUP BY component),
+t AS (SELECT row_number() OVER w AS k, sum(n) OVER w / (SELECT sum(n) FROM s) AS y, count(*) OVER () AS m FROM s WINDOW w AS (ORDER BY n DESC, component ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT k, y, m, lag(y) OVER (ORDER BY k) AS b FROM t)
+SELECT round(max(CASE WHEN k = 1 THEN y END), 6) AS c1, round(sum((y + b) / 2) / (max(m) - 1), 6) AS auc FROM z""", "cbs")
+def coverage_auc(v: Views) -> DataFrame:
+    return S.component_coverage(components(ren(heavy(v), n1="a", n2="b"))).select(F.round("c1", 6).alias("c1"), F.round("auc", 6).alias("auc"))
+
+
+# --- measurements ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT sample, feature, value FROM sp QUALIFY row_number() OVER (PARTITION BY sample ORDER BY value DESC, feature) <= 5", "sp")
+def topn_signature_up(v: Views) -> DataFrame:
+    return H.signature(v.spend(), 5, True)
+
+
+@query("SELECT sample, feature, value FROM sp WHERE value <= 50000 QUALIFY row_number() OVER (PARTITION BY sample ORDER BY value, feature) <= 5", "sp")
+def topn_signature_down(v: Views) -> DataFrame:
+    return H.signature(v.spend(), 5, False, 50_000)
+
+
+@query("SELECT sample, feature, value FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value DESC, feature) AS k FROM sp) WHERE value >= 200000 OR (value >= 50000 AND k <= 4)", "sp")
+def threshold_or_topn(v: Views) -> DataFrame:
+    return H.threshold_or_top(v.spend(), 200_000, 50_000, 4)
+
+
+@query("SELECT sample, feature, (value >= quantile_cont(value, 0.95) OVER (PARTITION BY feature))::INT AS call FROM sp", "sp")
+def percentile_binarise(v: Views) -> DataFrame:
+    return H.binarised(v.spend())
+
+
+@query("SELECT sample, feature, round((value - q[2]) / CASE WHEN q[3] - q[1] = 0 THEN 1 ELSE q[3] - q[1] END, 6) AS value FROM sp JOIN (SELECT feature, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM sp GROUP BY feature) USING (feature)", "sp")
+def robust_scale(v: Views) -> DataFrame:
+    return H.robust_scaled(v.spend()).withColumn("value", F.round("value", 6))
+
+
+@query(", r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value, feature) AS k, rank() OVER (PARTITION BY sample ORDER BY value) AS rk FROM sp), m AS (SELECT k, avg(value) AS mean FROM r GROUP BY k) SELECT sample, feature, round(mean, 4) AS value FROM r JOIN m ON m.k = r.rk", "sp")
+def quantile_normalise(v: Views) -> DataFrame:
+    return H.quantile_normalised(v.spend()).withColumn("value", F.round("value", 4))
+
+
+@query(", a AS (SELECT *, cume_dist() OVER (PARTITION BY feature ORDER BY value) AS p FROM sp), b AS (SELECT *, round(p - avg(p) OVER (PARTITION BY feature), 10) AS q FROM a) SELECT sample, feature, round(cume_dist() OVER (ORDER BY q), 6) AS value FROM b", "sp")
+def ecdf_standardise(v: Views) -> DataFrame:
+    return H.ecdf_standardised(v.spend()).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT sample, feature, CASE WHEN value <= 30000 THEN -1 WHEN value >= 150000 THEN 1 ELSE 0 END AS call FROM sp", "sp")
+def stratify_ternary(v: Views) -> DataFrame:
+    return v.spend().select("sample", "feature", H.ternary(F.col("value"), 30_000, 150_000).alias("call"))
+
+
+@query("SELECT sample, feature, value FROM sp WHERE (value - (SELECT avg(value) FROM sp)) / (SELECT stddev_pop(value) FROM sp) > 3", "sp")
+def outlier_zscore(v: Views) -> DataFrame:
+    return H.outliers(v.spend())
+
+
+@query(", q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM sp) SELECT sample, feature, value FROM sp, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)", "sp")
+def outlier_iqr(v: Views) -> DataFrame:
+    return H.outliers(v.spend(), method="iqr")
+
+
+def fall_sql(call: str) -> str:
+    return f""", m AS (SELECT sample, feature, value / 100000 AS value FROM sp), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value, sample) AS k FROM m),
+s AS (SELECT feature, count(*) AS n, abs(corr(k, value)) AS rr, min(value) AS y1, max(value) AS yn, median(value) AS med FROM r GROUP BY feature),
+t AS (SELECT r.*, n, rr, y1, yn, med, round(abs(value - (y1 + (yn - y1) * (k - 1) / (n - 1))), 9) AS d FROM r JOIN s USING (feature)),
+h AS (SELECT feature, arg_max(value, (d, -k)) AS knee FROM t GROUP BY feature),
+u AS (SELECT t.*, CASE WHEN rr < 0.95 THEN CASE WHEN knee = yn THEN 0.0 ELSE knee END ELSE med END AS cut FROM t JOIN h USING (feature)),
+w AS (SELECT *, CASE WHEN rr < 0.95 AND cut < 0.8 THEN cut ELSE cut - abs(cut * 0.1) END AS lo, CASE WHEN rr < 0.95 AND cut > 0.8 THEN cut ELSE cut + abs(cut * 0.1) END AS hi FROM u),
+x AS (SELECT *, {call} AS call0 FROM w), y AS (SELECT *, sum((call0 = 1)::INT) OVER (PARTITION BY feature) AS ones, round_even(n * 0.01, 0) AS least_, round_even(n * 0.2, 0) AS most_ FROM x)
+SELECT sample, feature, CASE WHEN ones < least_ AND k <= least_ THEN 1 WHEN ones > most_ AND call0 = 1 AND k > most_ THEN 0 ELSE call0 END AS call FROM y"""
+
+
+@query(fall_sql("CASE WHEN value >= 0.9 THEN 0 WHEN value < lo THEN 1 ELSE 0 END"), "sp")
+def waterfall_binary(v: Views) -> DataFrame:
+    return H.waterfall(v.spend().withColumn("value", F.col("value") / 100_000))
+
+
+@query(fall_sql("CASE WHEN value >= 0.9 THEN -1 WHEN value < lo THEN 1 WHEN value > hi THEN -1 ELSE 0 END"), "sp")
+def waterfall_ternary(v: Views) -> DataFrame:
+    return H.waterfall(v.spend().withColumn("value", F.col("value") / 100_000), ternary_=True)
+
+
+@query(", c AS (SELECT a.feature AS f1, b.feature AS f2, round(corr(a.value, b.value), 8) AS r FROM sp AS a JOIN sp AS b ON a.sample = b.sample AND a.feature < b.feature GROUP BY ALL) SELECT f1, f2, round(r, 6) AS r FROM c WHERE r >= (SELECT quantile_cont(r, 0.9) FROM c)", "sp")
+def correlation_pairs_topq(v: Views) -> DataFrame:
+    c = H.correlations(v.spend()).withColumn("r", F.round("r", 8))
+    cut = c.agg(F.percentile("r", 0.9).alias("cut"))
+    return c.crossJoin(F.broadcast(cut)).filter("r >= cut").select("f1", "f2", F.round("r", 6).alias("r"))
+
+
+@query(", a AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value DESC, feature) AS k, count(*) OVER (PARTITION BY sample) AS n FROM sp), c AS (SELECT sample, max(value) AS cut FROM a WHERE k = greatest(1, floor(n * 0.25)) GROUP BY sample) SELECT sample, feature, value FROM a JOIN c USING (sample) WHERE value >= cut", "sp")
+def weight_fraction_edges(v: Views) -> DataFrame:
+    return H.top_share(v.spend(), 0.25)
+
+
+# --- text ------------------------------------------------------------------------------------------------------------
+
+TERMS = r"t AS (SELECT DISTINCT doc_id AS doc, term FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents) WHERE term <> '')"
+
+
+@query(f"""WITH {TERMS}, a0 AS (SELECT t.* FROM t JOIN documents ON doc = doc_id WHERE source = 'src1'), b0 AS (SELECT t.* FROM t JOIN documents ON doc = doc_id WHERE source = 'src2'),
+a AS (SELECT * FROM a0 WHERE term IN (SELECT term FROM b0)), b AS (SELECT * FROM b0 WHERE term IN (SELECT term FROM a0)), x AS (SELECT * FROM a UNION SELECT * FROM b),
+i AS (SELECT term, pow(1 + ln((SELECT count(DISTINCT doc) FROM x) / count(*)), 2) AS i2 FROM x GROUP BY term),
+na AS (SELECT doc, sqrt(sum(i2)) AS n FROM x JOIN i USING (term) GROUP BY doc)
+SELECT n1, n2, dist FROM (SELECT a.doc AS n1, b.doc AS n2, round(1 - sum(i2) / (any_value(p.n) * any_value(q.n)), 4) AS dist FROM a JOIN b USING (term) JOIN i USING (term) JOIN na AS p ON p.doc = a.doc JOIN na AS q ON q.doc = b.doc GROUP BY a.doc, b.doc) WHERE dist < 0.8""")
+def tfidf_cosine_pairs(v: Views) -> DataFrame:
+    d = v.t("documents")
+    return T.tfidf_pairs(T.terms(d.filter("source = 'src1'"), "doc_id", "text"), T.terms(d.filter("source = 'src2'"), "doc_id", "text"))
+
+
+@query(f"""WITH {TERMS.replace("FROM documents)", "FROM documents WHERE source = 'src3')")}, k AS (SELECT doc, count(*) AS k FROM t GROUP BY doc)
+SELECT a.doc AS n1, b.doc AS n2, round(count(*) / (any_value(x.k) + any_value(y.k) - count(*)), 6) AS jaccard FROM t AS a JOIN t AS b ON a.term = b.term AND a.doc < b.doc JOIN k AS x ON x.doc = a.doc JOIN k AS y ON y.doc = b.doc GROUP BY a.doc, b.doc HAVING count(*) / (any_value(x.k) + any_value(y.k) - count(*)) >= 0.2""")
+def jaccard_pairs(v: Views) -> DataFrame:
+    t = T.terms(v.t("documents").filter("source = 'src3'"), "doc_id", "text")
+    return T.jaccard_pairs(t, 0.2).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("SELECT n1, n2, 'curated' AS evidence, 1.0::DOUBLE AS score FROM cn WHERE n1 LIKE '%1' UNION ALL SELECT n1, n2, 'predicted', round(1 - 1 / w, 6) FROM cb WHERE w > 40 AND n1 NOT IN (SELECT n1 FROM cn WHERE n1 LIKE '%1')", "cn cb")
+def xref_curated_over_predicted(v: Views) -> DataFrame:
+    x = T.curated_over_predicted(v.loc_nat("CUS").filter("n1 LIKE '%1'"), v.cus_buy_prt().filter("w > 40").select("n1", "n2", (1 / F.col("w")).alias("dist")))
+    return x.withColumn("score", F.round("score", 6))
+
+
+# --- neighbours and validation ---------------------------------------------------------------------------------------
+
+
+def vectors(v: Views) -> DataFrame:
+    return v.t("embeddings").select(F.col("vec_id").alias("nd"), F.col("embedding").alias("v"), "label")
+
+
+KNN = "SELECT q, nd, d, rank FROM (SELECT q, nd, d, row_number() OVER (PARTITION BY q ORDER BY d, nd) - 1 AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS nd, round({0}, 6) AS d FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 50 = 0)) WHERE rank < {1}"
+L2, COS = "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])", "1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+def ranks(v: Views, k: int, metric: str) -> DataFrame:
+    return V.nearest(vectors(v).filter("nd % 50 = 0"), vectors(v), k, metric)
+
+
+@query(KNN.format(L2, 10))
+def knn_l2(v: Views) -> DataFrame:
+    return ranks(v, 10, "l2")
+
+
+@query(KNN.format(COS, 10))
+def knn_cosine(v: Views) -> DataFrame:
+    return ranks(v, 10, "cosine").withColumn("d", F.col("d") + 0.0)
+
+
+PV = "WITH r AS (" + KNN.format(COS, 20) + "), e AS (SELECT a.vec_id AS n1, b.vec_id AS n2 FROM embeddings AS a JOIN embeddings AS b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 = 0), p AS (SELECT e.n1, e.n2, coalesce(x.rank + 1, 21) / (SELECT count(*) FROM embeddings) AS p1, coalesce(y.rank + 1, 21) / (SELECT count(*) FROM embeddings) AS p2 FROM e LEFT JOIN r AS x ON x.q = e.n1 AND x.nd = e.n2 LEFT JOIN r AS y ON y.q = e.n2 AND y.nd = e.n1) "
+
+
+def pvalues(v: Views, strict: bool) -> DataFrame:
+    q = vectors(v).filter("nd % 50 = 0").select("nd", "label")
+    e = q.select(F.col("nd").alias("n1"), "label").join(q.select(F.col("nd").alias("n2"), "label"), "label").filter("n1 < n2")
+    return V.rank_pvalues(e, ranks(v, 20, "cosine"), vectors(v).count(), 20, strict).withColumn("p", F.round("p", 8))
+
+
+@query(PV + "SELECT n1, n2, round(sqrt(p1 * p2), 8) AS p FROM p")
+def edge_rank_pvalue(v: Views) -> DataFrame:
+    return pvalues(v, False)
+
+
+@query(PV + "SELECT n1, n2, round(greatest(p1, p2), 8) AS p FROM p")
+def edge_rank_pvalue_strict(v: Views) -> DataFrame:
+    return pvalues(v, True)
+
+
+@query("WITH r AS (" + KNN.format(L2, 100_000_000) + "), t AS (SELECT q AS nd, rank FROM r JOIN embeddings AS a ON a.vec_id = q JOIN embeddings AS b ON b.vec_id = r.nd WHERE a.label = b.label AND q <> r.nd), d AS (SELECT nd, count(*) AS degree FROM t GROUP BY nd) SELECT nd, err, round(avg((rank <= degree + err * (SELECT count(*) FROM embeddings))::INT), 6) AS share FROM t JOIN d USING (nd), (VALUES (0.0), (0.05), (0.1)) AS x(err) GROUP BY ALL")
+def pvalue_error_curve(v: Views) -> DataFrame:
+    lab = vectors(v).select("nd", "label")
+    t = ranks(v, 100_000_000, "l2").join(lab.select(F.col("nd").alias("q"), F.col("label").alias("lq")), "q").join(lab, "nd").filter("lq = label AND q <> nd").select(F.col("q").alias("nd"), "rank")
+    return V.error_curve(t, t.groupBy("nd").agg(F.count("*").alias("degree")), vectors(v).count(), [0.0, 0.05, 0.1]).withColumn("share", F.round("share", 6))
+
+
+SCORED = "s AS (SELECT l_returnflag AS g, floor(l_extendedprice / l_quantity) AS score, (l_linestatus = 'O')::INT AS label FROM lineitem)"
+
+
+def scored(v: Views) -> DataFrame:
+    return v.t("lineitem").select(F.col("l_returnflag").alias("g"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("score"), (F.col("l_linestatus") == "O").cast("int").alias("label"))
+
+
+@query(f"WITH {SCORED}, r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY score) + (count(*) OVER (PARTITION BY g, score) - 1) / 2 AS k FROM s) SELECT g, round((sum(k) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 8) AS auroc FROM r GROUP BY g")
+def auroc_by_label(v: Views) -> DataFrame:
+    return V.auroc(scored(v), ["g"]).withColumn("auroc", F.round("auroc", 8))
+
+
+@query(f"WITH {SCORED}, t AS (SELECT g, score, sum(label) AS p, sum(1 - label) AS n FROM s GROUP BY ALL) SELECT g, score, round(sum(n) OVER w / sum(n) OVER (PARTITION BY g), 8) AS fpr, round(sum(p) OVER w / sum(p) OVER (PARTITION BY g), 8) AS tpr FROM t WINDOW w AS (PARTITION BY g ORDER BY score DESC ROWS UNBOUNDED PRECEDING)")
+def roc_curve_points(v: Views) -> DataFrame:
+    return V.roc_curve(scored(v), ["g"]).withColumns({c: F.round(c, 8) for c in ("fpr", "tpr")})
+
+
+@query(", n AS (SELECT DISTINCT n1 AS nd FROM cbs), k AS (SELECT n1, n2 FROM cn), x AS (SELECT n1 AS nd FROM k UNION SELECT n2 FROM k) SELECT round((SELECT count(*) FROM n JOIN x USING (nd)) / (SELECT count(*) FROM n), 8) AS nodes_cov, round((SELECT count(*) FROM n JOIN x USING (nd)) / (SELECT count(*) FROM x), 8) AS val_nodes_cov, (SELECT count(*) FROM k WHERE n1 IN (FROM n) AND n2 IN (FROM n)) / (SELECT count(*) FROM k) AS val_edges_cov", "cbs cn")
+def coverage_metrics(v: Views) -> DataFrame:
+    c = V.coverage(None, v.cus_buy_prt(True).select(F.col("n1").alias("nd")), v.loc_nat("CUS"))
+    return c.withColumns({x: F.round(x, 8) for x in ("nodes_cov", "val_nodes_cov")})
+
+
+# --- random, reproducible --------------------------------------------------------------------------------------------
+
+
+@query()
+def neg_sampling_hash(v: Views) -> DataFrame:
+    return V.negatives(v.cus_buy_prt(True), 11)
+
+
+@query()
+def random_walks(v: Views) -> DataFrame:
+    return K.random_walks(heavy(v), 2, 8)
+
+
+@query()
+def walk_corpus_stats(v: Views) -> DataFrame:
+    return K.corpus_stats(K.random_walks(heavy(v), 2, 6), 6)
+
+
+@query()
+def word2vec_vectors(v: Views) -> DataFrame:
+    return K.skip_gram(K.random_walks(heavy(v), 2, 6), size=16, iterations=1, least=1)
