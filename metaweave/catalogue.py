@@ -242,7 +242,7 @@ def edges_of(v: Views) -> Callable[[str, str], DataFrame]:
         if (edge, dataset) in table:
             return table[edge, dataset]()
         if (metapath.flip(edge), dataset) in table:
-            return table[metapath.flip(edge), dataset]().withColumnsRenamed({"n1": "n2", "n2": "n1"})
+            return table[metapath.flip(edge), dataset]().select(F.col("n2").alias("n1"), F.col("n1").alias("n2"))
         raise KeyError(f"no dataset {dataset} for {edge}")
 
     return get
