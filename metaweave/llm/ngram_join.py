@@ -33,10 +33,14 @@ from ._text import LOWER, byte_table, long_list, mix, prefix_hash, slices, span_
 from ._work import Work
 
 TABLE = byte_table(1)[LOWER]
-#: Groups of tokens, that is dimensions of a point.
-GROUPS = 64
-#: Points in a box of the tree, and boxes in a box of boxes.
+#: Least groups of tokens, that is dimensions of a point, and n-grams in a group on average at most: larger sets have finer points.
+GROUPS, PER_GROUP = 64, 2
+#: Points in a box of the tree.
 FAN = 16
+#: A set's least blocks, by which a pair is told which one of its common blocks it comes out of.
+FIRST_BLOCKS = 8
+#: Rows of a counted side that a join may broadcast.
+MOST_BROADCAST = 500_000
 MIXERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -119,7 +123,17 @@ def overlap_needed(a: np.ndarray | int, b: np.ndarray | int, t: Fraction) -> np.
 
 
 def point(g: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((g & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes()
+    """Counts by group, the groups a power of two; a coarser point is the finer one folded."""
+    groups = max(GROUPS, 1 << (max(1, len(g) // PER_GROUP) - 1).bit_length())
+    while (counts := np.bincount((g & np.uint64(groups - 1)).astype(np.int64), minlength=groups)).max() > 255:
+        groups *= 2
+    return counts.astype(np.uint8).tobytes()
+
+
+def folded(points: list[bytes]) -> np.ndarray:
+    """The points under the fewest groups that any of them has."""
+    groups = min(map(len, points))
+    return np.array([np.frombuffer(p, dtype=np.uint8).reshape(-1, groups).sum(0, dtype=np.int64) for p in points])
 
 
 def search(a: tuple, b: tuple, t: Fraction, same: bool) -> Iterator[tuple[int, int]]:
@@ -165,31 +179,30 @@ class Join:
     classes(): one row per row of the table.
     """
 
-    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, t: str = "0.8", box: int = 256, star_rounds: int = 2):
+    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, t: str = "0.8", box: int = 256, star_rounds: int = 3):
         self.n, self.t, self.box = n, Fraction(t), box
         self.work = work = Work(df.sparkSession, "ngrams")
         rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        found = work.save(rows.mapInArrow(self._shingler(), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "found")
+        found = work.save(rows.mapInArrow(self._shingler(), "doc_id long, n long, s1 long, s2 long, point binary, keys array<long>"), "found")
         self.sized = work.save(found.drop("keys"), "sized")
         self.reps = work.save(self.sized.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1").agg(F.min("doc_id").alias("rep")), "reps")
         whole = Window.partitionBy("key")
         keyed = found.select(F.explode("keys").alias("key"), F.col("s1").alias("set"))
         met = keyed.select("key", "set", F.min("set").over(whole).alias("low"), F.max("set").over(whole).alias("high")).filter("low <> high")
         met = work.save(met.select("key", "set").distinct(), "met")
+        self.points = work.save(self.sized.filter("n > 0").select(F.col("s1").alias("set"), "n", "point").dropDuplicates(["set"]).join(met.select("set").distinct(), "set", "left_semi"), "points")
         work.drop(found)
-        wanted = met.select("set").distinct().join(self.reps, met["set"] == self.reps["s1"]).select("set", F.col("rep").alias("doc_id"))
-        texts = rows.join(wanted, "doc_id").select("set", "text")
-        self.sets = work.save(texts.mapInArrow(self._packer(), "set long, n long, point binary, grams binary").dropDuplicates(["set"]), "sets")
-        links, left = None, met.withColumn("component", F.col("set"))
+        self.rows, links, left = rows, None, met.withColumn("component", F.col("set"))
         for k in range(star_rounds):
-            lead = F.min if k % 2 == 0 else F.max
-            led = left.withColumn("lead", lead("set").over(whole)).filter("lead <> set")
-            pairs = led.groupBy(F.col("set").alias("b")).agg(lead("lead").alias("a"))
-            new = work.save(self._verify(pairs.select("a", "b")), f"star{k}")
+            # each set against the set that leads most of its blocks
+            led = left.withColumn("lead", F.min("set").over(whole)).filter("lead <> set").groupBy("set", "lead").agg(F.count("*").alias("blocks"))
+            pairs = led.groupBy(F.col("set").alias("b")).agg(F.max_by("lead", F.struct("blocks", "lead")).alias("a"))
+            new = work.save(self._verify(self._bounded(pairs.select("a", "b"))), f"star{k}")
             links = new if links is None else work.save(links.unionByName(new), "links")
-            left = self._mixed(met, components(work, links))
-        left = work.save(left, "mixed")
-        rest = work.save(self._candidates(left), "rest")
+            left = work.save(self._mixed(met, components(work, links)), "mixed")
+        first = left.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_BLOCKS).alias("first"))
+        left = work.save(left.join(first, "set"), "blocks")
+        rest = self._bounded(self._leaves(left)).unionByName(self._trees(left)).distinct()
         self.links = work.save(links.unionByName(self._verify(rest)), "links")
 
     def _shingler(self):
@@ -210,7 +223,7 @@ class Join:
                         if new:
                             seen.add(int(whole[k, 0]))
                     s1, s2 = (np.ascontiguousarray(whole[:, k]).view(np.int64) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, len(counts)), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), long_list(np.concatenate(keys), np.array([len(k) for k in keys]))], ["doc_id", "n", "s1", "s2", "keys"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, len(counts)), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), pa.array([point(g[e - c : e]) for c, e in zip(counts, ends, strict=True)], pa.binary()), long_list(np.concatenate(keys), np.array([len(k) for k in keys]))], ["doc_id", "n", "s1", "s2", "point", "keys"])
 
         return shingle
 
@@ -224,28 +237,47 @@ class Join:
                     parts = [g[e - c : e] for c, e in zip(counts, np.cumsum(counts), strict=True)]
                     s1 = np.array([int(mix(s).sum(dtype=np.uint64)) for s in parts], dtype=np.uint64).view(np.int64)
                     own = pa.array(s1 == np.asarray(ids.slice(i, len(counts))))  # a doc_id may come with other texts too
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, len(counts)), pa.array(counts, pa.int64()), pa.array([point(s) for s in parts], pa.binary()), pa.array([packed(s) for s in parts], pa.binary())], ["set", "n", "point", "grams"]).filter(own)
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, len(counts)), pa.array([packed(s) for s in parts], pa.binary())], ["set", "grams"]).filter(own)
 
         return pack
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs a, b whose count-vector bound and then whole sets reach the threshold."""
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        """The pairs a, b whose count-vector bound reaches what their sizes need."""
         t = self.t
 
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, m = (np.asarray(batch.column(k)) for k in (2, 3))
+                need, ok = overlap_needed(n, m, t), []
+                for p, q, least in zip(batch.column(4), batch.column(5), need, strict=True):
+                    p, q = (np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in (p, q))
+                    if len(p) != len(q):
+                        p, q = (x.reshape(-1, min(len(p), len(q))).sum(0, dtype=np.int64) for x in (p, q))
+                    ok.append(int(np.minimum(p, q).sum(dtype=np.int64)) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        left, right = (self.points.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")) for c in ("a", "b"))
+        met = pairs.join(left, "a").join(right, "b").filter((F.col("na") * self.t.denominator >= F.col("nb") * self.t.numerator) & (F.col("nb") * self.t.denominator >= F.col("na") * self.t.numerator))
+        return met.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bound, "a long, b long")
+
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs a, b whose whole sets reach the threshold."""
+        t, work = self.t, self.work
+
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                a, b, ga, gb, qa, qb = (batch.column(k) for k in range(6))
                 ok = []
-                for x, y, p, q in zip(ga, gb, qa, qb, strict=True):
-                    p, q = np.frombuffer(p.as_py(), dtype="<u2"), np.frombuffer(q.as_py(), dtype="<u2")
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
                     x, y = x.as_buffer(), y.as_buffer()
-                    need = int(overlap_needed(x.size // 6, y.size // 6, t))
-                    ok.append(int(np.minimum(p, q).sum(dtype=np.int64)) >= need and overlap(unpacked(x), unpacked(y)) >= need)
-                ok = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(ok)
+                    ok.append(overlap(unpacked(x), unpacked(y)) >= int(overlap_needed(x.size // 6, y.size // 6, t)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        left, right = (self.sets.select(F.col("set").alias(c), F.col("grams").alias(f"g{c}"), F.col("point").alias(f"p{c}")) for c in ("a", "b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb", "pa", "pb").mapInArrow(verify, "a long, b long")
+        pairs = work.save(pairs, "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct().join(self.reps, "s1").select(F.col("s1").alias("set"), F.col("rep").alias("doc_id"))
+        texts = self.rows.join(work.sized(wanted, MOST_BROADCAST, "wanted"), "doc_id").select("set", "text")
+        whole = work.save(texts.mapInArrow(self._packer(), "set long, grams binary").dropDuplicates(["set"]), "sets")
+        left, right = (whole.select(F.col("set").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long")
 
     def _mixed(self, met: DataFrame, comp: DataFrame) -> DataFrame:
         """The rows of met in blocks of more than one component."""
@@ -253,30 +285,40 @@ class Join:
         more = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         return rows.join(more, "key", "left_semi").select("key", "set", "component")
 
-    def _candidates(self, left: DataFrame) -> DataFrame:
-        """Pairs of a block that the R-tree leaves over."""
+    def _sizes(self, left: DataFrame) -> DataFrame:
+        return left.groupBy("key").agg(F.count("*").alias("members"))
+
+    def _leaves(self, left: DataFrame) -> DataFrame:
+        """Pairs of different components in blocks that are one box of the tree."""
+        small = left.join(self._sizes(left).filter(F.col("members") <= FAN), "key", "left_semi")
+        x, y = (small.select("key", F.col("set").alias(c), F.col("component").alias(f"c{c}"), F.col("first").alias(f"f{c}")) for c in ("a", "b"))
+        # of two sets' common blocks the least comes first in both lists, if it is in both; then only it gives the pair
+        here = F.coalesce(F.array_min(F.array_intersect("fa", "fb")) == F.col("key"), F.lit(True))
+        return x.join(y, "key").filter("a < b AND ca <> cb").filter(here).select("a", "b").distinct()
+
+    def _trees(self, left: DataFrame) -> DataFrame:
+        """Pairs of different components that the R-tree leaves over in larger blocks."""
         t, order = self.t, Window.partitionBy("key").orderBy("n", "set")
-        rows = left.join(self.sets.select("set", "n", "point"), "set")
+        large = left.join(self._sizes(left).filter(F.col("members") > FAN), "key", "left_semi")
+        rows = large.join(self.points, "set")
         tile = F.floor((F.row_number().over(order) - 1) / self.box).alias("tile")
-        tiles = rows.select("key", "set", "component", "n", "point", tile).groupBy("key", "tile").agg(F.collect_list(F.struct("n", "component", "set", "point")).alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
+        tiles = rows.select("key", "set", "component", "n", "point", "first", tile).groupBy("key", "tile").agg(F.collect_list(F.struct("n", "component", "set", "point", "first")).alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
         x, y = (tiles.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("tile", "m", "low", "high")]) for k in (1, 2))
         met = x.join(y, "key").filter((F.col("tile1") <= F.col("tile2")) & (F.col("high1") * t.denominator >= F.col("low2") * t.numerator))
 
-        def points(m: list[dict]) -> tuple:
-            m = sorted(m, key=lambda r: (r["n"], r["point"]))
-            return (np.array([r["n"] for r in m]), np.array([r["component"] for r in m]), np.array([np.frombuffer(r["point"], dtype="<u2") for r in m]).astype(np.int64)), [r["set"] for r in m]
-
         def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
-                    same = batch.column(0)[k].as_py()
-                    (one, ids), (two, jds) = (points(batch.column(c)[k].as_py()) for c in (1, 2))
-                    got = [(ids[u], jds[v]) for u, v in search(one, two, t, same)]
+                    one, two = (sorted(batch.column(c)[k].as_py(), key=lambda r: (r["n"], r["point"])) for c in (1, 2))
+                    both = folded([r["point"] for r in one + two])
+                    lists = [(np.array([r["n"] for r in m]), np.array([r["component"] for r in m]), p) for m, p in ((one, both[: len(one)]), (two, both[len(one) :]))]
+                    key, first = batch.column(3)[k].as_py(), [[set(r["first"]) for r in m] for m in (one, two)]
+                    got = [(one[u]["set"], two[v]["set"]) for u, v in search(*lists, t, batch.column(0)[k].as_py()) if not (both := first[0][u] & first[1][v]) or min(both) == key]
                     if got:
                         a, b = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        return met.select((F.col("tile1") == F.col("tile2")).alias("same"), "m1", "m2").mapInArrow(trees, "a long, b long").distinct()
+        return met.select((F.col("tile1") == F.col("tile2")).alias("same"), "m1", "m2", "key").mapInArrow(trees, "a long, b long")
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
@@ -286,3 +328,14 @@ class Join:
         ids = sets_.join(least, "component").select("s1", "component_id")
         out = self.sized.join(ids, "s1", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """The rows of df, all columns as they are, of the least doc_id of each group; of rows equal in doc_id and text one stays, rows without doc_id all stay."""
+    join = Join(df, doc_id, text, **more)
+    gone = join.classes().filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = df.join(join.work.sized(gone, MOST_BROADCAST, "gone"), F.col(doc_id) == F.col("gone_id"), "left_anti")
+    twice = df.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("twice_id")).count().filter("count > 1").select("twice_id")
+    twice = join.work.sized(twice, MOST_BROADCAST, "twice")
+    once = F.col(doc_id) == F.col("twice_id")
+    return rows.join(twice, once, "left_anti").unionByName(rows.join(twice, once, "left_semi").dropDuplicates([doc_id, text]))
