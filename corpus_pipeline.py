@@ -1,18 +1,50 @@
-"""Corpus pipeline: the stages in order, each a function of (spark, docs, sf_dir)."""
+"""Corpus pipeline: the stages in order, each a function of (spark, docs, sf_dir) whose result the next one works on.
+
+1. quality classifier: documents that it rejects go;
+2. line dedup: lines seen before go, and documents that had lines and lost them all;
+3. n-gram Jaccard join on five words at 0.8: one document of each group stays, the least doc_id;
+4. mixing sources to target weights: one row for each pass that takes words of a document, cut to those words;
+5. packing into sequences of 1024 tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from metaweave.llm import packing
+from metaweave.llm import lines, mixing, ngram_join, packing, quality
 from metaweave.llm._work import Work
 
 
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.without_repeats(docs)
+
+
+def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs, n=5, t="0.8")
+
+
+def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.Mix(docs, keep=True).texts()
+
+
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, with_ids=False)
 
 
-STAGES = [("packing", stage_packing)]
+STAGES = [
+    ("quality classifier", stage_quality),
+    ("line dedup", stage_lines),
+    ("n-gram Jaccard join", stage_ngram_join),
+    ("mixing sources to target weights", stage_mixing),
+    ("packing", stage_packing),
+]
+
+#: The classifier, permutations and the tokenizer are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
