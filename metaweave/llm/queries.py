@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, ngram_join, packing, quality, repeats, toxicity, vectors, warc
+from . import audio, lines, mixing, ngram_join, packing, quality, repeats, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,14 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.Near(_table(spark, sf_dir, "embeddings")).rows()
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: every embedding is played as a short melody, and these recordings are aligned."""
+    made = audio.recordings(_table(spark, sf_dir, "embeddings"), "embedding")
+    return audio.Alignments(made, "vec_id", "recording").matches()
+
+
 QUERIES = {
+    "op3_audio": op3_audio,
     "op9_embeddings": op9_embeddings,
     "op6_repeats": op6_repeats,
     "op7_warc": op7_warc,
