@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def edges(stream: DataFrame, source: str, target: str, time: str, late: str = "10 minutes") -> DataFrame:
     """n1, n2, ts of a stream of events, one for each pair and watermark."""
-    e = stream.select(F.col(source).cast("string").alias("n1"), F.col(target).cast("string").alias("n2"), F.col(time).alias("ts"))
+    e = stream.select(F.col(source).cast("string").alias("n1"), F.col(target).cast("string").alias("n2"), F.col(time).cast("timestamp").alias("ts"))
     return e.filter("n1 <> n2").withWatermark("ts", late).dropDuplicatesWithinWatermark(["n1", "n2"])
 
 
