@@ -250,7 +250,7 @@ def edges_of(v: Views) -> Callable[[str, str], DataFrame]:
 
 def run(v: Views, text: str, digits: int = 8) -> DataFrame:
     cells = network.query(metapath.parse(text), edges_of(v), digits).cells
-    return cells.select("r", "c", F.round("w", 6).alias("w"))
+    return cells.select("r", "c", "w")
 
 
 def dwpc_sql(name: str, source: str) -> str:
@@ -263,7 +263,7 @@ def two_hop_sql(cb: str, ps: str, keep: str) -> str:
 p AS (SELECT af.n1 AS r, bf.n2 AS c, round(sum(af.w * bf.w), 8) AS w FROM af JOIN bf ON af.n2 = bf.n1 GROUP BY ALL),
 k AS (SELECT greatest(3, least(250, round_even((SELECT count(DISTINCT n2) FROM b) * 0.05, 0))) AS nr, greatest(3, least(250, round_even((SELECT count(DISTINCT n1) FROM a) * 0.05, 0))) AS nc),
 q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p, k)
-SELECT r, c, round(w, 6) AS w FROM q WHERE {keep}"""
+SELECT r, c, w FROM q WHERE {keep}"""
 
 
 TWO = "metapath\tCUS-buy-PRT-sby-SUP\ndatasets\t{0}||{0}\n{1}"
@@ -299,7 +299,7 @@ def shared_sql() -> str:
 p AS (SELECT x.n1 AS r, y.n1 AS c, round(sum(x.w * y.w), 8) AS w FROM af AS x JOIN af AS y ON x.n2 = y.n2 GROUP BY ALL),
 k AS (SELECT greatest(3, least(250, round_even((SELECT count(DISTINCT n1) FROM a) * 0.05, 0))) AS n),
 q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p, k)
-SELECT r, c, round(w, 6) AS w FROM q WHERE (kr <= n OR kc <= n) AND r <> c"""
+SELECT r, c, w FROM q WHERE (kr <= n OR kc <= n) AND r <> c"""
 
 
 @query(shared_sql(), "cbs")
@@ -317,7 +317,7 @@ k AS (SELECT greatest(3, least(250, round_even((SELECT count(DISTINCT n2) FROM b
 q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p, k),
 p2 AS (SELECT q.r, cf.n2 AS c, round(sum(q.w * cf.w), 8) AS w, any_value(nn) AS nn, any_value(nc) AS nc FROM q JOIN cf ON q.c = cf.n1 WHERE kr <= nr OR kc <= nc GROUP BY q.r, cf.n2),
 q2 AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p2)
-SELECT r, c, round(w, 6) AS w FROM q2 WHERE kr <= nn OR kc <= nc
+SELECT r, c, w FROM q2 WHERE kr <= nn OR kc <= nc
 """, "cbs pss sn")
 def metapath_3hop_ordered(v: Views) -> DataFrame:
     return run(v, "metapath\tCUS-buy-PRT-sby-SUP-loc-NAT\ndatasets\tsparse||sparse||all")
