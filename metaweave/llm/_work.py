@@ -19,6 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_BYTES = 8 << 20
+
+
 class Work:
     """Tables of one operator run, each written once and reread, so that a lost executor costs no recomputation."""
 
@@ -26,6 +29,8 @@ class Work:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        # Arrow batches that fit several times into a small Python worker, whatever the rows' size
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1

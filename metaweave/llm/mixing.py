@@ -204,16 +204,18 @@ class Mix:
         """doc_id, size, source_size, target, taken: one row per row of the table."""
         times = self.slots().groupBy("source_index", "block", "words").agg(F.count("*").alias("times"))
         got = F.col("times") * F.greatest(F.least(F.col("words") - F.col("at"), F.col("length")), F.lit(0))
-        met = self.blocks("doc_id", "source_size", "target").join(times, ["source_index", "block"], "left")
+        met = self.blocks("doc_id", "source_size", "target").join(times.hint("merge"), ["source_index", "block"], "left")  # both sides grow with the table
         return met.groupBy("source_index", "chunk", "n", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
     def texts(self, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
         """The kept columns, once for each pass that takes words of a row, its text cut down to those words in their order."""
-        hits = self.blocks().join(self.slots(), ["source_index", "block"]).withColumn("got", F.least(F.col("words") - F.col("at"), F.col("length"))).filter("got > 0")
+        hits = self.blocks().join(self.slots().hint("merge"), ["source_index", "block"]).withColumn("got", F.least(F.col("words") - F.col("at"), F.col("length"))).filter("got > 0")
         runs = hits.groupBy("source_index", "chunk", "n", "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "got"))).alias("runs"))
         rows = self.sizes.select("source_index", "chunk", "n", "row").join(runs, ["source_index", "chunk", "n"])
         words = F.regexp_extract_all(F.col(f"row.{text}"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-        cut = F.concat_ws("", F.flatten(F.transform("runs", lambda r: F.slice(words, (r["from_word"] + 1).cast("int"), r["got"].cast("int")))))
+        # bound to a variable, the words are split once for all runs
+        of = lambda w: F.flatten(F.transform("runs", lambda r: F.slice(w, (r["from_word"] + 1).cast("int"), r["got"].cast("int"))))
+        cut = F.array_join(F.transform(F.array(words), of)[0], "")
         out = rows.withColumn("cut", cut)
         names = self.sizes.schema["row"].dataType.names
         return out.select(*[F.col("cut").alias(c) if c == text else F.length("cut").cast("long").alias(c) if c == n_chars else F.col(f"row.`{c}`").alias(c) for c in names])
