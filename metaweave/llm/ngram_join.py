@@ -136,8 +136,13 @@ def folded(points: list[bytes]) -> np.ndarray:
     return np.array([np.frombuffer(p, dtype=np.uint8).reshape(-1, groups).sum(0, dtype=np.int64) for p in points])
 
 
-def search(a: tuple, b: tuple, t: Fraction, same: bool) -> Iterator[tuple[int, int]]:
-    """Index pairs of two lists of points, of different components, whose overlap bound reaches what their sizes need. A list: (sizes, components, points), in tree order."""
+def likeness(bound: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The overlap bound against the sizes, in millionths."""
+    return (bound * 2_000_000) // (n + m)
+
+
+def search(a: tuple, b: tuple, t: Fraction, same: bool) -> Iterator[tuple[int, int, int]]:
+    """Index pairs, and their bound, of two lists of points, of different components, whose overlap bound reaches what their sizes need. A list: (sizes, components, points), in tree order."""
     (na, ca, pa_), (nb, cb, pb) = a, b
     boxes_a, boxes_b = [np.maximum.reduceat(p, np.arange(0, len(p), FAN), axis=0) for p in (pa_, pb)]
     least_a, least_b = [np.minimum.reduceat(n, np.arange(0, len(n), FAN)) for n in (na, nb)]
@@ -151,7 +156,7 @@ def search(a: tuple, b: tuple, t: Fraction, same: bool) -> Iterator[tuple[int, i
             ok = (bound >= overlap_needed(na[x][:, None], nb[y][None], t)) & (ca[x][:, None] != cb[y][None])
             for u, v in zip(*np.nonzero(ok), strict=True):
                 if not same or i * FAN + u < j * FAN + v:
-                    yield i * FAN + int(u), j * FAN + int(v)
+                    yield i * FAN + int(u), j * FAN + int(v), int(bound[u, v])
 
 
 def packed(g: np.ndarray) -> bytes:
@@ -179,7 +184,7 @@ class Join:
     classes(): one row per row of the table.
     """
 
-    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, t: str = "0.8", box: int = 256, star_rounds: int = 3):
+    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, t: str = "0.8", box: int = 256, star_rounds: int = 2, merge_rounds: int = 2):
         self.n, self.t, self.box = n, Fraction(t), box
         self.work = work = Work(df.sparkSession, "ngrams")
         rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -202,7 +207,14 @@ class Join:
             left = work.save(self._mixed(met, components(work, links)), "mixed")
         first = left.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_BLOCKS).alias("first"))
         left = work.save(left.join(first, "set"), "blocks")
-        rest = self._bounded(self._leaves(left)).unionByName(self._trees(left)).distinct()
+        rest = work.save(self._bounded(self._leaves(left)).unionByName(self._trees(left)).distinct(), "rest")
+        for _ in range(merge_rounds):
+            # each component with its likeliest other one; what that joins up needs no further pair
+            across = self._across(rest, components(work, links))
+            ends = F.explode(F.array("ca", "cb")).alias("c")
+            best = across.select(ends, "a", "b", "near").groupBy("c").agg(F.max(F.struct("near", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+            links = work.save(links.unionByName(self._verify(best)), "links")
+        rest = self._across(rest, components(work, links)).select("a", "b")
         self.links = work.save(links.unionByName(self._verify(rest)), "links")
 
     def _shingler(self):
@@ -248,17 +260,19 @@ class Join:
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n, m = (np.asarray(batch.column(k)) for k in (2, 3))
-                need, ok = overlap_needed(n, m, t), []
+                need, ok, near = overlap_needed(n, m, t), [], []
                 for p, q, least in zip(batch.column(4), batch.column(5), need, strict=True):
                     p, q = (np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in (p, q))
                     if len(p) != len(q):
                         p, q = (x.reshape(-1, min(len(p), len(q))).sum(0, dtype=np.int64) for x in (p, q))
-                    ok.append(int(np.minimum(p, q).sum(dtype=np.int64)) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                    near.append(int(np.minimum(p, q).sum(dtype=np.int64)))
+                    ok.append(near[-1] >= least)
+                near = pa.array(likeness(np.array(near, dtype=np.int64), n, m), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), near], ["a", "b", "near"]).filter(pa.array(ok, pa.bool_()))
 
         left, right = (self.points.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")) for c in ("a", "b"))
         met = pairs.join(left, "a").join(right, "b").filter((F.col("na") * self.t.denominator >= F.col("nb") * self.t.numerator) & (F.col("nb") * self.t.denominator >= F.col("na") * self.t.numerator))
-        return met.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bound, "a long, b long")
+        return met.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bound, "a long, b long, near long")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs a, b whose whole sets reach the threshold."""
@@ -279,6 +293,12 @@ class Join:
         left, right = (whole.select(F.col("set").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long")
 
+    def _across(self, pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """The pairs whose sets are of different components, ca and cb."""
+        for c in ("a", "b"):
+            pairs = pairs.join(comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+        return pairs.filter("ca <> cb")
+
     def _mixed(self, met: DataFrame, comp: DataFrame) -> DataFrame:
         """The rows of met in blocks of more than one component."""
         rows = met.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
@@ -309,16 +329,25 @@ class Join:
         def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
-                    one, two = (sorted(batch.column(c)[k].as_py(), key=lambda r: (r["n"], r["point"])) for c in (1, 2))
-                    both = folded([r["point"] for r in one + two])
-                    lists = [(np.array([r["n"] for r in m]), np.array([r["component"] for r in m]), p) for m, p in ((one, both[: len(one)]), (two, both[len(one) :]))]
-                    key, first = batch.column(3)[k].as_py(), [[set(r["first"]) for r in m] for m in (one, two)]
-                    got = [(one[u]["set"], two[v]["set"]) for u, v in search(*lists, t, batch.column(0)[k].as_py()) if not (both := first[0][u] & first[1][v]) or min(both) == key]
+                    key, same = batch.column(3)[k].as_py(), batch.column(0)[k].as_py()
+                    (n, c, ids, p, first), (m, d, jds, q, others) = members(batch.column(1)[k].values), members(batch.column(2)[k].values)
+                    groups = min(p.shape[1], q.shape[1])
+                    p, q = (x.reshape(len(x), -1, groups).sum(1) for x in (p, q))
+                    got = [(int(ids[u]), int(jds[v]), w, int(n[u]), int(m[v])) for u, v, w in search((n, c, p), (m, d, q), t, same) if not (both := first[u] & others[v]) or min(both) == key]
                     if got:
-                        a, b = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        return met.select((F.col("tile1") == F.col("tile2")).alias("same"), "m1", "m2", "key").mapInArrow(trees, "a long, b long")
+                        a, b, w, x, y = (np.array(z) for z in zip(*got, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(likeness(w, x, y))], ["a", "b", "near"])
+
+        def members(m: pa.StructArray) -> tuple:
+            """Sizes, components, set ids, points under their fewest groups, first blocks: in tree order."""
+            n, c, ids = (m.field(f).to_numpy(zero_copy_only=False) for f in ("n", "component", "set"))
+            points = [x.as_py() for x in m.field("point")]
+            order = sorted(range(len(n)), key=lambda i: (n[i], points[i]))
+            p = folded([points[i] for i in order])
+            first = m.field("first").to_pylist()
+            return n[order], c[order], ids[order], p, [set(first[i]) for i in order]
+
+        return met.select((F.col("tile1") == F.col("tile2")).alias("same"), "m1", "m2", "key").mapInArrow(trees, "a long, b long, near long")
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
