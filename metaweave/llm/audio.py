@@ -34,6 +34,8 @@ FILTERS = [(k % 5, (5 * k) % (13 - h), h, w) for k, (h, w) in enumerate((h, w) f
 BOUNDS = (-0.15, 0.0, 0.15)
 #: Neighbouring quantiser levels differ in one bit.
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
+#: Frames between the two integers of a key.
+APART = 4
 WIDEST = max(f[3] for f in FILTERS)
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
@@ -140,8 +142,10 @@ class Alignments:
         """query_id, class_id, members, shift (frames by which the match starts later), votes, frames, bit_error_rate."""
         asked = self.ids.filter(F.pmod("id", F.lit(self.every)) == 0).select(F.col("id").alias("query_id"), "h", "h2")
         q = self.work.save(asked.select("h", "h2").distinct().join(self.classes, ["h", "h2"]).select(F.col("h").alias("q"), "codes"), "queries")
-        # a code that a recording holds at several places meets each once: runs of one code are kept as their first place
-        spots = lambda d, key: d.select(F.col(key), F.posexplode("codes").alias("at", "code")).groupBy(key, "code").agg(F.min("at").alias("at"))
+        # two integers some frames apart make a key, so that chance meetings of unlike recordings don't grow with the square of
+        # their number; a key that a recording holds at several places is kept at its first
+        pairs = F.zip_with(F.col("codes"), F.slice("codes", APART + 1, F.size("codes")), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
+        spots = lambda d, key: d.select(F.col(key), F.posexplode(pairs).alias("at", "code")).filter("code IS NOT NULL").groupBy(key, "code").agg(F.min("at").alias("at"))
         met = spots(q, "q").join(spots(self.classes.select(F.col("h").alias("r"), "codes"), "r").withColumnRenamed("at", "place"), "code")
         tally = met.groupBy("q", "r", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= votes)
         best = tally.groupBy("q", "r").agg(F.max(F.struct("votes", -F.abs("shift"), -F.col("shift"))).alias("b")).select("q", "r", "b.votes", (-F.col("b.col3")).alias("shift"))

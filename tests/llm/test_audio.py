@@ -39,7 +39,7 @@ def brute(prints, every, votes, errors):
     for i, c in prints.items():
         if len(c):
             cls.setdefault(tuple(c), []).append(i)
-    first = lambda c: {v: k for k, v in reversed(list(enumerate(c)))}
+    first = lambda c: {v: k for k, v in reversed(list(enumerate(zip(c, c[A.APART :], strict=False))))}
     for q, c in prints.items():
         if q % every or not len(c):
             continue
