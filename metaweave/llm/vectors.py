@@ -3,8 +3,9 @@
 Equal vectors of a label are one class from the start. The classes of a label are dealt into overlapping cluster shards
 of bounded size: centres are drawn by hash from a shard that is too large, every class joins its nearest few, and so on
 until all shards fit. Each shard builds a flat graph by robust pruning; the adjacency lists a class got in its shards
-are united, and every member of a shard searches the united graph from the shard's medoid: greedily for a fixed number
-of expansions, then as long as anything within the range is unexpanded. Pairs found are verified by cosine in double
+are united, and every member of a shard searches the united graph from its own node and the shard's medoid: greedily for
+a fixed number of expansions, then as long as anything within the range is unexpanded. The shard's tree of strongest
+links is part of its graph and every edge is walked both ways, so no group of near vectors cuts it in parts. Pairs found are verified by cosine in double
 precision. A pair met in several shards counts in the least of them, so numbers of links are summed, never listed, and
 each shard hands on one edge a member at most for the components.
 
@@ -58,15 +59,31 @@ def robust_prune(s: np.ndarray, degree: int, candidates: int, alpha: float) -> l
     return [o[o >= 0] for o in out]
 
 
+def strongest_tree(s: np.ndarray) -> np.ndarray:
+    """Each node's link (-1 for the first) in a spanning tree of greatest similarity: of all paths between two nodes, the tree's has the strongest weakest link."""
+    n = len(s)
+    to, best, free = np.full(n, -1), np.full(n, -np.inf), np.ones(n, dtype=bool)
+    at = 0
+    for _ in range(n - 1):
+        free[at] = False
+        better = free & (s[at] > best)
+        best[better], to[better] = s[at, better], at
+        at = int(np.where(free, best, -np.inf).argmax())
+    return to
+
+
 def search(s: np.ndarray, graph: list[np.ndarray], start: int, expansions: int, reach: float) -> np.ndarray:
-    """For every node as a query, which nodes it visits: expansions greedy steps from the start, then all within reach."""
+    """For every node as a query, which nodes it visits: expansions greedy steps from itself and the start over edges taken both ways, then all within reach."""
     n = len(s)
     link = np.zeros((n, n), dtype=bool)
     for i, o in enumerate(graph):
         link[i, o] = True
+    link |= link.T
     seen, open_ = np.zeros((n, n), dtype=bool), np.full((n, n), -np.inf)
     seen[:, start] = True
     open_[:, start] = s[:, start]
+    np.fill_diagonal(seen, True)
+    np.fill_diagonal(open_, np.diag(s))
     live, step = np.arange(n), 0
     while len(live):
         best = open_[live].argmax(1)
@@ -143,7 +160,8 @@ class Near:
 
         def build(x: pa.Table) -> pa.Table:
             cid = np.asarray(x["cid"].combine_chunks())
-            graph = robust_prune(unit_products(_matrix(x["v"])), degree, candidates, alpha)
+            s = unit_products(_matrix(x["v"]))
+            graph = [np.union1d(o, t[t >= 0]) for o, t in zip(robust_prune(s, degree, candidates, alpha), strongest_tree(s)[:, None], strict=True)]
             return pa.table({"cid": pa.array(cid), "near": pa.array([cid[o].tolist() for o in graph], pa.list_(pa.int64()))})
 
         edges = members.groupBy("shard").applyInArrow(build, "cid long, near array<long>")

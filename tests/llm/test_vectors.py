@@ -37,6 +37,44 @@ def test_prune_keeps_the_nearest_and_search_reaches_all_within_range():
     assert (seen & (off >= 0.98)).sum() / (off >= 0.98).sum() > 0.97
 
 
+def beside(group, pairs=100, dim=64):
+    """A group of distinct near vectors, and pairs of near vectors far from it."""
+    rng = np.random.default_rng(group)
+    one = rng.normal(size=(pairs, dim))
+    near = rng.normal(size=dim) + 0.03 * rng.normal(size=(group, dim))
+    return np.concatenate([near, one, one + 0.05 * rng.normal(size=(pairs, dim))])
+
+
+def test_search_leaves_and_fills_a_group_of_near_vectors():
+    for group in (4, 80, 200, 400):
+        s = V.unit_products(beside(group))
+        g = [np.union1d(o, t[t >= 0]) for o, t in zip(V.robust_prune(s, 16, 64, 1.2), V.strongest_tree(s)[:, None], strict=True)]
+        want = (s >= 0.98) & ~np.eye(len(s), dtype=bool)
+        seen = V.search(s, g, int(s.sum(1).argmax()), 24, 0.9)
+        assert want[:group].sum() == group * (group - 1) and want[group:].sum() == 200
+        assert (seen & want).sum() == want.sum()
+
+
+def test_strongest_tree():
+    s = V.unit_products(np.random.default_rng(3).normal(size=(30, 4)))
+    to = V.strongest_tree(s)
+    tree = np.zeros((30, 30), dtype=bool)
+    tree[np.arange(1, 30), to[1:]] = True
+    assert to[0] == -1 and not V.labelled(tree | tree.T).any()
+    for cut in (0.5, 0.8, 0.9):
+        assert (V.labelled((tree | tree.T) & (s >= cut)) == V.labelled((s >= cut) & ~np.eye(30, dtype=bool))).all()
+
+
+def test_links_beside_groups_of_near_vectors(spark):
+    for group in (80, 1000):
+        x = beside(group)
+        rows = [(i, [float(f) for f in v], 1) for i, v in enumerate(x)]
+        got = V.Near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).rows().collect()
+        s = V.unit_products(x)
+        want = {i: int(n) - 1 for i, n in enumerate((s >= 0.98).sum(1))}
+        assert sum(r.n_links for r in got if r.vec_id >= group) == sum(n for i, n in want.items() if i >= group) == 200
+
+
 def test_labelled():
     a = np.zeros((6, 6), dtype=bool)
     for i, j in ((5, 4), (4, 1), (3, 2)):
