@@ -1,14 +1,17 @@
 """Chroma audio fingerprints as columns.
 
 Samples become frames of twelve pitch-class energies; filters, differences of rectangle sums read off the frames'
-integral image, are quantised to two bits each, and sixteen of them pack into an integer for every frame. Recordings
-are aligned by the offsets at which equal integers meet: the offset histogram of a pair proposes its best offset, and
-the share of differing bits over the overlap confirms it. Recordings with equal fingerprints are one class, so a group
-of copies is compared once.
+integral image, are quantised to two bits each, and sixteen of them pack into an integer for every frame. A
+recording matches a query where, laid over it at some offset, the share of differing bits is within the bound. Every
+offset is compared: codes as signs turn the bits that agree at one offset into a matrix product of a block of queries
+with a block of recordings, so no key has to survive the noise. The cost grows with queries times recordings; queries go
+in rounds of bounded size. Recordings with equal fingerprints are one class, so a group of copies is compared once, and a
+class always matches its own copies.
 
 Defined cases: a null, empty or undecodable recording, or one shorter than the widest filter, has no fingerprint and
-matches nothing; repeated rows are members of one class; null ids are carried as members but never are queries; ties of
-offsets go to the smaller shift, then the lesser; other columns pass by.
+matches nothing; recordings overlap in at least votes + APART frames, shorter ones match equal fingerprints alone;
+repeated rows are members of one class; null ids are carried as members but never are queries; of several offsets within
+the bound the one with the most bits to spare counts, ties go to the smaller shift, then the lesser; other columns pass by.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ FILTERS = [(k % 5, (5 * k) % (13 - h), h, w) for k, (h, w) in enumerate((h, w) f
 BOUNDS = (-0.15, 0.0, 0.15)
 #: Neighbouring quantiser levels differ in one bit.
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
-#: Frames between the two integers of a key.
+#: Frames between the two integers of a vote.
 APART = 4
 WIDEST = max(f[3] for f in FILTERS)
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -125,6 +129,59 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(POPCOUNT[x].sum()) / (32 * (hi - lo)), hi - lo
 
 
+def signs(x: np.ndarray) -> np.ndarray:
+    """Rows of codes as rows of -1 and 1, 32 for a code."""
+    return np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1).astype(np.float32) * 2 - 1
+
+
+def within(a: np.ndarray, b: np.ndarray, least: int, errors: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(offset, frames, rows of a, rows of b, differing bits) of each offset that lays rows of signs within the bound over least frames or more."""
+    x, y = a.shape[1] // 32, b.shape[1] // 32
+    for k in range(least - y, x - least + 1):
+        lo, hi = max(0, k), min(x, k + y)
+        n = 32 * (hi - lo)
+        if n < 32 * least:
+            continue
+        same = a[:, 32 * lo : 32 * hi] @ b[:, 32 * (lo - k) : 32 * (hi - k)].T
+        i, j = np.nonzero(same >= n - 2 * np.floor(errors * n) - 2)
+        wrong = ((n - same[i, j]) / 2).astype(np.int64)
+        ok = wrong / n <= errors
+        yield k, hi - lo, i[ok], j[ok], wrong[ok]
+
+
+def agreeing(a: np.ndarray, b: np.ndarray, offset: int) -> int:
+    """Places where both integers of a vote are equal, where b starts offset frames into a."""
+    lo, hi = max(0, offset), min(len(a), offset + len(b))
+    same = a[lo:hi] == b[lo - offset : hi - offset]
+    return int((same[:-APART] & same[APART:]).sum())
+
+
+def by_length(codes_: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, rows of codes) of each length."""
+    size = np.array([len(c) for c in codes_])
+    return [(at := np.flatnonzero(size == n), np.stack([codes_[i] for i in at])) for n in np.unique(size)]
+
+
+def aligned(queries: list[np.ndarray], others: list[np.ndarray], least: int, errors: float, block: int = 1 << 22) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(query, other) to (shift, frames, differing bits) at its best offset, for all pairs with one within the bound."""
+    best: dict[tuple[int, int], tuple] = {}
+    for at, some in by_length(queries):
+        for to, rest in by_length(others):
+            if min(some.shape[1], rest.shape[1]) < least:
+                continue
+            rows, cols = (max(1, block // (32 * x.shape[1])) for x in (some, rest))
+            for i0 in range(0, len(some), rows):
+                a = signs(some[i0 : i0 + rows])
+                for j0 in range(0, len(rest), min(cols, max(1, block // len(a)))):
+                    b = signs(rest[j0 : j0 + min(cols, max(1, block // len(a)))])
+                    for k, frames, i, j, wrong in within(a, b, least, errors):
+                        for q, r, w in zip(at[i0 + i].tolist(), to[j0 + j].tolist(), wrong.tolist(), strict=True):
+                            found = (round(w - errors * 32 * frames, 6), abs(k), k, frames, w)
+                            if (q, r) not in best or found < best[q, r]:
+                                best[q, r] = found
+    return {p: (k, frames, w) for p, (_, _, k, frames, w) in best.items()}
+
+
 class Alignments:
     """Queries against all recordings. prints: id, class_id (least id with equal codes), members; matches()."""
 
@@ -142,26 +199,42 @@ class Alignments:
         """query_id, class_id, members, shift (frames by which the match starts later), votes, frames, bit_error_rate."""
         asked = self.ids.filter(F.pmod("id", F.lit(self.every)) == 0).select(F.col("id").alias("query_id"), "h", "h2")
         q = self.work.save(asked.select("h", "h2").distinct().join(self.classes, ["h", "h2"]).select(F.col("h").alias("q"), "codes"), "queries")
-        # two integers some frames apart make a key, so that chance meetings of unlike recordings don't grow with the square of
-        # their number; a key that a recording holds at several places is kept at its first
-        pairs = F.zip_with(F.col("codes"), F.slice("codes", APART + 1, F.size("codes")), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
-        spots = lambda d, key: d.select(F.col(key), F.posexplode(pairs).alias("at", "code")).filter("code IS NOT NULL").groupBy(key, "code").agg(F.min("at").alias("at"))
-        met = spots(q, "q").join(spots(self.classes.select(F.col("h").alias("r"), "codes"), "r").withColumnRenamed("at", "place"), "code")
-        tally = met.groupBy("q", "r", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= votes)
-        best = tally.groupBy("q", "r").agg(F.max(F.struct("votes", -F.abs("shift"), -F.col("shift"))).alias("b")).select("q", "r", "b.votes", (-F.col("b.col3")).alias("shift"))
-        pairs = best.join(q.withColumnRenamed("codes", "qc"), "q").join(self.classes.select(F.col("h").alias("r"), "class_id", "members", F.col("codes").alias("rc")), "r")
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = batch.to_pylist()
-                got = [bit_errors(np.array(r["qc"], dtype=np.int32), np.array(r["rc"], dtype=np.int32), r["shift"]) for r in rows]
-                ok = [k for k, (e, _) in enumerate(got) if e <= errors]
-                cols = [[rows[k][c] for k in ok] for c in ("q", "class_id", "members", "shift", "votes")]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([got[k][1] for k in ok], pa.int64()), pa.array([got[k][0] for k in ok], pa.float64())], ["q", "class_id", "members", "shift", "votes", "frames", "bit_error_rate"])
-
-        held = pairs.select("q", "class_id", "members", F.col("shift").cast("long"), "votes", "qc", "rc").mapInArrow(check, "q long, class_id long, members long, shift long, votes long, frames long, bit_error_rate double")
+        least, kind = votes + APART, "q long, class_id long, members long, shift long, votes long, frames long, bit_error_rate double"
+        classes = self.classes.select("h", "class_id", "members", "codes")
+        parts = [self.work.save(classes.mapInArrow(_checker(q.sparkSession.sparkContext.broadcast(some), least, errors), kind), "matches") for some in self._rounds(q)]
+        held = reduce(DataFrame.unionByName, parts) if parts else q.sparkSession.createDataFrame([], kind)
         return asked.select("query_id", F.col("h").alias("q")).join(held, "q").drop("q")
 
+    @staticmethod
+    def _rounds(q: DataFrame, most: int = 1 << 17) -> Iterator[list[tuple[int, np.ndarray]]]:
+        """The queries in lists of at most that many codes, or of one recording."""
+        some, held = [], 0
+        for r in q.toLocalIterator():
+            if some and held + len(r.codes) > most:
+                yield some
+                some, held = [], 0
+            some.append((r.q, np.array(r.codes, dtype=np.int32)))
+            held += len(r.codes)
+        if some:
+            yield some
+
+
+def _checker(queries, least: int, errors: float):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [c for _, c in queries.value]
+        place = {h: i for i, (h, _) in enumerate(queries.value)}
+        for batch in batches:
+            h, class_id, members = (batch.column(k).to_pylist() for k in range(3))
+            flat, ends = np.asarray(batch.column(3).flatten()), np.cumsum(np.asarray(batch.column(3).value_lengths()))
+            held = np.split(flat, ends[:-1])
+            found = aligned(asked, held, least, errors)
+            found |= {(place[x], r): (0, len(held[r]), 0) for r, x in enumerate(h) if x in place}
+            rows = [(queries.value[i][0], class_id[r], members[r], k, agreeing(asked[i], held[r], k), frames, wrong / (32 * frames)) for (i, r), (k, frames, wrong) in found.items()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], ["q", "class_id", "members", "shift", "votes", "frames", "bit_error_rate"])
+
+    return check
+
 
 def played(v: np.ndarray, notes: int = 32, length: int = 512) -> np.ndarray:
     """A melody of a vector: each note's pitch is a component's place between its neighbours, its loudness the next's size."""

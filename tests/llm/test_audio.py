@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from metaweave.llm import audio as A
 
@@ -69,3 +70,49 @@ def test_against_brute_force(spark):
     want = {(q, c, m + (1 if prints[c] == prints[5] else 0), *x) for q, c, m, *x in brute(prints, 5, 6, 0.15)}
     assert got == want and len(got) > 20
     assert A.Alignments(df.limit(0), "id", "recording").matches().count() == 0
+
+
+def matched(spark, prints, every=1):
+    """(query, class) to (shift, frames, differing bits) by Alignments over given codes."""
+    al = A.Alignments.__new__(A.Alignments)
+    al.work, al.every = A.Work(spark, "audio"), every
+    df = spark.createDataFrame([(i, c.tolist()) for i, c in prints.items()], "id long, codes array<int>").withColumns({"h": F.xxhash64("codes"), "h2": F.hash("codes")})
+    al.classes = al.work.save(df.groupBy("h", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("members"), F.any_value("codes").alias("codes")))
+    al.ids = df.select("id", "h", "h2")
+    return {(r.query_id, r.class_id): (r["shift"], r.frames, round(32 * r.frames * r.bit_error_rate)) for r in al.matches().collect()}
+
+
+def every_offset(prints, least=10, errors=0.15):
+    out, first = {}, {}
+    for i, c in prints.items():
+        first.setdefault(c.tobytes(), i)
+    for q, a in prints.items():
+        for c, d in first.items():
+            b = np.frombuffer(c, dtype=np.int32)
+            got = [(round(e * 32 * n - errors * 32 * n, 6), abs(k), k, n, round(e * 32 * n)) for k in range(-len(b), len(a)) for e, n in [A.bit_errors(a, b, k)] if n >= least and e <= errors]
+            if a.tobytes() == c:
+                out[q, d] = (0, len(a), 0)
+            elif got:
+                out[q, d] = min(got)[2:]
+    return out
+
+
+def test_matches_are_the_pairs_within_the_bound_at_any_offset(spark):
+    rng = np.random.default_rng(8)
+    prints = {}
+    for i in range(8):
+        a = A.codes(A.chroma(tune(i))).view(np.uint32)
+        for j, share in enumerate((0.0, 0.05, 0.1, 0.14)):
+            flip = (rng.random((len(a), 32)) < share) @ (np.uint32(1) << np.arange(32, dtype=np.uint32))
+            prints[10 * i + j] = (a ^ flip.astype(np.uint32))[j * i :].view(np.int32)
+    got, want = matched(spark, prints), every_offset(prints)
+    assert got == want and all((10 * i, 10 * i + 1) in got and (10 * i, 10 * i + 2) in got for i in range(8))
+
+
+def test_steady_silent_and_short_recordings_match_their_copies(spark):
+    hum = np.sin(np.arange(40 * A.HOP) * 0.3)
+    prints = {k: A.codes(A.chroma(x)).view(np.int32) for k, x in enumerate((hum, hum, np.zeros(40 * A.HOP), np.zeros(40 * A.HOP), np.zeros(60 * A.HOP)))}
+    prints |= {5: A.codes(A.chroma(tune(1)))[:3].view(np.int32), 6: A.codes(A.chroma(tune(1)))[:3].view(np.int32)}
+    got = matched(spark, prints)
+    assert got == every_offset(prints)
+    assert {(0, 0), (1, 0), (2, 2), (3, 2), (3, 4), (4, 2), (5, 5), (6, 5)} <= got.keys()
