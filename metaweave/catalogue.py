@@ -355,6 +355,11 @@ def self_loop_set(v: Views) -> DataFrame:
     return M.set_diagonal(M.matrix(E.member_pairs(v.together().filter("g < 500"), "g", "m"), undirected=True), 1).cells
 
 
+@query()
+def self_loop_set_all(v: Views) -> DataFrame:
+    return M.set_diagonal(M.matrix(E.member_pairs(v.together(), "g", "m"), undirected=True), 1).cells
+
+
 @query("""
 , a AS (SELECT n1, n2, w FROM cbs), x AS (SELECT n1, n2, round(w / sum(w) OVER (PARTITION BY n2), 8) AS w FROM a), y AS (SELECT n1, n2, round(w / sum(w) OVER (PARTITION BY n1), 8) AS w FROM a),
 k AS (SELECT greatest(1, least(250, round_even(count(DISTINCT n2) * 0.01, 0))) AS nr, greatest(1, least(250, round_even(count(DISTINCT n1) * 0.01, 0))) AS nc FROM a),
@@ -400,6 +405,11 @@ def k_hop_shortcuts(v: Views) -> DataFrame:
     return K.step_shortcuts(E.member_pairs(v.together().filter("g < 300"), "g", "m"), 2)
 
 
+@query()
+def k_hop_shortcuts_all(v: Views) -> DataFrame:
+    return K.step_shortcuts(E.member_pairs(v.together(), "g", "m"), 2)
+
+
 DEG = "d AS (SELECT nd, count(*) AS degree FROM (SELECT n1 AS nd FROM cb UNION ALL SELECT n2 FROM cb) GROUP BY nd)"
 
 
@@ -539,6 +549,17 @@ def jaccard_pairs(v: Views) -> DataFrame:
     return T.jaccard_pairs(t, 0.2).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query()
+def tfidf_cosine_pairs_all(v: Views) -> DataFrame:
+    t = T.terms(v.t("documents"), "doc_id", "text")
+    return T.tfidf_pairs(t, t).filter("n1 < n2")
+
+
+@query()
+def jaccard_pairs_all(v: Views) -> DataFrame:
+    return T.jaccard_pairs(T.terms(v.t("documents"), "doc_id", "text"), 0.2).withColumn("jaccard", F.round("jaccard", 6))
+
+
 @query("SELECT n1, n2, 'curated' AS evidence, 1.0::DOUBLE AS score FROM cn WHERE n1 LIKE '%1' UNION ALL SELECT n1, n2, 'predicted', round(1 - 1 / w, 6) FROM cb WHERE w > 40 AND n1 NOT IN (SELECT n1 FROM cn WHERE n1 LIKE '%1')", "cn cb")
 def xref_curated_over_predicted(v: Views) -> DataFrame:
     x = T.curated_over_predicted(v.loc_nat("CUS").filter("n1 LIKE '%1'"), v.cus_buy_prt().filter("w > 40").select("n1", "n2", (1 / F.col("w")).alias("dist")))
