@@ -610,6 +610,25 @@ def edge_rank_pvalue_strict(v: Views) -> DataFrame:
     return pvalues(v, True)
 
 
+def pvalues_all(v: Views, strict: bool) -> DataFrame:
+    """Every row divisible by 50 against all rows of its label, both places among all vectors, kept as far as the network's size allows."""
+    a, n = vectors(v), vectors(v).count()
+    one, other = a.filter("nd % 50 = 0").select(F.col("nd").alias("x"), "label"), a.select(F.col("nd").alias("y"), "label")
+    e = one.join(other, "label").filter("x <> y").select(F.least("x", "y").alias("n1"), F.greatest("x", "y").alias("n2")).distinct()
+    k = int(V.max_neighbours(n) * n) if n else 0
+    return V.rank_pvalues(e, V.nearest(a, a, k, "cosine"), n, k, strict).withColumn("p", F.round("p", 8))
+
+
+@query()
+def edge_rank_pvalue_all(v: Views) -> DataFrame:
+    return pvalues_all(v, False)
+
+
+@query()
+def edge_rank_pvalue_strict_all(v: Views) -> DataFrame:
+    return pvalues_all(v, True)
+
+
 @query("WITH r AS (" + KNN.format(L2, 100_000_000) + "), t AS (SELECT q AS nd, rank FROM r JOIN embeddings AS a ON a.vec_id = q JOIN embeddings AS b ON b.vec_id = r.nd WHERE a.label = b.label AND q <> r.nd), d AS (SELECT nd, count(*) AS degree FROM t GROUP BY nd) SELECT nd, err, round(avg((rank <= degree + err * (SELECT count(*) FROM embeddings))::INT), 6) AS share FROM t JOIN d USING (nd), (VALUES (0.0), (0.05), (0.1)) AS x(err) GROUP BY ALL")
 def pvalue_error_curve(v: Views) -> DataFrame:
     lab = vectors(v).select("nd", "label")
