@@ -1,15 +1,16 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Equal vectors of a label are one class from the start. The classes of a label are dealt into overlapping cluster shards
-of bounded size: centres are drawn by hash from a shard that is too large, every class joins its nearest few, and so on
-until all shards fit. Each shard builds a flat graph by robust pruning; the adjacency lists a class got in its shards
+of bounded size: centres are drawn by hash from each shard that is too large, every class joins its nearest few, and so
+on until all shards fit. Centres that are near-duplicates of each other count once; a shard that centres don't divide is
+cut into blocks by hash, and every two blocks make a shard, so that all its pairs meet. Each shard builds a flat graph by robust pruning; the adjacency lists a class got in its shards
 are united, and every member of a shard searches the united graph from its own node and the shard's medoid: greedily for
 a fixed number of expansions, then as long as anything within the range is unexpanded. The shard's tree of strongest
 links is part of its graph and every edge is walked both ways, so no group of near vectors cuts it in parts. Pairs found are verified by cosine in double
 precision. A pair met in several shards counts in the least of them, so numbers of links are summed, never listed, and
 each shard hands on one edge a member at most for the components.
 
-Centres are fitted on a bounded sample (most_centres a level); every row is indexed. audit() measures recall against
+Centres are fitted on a bounded sample, in rounds of at most most_centres; every row is indexed. audit() measures recall against
 brute force.
 
 Defined cases: rows with a null id, label or vector, with a null or non-finite component or a zero vector link with
@@ -19,6 +20,8 @@ lengths are never compared; other columns pass by; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,17 +101,16 @@ def search(s: np.ndarray, graph: list[np.ndarray], start: int, expansions: int,
     return seen
 
 
-def least_common(shards: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The least shard that both members of each pair are in."""
-    width = max(map(len, shards))
-    table = np.full((len(shards), width), np.iinfo(np.int64).max)
-    for i, x in enumerate(shards):
-        table[i, : len(x)] = x
-    out = np.full(len(u), np.iinfo(np.int64).max)
-    for k in range(width):
-        hit = (table[u, k][:, None] == table[v]).any(1)
-        out = np.where(hit, np.minimum(out, table[u, k]), out)
-    return out
+def met_before(shards: list[np.ndarray], here: int) -> np.ndarray:
+    """For every two members, whether they share a shard less than this one."""
+    flat = np.concatenate(shards)
+    row = np.repeat(np.arange(len(shards)), [len(x) for x in shards])
+    keep = flat < here
+    _, at = np.unique(flat[keep], return_inverse=True)
+    held = np.zeros((len(shards), int(at.max()) + 1 if len(at) else 1), dtype=np.float32)
+    held[row[keep], at] = 1
+    held = held[:, held.sum(0) > 1]
+    return held @ held.T > 0
 
 
 def labelled(found: np.ndarray) -> np.ndarray:
@@ -128,7 +130,7 @@ def labelled(found: np.ndarray) -> np.ndarray:
 class Near:
     """Near-duplicates of one table. classes: cid, rep, m, v; rows(): one row per row."""
 
-    def __init__(self, df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", t: float = 0.98, shard: int = 600, overlap: int = 3, fan: int = 256, most_centres: int = 16_384, degree: int = 16, candidates: int = 64, alpha: float = 1.2, expansions: int = 24, slack: float = 0.08, levels: int = 6):
+    def __init__(self, df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", t: float = 0.98, shard: int = 600, overlap: int = 3, fan: int = 256, most_centres: int = 16_384, degree: int = 16, candidates: int = 64, alpha: float = 1.2, expansions: int = 24, slack: float = 0.08):
         self.work = work = Work(df.sparkSession, "vectors")
         self.t = t
         spark = df.sparkSession
@@ -139,24 +141,18 @@ class Near:
         classes = self.table.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.any_value("v").alias("v"), F.any_value("label").alias("label"))
         self.classes = work.save(classes, "classes")
         dealt = self.classes.select("cid", "m", "v", F.xxhash64("label", F.size("v")).alias("shard"))
-        for level in range(levels):
-            sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard).orderBy(F.desc("n"), "shard").limit(max(1, most_centres // fan)).collect()
+        fit, level = [], 0
+        while True:
+            sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard).collect()
             if not sizes:
+                fit.append(dealt)
                 break
-            # enough centres that a shard's parts fit, each member in overlap of them; where they can't fit yet, in two
-            want = {r.shard: (min(fan, max(4 * overlap, -(-2 * overlap * r.n // shard))), r.n) for r in sizes}
-            near = {s: overlap if overlap * n <= k * shard else 2 for s, (k, n) in want.items()}
-            table = spark.createDataFrame([(s, k, n) for s, (k, n) in want.items()], "shard long, k long, n long")
-            some = dealt.join(F.broadcast(table), "shard").filter(F.pmod(F.xxhash64("cid", F.lit(level)), F.col("n")) < 4 * F.col("k") + 16)
-            centres: dict[int, list] = {}
-            for r in some.select("shard", "k", "v").orderBy("shard", F.xxhash64("cid", F.lit(level))).toLocalIterator():
-                c = centres.setdefault(r.shard, [])
-                if len(c) < r.k:
-                    c.append(r.v)
-            held = spark.sparkContext.broadcast({s: self._unit(np.array(c)) for s, c in centres.items() if len(c) > 1})
-            dealt = work.save(dealt.mapInArrow(self._dealer(held, near), dealt.schema), f"level{level}")
+            fit.append(dealt.join(F.broadcast(self._shards([r.shard for r in sizes])), "shard", "left_anti").select(dealt.columns))
+            dealt = self._split(dealt, {r.shard: r.n for r in sizes}, level, shard, overlap, fan, most_centres)
+            level += 1
+        dealt = reduce(DataFrame.unionByName, fit)
         lists = dealt.groupBy("cid").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
-        members = work.save(dealt.select("cid", "m", "v", "shard").distinct().join(lists, "cid"), "members")
+        self.members = members = work.save(dealt.select("cid", "m", "v", "shard").distinct().join(lists, "cid"), "members")
 
         def build(x: pa.Table) -> pa.Table:
             cid = np.asarray(x["cid"].combine_chunks())
@@ -177,17 +173,61 @@ class Near:
             np.fill_diagonal(hit, False)
             hit |= hit.T
             u, v = np.nonzero(hit)
-            mine = least_common([np.array(k) for k in x["shards"].to_pylist()], u, v) == here if len(u) else np.zeros(0, dtype=bool)
+            mine = ~met_before([np.array(k, dtype=np.int64) for k in x["shards"].to_pylist()], here)[u, v]
             links = np.bincount(u[mine], weights=m[v[mine]], minlength=len(cid)).astype(np.int64)
             return pa.table({"cid": pa.array(cid), "links": pa.array(links), "root": pa.array(cid[labelled(hit)])})
 
         self.found = work.save(members.join(united, "cid").groupBy("shard").applyInArrow(find, "cid long, links long, root long"), "found")
 
+    def _shards(self, shards) -> DataFrame:
+        return self.work.spark.createDataFrame([(int(s),) for s in shards], "shard long")
+
+    def _split(self, dealt: DataFrame, sizes: dict[int, int], level: int, shard: int, overlap: int, fan: int, most_centres: int) -> DataFrame:
+        """All shards of the sizes divided, by their centres or into blocks."""
+        work, spark, columns = self.work, self.work.spark, dealt.columns
+        # enough centres that a shard's parts fit, each member in overlap of them
+        want = {s: min(fan, max(4 * overlap, -(-2 * overlap * n // shard))) for s, n in sizes.items()}
+        rounds: list[list[int]] = [[]]
+        for s in sorted(want):
+            if rounds[-1] and sum(want[x] for x in rounds[-1]) + want[s] > most_centres:
+                rounds.append([])
+            rounds[-1].append(s)
+        parts, whole = [], {}
+        for some in rounds:
+            table = spark.createDataFrame([(s, want[s], sizes[s]) for s in some], "shard long, k long, n long")
+            sample = dealt.join(F.broadcast(table), "shard").filter(F.pmod(F.xxhash64("cid", F.lit(level)), F.col("n")) < 4 * F.col("k") + 16)
+            centres: dict[int, np.ndarray] = {}
+            for r in sample.select("shard", "k", "v").orderBy("shard", F.xxhash64("cid", F.lit(level))).toLocalIterator():
+                v, c = self._unit(np.array([r.v])), centres.get(r.shard)
+                if c is None:
+                    centres[r.shard] = v
+                elif len(c) < r.k and (c @ v[0]).max() < self.t:
+                    centres[r.shard] = np.concatenate([c, v])
+            centres = {s: c for s, c in centres.items() if len(c) > overlap}
+            whole |= {s: sizes[s] for s in some if s not in centres}
+            if not centres:
+                continue
+            chosen = dealt.join(F.broadcast(self._shards(centres)), "shard").select(columns)
+            parts_of = {c: s for s in centres for c in _children(s, np.arange(len(centres[s]))).tolist()}
+            part = work.save(chosen.mapInArrow(self._dealer(spark.sparkContext.broadcast(centres), overlap), dealt.schema), f"level{level}")
+            large = part.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard).collect()
+            stuck = {s for r in large if r.n > 0.75 * sizes[s := parts_of[r.shard]]}
+            if stuck:
+                whole |= {s: sizes[s] for s in stuck}
+                part = part.join(F.broadcast(self._shards([c for c, s in parts_of.items() if s in stuck])), "shard", "left_anti").select(columns)
+            parts.append(part)
+        if whole:
+            table = spark.createDataFrame([(s, -(-5 * n // (2 * shard))) for s, n in whole.items()], "shard long, blocks long")
+            cut = dealt.join(F.broadcast(table), "shard").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(level), F.lit("block")), F.col("blocks")))
+            cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("other <> block")
+            parts.append(work.save(cut.select("cid", "m", "v", F.xxhash64("shard", F.least("block", "other"), F.greatest("block", "other")).alias("shard")), f"blocks{level}"))
+        return reduce(DataFrame.unionByName, parts)
+
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(1))[:, None]
 
-    def _dealer(self, held, near: dict[int, int]):
+    def _dealer(self, held, overlap: int):
         unit = self._unit
 
         def deal(batches):
@@ -202,11 +242,10 @@ class Near:
                         to.append(shard[at])
                         continue
                     sim = unit(_matrix(pa.chunked_array([batch.column(2).take(pa.array(at))]))) @ centres.T
-                    k = min(near[int(s)], len(centres))
+                    k = min(overlap, len(centres))
                     best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
                     take.append(np.repeat(at, k))
-                    with np.errstate(over="ignore"):
-                        to.append((np.int64(s) * np.int64(1_000_003) + best + 1).ravel())
+                    to.append(_children(int(s), best).ravel())
                 take, to = np.concatenate(take), np.concatenate(to)
                 kept = [batch.column(k).take(pa.array(take)) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(to.astype(np.int64))], batch.schema.names)
@@ -226,6 +265,11 @@ class Near:
         return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
+def _children(shard: int, part: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.int64(shard) * np.int64(1_000_003) + part.astype(np.int64) + 1
+
+
 def _matrix(v: pa.ChunkedArray) -> np.ndarray:
     flat = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)

@@ -75,6 +75,25 @@ def test_links_beside_groups_of_near_vectors(spark):
         assert sum(r.n_links for r in got if r.vec_id >= group) == sum(n for i, n in want.items() if i >= group) == 200
 
 
+def test_shards_fit_and_groups_that_centres_cannot_divide_are_whole(spark):
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=16)
+    x = np.concatenate([beside(300, 100, 16), one * np.linspace(1, 2, 250)[:, None]])
+    rows = [(i, [float(f) for f in v], 1) for i, v in enumerate(x)]
+    near = V.Near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3), shard=60, most_centres=40)
+    assert near.members.groupBy("shard").count().agg({"count": "max"}).first()[0] <= 60
+    want = (V.unit_products(x) >= 0.98).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in near.rows().collect()}
+    assert all(got[i] == want[i] for i in (*range(300), *range(500, 750)))
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) / want.sum() > 0.99
+
+
+def test_met_before():
+    shards = [np.array(x, dtype=np.int64) for x in ([1, 3, 5], [3, 5], [2, 5], [1, 5])]
+    met = V.met_before(shards, 5)
+    assert met[0, 1] and met[0, 3] and not met[0, 2] and not met[1, 3] and not V.met_before(shards, 1).any()
+
+
 def test_labelled():
     a = np.zeros((6, 6), dtype=bool)
     for i, j in ((5, 4), (4, 1), (3, 2)):
