@@ -7,10 +7,15 @@ on a box's largest counts prunes whole boxes, in the join of boxes first and wit
 
 Blocks come from an exact filter, so that no pair of all documents is looked at: sets with Jaccard at least t whose
 larger one is in the size class up to U differ in at most D = U * 2 * (1 - t) / (1 + t) n-grams; of D + 1 parts of the
-hash range one holds equal n-grams in both. Equal sets are one class from the start and take part once. In every block
-each set is first verified against the block's least one, which joins up groups of near copies by as many pairs as they
-have members; only sets of different components of a block then go through the R-tree. Every verification is on whole
-sets. So components are exact while no group's pairs are ever listed.
+hash range one holds equal n-grams in both. Equal sets, told by two hashes of 64 bits, are one class from the start and
+take part once; of blocks with the same members one counts.
+
+In a few rounds each set is first verified against a leading one of its blocks, another one every round, which joins up
+groups of near copies by as many pairs as they have members. Blocks whose sets are of one component need nothing more.
+The others go through the R-tree, in tiles of bounded size: of the pairs of a tile that it leaves over only those are
+verified that join up the tile's components likeliest, then components are made anew, until nothing is left but
+pairs refuted; after forest_rounds all that are left are verified. Every verification is on whole sets. So components are
+exact while no group's pairs are ever listed.
 
 Defined cases: words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased; a text with fewer than n words
 is its whole sequence, one without words or null is empty and linked with nothing; rows equal in doc_id stay rows of
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._graph import components
-from ._text import LOWER, byte_table, long_list, mix, prefix_hash, slices, span_hash, word_spans
+from ._text import LOWER, buffers, byte_table, long_list, mix, prefix_hash, slices, span_hash, word_spans
 from ._work import Work
 
 TABLE = byte_table(1)[LOWER]
@@ -130,10 +135,9 @@ def point(g: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes()
 
 
-def folded(points: list[bytes]) -> np.ndarray:
-    """The points under the fewest groups that any of them has."""
-    groups = min(map(len, points))
-    return np.array([np.frombuffer(p, dtype=np.uint8).reshape(-1, groups).sum(0, dtype=np.int64) for p in points])
+def names(s: np.ndarray, bits: int) -> tuple[np.uint64, np.uint64]:
+    """Two hashes that tell sets of n-grams apart; the first, of so many bits, is usually enough."""
+    return mix(s).sum(dtype=np.uint64) & np.uint64((1 << bits) - 1), mix(s ^ MIXERS[30]).sum(dtype=np.uint64)
 
 
 def likeness(bound: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -141,34 +145,120 @@ def likeness(bound: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (bound * 2_000_000) // (n + m)
 
 
-def search(a: tuple, b: tuple, t: Fraction, same: bool) -> Iterator[tuple[int, int, int]]:
-    """Index pairs, and their bound, of two lists of points, of different components, whose overlap bound reaches what their sizes need. A list: (sizes, components, points), in tree order."""
-    (na, ca, pa_), (nb, cb, pb) = a, b
-    boxes_a, boxes_b = [np.maximum.reduceat(p, np.arange(0, len(p), FAN), axis=0) for p in (pa_, pb)]
-    least_a, least_b = [np.minimum.reduceat(n, np.arange(0, len(n), FAN)) for n in (na, nb)]
-    for i in range(len(boxes_a)):
-        near = np.minimum(boxes_a[i], boxes_b).sum(1) >= overlap_needed(least_a[i], least_b, t)
-        for j in np.flatnonzero(near):
-            if same and j < i:
-                continue
-            x, y = slice(i * FAN, (i + 1) * FAN), slice(j * FAN, (j + 1) * FAN)
-            bound = np.minimum(pa_[x][:, None], pb[y][None]).sum(2)
-            ok = (bound >= overlap_needed(na[x][:, None], nb[y][None], t)) & (ca[x][:, None] != cb[y][None])
-            for u, v in zip(*np.nonzero(ok), strict=True):
-                if not same or i * FAN + u < j * FAN + v:
-                    yield i * FAN + int(u), j * FAN + int(v), int(bound[u, v])
-
-
-def packed(g: np.ndarray) -> bytes:
-    """The low 48 bits of distinct hashes, sorted."""
-    low = np.sort(g & np.uint64((1 << 48) - 1)).astype("<u8")
-    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+class Tree:
+    """Sets in tree order, every FAN of them a box."""
+
+    def __init__(self, n: np.ndarray, component: np.ndarray, set_: np.ndarray, points: np.ndarray, first: tuple[np.ndarray, np.ndarray]):
+        order = np.lexsort((points[:, 1], points[:, 0], n)) if len(n) > FAN else np.arange(len(n))
+        self.n, self.component, self.set, self.points, self.at, self.first = n[order], component[order], set_[order], points[order], order, first
+
+    def blocks(self, i: int) -> set[int]:
+        starts, values = self.first
+        return set(values[starts[self.at[i]] : starts[self.at[i] + 1]].tolist())
+
+    def gives(self, i: np.ndarray, other: Tree, j: np.ndarray, key: int) -> np.ndarray:
+        """Whether the pairs come out of this block: of two sets' common blocks the least comes first in both lists, if it is in both."""
+        own, others = {x: self.blocks(x) for x in set(i.tolist())}, {x: other.blocks(x) for x in set(j.tolist())}
+        return np.array([not (both := own[u] & others[v]) or min(both) == key for u, v in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+
+
+class Members:
+    """The trees of a column of lists of (n, component, set, point, first)."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.offsets = np.asarray(lists.offsets)
+        held = lists.values
+        self.n, self.component, self.set = (np.asarray(held.field(c)) for c in ("n", "component", "set"))
+        points, first = held.field("point"), held.field("first")
+        self.points, self.ends = buffers(points)[::-1]
+        self.first = np.asarray(first.offsets), np.asarray(first.values)
+
+    def size(self, row: int) -> int:
+        return int(self.offsets[row + 1] - self.offsets[row])
+
+    def of(self, row: int) -> Tree:
+        a, b = self.offsets[row], self.offsets[row + 1]
+        ends = self.ends[a : b + 1]
+        length = np.diff(ends)
+        groups = int(length.min())
+        if (length == groups).all():
+            points = self.points[ends[0] : ends[-1]].reshape(-1, groups)
+        else:
+            points = np.array([self.points[x:y].reshape(-1, groups).sum(0, dtype=np.int32) for x, y in zip(ends, ends[1:], strict=False)])
+        return Tree(self.n[a:b], self.component[a:b], self.set[a:b], points, (self.first[0][a : b + 1], self.first[1]))
+
+
+def sums_of_minima(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.minimum(p[..., :, None, :], q[..., None, :, :]).sum(-1, dtype=np.int64)
+
+
+def search(a: Tree, b: Tree, t: Fraction, same: bool, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in a, places in b, bounds) of the pairs of different components whose overlap bound reaches what their sizes need."""
+    p, q = a.points, b.points
+    if (groups := min(p.shape[1], q.shape[1])) < max(p.shape[1], q.shape[1]):
+        p, q = (x.reshape(len(x), -1, groups).sum(1, dtype=np.int32) for x in (p, q))
+    if len(p) <= FAN and len(q) <= FAN:
+        bound = sums_of_minima(p, q)
+        ok = (bound >= overlap_needed(a.n[:, None], b.n[None], t)) & (a.component[:, None] != b.component[None])
+        i, j = np.nonzero(np.triu(ok, 1) if same else ok)
+        return i, j, bound[i, j]
+    (p, na, ca), (q, nb, cb) = _boxed(p, a), _boxed(q, b)
+    least_a, least_b = (np.where(n > 0, n, np.iinfo(np.int64).max // 4).min(1) for n in (na, nb))
+    tops_a, tops_b = p.max(1), q.max(1)
+    rows = max(1, most // max(1, tops_b.size))
+    near = np.concatenate([sums_of_minima(tops_a[k : k + rows], tops_b) >= overlap_needed(least_a[k : k + rows, None], least_b[None], t) for k in range(0, len(tops_a), rows)])
+    x, y = np.nonzero(np.triu(near) if same else near)
+    out: list[tuple[np.ndarray, ...]] = []
+    at_once = max(1, most // (FAN * FAN * groups * p.itemsize))
+    for k in range(0, len(x), at_once):
+        u, v = x[k : k + at_once], y[k : k + at_once]
+        bound = sums_of_minima(p[u], q[v])
+        ok = (bound >= overlap_needed(na[u][:, :, None], nb[v][:, None], t)) & (ca[u][:, :, None] != cb[v][:, None]) & (na[u][:, :, None] > 0) & (nb[v][:, None] > 0)
+        w, i, j = np.nonzero(ok)
+        out.append((u[w] * FAN + i, v[w] * FAN + j, bound[w, i, j]))
+    if not out:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    i, j, bound = (np.concatenate(c) for c in zip(*out, strict=True))
+    return (i[i < j], j[i < j], bound[i < j]) if same else (i, j, bound)
+
+
+def _boxed(points: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, sizes and components by box, the last box filled up with empty sets."""
+    more = -len(points) % FAN
+    fill = lambda x: np.concatenate([x, np.zeros((more, *x.shape[1:]), dtype=x.dtype)]).reshape(-1, FAN, *x.shape[1:])
+    return fill(points), fill(tree.n), fill(tree.component)
+
+
+def forest(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Which pairs of components join up all that are joined, by the likeliest pairs."""
+    _, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    order = np.argsort(-near, kind="stable")
+    label, keep = np.arange(int(ends.max()) + 1), np.zeros(len(a), dtype=bool)
+    while True:
+        x, y = label[u[order]], label[v[order]]
+        order, x, y = (z[x != y] for z in (order, x, y))
+        if not len(order):
+            return keep
+        best = np.full(len(label), len(order))
+        np.minimum.at(best, x, np.arange(len(order)))
+        np.minimum.at(best, y, np.arange(len(order)))
+        pick = np.unique(best[best < len(order)])
+        keep[order[pick]] = True
+        for c, d in zip(x[pick].tolist(), y[pick].tolist(), strict=True):
+            while label[c] != c:
+                c = label[c]
+            while label[d] != d:
+                d = label[d]
+            label[max(c, d)] = min(c, d)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def unasked(a: np.ndarray, b: np.ndarray, asked: pa.StructArray) -> np.ndarray:
+    """Which pairs are not among those asked."""
+    before = set(zip(asked.field("a").to_pylist(), asked.field("b").to_pylist(), strict=True))
+    return np.array([(min(x, y), max(x, y)) not in before for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -180,48 +270,100 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 class Join:
     """The join of one table with itself.
 
-    sized: doc_id, n, s1 (the set's id), s2; links: verified pairs of set ids that connect every component;
+    sized: doc_id, n, s1, s2, set (the set's id); links: verified pairs of set ids that connect every component;
     classes(): one row per row of the table.
     """
 
-    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, t: str = "0.8", box: int = 256, star_rounds: int = 2, merge_rounds: int = 2):
-        self.n, self.t, self.box = n, Fraction(t), box
+    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, t: str = "0.8", box: int = 256, star_rounds: int = 3, forest_rounds: int = 6, name_bits: int = 64):
+        self.n, self.t, self.box, self.bits = n, Fraction(t), box, name_bits
         self.work = work = Work(df.sparkSession, "ngrams")
-        rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        found = work.save(rows.mapInArrow(self._shingler(), "doc_id long, n long, s1 long, s2 long, point binary, keys array<long>"), "found")
-        self.sized = work.save(found.drop("keys"), "sized")
-        self.reps = work.save(self.sized.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1").agg(F.min("doc_id").alias("rep")), "reps")
-        whole = Window.partitionBy("key")
-        keyed = found.select(F.explode("keys").alias("key"), F.col("s1").alias("set"))
-        met = keyed.select("key", "set", F.min("set").over(whole).alias("low"), F.max("set").over(whole).alias("high")).filter("low <> high")
-        met = work.save(met.select("key", "set").distinct(), "met")
-        self.points = work.save(self.sized.filter("n > 0").select(F.col("s1").alias("set"), "n", "point").dropDuplicates(["set"]).join(met.select("set").distinct(), "set", "left_semi"), "points")
+        self.rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        found = work.save(self.rows.mapInArrow(self._shingler(), "doc_id long, n long, s1 long, s2 long, point binary, keys array<long>"), "found")
+        self.sized = work.save(found.select("doc_id", "n", "s1", "s2"), "sized")
+        self.clash = None
+        ids = self.sized.filter("n > 0").groupBy("s1").agg(F.min("s2").alias("low"), F.max("s2").alias("high"))
+        clash = work.save(ids.filter("low <> high").select("s1"), "clash")
+        if not clash.isEmpty():
+            self.clash = clash
+        self.sized, found_ = self._named(self.sized), self._named(found)
+        self.reps = work.save(self.sized.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
+        met = work.save(self._shared(found_.select(F.explode("keys").alias("key"), "set")), "met")
+        met = self._told_apart(met)
+        sets_ = found_.filter("n > 0").select("set", "n", "point").join(met.select("set").distinct(), "set", "left_semi")
+        self.points = work.save(sets_.dropDuplicates(["set"]), "points")
         work.drop(found)
-        self.rows, links, left = rows, None, met.withColumn("component", F.col("set"))
+        self.links, self.comp, left = None, None, met
         for k in range(star_rounds):
-            # each set against the set that leads most of its blocks
-            led = left.withColumn("lead", F.min("set").over(whole)).filter("lead <> set").groupBy("set", "lead").agg(F.count("*").alias("blocks"))
+            # each set against the set that leads most of its blocks; every round has other leads
+            turn = F.lit(int(MIXERS[50 + k].view(np.int64)))
+            lead = left.groupBy("key").agg(F.min(F.col("set").bitwiseXOR(turn)).alias("lead"))
+            led = left.join(lead, "key").withColumn("lead", F.col("lead").bitwiseXOR(turn)).filter("lead <> set").groupBy("set", "lead").agg(F.count("*").alias("blocks"))
             pairs = led.groupBy(F.col("set").alias("b")).agg(F.max_by("lead", F.struct("blocks", "lead")).alias("a"))
-            new = work.save(self._verify(self._bounded(pairs.select("a", "b"))), f"star{k}")
-            links = new if links is None else work.save(links.unionByName(new), "links")
-            left = work.save(self._mixed(met, components(work, links)), "mixed")
-        first = left.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_BLOCKS).alias("first"))
-        left = work.save(left.join(first, "set"), "blocks")
-        rest = work.save(self._bounded(self._leaves(left)).unionByName(self._trees(left)).distinct(), "rest")
-        for _ in range(merge_rounds):
-            # each component with its likeliest other one; what that joins up needs no further pair
-            across = self._across(rest, components(work, links))
-            ends = F.explode(F.array("ca", "cb")).alias("c")
-            best = across.select(ends, "a", "b", "near").groupBy("c").agg(F.max(F.struct("near", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-            links = work.save(links.unionByName(self._verify(best)), "links")
-        rest = self._across(rest, components(work, links)).select("a", "b")
-        self.links = work.save(links.unionByName(self._verify(rest)), "links")
+            if not self._join_up(self._bounded(self._across(pairs))):
+                break
+            left = self._mixed(met)
+        # of the pairs that the trees leave over each set's likeliest ones, until none is left but refuted ones
+        tiles, flagged, asked = work.save(self._tiles(self._mixed(met)), "tiles"), None, None
+        for k in range(forest_rounds + 1):
+            whole = k == forest_rounds
+            got = work.save(self._trees(tiles, flagged, asked, whole), "trees")
+            pairs, flagged = got.filter("a IS NOT NULL"), got.filter("a IS NULL").select("key", "t1", "t2")
+            if not whole:  # each set's likeliest pair first
+                best = pairs.select(F.explode(F.array("a", "b")).alias("set"), F.struct("near", "a", "b").alias("p")).groupBy("set").agg(F.max("p").alias("p"))
+                best = work.save(best.select("p.a", "p.b").distinct(), "best")
+                flagged = flagged.unionByName(pairs.join(best, ["a", "b"], "left_anti").select("key", "t1", "t2"))
+                pairs = pairs.join(best, ["a", "b"], "left_semi").select(pairs.columns)
+            flagged = work.save(flagged.distinct(), "flagged")
+            asked = pairs if asked is None else asked.unionByName(pairs)
+            self._join_up(pairs.select("a", "b"))
+            if flagged.isEmpty():
+                break
+
+    def _named(self, df: DataFrame) -> DataFrame:
+        """df with the id of each row's set: s1, or where two sets have the same s1 a hash of both."""
+        if self.clash is None:
+            return df.withColumn("set", F.col("s1"))
+        known = F.broadcast(self.clash.select(F.col("s1").alias("clash")))
+        return df.join(known, F.col("s1") == F.col("clash"), "left").withColumn("set", F.when(F.col("clash").isNull(), F.col("s1")).otherwise(F.xxhash64("s1", "s2"))).drop("clash")
+
+    def _shared(self, keyed: DataFrame) -> DataFrame:
+        """(key, set) of the keys that several sets have. Keys that many sets have, told by a sample of the sets, are counted without meeting in a task."""
+        often = keyed.filter(F.pmod("set", F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter("n >= 32").select("key")
+        often = self.work.sized(often, MOST_BROADCAST, "often")
+        whole = Window.partitionBy("key")
+        rest = keyed.join(often, "key", "left_anti").select("key", "set", F.min("set").over(whole).alias("low"), F.max("set").over(whole).alias("high"))
+        rest = rest.filter("low <> high").select("key", "set").distinct()
+        many = keyed.join(often, "key", "left_semi").distinct()
+        return rest.unionByName(many)
+
+    def _told_apart(self, met: DataFrame) -> DataFrame:
+        """One block of those with the same two members or more."""
+        own = met.groupBy("key").agg(F.count("*").alias("members"), F.min("set").alias("low"), F.max("set").alias("high"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(2))).alias("y"))
+        once = own.filter("low <> high").groupBy("members", "low", "high", "x", "y").agg(F.min("key").alias("key")).select("key")
+        out = self.work.save(met.join(once, "key", "left_semi"), "blocks")
+        self.work.drop(met)
+        return out
+
+    def _join_up(self, pairs: DataFrame) -> bool:
+        """Verifies the pairs a, b and adds what links; whether any pair did."""
+        new = self._verify(pairs)
+        if new.isEmpty():
+            self.links = new if self.links is None else self.links
+            return False
+        links = new if self.links is None else self.work.save(self.links.unionByName(new), "links")
+        if self.links is not None:
+            self.work.drop(self.links, new)
+        if self.comp is not None:
+            self.work.drop(self.comp)
+        self.links, self.comp = links, self.work.save(components(self.work, links), "components")
+        self.work.sweep()
+        return True
 
     def _shingler(self):
-        n, sizes = self.n, Sizes(self.t)
+        n, bits, sizes = self.n, self.bits, Sizes(self.t)
 
         def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()  # copies of a set met before in this task emit no keys: the map side of pre-aggregation
+            seen: set[tuple[int, int]] = set()  # copies of a set met before in this task emit no keys: the map side of pre-aggregation
             for batch in batches:
                 ids = batch.column(0)
                 for i, counts, g in sets(batch.column(1), n):
@@ -229,27 +371,28 @@ class Join:
                     whole, keys = np.zeros((len(counts), 2), dtype=np.uint64), []
                     for k, (c, e) in enumerate(zip(counts, ends, strict=True)):
                         s = g[e - c : e]
-                        whole[k] = mix(s).sum(dtype=np.uint64), mix(s ^ MIXERS[30]).sum(dtype=np.uint64)
-                        new = c > 0 and ids[i + k].is_valid and int(whole[k, 0]) not in seen
+                        whole[k] = names(s, bits)
+                        name = int(whole[k, 0]), int(whole[k, 1])
+                        new = c > 0 and ids[i + k].is_valid and name not in seen
                         keys.append(signatures(s, int(c), sizes) if new else s[:0])
                         if new:
-                            seen.add(int(whole[k, 0]))
+                            seen.add(name)
                     s1, s2 = (np.ascontiguousarray(whole[:, k]).view(np.int64) for k in (0, 1))
                     yield pa.RecordBatch.from_arrays([ids.slice(i, len(counts)), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), pa.array([point(g[e - c : e]) for c, e in zip(counts, ends, strict=True)], pa.binary()), long_list(np.concatenate(keys), np.array([len(k) for k in keys]))], ["doc_id", "n", "s1", "s2", "point", "keys"])
 
         return shingle
 
     def _packer(self):
-        n = self.n
+        n, bits = self.n, self.bits
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0)
-                for i, counts, g in sets(batch.column(1), n):
+                for i, counts, g in sets(batch.column(3), n):
                     parts = [g[e - c : e] for c, e in zip(counts, np.cumsum(counts), strict=True)]
-                    s1 = np.array([int(mix(s).sum(dtype=np.uint64)) for s in parts], dtype=np.uint64).view(np.int64)
-                    own = pa.array(s1 == np.asarray(ids.slice(i, len(counts))))  # a doc_id may come with other texts too
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, len(counts)), pa.array([packed(s) for s in parts], pa.binary())], ["set", "grams"]).filter(own)
+                    own = np.array([names(s, bits) for s in parts], dtype=np.uint64).view(np.int64)
+                    s1, s2 = (np.asarray(batch.column(k).slice(i, len(counts))) for k in (1, 2))
+                    same = pa.array((own[:, 0] == s1) & (own[:, 1] == s2))  # a doc_id may come with other texts too
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(counts)), pa.array([s.astype("<u8").tobytes() for s in parts], pa.binary())], ["set", "grams"]).filter(same)
 
         return pack
 
@@ -260,19 +403,17 @@ class Join:
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n, m = (np.asarray(batch.column(k)) for k in (2, 3))
-                need, ok, near = overlap_needed(n, m, t), [], []
+                need, ok = overlap_needed(n, m, t), []
                 for p, q, least in zip(batch.column(4), batch.column(5), need, strict=True):
                     p, q = (np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in (p, q))
                     if len(p) != len(q):
                         p, q = (x.reshape(-1, min(len(p), len(q))).sum(0, dtype=np.int64) for x in (p, q))
-                    near.append(int(np.minimum(p, q).sum(dtype=np.int64)))
-                    ok.append(near[-1] >= least)
-                near = pa.array(likeness(np.array(near, dtype=np.int64), n, m), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), near], ["a", "b", "near"]).filter(pa.array(ok, pa.bool_()))
+                    ok.append(int(np.minimum(p, q).sum(dtype=np.int64)) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         left, right = (self.points.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")) for c in ("a", "b"))
         met = pairs.join(left, "a").join(right, "b").filter((F.col("na") * self.t.denominator >= F.col("nb") * self.t.numerator) & (F.col("nb") * self.t.denominator >= F.col("na") * self.t.numerator))
-        return met.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bound, "a long, b long, near long")
+        return met.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bound, "a long, b long")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs a, b whose whole sets reach the threshold."""
@@ -282,89 +423,124 @@ class Join:
             for batch in batches:
                 ok = []
                 for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = x.as_buffer(), y.as_buffer()
-                    ok.append(overlap(unpacked(x), unpacked(y)) >= int(overlap_needed(x.size // 6, y.size // 6, t)))
+                    x, y = (np.frombuffer(z.as_buffer(), dtype="<u8") for z in (x, y))
+                    ok.append(overlap(x, y) >= int(overlap_needed(len(x), len(y), t)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        pairs = work.save(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct().join(self.reps, "s1").select(F.col("s1").alias("set"), F.col("rep").alias("doc_id"))
-        texts = self.rows.join(work.sized(wanted, MOST_BROADCAST, "wanted"), "doc_id").select("set", "text")
+        pairs = work.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(self.reps, "set").select("set", "s1", "s2", F.col("rep").alias("doc_id"))
+        texts = self.rows.join(work.sized(wanted, MOST_BROADCAST, "wanted"), "doc_id").select("set", "s1", "s2", "text")
         whole = work.save(texts.mapInArrow(self._packer(), "set long, grams binary").dropDuplicates(["set"]), "sets")
         left, right = (whole.select(F.col("set").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long")
-
-    def _across(self, pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """The pairs whose sets are of different components, ca and cb."""
+        out = work.save(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long"), "verified")
+        work.drop(pairs, whole)
+        return out
+
+    def _across(self, pairs: DataFrame) -> DataFrame:
+        """The pairs a, b whose sets are of different components."""
+        if self.comp is None:
+            return pairs.select("a", "b")
         for c in ("a", "b"):
-            pairs = pairs.join(comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-        return pairs.filter("ca <> cb")
+            pairs = pairs.join(self.comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+        return pairs.filter("ca <> cb").select("a", "b")
+
+    def _placed(self, met: DataFrame) -> DataFrame:
+        """met with every set's component."""
+        if self.comp is None:
+            return met.withColumn("component", F.col("set"))
+        return met.join(self.comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
 
-    def _mixed(self, met: DataFrame, comp: DataFrame) -> DataFrame:
+    def _mixed(self, met: DataFrame) -> DataFrame:
         """The rows of met in blocks of more than one component."""
-        rows = met.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        rows = self._placed(met)
         more = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         return rows.join(more, "key", "left_semi").select("key", "set", "component")
 
-    def _sizes(self, left: DataFrame) -> DataFrame:
-        return left.groupBy("key").agg(F.count("*").alias("members"))
-
-    def _leaves(self, left: DataFrame) -> DataFrame:
-        """Pairs of different components in blocks that are one box of the tree."""
-        small = left.join(self._sizes(left).filter(F.col("members") <= FAN), "key", "left_semi")
-        x, y = (small.select("key", F.col("set").alias(c), F.col("component").alias(f"c{c}"), F.col("first").alias(f"f{c}")) for c in ("a", "b"))
-        # of two sets' common blocks the least comes first in both lists, if it is in both; then only it gives the pair
-        here = F.coalesce(F.array_min(F.array_intersect("fa", "fb")) == F.col("key"), F.lit(True))
-        return x.join(y, "key").filter("a < b AND ca <> cb").filter(here).select("a", "b").distinct()
-
-    def _trees(self, left: DataFrame) -> DataFrame:
-        """Pairs of different components that the R-tree leaves over in larger blocks."""
-        t, order = self.t, Window.partitionBy("key").orderBy("n", "set")
-        large = left.join(self._sizes(left).filter(F.col("members") > FAN), "key", "left_semi")
-        rows = large.join(self.points, "set")
-        tile = F.floor((F.row_number().over(order) - 1) / self.box).alias("tile")
-        tiles = rows.select("key", "set", "component", "n", "point", "first", tile).groupBy("key", "tile").agg(F.collect_list(F.struct("n", "component", "set", "point", "first")).alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
-        x, y = (tiles.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("tile", "m", "low", "high")]) for k in (1, 2))
-        met = x.join(y, "key").filter((F.col("tile1") <= F.col("tile2")) & (F.col("high1") * t.denominator >= F.col("low2") * t.numerator))
+    def _tiles(self, left: DataFrame) -> DataFrame:
+        """key, set, team, tile, first, alone: blocks in tiles of about box members. Components with so many members in a block have tiles of their own (team), which need not meet each other."""
+        first = left.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_BLOCKS).alias("first"))
+        left = self.work.save(left.join(first, "set"), "left")
+        large = left.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > self.box).select("key")
+        alone = left.join(large, "key", "left_anti").select("key", "set", F.lit(None).cast("long").alias("team"), F.lit(0).cast("long").alias("tile"), "first", F.lit(True).alias("alone"))
+        rows = left.join(large, "key", "left_semi")
+        teams = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+        some = F.when(F.col("c") < self.box, F.col("c")).otherwise(0)
+        others = teams.groupBy("key").agg(F.sum(some).alias("others"))
+        rows = rows.join(teams, ["key", "component"]).join(others, "key")
+        own = F.col("c") >= self.box
+        tile = F.pmod("set", F.ceil(F.when(own, F.col("c")).otherwise(F.col("others")) / self.box))
+        return alone.unionByName(rows.select("key", "set", F.when(own, F.col("component")).alias("team"), F.xxhash64(F.when(own, F.col("component")), tile).alias("tile"), "first", F.lit(False).alias("alone")))
+
+    def _trees(self, tiles: DataFrame, flagged: DataFrame | None, asked: DataFrame | None, whole: bool) -> DataFrame:
+        """Pairs of different components that the R-trees of tiles of a block leave over: key, t1, t2, a, b, near.
+
+        Of two tiles' pairs those that join up their components likeliest are given, and a row without a and b if there
+        are others; all pairs if whole.
+        """
+        t, again, columns = self.t, flagged is not None, ["n", "component", "set", "point", "first"]
+        if flagged is not None:
+            tiles = tiles.join(flagged.select("key").distinct(), "key", "left_semi")
+        rows = self._placed(tiles).join(self.points, "set")
+        held = rows.groupBy("key", "tile", "team", "alone").agg(F.collect_list(F.struct(*columns)).alias("m"))
+        single = held.filter("alone").select("key", F.col("tile").alias("t1"), F.col("tile").alias("t2"), F.col("m").alias("m1"), F.expr("slice(m, 1, 0)").alias("m2"))
+        many = held.filter("NOT alone")
+        x, y = (many.select("key", F.col("tile").alias(f"t{k}"), F.col("team").alias(f"team{k}"), F.col("m").alias(f"m{k}")) for k in (1, 2))
+        if flagged is None:
+            met = x.join(y, "key").filter("t1 <= t2 AND (team1 IS NULL OR team2 IS NULL OR team1 <> team2)")
+            met = single.unionByName(met.select("key", "t1", "t2", "m1", F.expr("CASE WHEN t1 = t2 THEN slice(m2, 1, 0) ELSE m2 END").alias("m2"))).withColumn("asked", F.expr("CAST(array() AS array<struct<a: long, b: long>>)"))
+        else:
+            before = asked.groupBy("key", "t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+            met = flagged.join(x, ["key", "t1"]).join(y, ["key", "t2"]).select("key", "t1", "t2", "m1", F.expr("CASE WHEN t1 = t2 THEN slice(m2, 1, 0) ELSE m2 END").alias("m2"))
+            met = single.join(flagged, ["key", "t1", "t2"]).unionByName(met).join(before, ["key", "t1", "t2"])
 
         def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for k in range(batch.num_rows):
-                    key, same = batch.column(3)[k].as_py(), batch.column(0)[k].as_py()
-                    (n, c, ids, p, first), (m, d, jds, q, others) = members(batch.column(1)[k].values), members(batch.column(2)[k].values)
-                    groups = min(p.shape[1], q.shape[1])
-                    p, q = (x.reshape(len(x), -1, groups).sum(1) for x in (p, q))
-                    got = [(int(ids[u]), int(jds[v]), w, int(n[u]), int(m[v])) for u, v, w in search((n, c, p), (m, d, q), t, same) if not (both := first[u] & others[v]) or min(both) == key]
-                    if got:
-                        a, b, w, x, y = (np.array(z) for z in zip(*got, strict=True))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(likeness(w, x, y))], ["a", "b", "near"])
-
-        def members(m: pa.StructArray) -> tuple:
-            """Sizes, components, set ids, points under their fewest groups, first blocks: in tree order."""
-            n, c, ids = (m.field(f).to_numpy(zero_copy_only=False) for f in ("n", "component", "set"))
-            points = [x.as_py() for x in m.field("point")]
-            order = sorted(range(len(n)), key=lambda i: (n[i], points[i]))
-            p = folded([points[i] for i in order])
-            first = m.field("first").to_pylist()
-            return n[order], c[order], ids[order], p, [set(first[i]) for i in order]
-
-        return met.select((F.col("tile1") == F.col("tile2")).alias("same"), "m1", "m2", "key").mapInArrow(trees, "a long, b long, near long")
+                where = [np.asarray(batch.column(k)) for k in range(3)]
+                one, two = Members(batch.column(3)), Members(batch.column(4))
+                before = batch.column(5)
+                out: list[tuple[np.ndarray, ...]] = []
+                for r in range(batch.num_rows):
+                    left = one.of(r)
+                    right = two.of(r) if two.size(r) else left
+                    i, j, near = search(left, right, t, right is left)
+                    if not len(i):
+                        continue
+                    a, b = left.set[i], right.set[j]
+                    keep = left.gives(i, right, j, where[0][r])
+                    if again:
+                        keep &= unasked(a, b, before[r].values)
+                    i, j, a, b, near = i[keep], j[keep], a[keep], b[keep], near[keep]
+                    if not len(i):
+                        continue
+                    if not whole:
+                        chosen = forest(left.component[i], right.component[j], likeness(near, left.n[i], right.n[j]))
+                        if not chosen.all():
+                            out.append((*(w[r : r + 1] for w in where), *np.zeros((3, 1), dtype=np.int64), np.ones(1, dtype=bool)))
+                        i, j, a, b, near = i[chosen], j[chosen], a[chosen], b[chosen], near[chosen]
+                    out.append((*(np.full(len(a), w[r]) for w in where), np.minimum(a, b), np.maximum(a, b), likeness(near, left.n[i], right.n[j]), np.zeros(len(a), dtype=bool)))
+                if out:
+                    *cols, none = (np.concatenate(c) for c in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols[:3]), *(pa.array(c, mask=none) for c in cols[3:])], ["key", "t1", "t2", "a", "b", "near"])
+
+        return met.select("key", "t1", "t2", "m1", "m2", "asked").mapInArrow(trees, "key long, t1 long, t2 long, a long, b long, near long")
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
-        comp = components(self.work, self.links)
-        sets_ = self.reps.join(comp.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+        if self.comp is None:
+            sets_ = self.reps.withColumn("component", F.col("set"))
+        else:
+            sets_ = self.reps.join(self.comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         least = sets_.groupBy("component").agg(F.min("rep").alias("component_id"))
-        ids = sets_.join(least, "component").select("s1", "component_id")
-        out = self.sized.join(ids, "s1", "left")
+        ids = sets_.join(least, "component").select("set", "component_id")
+        out = self.sized.join(ids, "set", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The rows of df, all columns as they are, of the least doc_id of each group; of rows equal in doc_id and text one stays, rows without doc_id all stay."""
     join = Join(df, doc_id, text, **more)
-    gone = join.classes().filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = df.join(join.work.sized(gone, MOST_BROADCAST, "gone"), F.col(doc_id) == F.col("gone_id"), "left_anti")
-    twice = df.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("twice_id")).count().filter("count > 1").select("twice_id")
+    gone = join.classes().filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    rows = df.join(join.work.sized(gone, MOST_BROADCAST, "gone"), doc_id, "left_anti").select(df.columns)
+    twice = df.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id)).agg(F.count("*").alias("__rows")).filter("__rows > 1").select(doc_id)
     twice = join.work.sized(twice, MOST_BROADCAST, "twice")
-    once = F.col(doc_id) == F.col("twice_id")
-    return rows.join(twice, once, "left_anti").unionByName(rows.join(twice, once, "left_semi").dropDuplicates([doc_id, text]))
+    return rows.join(twice, doc_id, "left_anti").select(df.columns).unionByName(rows.join(twice, doc_id, "left_semi").select(df.columns).dropDuplicates([doc_id, text]))

@@ -62,8 +62,25 @@ def test_bound_never_undercuts_overlap():
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 3000, 500).astype(np.uint64)) for _ in range(2))
         a, b = J.mix(a), J.mix(b)
-        bound = np.minimum(*J.folded([J.point(a), J.point(b)])).sum()
-        assert bound >= len(np.intersect1d(a, b)) == J.overlap(J.unpacked(J.packed(a)), J.unpacked(J.packed(b)))
+        p, q = (np.frombuffer(J.point(x), dtype=np.uint8) for x in (a, b))
+        groups = min(len(p), len(q))
+        bound = np.minimum(*(x.reshape(-1, groups).sum(0) for x in (p, q))).sum()
+        assert bound >= len(np.intersect1d(a, b)) == J.overlap(a, b)
+
+
+def test_search_in_boxes_finds_all_that_the_bound_leaves():
+    rng, t = np.random.default_rng(6), Fraction(85, 100)
+    base = rng.integers(0, 4, (5, 64))
+    points = np.maximum(base[rng.integers(0, 5, 200)] + rng.integers(-1, 2, (200, 64)) * (rng.random((200, 64)) < 0.1), 0).astype(np.uint8)
+    n, comp = points.sum(1).astype(np.int64), rng.integers(0, 60, 200)
+    none = (np.zeros(201, dtype=np.int32), np.zeros(0, dtype=np.int64))
+    a = J.Tree(n, comp, np.arange(200), points, none)
+    need = J.overlap_needed(n[:, None], n[None], t)
+    want = {(i, j) for i, j in np.argwhere(np.minimum(points[:, None], points[None]).sum(2, dtype=int) >= need).tolist() if i < j and comp[i] != comp[j]}
+    i, j, _ = J.search(a, a, t, True, most=1 << 14)
+    assert {tuple(sorted(x)) for x in zip(a.set[i].tolist(), a.set[j].tolist())} == want and len(i) == len(want) > 100
+    keep = J.forest(a.component[i], a.component[j], rng.integers(0, 9, len(i)))
+    assert 0 < keep.sum() <= 59
 
 
 def test_against_brute_force(spark):
@@ -81,6 +98,43 @@ def test_tree_finds_what_stars_leave(spark):
     assert got == sorted(brute(rows, 4, 85, 100))
 
 
+def test_pairs_verified_grow_with_the_members_of_a_group(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    asked = []
+    verify = J.Join._verify
+
+    def counted(self, pairs):
+        pairs = self.work.save(pairs.distinct(), "counted")
+        asked.append(pairs.count())
+        return verify(self, pairs)
+
+    monkeypatch.setattr(J.Join, "_verify", counted)
+    rows = []
+    for d in range(2000):
+        w = list(base)
+        for _ in range(rng.choice([1, 2])):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+        rows.append((d, " ".join(w)))
+    got = J.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), n=4, t="0.85").classes().collect()
+    assert sum(asked) < 5 * len(rows)
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(d, c) for d, _, c in sorted(brute(rows[:2000], 4, 85, 100))]
+
+
+def test_sets_of_equal_first_names_stay_apart(spark):
+    rows = corpus(4, 60)
+    got = sorted(tuple(r) for r in J.Join(spark.createDataFrame(rows, "doc_id long, text string"), n=4, t="0.85", name_bits=4).classes().collect())
+    assert got == sorted(brute(rows, 4, 85, 100))
+
+
+def test_keep_one_with_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6), (3, "x y", 7, 8, 9), (3, "x y", 7, 8, 9), (None, "a b c d e f", 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id int, twice_id int, count int")
+    got = J.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.filter("doc_id IS NULL").collect() + df.filter("doc_id = 1").collect() + df.filter("doc_id = 3").limit(1).collect()))
+
+
 def test_repeats_and_nulls(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "x y")]
     got = sorted(map(str, J.Join(spark.createDataFrame(rows, "doc_id long, text string"), n=4, t="0.85").classes().collect()))
