@@ -1,21 +1,50 @@
-"""Connected components by alternating large-star and small-star steps, all as joins and minima."""
+"""Connected components: as many tasks as the links need; links of one task are joined up there, those of more by alternating large-star and small-star steps, all as joins and minima."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._work import Work
 
+#: Links for each task.
+PER_TASK = 1 << 18
+
+
+def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least node reachable) of all links of a task."""
+    some = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+    if not some:
+        return
+    u, v = (np.concatenate(c) for c in zip(*some, strict=True))
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[u], label[v]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))  # roots only: every label is one
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
 
 def components(work: Work, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (smallest node reachable) for every node of links (two long columns, nulls and loops ignored).
 
     Each step keeps a table of at most two rows for a link and writes it to the shared folder. Minima are
     partially aggregated before the shuffle and joins can be split by adaptive execution, so a hub is no bottleneck.
+    Links counted to be few enough for one task skip the steps.
     """
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
     edges = work.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    if edges.count() <= PER_TASK:
+        return edges.coalesce(1).mapInArrow(joined_up, "node long, component long")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -14,7 +14,7 @@ In a few rounds each set is first verified against a leading one of its blocks,
 groups of near copies by as many pairs as they have members. Blocks whose sets are of one component need nothing more.
 The others go through the R-tree, in tiles of bounded size: of the pairs of a tile that it leaves over only those are
 verified that join up the tile's components likeliest, then components are made anew, until nothing is left but
-pairs refuted; after forest_rounds all that are left are verified. Every verification is on whole sets. So components are
+pairs refuted; once every tile's likeliest pairs could be verified in one round, all that are left are. Every verification is on whole sets. So components are
 exact while no group's pairs are ever listed.
 
 Defined cases: words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased; a text with fewer than n words
@@ -274,7 +274,7 @@ class Join:
     classes(): one row per row of the table.
     """
 
-    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, t: str = "0.8", box: int = 256, star_rounds: int = 3, forest_rounds: int = 6, name_bits: int = 64):
+    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, t: str = "0.8", box: int = 256, star_rounds: int = 2, forest_rounds: int = 3, name_bits: int = 64):
         self.n, self.t, self.box, self.bits = n, Fraction(t), box, name_bits
         self.work = work = Work(df.sparkSession, "ngrams")
         self.rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -302,13 +302,16 @@ class Join:
             if not self._join_up(self._bounded(self._across(pairs))):
                 break
             left = self._mixed(met)
+        met_sets = self.points.count()
         # of the pairs that the trees leave over each set's likeliest ones, until none is left but refuted ones
         tiles, flagged, asked = work.save(self._tiles(self._mixed(met)), "tiles"), None, None
+        few = False  # whether the last round verified every tile's likeliest pairs
         for k in range(forest_rounds + 1):
-            whole = k == forest_rounds
+            whole = few or k == forest_rounds
             got = work.save(self._trees(tiles, flagged, asked, whole), "trees")
             pairs, flagged = got.filter("a IS NOT NULL"), got.filter("a IS NULL").select("key", "t1", "t2")
-            if not whole:  # each set's likeliest pair first
+            few = pairs.count() <= met_sets
+            if not whole and not few:  # each set's likeliest pair first
                 best = pairs.select(F.explode(F.array("a", "b")).alias("set"), F.struct("near", "a", "b").alias("p")).groupBy("set").agg(F.max("p").alias("p"))
                 best = work.save(best.select("p.a", "p.b").distinct(), "best")
                 flagged = flagged.unionByName(pairs.join(best, ["a", "b"], "left_anti").select("key", "t1", "t2"))
