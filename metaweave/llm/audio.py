@@ -3,8 +3,8 @@
 Samples become frames of twelve pitch-class energies; filters, differences of rectangle sums read off the frames'
 integral image, are quantised to two bits each, and sixteen of them pack into an integer for every frame. A
 recording matches a query where, laid over it at some offset, the share of differing bits is within the bound. Every
-offset is compared: codes as signs turn the bits that agree at one offset into a matrix product of a block of queries
-with a block of recordings, so no key has to survive the noise. The cost grows with queries times recordings; queries go
+offset is compared: codes as signs turn the histogram of agreeing bits by offset into matrix products of a block of
+queries with a block of recordings, so no key has to survive the noise. The cost grows with queries times recordings; queries go
 in rounds of bounded size. Recordings with equal fingerprints are one class, so a group of copies is compared once, and a
 class always matches its own copies.
 
@@ -45,15 +45,52 @@ POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
 def decode(data: bytes | None) -> np.ndarray:
-    """Mono samples of 16-bit WAV bytes; none if they can't be read."""
+    """Mono samples at RATE of PCM WAV bytes of 8 to 32 bits at any rate; none if they can't be read."""
     try:
         with wave.open(io.BytesIO(data or b"")) as w:
-            if w.getsampwidth() != 2 or w.getframerate() != RATE:
-                return np.zeros(0)
-            x = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").astype(np.float64)
-            return x.reshape(-1, w.getnchannels()).mean(1) / 32768
+            width, rate, channels = w.getsampwidth(), w.getframerate(), w.getnchannels()
+            raw = np.frombuffer(w.readframes(w.getnframes()), dtype=np.uint8)
     except (wave.Error, EOFError):
         return np.zeros(0)
+    raw = raw[: len(raw) // (width * channels) * width * channels].reshape(-1, channels, width)
+    if width == 1:  # unsigned
+        x = raw[..., 0].astype(np.float64) / 128 - 1
+    else:
+        x = np.zeros(raw.shape[:2])
+        for k in range(width):
+            x += (raw[..., k].view(np.int8) if k == width - 1 else raw[..., k]).astype(np.float64) * 256.0**k
+        x /= 256.0**width / 2
+    return resampled(x.mean(1), rate)
+
+
+def resampled(x: np.ndarray, rate: int) -> np.ndarray:
+    """The samples at RATE, frequencies beyond either rate cut off by way of the spectrum of overlapping stretches."""
+    if rate == RATE or not len(x):
+        return x
+    if rate <= 0:
+        return np.zeros(0)
+    stretch = 1 << 16  # samples of the input at a time, half of them overlapping
+    if len(x) <= stretch:
+        return _respaced(x, rate)
+    out = np.zeros(int(round(len(x) * RATE / rate)) + stretch)
+    weight = np.zeros(len(out))
+    for a in range(0, len(x), stretch // 2):
+        part = x[a : a + stretch]
+        y = _respaced(part, rate)
+        at, w = int(round(a * RATE / rate)), np.hanning(len(y) + 2)[1:-1] + 1e-6
+        out[at : at + len(y)] += y * w
+        weight[at : at + len(y)] += w
+    n = int(round(len(x) * RATE / rate))
+    return out[:n] / np.maximum(weight[:n], 1e-12)
+
+
+def _respaced(x: np.ndarray, rate: int) -> np.ndarray:
+    n = max(1, int(round(len(x) * RATE / rate)))
+    spectrum = np.fft.rfft(x)
+    keep = min(len(spectrum), n // 2 + 1)
+    new = np.zeros(n // 2 + 1, dtype=complex)
+    new[:keep] = spectrum[:keep]
+    return np.fft.irfft(new, n) * (n / len(x))
 
 
 def encode(samples: np.ndarray) -> bytes:
@@ -183,7 +220,7 @@ def aligned(queries: list[np.ndarray], others: list[np.ndarray], least: int, err
 
 
 class Alignments:
-    """Queries against all recordings. prints: id, class_id (least id with equal codes), members; matches()."""
+    """Queries against all recordings. prints: id, class_id (least id with equal codes), members; matches(); rows()."""
 
     def __init__(self, df: DataFrame, rec_id: str, recording: str, every: int = 50):
         self.work, self.every = Work(df.sparkSession, "audio"), every
@@ -197,45 +234,82 @@ class Alignments:
 
     def matches(self, votes: int = 6, errors: float = 0.15) -> DataFrame:
         """query_id, class_id, members, shift (frames by which the match starts later), votes, frames, bit_error_rate."""
-        asked = self.ids.filter(F.pmod("id", F.lit(self.every)) == 0).select(F.col("id").alias("query_id"), "h", "h2")
-        q = self.work.save(asked.select("h", "h2").distinct().join(self.classes, ["h", "h2"]).select(F.col("h").alias("q"), "codes"), "queries")
-        least, kind = votes + APART, "q long, class_id long, members long, shift long, votes long, frames long, bit_error_rate double"
-        classes = self.classes.select("h", "class_id", "members", "codes")
-        parts = [self.work.save(classes.mapInArrow(_checker(q.sparkSession.sparkContext.broadcast(some), least, errors), kind), "matches") for some in self._rounds(q)]
-        held = reduce(DataFrame.unionByName, parts) if parts else q.sparkSession.createDataFrame([], kind)
+        kind = "q long, class_id long, members long, shift long, votes long, frames long, bit_error_rate double"
+        asked, held = self._checked(kind, votes, errors, _matches)
         return asked.select("query_id", F.col("h").alias("q")).join(held, "q").drop("q")
 
+    def rows(self, votes: int = 6, errors: float = 0.15) -> DataFrame:
+        """One row per recording with a fingerprint: id, class_id, members, n_queries (queries that match it, itself included) and of these the one with the most bits to spare: query_id, shift, votes, frames, bit_error_rate.
+
+        Matches are counted in the task that finds them, so no table of them is ever made, however many copies a query has.
+        """
+        best = "spare double, off long, shift long, query_id long, votes long, frames long, bit_error_rate double"
+        _, held = self._checked(f"h long, h2 int, n long, {best}", votes, errors, _totals)
+        names = [c.split()[0] for c in best.split(", ")]
+        totals = held.groupBy("h", "h2").agg(F.sum("n").alias("n"), F.min(F.struct(*names)).alias("best"))
+        out = self.ids.join(self.classes.drop("codes"), ["h", "h2"]).join(totals, ["h", "h2"], "left")
+        return out.select("id", "class_id", "members", F.coalesce("n", F.lit(0)).cast("long").alias("n_queries"), *[F.col(f"best.{c}").alias(c) for c in ("query_id", "shift", "votes", "frames", "bit_error_rate")])
+
+    def _checked(self, kind: str, votes: int, errors: float, told) -> tuple[DataFrame, DataFrame]:
+        """The queries (query_id, h, h2), and what told gives of every batch of classes and the queries that match them."""
+        asked = self.ids.filter(F.pmod("id", F.lit(self.every)) == 0).select(F.col("id").alias("query_id"), "h", "h2")
+        one = asked.groupBy("h", "h2").agg(F.min("query_id").alias("query_id"), F.count("*").alias("n"))
+        q = self.work.save(one.join(self.classes.select("h", "h2", "codes"), ["h", "h2"]).select("h", "query_id", "n", "codes"), "queries")
+        classes, spark = self.classes.select("h", "h2", "class_id", "members", "codes"), q.sparkSession
+        parts = [self.work.save(classes.mapInArrow(_checker(spark.sparkContext.broadcast(some), votes + APART, errors, told), kind), "matches") for some in self._rounds(q)]
+        return asked, reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kind)
+
     @staticmethod
-    def _rounds(q: DataFrame, most: int = 1 << 17) -> Iterator[list[tuple[int, np.ndarray]]]:
-        """The queries in lists of at most that many codes, or of one recording."""
+    def _rounds(q: DataFrame, most: int = 1 << 17) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
+        """The queries (class, least id, ids, codes) in lists of at most that many codes, or of one recording."""
         some, held = [], 0
         for r in q.toLocalIterator():
             if some and held + len(r.codes) > most:
                 yield some
                 some, held = [], 0
-            some.append((r.q, np.array(r.codes, dtype=np.int32)))
+            some.append((r.h, r.query_id, r.n, np.array(r.codes, dtype=np.int32)))
             held += len(r.codes)
         if some:
             yield some
 
 
-def _checker(queries, least: int, errors: float):
+def _checker(queries, least: int, errors: float, told):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [c for _, c in queries.value]
-        place = {h: i for i, (h, _) in enumerate(queries.value)}
+        asked = [c for *_, c in queries.value]
+        place = {h: i for i, (h, *_) in enumerate(queries.value)}
         for batch in batches:
-            h, class_id, members = (batch.column(k).to_pylist() for k in range(3))
-            flat, ends = np.asarray(batch.column(3).flatten()), np.cumsum(np.asarray(batch.column(3).value_lengths()))
+            flat, ends = np.asarray(batch.column(4).flatten()), np.cumsum(np.asarray(batch.column(4).value_lengths()))
             held = np.split(flat, ends[:-1])
             found = aligned(asked, held, least, errors)
-            found |= {(place[x], r): (0, len(held[r]), 0) for r, x in enumerate(h) if x in place}
-            rows = [(queries.value[i][0], class_id[r], members[r], k, agreeing(asked[i], held[r], k), frames, wrong / (32 * frames)) for (i, r), (k, frames, wrong) in found.items()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], ["q", "class_id", "members", "shift", "votes", "frames", "bit_error_rate"])
+            found |= {(place[x], r): (0, len(held[r]), 0) for r, x in enumerate(batch.column(0).to_pylist()) if x in place}
+            yield told(batch, queries.value, held, found, errors)
 
     return check
 
 
+def _matches(batch: pa.RecordBatch, queries: list, held: list[np.ndarray], found: dict, errors: float) -> pa.RecordBatch:
+    class_id, members = (batch.column(k).to_pylist() for k in (2, 3))
+    rows = [(queries[i][0], class_id[r], members[r], k, agreeing(queries[i][3], held[r], k), frames, wrong / (32 * frames)) for (i, r), (k, frames, wrong) in found.items()]
+    return _columns(rows, ["q", "class_id", "members", "shift", "votes", "frames"], ["bit_error_rate"])
+
+
+def _totals(batch: pa.RecordBatch, queries: list, held: list[np.ndarray], found: dict, errors: float) -> pa.RecordBatch:
+    number, best = np.zeros(len(held), dtype=np.int64), {}
+    for (i, r), (k, frames, wrong) in found.items():
+        number[r] += queries[i][2]
+        spare = (round(wrong - errors * 32 * frames, 6), abs(k), k, queries[i][1], i, frames, wrong)
+        best[r] = min(best.get(r, spare), spare)
+    h, h2 = (batch.column(k).to_pylist() for k in (0, 1))
+    rows = [(h[r], h2[r], int(number[r]), off, k, query, agreeing(queries[i][3], held[r], k), frames, spare, wrong / (32 * frames)) for r, (spare, off, k, query, i, frames, wrong) in best.items()]
+    out = _columns(rows, ["h", "h2", "n", "off", "shift", "query_id", "votes", "frames"], ["spare", "bit_error_rate"])
+    return out.set_column(1, "h2", out["h2"].cast(pa.int32())).select(["h", "h2", "n", "spare", "off", "shift", "query_id", "votes", "frames", "bit_error_rate"])
+
+
+def _columns(rows: list[tuple], whole: list[str], real: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * (len(whole) + len(real))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[: len(whole)]), *(pa.array(c, pa.float64()) for c in cols[len(whole) :])], whole + real)
+
+
 def played(v: np.ndarray, notes: int = 32, length: int = 512) -> np.ndarray:
     """A melody of a vector: each note's pitch is a component's place between its neighbours, its loudness the next's size."""
     v = np.resize(np.asarray(v, dtype=np.float64), 2 * notes)

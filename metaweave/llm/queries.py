@@ -48,9 +48,9 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no audio: every embedding is played as a short melody, and these recordings are aligned."""
+    """The tables hold no audio: every embedding is played as a short melody, and these recordings are aligned: one row per recording."""
     made = audio.recordings(_table(spark, sf_dir, "embeddings"), "embedding")
-    return audio.Alignments(made, "vec_id", "recording").matches()
+    return audio.Alignments(made, "vec_id", "recording").rows()
 
 
 QUERIES = {

@@ -1,3 +1,5 @@
+import io
+import wave
 from collections import Counter
 
 import numpy as np
@@ -82,6 +84,51 @@ def matched(spark, prints, every=1):
     return {(r.query_id, r.class_id): (r["shift"], r.frames, round(32 * r.frames * r.bit_error_rate)) for r in al.matches().collect()}
 
 
+def alignments(spark, prints, every=1):
+    al = A.Alignments.__new__(A.Alignments)
+    al.work, al.every = A.Work(spark, "audio"), every
+    df = spark.createDataFrame([(i, c.tolist()) for i, c in prints.items()], "id long, codes array<int>").withColumns({"h": F.xxhash64("codes"), "h2": F.hash("codes")})
+    al.classes = al.work.save(df.groupBy("h", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("members"), F.any_value("codes").alias("codes")))
+    al.ids = df.select("id", "h", "h2")
+    return al
+
+
+def totals(spark, prints):
+    """id to (queries that match, best query, shift, frames, differing bits)."""
+    return {r.id: (r.n_queries, r.query_id, r["shift"], r.frames, round(32 * r.frames * r.bit_error_rate)) for r in alignments(spark, prints).rows().collect()}
+
+
+def counted(pairs, prints, errors=0.15):
+    first = {}
+    for i, c in sorted(prints.items()):
+        first.setdefault(c.tobytes(), i)
+    out = {}
+    for i, c in prints.items():
+        own = [(round(w - errors * 32 * n, 6), abs(k), k, q, n, w) for (q, d), (k, n, w) in pairs.items() if d == first[c.tobytes()]]
+        if own:
+            _, _, k, q, n, w = min(own)
+            out[i] = len(own), q, k, n, w
+    return out
+
+
+def test_wav_of_other_rates_and_widths_align():
+    x = tune(3)
+    want = A.codes(A.chroma(A.decode(A.encode(x)))).view(np.int32)
+    for rate, width, channels in ((22050, 2, 2), (8000, 1, 1), (44100, 3, 1), (5512, 4, 1)):
+        n = round(len(x) * rate / A.RATE)
+        y = np.interp(np.arange(n) * A.RATE / rate, np.arange(len(x)), x)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(channels)
+            w.setsampwidth(width)
+            w.setframerate(rate)
+            whole = np.round(y * (256**width // 2 - 1)).astype(np.int64) + (128 if width == 1 else 0)
+            raw = np.repeat(whole, channels).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+            w.writeframes(raw.tobytes())
+        got = A.codes(A.chroma(A.decode(out.getvalue()))).view(np.int32)
+        assert abs(len(got) - len(want)) <= 1 and A.bit_errors(got, want, 0)[0] < 0.1, (rate, width)
+
+
 def every_offset(prints, least=10, errors=0.15):
     out, first = {}, {}
     for i, c in prints.items():
@@ -106,6 +153,7 @@ def test_matches_are_the_pairs_within_the_bound_at_any_offset(spark):
             flip = (rng.random((len(a), 32)) < share) @ (np.uint32(1) << np.arange(32, dtype=np.uint32))
             prints[10 * i + j] = (a ^ flip.astype(np.uint32))[j * i :].view(np.int32)
     got, want = matched(spark, prints), every_offset(prints)
+    assert totals(spark, prints) == counted(want, prints)
     assert got == want and all((10 * i, 10 * i + 1) in got and (10 * i, 10 * i + 2) in got for i in range(8))
 
 
