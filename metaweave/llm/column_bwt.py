@@ -3,15 +3,14 @@
 Round t inserts, for every string at once, the suffix of length t: its place follows from the last round's transform by
 one stable counting pass (the LF step), and the symbol before it joins the transform there. The common prefix with its
 new neighbours is one more than the least common prefix between the two symbols' places in the last round. Each round
-reads the arrays of the last one front to back and writes those of the next; with a folder they lie in files between
-rounds, and memory holds one round.
+reads the arrays of the last one front to back and writes those of the next; with a folder (any that pyarrow.fs
+reaches) they lie in files between rounds, and memory holds one round.
 """
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
+import pyarrow.fs as pafs
 
 
 class Column:
@@ -19,24 +18,26 @@ class Column:
 
     def __init__(self, folder: str | None):
         self.folder, self.turn, self.held = folder, 0, {}
+        if folder is not None:
+            self.fs, self.root = pafs.FileSystem.from_uri(folder)
 
     def get(self, name: str) -> np.ndarray:
         if self.folder is None:
             return self.held[name]
         kind, path = self.held[name]
-        return np.fromfile(path, dtype=kind)
+        with self.fs.open_input_file(path) as f:
+            return np.frombuffer(f.read_buffer(), dtype=kind)
 
     def put(self, **arrays: np.ndarray) -> None:
         if self.folder is None:
             self.held = arrays
             return
-        old, self.turn = self.held, self.turn + 1
-        self.held = {}
+        self.turn += 1
         for name, a in arrays.items():
-            path = os.path.join(self.folder, f"{name}-{self.turn % 2}")
-            a.tofile(path)
+            path = f"{self.root}/{name}-{self.turn % 2}"  # the files of the last round but one are overwritten
+            with self.fs.open_output_stream(path) as f:
+                f.write(memoryview(np.ascontiguousarray(a)).cast("B"))
             self.held[name] = (a.dtype, path)
-        del old
 
 
 def insert(old: np.ndarray, at: np.ndarray, new: np.ndarray, keep: np.ndarray) -> np.ndarray:

@@ -54,12 +54,27 @@ def test_against_brute_force(spark, monkeypatch):
     texts = corpus(3)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, context string, n int").repartition(3)
     want = brute(texts, 24)
-    for more in ({}, {"most_group": 2}, {"batch": 3}):
+    for more in ({}, {"most_group": 2}, {"batch": 3}, {"file_bytes": 0}):
         got = {r.doc_id: tuple(r)[1:] for r in repeats.Repeats(df, length=24, gram=9, **more).digest().collect()}
         assert [got[i] for i in range(len(texts))] == want
     assert sum(w[1] for w in want) > 500
 
 
+def test_check_tells_apart_what_powers_of_two_cannot():
+    import numpy as np
+
+    word = np.array([bin(i).count("1") % 2 for i in range(4096)], dtype=np.uint8)  # this kind of word and its complement collide under any odd base
+    both = [np.where(w > 0, ord("a"), ord("b")).astype(np.uint8) for w in (word, 1 - word)]
+    ends = [np.array([0]), np.array([len(word)])]
+    plain = [int(repeats.span_hash(repeats.prefix_hash(b, repeats.TABLE), *ends)[0]) for b in both]
+    check = [int(repeats.CHECK.spans(repeats.CHECK.prefix(b), *ends)[0]) for b in both]
+    assert plain[0] == plain[1] and check[0] != check[1]
+    raw = np.frombuffer(b"xyzzyabcxyzzy", dtype=np.uint8)
+    c = repeats.CHECK.prefix(raw)
+    a, b, d = repeats.CHECK.spans(c, np.array([0, 8, 1]), np.array([5, 13, 6]))
+    assert a == b != d
+
+
 def test_repeated_rows_and_empty(spark):
     t = "0123456789" * 3
     df = spark.createDataFrame([(1, t), (1, t), (None, "q" + t[:15]), (2, None)], "doc_id long, text string")
