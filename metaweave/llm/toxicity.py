@@ -122,7 +122,7 @@ def train(texts: list[str], toxic: np.ndarray, words: int = 2, dim: int = 6, rou
     """Windows are chosen by the model so far (first by log-odds of n-grams): the worst of toxic texts, the worst and a random one of clean texts."""
     toxic = np.asarray(toxic, dtype=bool)
     if not toxic.any() or toxic.all():
-        return Model(np.zeros(1 << BUCKET_BITS), 0.0, -60.0 if not toxic.any() else 60.0, words)
+        return Model(np.zeros(1 << BUCKET_BITS), 0.0, -60.0, words)
     rng = np.random.default_rng(seed)
     bags = [folded(np.array([0, len(b)]), np.frombuffer(b, dtype=np.uint8)) for b in (t.encode() for t in texts)]
     spans = [windows(o, r, words)[:2] for o, r in bags]
@@ -218,6 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """df with the score as out; a column of that name is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("double")

@@ -64,4 +64,9 @@ def test_query_shape_and_nulls(spark):
     assert np.mean(right) > 0.95
     none = T.classify(docs, labels.limit(0)).collect()
     assert all(r.predicted == 0 for r in none)
+    one = T.classify(docs, labels.filter("toxic = 1")).collect()
+    assert max(r.score for r in one) < 1e-9
+    long = spark.createDataFrame([(1, "plain words " * 100_000 + texts[int(np.argmax(y))]), (2, "plain words " * 100_000)], "doc_id long, text string")
+    far = {r.doc_id: r.score for r in T.score(long, T.learn(docs, labels)).collect()}
+    assert far[1] >= 0.3 > far[2]
     assert T.classify(docs.limit(0), labels).count() == 0
