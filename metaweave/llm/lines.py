@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
 A line, stripped of spaces at its ends, is dropped if an earlier line of the corpus, by (doc_id, position), is equal to
-it or at edit distance 1. Lines shorter than min_chars always stay.
+it or at edit distance 1. Lines shorter than min_chars, where one edit makes another word, go only as exact copies; empty
+ones always stay.
 
 Distinct lines are found by a 128-bit hash. Two lines at distance 1 whose shorter length is m agree in their first or
 last m // 2 characters, so only lines that share such a half with another go on; halving what is left is repeated, each
@@ -52,10 +53,10 @@ class Lines:
         self.df, self.doc_id, self.text = df, doc_id, text
         self.work = Work(df.sparkSession, "lines")
         own = df.select(_order(F.col(doc_id)).alias("ord"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-        own = own.select("ord", "th", "pos", F.btrim("line", F.lit(SPACES)).alias("line")).filter(F.length("line") >= min_chars)
+        own = own.select("ord", "th", "pos", F.btrim("line", F.lit(SPACES)).alias("line")).filter(F.length("line") > 0)
         n = F.length("line")
         keys = [_half(side, F.col("line"), n - k, (n - k).cast("long"))["key"] for k in (0, 1) for side in ("head", "tail")]
-        found = self.work.save(own.select("ord", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.array(*keys).alias("keys")), "found")
+        found = self.work.save(own.select("ord", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(n >= min_chars, F.array(*keys)).alias("keys")), "found")
         place = F.struct("ord", "th", "pos")
         unique = self.work.save(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")), "unique")
         met = _shared(self.work, unique.select("h1", "first", F.explode("keys").alias("key")))
@@ -98,8 +99,12 @@ class Lines:
         rows = self.df.select(F.struct(*[F.col(f"`{c}`") for c in self.df.columns]).alias("row"))
         text = F.col(f"row.`{self.text}`")
         met = rows.select("row", _order(F.col(f"row.`{self.doc_id}`")).alias("ord"), F.xxhash64(text).alias("th")).join(self.dropped(), ["ord", "th"], "left")
-        lines, none = F.split(text, "\n", -1), F.lit(0)
-        kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+        lines, none, gone = F.split(text, "\n", -1), F.lit(0), F.col("gone")
+        # the runs of lines between dropped ones; bound to a variable, the lines are split once for all runs
+        after = lambda k: F.when(k > 0, F.get(gone, k - 1) + 1).otherwise(0)
+        until = lambda k, x: F.coalesce(F.get(gone, k), F.size(x))
+        left = lambda x: F.flatten(F.transform(F.sequence(none, F.size(gone)), lambda k: F.slice(x, after(k) + 1, until(k, x) - after(k))))
+        kept = F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(F.array(lines), left)[0], "\n"))
         n = lambda c: F.greatest(F.coalesce(c, none), none).cast("long")
         return met.select("row", F.struct(n(F.size(lines)).alias("n_lines"), n(F.size("gone")).alias("n_removed"), n(F.col("n_near")).alias("n_near"), kept.alias("kept")).alias("x"))
 

@@ -130,11 +130,11 @@ l AS (
 ),
 u AS (
     SELECT s, length(s) AS n, min((coalesce(doc_id, 9223372036854775807), pos)) AS first
-    FROM l WHERE length(s) >= 20 GROUP BY s
+    FROM l WHERE length(s) > 0 GROUP BY s
 ),
 k AS (
     SELECT s, n, first, m, side, CASE side WHEN 'head' THEN left(s, m // 2) ELSE right(s, m // 2) END AS half
-    FROM (SELECT *, unnest([n, n - 1]) AS m FROM u), (VALUES ('head'), ('tail')) AS v(side)
+    FROM (SELECT *, unnest([n, n - 1]) AS m FROM u WHERE n >= 20), (VALUES ('head'), ('tail')) AS v(side)
 ),
 near AS (
     SELECT DISTINCT a.s

@@ -18,8 +18,8 @@ def brute(rows, least):
         kept, n = [], 0
         for line in (text or "").split("\n") if text is not None else []:
             s = line.strip(" \t\r")
-            if len(s) >= least:
-                gone = any(within_one(s, t) for t in seen)
+            if s:
+                gone = s in seen or len(s) >= least and any(within_one(s, t) for t in seen if len(t) >= least)
                 seen.append(s)
                 if gone:
                     n += 1
@@ -53,6 +53,17 @@ def test_against_brute_force(spark):
     assert out.filter("doc_id = 100").first().text is None
 
 
+def test_long_text_of_many_repeated_lines(spark):
+    text = "\n".join(f"line number {i % 700} of the one text" if i % 3 else "x" for i in range(30_000))
+    (got,) = lines.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    seen, kept = set(), []
+    for s in text.split("\n"):
+        if s not in seen and not any(within_one(s, t) for t in seen if len(s) >= 20 and len(t) >= 20):
+            kept.append(s)
+        seen.add(s)
+    assert (got.n_lines, got.n_removed, got.kept_sha256) == (30_000, 30_000 - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+
+
 def test_empty(spark):
     assert lines.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
