@@ -105,7 +105,7 @@ class Source:
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Good ones among n drawn without replacement; past numpy's range, its normal limit."""
+    """Good ones among n drawn without replacement; beyond 10**9 of a kind, where numpy stops, by the normal limit (off by less than the draw's own error)."""
     if max(good, bad) < 10**9:
         return int(rng.hypergeometric(good, bad, n)) if good + bad else 0
     total = good + bad
@@ -154,7 +154,7 @@ class Mix:
         self.work, self.block, self.shard_slots, self.seed = Work(df.sparkSession, "mixing"), block, shard_slots, seed
         spark = df.sparkSession
         n = df.count()
-        chunks = min(max(1, n // 2000), 65_536)
+        chunks = max(1, n // 2000)
         kept = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if keep else []
         sized = self.work.save(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).alias("chunk"), F.hash(doc_id, text, source).alias("tie"), *kept), "sized")
         found = sorted(((r.source, r.size) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, r[0]))
