@@ -17,16 +17,16 @@ a null url is the empty one; other columns are ignored; an empty table gives no
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import io
-import json
 import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +45,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 #: Rows of a counted side that a join may broadcast.
 MOST_BROADCAST = 500_000
+#: Files that a task reads.
+FILES_A_TASK = 2
 
 
 def marked(work: Work, df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -63,14 +65,14 @@ def marked(work: Work, df: DataFrame, page_id: str = "page_id", url: str = "url"
     return rows.select("page_id", "url", "payload", "digest", "n", F.coalesce(revisit, F.lit(False)).alias("revisit"), F.when(revisit, F.col("largest")).alias("refers_to")), narrow
 
 
-def bounds(df: DataFrame, shards: int, sample: int = 8192) -> list[int]:
-    """Quantiles of page_id over a sample chosen by its hash, so they depend on the rows alone."""
+def bounds(df: DataFrame, shards: int, each: int = 64) -> np.ndarray:
+    """Quantiles of page_id over a sample chosen by its hash, so they depend on the rows alone: about each ids for a shard, 1024 at least."""
     if shards < 2:
-        return []
-    n = df.count()
-    buckets = max(1, n // sample)
-    ids = sorted(r.page_id for r in df.filter(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(buckets)) == 0)).select("page_id").distinct().limit(8 * sample).collect())
-    return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
+        return np.zeros(0, dtype=np.int64)
+    buckets = max(1, df.count() // max(1024, each * shards))
+    ids = df.filter(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(buckets)) == 0)).select("page_id").distinct().toArrow()["page_id"]
+    ids = np.sort(np.asarray(ids.combine_chunks(), dtype=np.int64))
+    return np.unique(ids[len(ids) * np.arange(1, shards) // shards]) if len(ids) else ids
 
 
 def record_id(page_id: int | None, n: int) -> str:
@@ -136,12 +138,14 @@ class Roll:
 
 
 def write(rows: DataFrame, ids: DataFrame, path: str, shards: int, roll_bytes: int = 16 << 20, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """Writes the marked rows, whose page_ids are ids, under path, an existing shared folder, and commits them by path/manifest.json; gives the manifest."""
-    edges = bounds(ids, shards)
+    """Writes the marked rows, whose page_ids are ids, under path, an existing shared folder, and commits them by the table path/manifest, written by the tasks and then moved to its name; gives the manifest."""
+    edges, spark = bounds(ids, shards), rows.sparkSession
+    shared = spark.sparkContext.broadcast(edges)
 
     def shard_of(ids: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ids:
-            found = [0 if i is None else bisect.bisect_right(edges, i) for i in batch.column("page_id").to_pylist()]
+            of = batch.column("page_id")
+            found = np.where(np.asarray(of.is_null()), 0, np.searchsorted(shared.value, np.asarray(pc.fill_null(of, 0)), "right"))
             yield batch.append_column("shard", pa.array(found, pa.int64()))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +162,16 @@ def write(rows: DataFrame, ids: DataFrame, path: str, shards: int, roll_bytes: i
         yield pa.RecordBatch.from_pylist([r for r in done if r], schema=schema)
 
     schema = StructType([*rows.schema.fields, StructField("shard", LongType())])
-    dealt = rows.mapInArrow(shard_of, schema).repartition(len(edges) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "n", "url")
-    manifest = sorted((r.asDict() for r in dealt.mapInArrow(put, MANIFEST).collect()), key=lambda r: r["file"])
-    fs, root = pafs.FileSystem.from_uri(path)
-    with fs.open_output_stream(f"{root}/manifest.json.tmp") as f:
-        f.write(json.dumps(manifest).encode())
-    fs.move(f"{root}/manifest.json.tmp", f"{root}/manifest.json")
-    return rows.sparkSession.createDataFrame([tuple(r.values()) for r in manifest], MANIFEST)
+    dealt = rows.mapInArrow(shard_of, schema).repartitionById(len(edges) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "digest", "n", "url")
+    dealt.mapInArrow(put, MANIFEST).write.parquet(f"{path}/_manifest")
+    names = [spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in ("_manifest", "manifest")]
+    names[0].getFileSystem(spark._jsc.hadoopConfiguration()).rename(*names)
+    return manifest(spark, path).orderBy("file")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A row per committed file."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
 FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r\n", re.M)
@@ -205,31 +212,30 @@ def parse(data: bytes) -> dict:
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row per record of the committed files under path."""
-    fs, root = pafs.FileSystem.from_uri(path)
-    names = [r["file"] for r in json.loads(fs.open_input_stream(f"{root}/manifest.json").read())]
     fields = RECORD if with_payload else RECORD.rsplit(",", 1)[0]
-    if not names:
-        return spark.createDataFrame([], fields)
+    files = manifest(spark, path).select("file")
+    files = files.repartition(max(1, files.count() // FILES_A_TASK))
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     schema = pa.schema(list(zip([c.split()[0] for c in fields.split(", ")], types, strict=False)))
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path)
         for batch in batches:
-            for content in batch.column(0):
+            for name in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for data in records(pa.BufferReader(content.as_buffer())):
-                    rows.append(parse(data))
-                    size += len(data)
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
-                        rows, size = [], 0
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    for data in records(stream):
+                        rows.append(parse(data))
+                        size += len(data)
+                        if size > 4 << 20:
+                            yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
+                            rows, size = [], 0
                 yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
 
-    files = spark.read.format("binaryFile").load([f"{path}/{n}" for n in names])
-    return files.select("content").mapInArrow(open_, fields)
+    return files.mapInArrow(open_, fields)
 
 
-def round_trip(df: DataFrame, shards: int | None = None, roll_bytes: int = 16 << 20, **columns) -> DataFrame:
+def round_trip(df: DataFrame, shards: int | None = None, shard_bytes: int = 16 << 20, roll_bytes: int = 16 << 20, **columns) -> DataFrame:
     """Writes df as archives under the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = df.sparkSession
     work = Work(spark, "warc")
@@ -237,5 +243,6 @@ def round_trip(df: DataFrame, shards: int | None = None, roll_bytes: int = 16 <<
     if "://" not in path:
         path = "file://" + path
     rows, ids = marked(work, df, **columns)
-    write(rows, ids, path, shards or max(1, ids.count() // 4000), roll_bytes)
+    size = ids.agg(F.sum("bytes").alias("n")).first().n or 0
+    write(rows, ids, path, shards or max(1, size // shard_bytes), roll_bytes)
     return read(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
