@@ -152,7 +152,7 @@ def learn(work: Work, measured: DataFrame, docs: DataFrame, labels: DataFrame, d
     known = work.save(measured.filter("doc_id IS NOT NULL").join(rows, "doc_id"), "known")
     n = known.count()
     # the lowest by hash; a share of them first, so that no partition hands the driver more than its part
-    least = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(min(1.0, 1.5 * most_rows / max(1, n)) * ((1 << 63) - 1))
+    least = F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < int(min(1.0, 1.5 * most_rows / max(1, n)) * (1 << 62))
     got = known.filter(least).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).select("y", "measures").collect()
     if not got:
         return Model()
