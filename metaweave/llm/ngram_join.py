@@ -7,7 +7,7 @@ on a box's largest counts prunes whole boxes, in the join of boxes first and wit
 
 Blocks come from an exact filter, so that no pair of all documents is looked at: sets with Jaccard at least t whose
 larger one is in the size class up to U differ in at most D = U * 2 * (1 - t) / (1 + t) n-grams; of D + 1 parts of the
-hash range one holds equal n-grams in both. Equal sets, told by two hashes of 64 bits, are one class from the start and
+hash range that hold n-grams of one, one holds equal n-grams in both. Equal sets, told by two hashes of 64 bits, are one class from the start and
 take part once; of blocks with the same members one counts.
 
 In a few rounds each set is first verified against a leading one of its blocks, another one every round, which joins up
@@ -38,12 +38,14 @@ from ._text import LOWER, buffers, byte_table, long_list, mix, prefix_hash, slic
 from ._work import Work
 
 TABLE = byte_table(1)[LOWER]
-#: Least groups of tokens, that is dimensions of a point, and n-grams in a group on average at most: larger sets have finer points.
-GROUPS, PER_GROUP = 64, 2
+#: Least groups of tokens, that is dimensions of a point, and n-grams in a group on average at most, in points up to FINE groups and beyond: larger sets have finer points.
+GROUPS, PER_GROUP, FINE = 64, (2, 8), 256
+#: A set's least blocks, by which a pair is told which one of its common blocks it comes out of.
+FIRST_BLOCKS = 4
+#: Parts of a set against the differences they have to outnumber, as a fraction; hashes tried until enough parts hold an n-gram.
+SLACK, TURNS = (13, 10), 8
 #: Points in a box of the tree.
 FAN = 16
-#: A set's least blocks, by which a pair is told which one of its common blocks it comes out of.
-FIRST_BLOCKS = 8
 #: Rows of a counted side that a join may broadcast.
 MOST_BROADCAST = 500_000
 MIXERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -87,14 +89,15 @@ def most_differing(larger: int, t: Fraction) -> int:
 
 
 class Sizes:
-    """Size classes: class c holds the sizes from bounds[c] to bounds[c + 1] - 1; parts[c] is how many parts tell a pair whose larger set is there."""
+    """Size classes: class c holds the sizes from bounds[c] to bounds[c + 1] - 1; sets of a pair whose larger one is there differ in differ[c] elements at most, and are cut into parts[c] parts."""
 
     def __init__(self, t: Fraction, most: int = 1 << 40):
         self.t, b = t, [1]
         while b[-1] <= most:  # wider classes than partners need: fewer sets have to be keyed under two of them
             b.append(max(b[-1] + 1, int(b[-1] * 1.6)))
         self.bounds = np.array(b)
-        self.parts = np.array([most_differing(int(u) - 1, t) + 1 for u in b[1:]])
+        self.differ = np.array([most_differing(int(u) - 1, t) for u in b[1:]])
+        self.parts = (self.differ + 1) * SLACK[0] // SLACK[1] + 1
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, n, "right") - 1
@@ -105,19 +108,31 @@ class Sizes:
 
 
 def signatures(g: np.ndarray, n: int, sizes: Sizes) -> np.ndarray:
-    """A key for each part under each size class; equal sets of n-grams in a part give equal keys."""
+    """A key for each part under each size class; equal sets of n-grams in a part give equal keys.
+
+    If one set of a pair has more parts with an n-gram in them than the pair can differ in n-grams, one of these parts
+    is equal in both, so empty parts, which many sets have in common, need no key. A set with too few such parts is cut
+    by another hash too; only if that fails TURNS times its empty parts get keys as well.
+    """
     out = []
     for c in sizes.reach(n):
-        parts = int(sizes.parts[c])
-        if parts == 1:
+        differ, parts = int(sizes.differ[c]), int(sizes.parts[c])
+        if not differ:
             continue  # such sets link only if equal
-        part = ((g >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        sums = np.zeros(len(g) + 1, dtype=np.uint64)
-        np.cumsum(mix(g[order] ^ MIXERS[20]), out=sums[1:])
-        edge = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-        content = sums[edge[1:]] - sums[edge[:-1]] + mix((edge[1:] - edge[:-1]).astype(np.uint64))
-        out.append(mix(content * MIXERS[21] + np.arange(parts, dtype=np.uint64) * MIXERS[22] + np.array([c + 1], dtype=np.uint64) * MIXERS[23]))
+        for turn in range(TURNS):
+            h = g if not turn else mix(g ^ MIXERS[turn])
+            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            sums = np.zeros(len(g) + 1, dtype=np.uint64)
+            np.cumsum(mix(g[order] ^ MIXERS[20]), out=sums[1:])
+            edge = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            size = edge[1:] - edge[:-1]
+            content = sums[edge[1:]] - sums[edge[:-1]] + mix(size.astype(np.uint64))
+            key = mix(content * MIXERS[21] + np.arange(parts, dtype=np.uint64) * MIXERS[22] + np.array([c * TURNS + turn + 1], dtype=np.uint64) * MIXERS[23])
+            enough = np.count_nonzero(size) > differ
+            out.append(key if turn == TURNS - 1 and not enough else key[size > 0])
+            if enough:
+                break
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -129,7 +144,8 @@ def overlap_needed(a: np.ndarray | int, b: np.ndarray | int, t: Fraction) -> np.
 
 def point(g: np.ndarray) -> bytes:
     """Counts by group, the groups a power of two; a coarser point is the finer one folded."""
-    groups = max(GROUPS, 1 << (max(1, len(g) // PER_GROUP) - 1).bit_length())
+    wanted = max(min(len(g) // PER_GROUP[0], FINE), len(g) // PER_GROUP[1])
+    groups = max(GROUPS, 1 << (max(1, wanted) - 1).bit_length())
     while (counts := np.bincount((g & np.uint64(groups - 1)).astype(np.int64), minlength=groups)).max() > 255:
         groups *= 2
     return counts.astype(np.uint8).tobytes()
@@ -170,7 +186,7 @@ class Members:
         held = lists.values
         self.n, self.component, self.set = (np.asarray(held.field(c)) for c in ("n", "component", "set"))
         points, first = held.field("point"), held.field("first")
-        self.points, self.ends = buffers(points)[::-1]
+        self.ends, self.points = buffers(points)
         self.first = np.asarray(first.offsets), np.asarray(first.values)
 
     def size(self, row: int) -> int:
@@ -310,15 +326,19 @@ class Join:
             whole = few or k == forest_rounds
             got = work.save(self._trees(tiles, flagged, asked, whole), "trees")
             pairs, flagged = got.filter("a IS NOT NULL"), got.filter("a IS NULL").select("key", "t1", "t2")
-            few = pairs.count() <= met_sets
+            if asked is not None:
+                asked = work.save(asked, "asked")
+            new = pairs.select("a", "b").distinct()
+            new = work.save(new if asked is None else new.join(asked.select("a", "b").distinct(), ["a", "b"], "left_anti"), "new")
+            few = new.count() <= met_sets
             if not whole and not few:  # each set's likeliest pair first
-                best = pairs.select(F.explode(F.array("a", "b")).alias("set"), F.struct("near", "a", "b").alias("p")).groupBy("set").agg(F.max("p").alias("p"))
-                best = work.save(best.select("p.a", "p.b").distinct(), "best")
+                best = pairs.join(new, ["a", "b"], "left_semi").select(F.explode(F.array("a", "b")).alias("set"), F.struct("near", "a", "b").alias("p")).groupBy("set").agg(F.max("p").alias("p"))
+                new = best = work.save(best.select("p.a", "p.b").distinct(), "best")
                 flagged = flagged.unionByName(pairs.join(best, ["a", "b"], "left_anti").select("key", "t1", "t2"))
                 pairs = pairs.join(best, ["a", "b"], "left_semi").select(pairs.columns)
             flagged = work.save(flagged.distinct(), "flagged")
             asked = pairs if asked is None else asked.unionByName(pairs)
-            self._join_up(pairs.select("a", "b"))
+            self._join_up(new)
             if flagged.isEmpty():
                 break
 

@@ -44,7 +44,7 @@ def corpus(seed, docs=160):
     return rows
 
 
-def test_signatures_meet_for_every_similar_pair():
+def test_signatures_meet_for_every_similar_pair(monkeypatch):
     t = Fraction(85, 100)
     sizes, rng = J.Sizes(t), np.random.default_rng(2)
     for _ in range(300):
@@ -55,6 +55,22 @@ def test_signatures_meet_for_every_similar_pair():
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both) and not np.array_equal(a, b):
             assert set(J.signatures(a, len(a), sizes)) & set(J.signatures(b, len(b), sizes)), (len(a), len(b), both)
+    monkeypatch.setattr(J, "SLACK", (0, 1))  # a single part or so: no set has enough of them, so empty parts count
+    tight = J.Sizes(t)
+    tight.parts = tight.differ + 1
+    monkeypatch.setattr(J, "TURNS", 2)
+    for n in range(8, 60):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        k = max(1, int(0.07 * n))
+        b = np.unique(np.concatenate([a[k:], rng.integers(0, 2**63, k).astype(np.uint64)]))
+        if 100 * (n - k) >= 85 * (n + k):
+            assert set(J.signatures(a, n, tight)) & set(J.signatures(b, n, tight)), n
+
+
+def test_unrelated_sets_rarely_meet():
+    sizes, rng = J.Sizes(Fraction(4, 5)), np.random.default_rng(5)
+    keys = [set(J.signatures(rng.integers(0, 2**63, 200).astype(np.uint64), 200, sizes).tolist()) for _ in range(300)]
+    assert not any(a & b for i, a in enumerate(keys) for b in keys[:i])
 
 
 def test_bound_never_undercuts_overlap():
