@@ -33,6 +33,10 @@ def matrix(e: DataFrame, flip: bool = False, undirected: bool = False, weight: C
     return Matrix(m, m.select(F.col("r").alias("id")).distinct(), m.select(F.col("c").alias("id")).distinct())
 
 
+def of(cells: DataFrame) -> Matrix:
+    return Matrix(cells, cells.select(F.col("r").alias("id")).distinct(), cells.select(F.col("c").alias("id")).distinct())
+
+
 def fit(hops: list[Matrix]) -> list[Matrix]:
     """Labels between neighbouring hops cut down to those in both, left to right; cells to their labels."""
     for i in range(len(hops) - 1):
@@ -78,14 +82,20 @@ def neighbours(labels: DataFrame, share: float, low: int, high: int) -> DataFram
 
 
 def prune(m: Matrix, share: float = 0.05, low: int = 3, high: int = 250, method: str = "union", digits: int | None = None) -> Matrix:
-    """Cells among the heaviest of their row or (union; else and) column; ties by id."""
+    """Cells among the heaviest of their row or (union; else and) column; ties by id.
+
+    The numbers kept are counted first, so that lines are cut down to them before they are shuffled.
+    """
     w = F.round("w", digits) if digits is not None else F.col("w")
     cells = m.cells.withColumn("w", w)
-    nr = neighbours(m.cols, share, low, high).withColumnRenamed("n", "nr")
-    nc = neighbours(m.rows, share, low, high).withColumnRenamed("n", "nc")
-    ranked = cells.withColumns({"kr": F.row_number().over(Window.partitionBy("r").orderBy(F.desc("w"), "c")), "kc": F.row_number().over(Window.partitionBy("c").orderBy(F.desc("w"), "r"))})
-    keep = (F.col("kr") <= F.col("nr")) | (F.col("kc") <= F.col("nc")) if method == "union" else (F.col("kr") <= F.col("nr")) & (F.col("kc") <= F.col("nc"))
-    return replace(m, cells=ranked.crossJoin(F.broadcast(nr.crossJoin(nc))).filter(keep).select("r", "c", "w"))  # one row of counts
+
+    def heaviest(line: str, other: str, n: int) -> DataFrame:
+        return cells.withColumn("k", F.row_number().over(Window.partitionBy(line).orderBy(F.desc("w"), other))).filter(F.col("k") <= n).select("r", "c", "w")
+
+    rows, cols = (heaviest(*x, int(neighbours(labels, share, low, high).first().n)) for *x, labels in (("r", "c", m.cols), ("c", "r", m.rows)))
+    if method != "union":
+        return replace(m, cells=rows.intersect(cols))
+    return replace(m, cells=rows.unionByName(cols).distinct())
 
 
 def l1(cells: DataFrame, by: str) -> DataFrame:
