@@ -350,13 +350,8 @@ def drop_empty_lines(v: Views) -> DataFrame:
     return M.drop_empty(M.fit([M.matrix(v.cus_buy_prt(True)), M.matrix(v.prt_sby_sup(True))]))[0].cells
 
 
-@query("SELECT r, c, 1.0::DOUBLE AS w FROM (SELECT a.m AS r, b.m AS c FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m <> b.m WHERE a.g < 500 UNION SELECT a.m, a.m FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m <> b.m WHERE a.g < 500)", "mem")
+@query("SELECT r, c, 1.0::DOUBLE AS w FROM (SELECT a.m AS r, b.m AS c FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m <> b.m UNION SELECT a.m, a.m FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m <> b.m)", "mem")
 def self_loop_set(v: Views) -> DataFrame:
-    return M.set_diagonal(M.matrix(E.member_pairs(v.together().filter("g < 500"), "g", "m"), undirected=True), 1).cells
-
-
-@query()
-def self_loop_set_all(v: Views) -> DataFrame:
     return M.set_diagonal(M.matrix(E.member_pairs(v.together(), "g", "m"), undirected=True), 1).cells
 
 
@@ -400,13 +395,8 @@ def dense_ids_degree(v: Views) -> DataFrame:
     return network.nodes_and_edges(m, False, 0.0)[0].select("nd", "id", "degree")
 
 
-@query(", e AS (SELECT DISTINCT a.m AS n1, b.m AS n2 FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m < b.m WHERE a.g < 300) SELECT DISTINCT x.n1, y.n2 FROM e AS x JOIN e AS y ON x.n2 = y.n1 WHERE x.n1 <> y.n2 AND (x.n1, y.n2) NOT IN (SELECT n1, n2 FROM e) AND (y.n2, x.n1) NOT IN (SELECT n1, n2 FROM e)", "mem")
+@query(", e AS (SELECT DISTINCT a.m AS n1, b.m AS n2 FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m < b.m) SELECT DISTINCT x.n1, y.n2 FROM e AS x JOIN e AS y ON x.n2 = y.n1 WHERE x.n1 <> y.n2 AND (x.n1, y.n2) NOT IN (SELECT n1, n2 FROM e) AND (y.n2, x.n1) NOT IN (SELECT n1, n2 FROM e)", "mem")
 def k_hop_shortcuts(v: Views) -> DataFrame:
-    return K.step_shortcuts(E.member_pairs(v.together().filter("g < 300"), "g", "m"), 2)
-
-
-@query()
-def k_hop_shortcuts_all(v: Views) -> DataFrame:
     return K.step_shortcuts(E.member_pairs(v.together(), "g", "m"), 2)
 
 
@@ -532,32 +522,20 @@ def weight_fraction_edges(v: Views) -> DataFrame:
 TERMS = r"t AS (SELECT DISTINCT doc_id AS doc, term FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents) WHERE term <> '')"
 
 
-@query(f"""WITH {TERMS}, a0 AS (SELECT t.* FROM t JOIN documents ON doc = doc_id WHERE source = 'src1'), b0 AS (SELECT t.* FROM t JOIN documents ON doc = doc_id WHERE source = 'src2'),
-a AS (SELECT * FROM a0 WHERE term IN (SELECT term FROM b0)), b AS (SELECT * FROM b0 WHERE term IN (SELECT term FROM a0)), x AS (SELECT * FROM a UNION SELECT * FROM b),
+@query(f"""WITH {TERMS}, x AS (SELECT * FROM t),
 i AS (SELECT term, pow(1 + ln((SELECT count(DISTINCT doc) FROM x) / count(*)), 2) AS i2 FROM x GROUP BY term),
 na AS (SELECT doc, sqrt(sum(i2)) AS n FROM x JOIN i USING (term) GROUP BY doc)
-SELECT n1, n2, dist FROM (SELECT a.doc AS n1, b.doc AS n2, round(1 - sum(i2) / (any_value(p.n) * any_value(q.n)), 4) AS dist FROM a JOIN b USING (term) JOIN i USING (term) JOIN na AS p ON p.doc = a.doc JOIN na AS q ON q.doc = b.doc GROUP BY a.doc, b.doc) WHERE dist < 0.8""")
+SELECT n1, n2, dist FROM (SELECT a.doc AS n1, b.doc AS n2, round(1 - sum(i2) / (any_value(p.n) * any_value(q.n)), 4) + 0.0 AS dist FROM t AS a JOIN t AS b ON a.term = b.term AND a.doc < b.doc JOIN i ON i.term = a.term JOIN na AS p ON p.doc = a.doc JOIN na AS q ON q.doc = b.doc GROUP BY a.doc, b.doc) WHERE dist < 0.8""")
 def tfidf_cosine_pairs(v: Views) -> DataFrame:
-    d = v.t("documents")
-    return T.tfidf_pairs(T.terms(d.filter("source = 'src1'"), "doc_id", "text"), T.terms(d.filter("source = 'src2'"), "doc_id", "text"))
+    t = T.terms(v.t("documents"), "doc_id", "text")
+    return T.tfidf_pairs(t, t).filter("n1 < n2")
 
 
-@query(f"""WITH {TERMS.replace("FROM documents)", "FROM documents WHERE source = 'src3')")}, k AS (SELECT doc, count(*) AS k FROM t GROUP BY doc)
+@query(f"""WITH {TERMS}, k AS (SELECT doc, count(*) AS k FROM t GROUP BY doc)
 SELECT a.doc AS n1, b.doc AS n2, round(count(*) / (any_value(x.k) + any_value(y.k) - count(*)), 6) AS jaccard FROM t AS a JOIN t AS b ON a.term = b.term AND a.doc < b.doc JOIN k AS x ON x.doc = a.doc JOIN k AS y ON y.doc = b.doc GROUP BY a.doc, b.doc HAVING count(*) / (any_value(x.k) + any_value(y.k) - count(*)) >= 0.2""")
 def jaccard_pairs(v: Views) -> DataFrame:
-    t = T.terms(v.t("documents").filter("source = 'src3'"), "doc_id", "text")
-    return T.jaccard_pairs(t, 0.2).withColumn("jaccard", F.round("jaccard", 6))
-
-
-@query()
-def tfidf_cosine_pairs_all(v: Views) -> DataFrame:
     t = T.terms(v.t("documents"), "doc_id", "text")
-    return T.tfidf_pairs(t, t).filter("n1 < n2")
-
-
-@query()
-def jaccard_pairs_all(v: Views) -> DataFrame:
-    return T.jaccard_pairs(T.terms(v.t("documents"), "doc_id", "text"), 0.2).withColumn("jaccard", F.round("jaccard", 6))
+    return T.jaccard_pairs(t, 0.2).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("SELECT n1, n2, 'curated' AS evidence, 1.0::DOUBLE AS score FROM cn WHERE n1 LIKE '%1' UNION ALL SELECT n1, n2, 'predicted', round(1 - 1 / w, 6) FROM cb WHERE w > 40 AND n1 NOT IN (SELECT n1 FROM cn WHERE n1 LIKE '%1')", "cn cb")
@@ -591,13 +569,25 @@ def knn_cosine(v: Views) -> DataFrame:
     return ranks(v, 10, "cosine").withColumn("d", F.col("d") + 0.0)
 
 
-PV = "WITH r AS (" + KNN.format(COS, 20) + "), e AS (SELECT a.vec_id AS n1, b.vec_id AS n2 FROM embeddings AS a JOIN embeddings AS b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 = 0), p AS (SELECT e.n1, e.n2, coalesce(x.rank + 1, 21) / (SELECT count(*) FROM embeddings) AS p1, coalesce(y.rank + 1, 21) / (SELECT count(*) FROM embeddings) AS p2 FROM e LEFT JOIN r AS x ON x.q = e.n1 AND x.nd = e.n2 LEFT JOIN r AS y ON y.q = e.n2 AND y.nd = e.n1) "
+#: Ranks of all vectors, kept as far as the network's size allows.
+ALL_RANKS = "k AS (SELECT count(*) AS n, floor(count(*) * CASE WHEN count(*) < 25000 THEN 0.75 WHEN count(*) < 50000 THEN 0.5 WHEN count(*) < 75000 THEN 0.25 WHEN count(*) < 100000 THEN 0.1 ELSE 5000 / count(*) END)::BIGINT AS k FROM embeddings), r AS (SELECT q, nd, d, rank FROM (SELECT q, nd, d, row_number() OVER (PARTITION BY q ORDER BY d, nd) - 1 AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS nd, round({0}, 6) AS d FROM embeddings AS a, embeddings AS b)), k WHERE rank < k)"
+PV = "WITH " + ALL_RANKS.format(COS) + ", e AS (SELECT DISTINCT least(a.vec_id, b.vec_id) AS n1, greatest(a.vec_id, b.vec_id) AS n2 FROM embeddings AS a JOIN embeddings AS b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), p AS (SELECT e.n1, e.n2, coalesce(x.rank + 1, k + 1) / n AS p1, coalesce(y.rank + 1, k + 1) / n AS p2 FROM e CROSS JOIN k LEFT JOIN r AS x ON x.q = e.n1 AND x.nd = e.n2 LEFT JOIN r AS y ON y.q = e.n2 AND y.nd = e.n1) "
+
+
+def all_ranks(v: Views, metric: str) -> tuple[DataFrame, int, int]:
+    """Ranks of all vectors against all, how many vectors there are, how many places are kept."""
+    a = vectors(v)
+    n = a.count()
+    k = int(V.max_neighbours(n) * n) if n else 0
+    return V.nearest(a, a, k, metric), n, k
 
 
 def pvalues(v: Views, strict: bool) -> DataFrame:
-    q = vectors(v).filter("nd % 50 = 0").select("nd", "label")
-    e = q.select(F.col("nd").alias("n1"), "label").join(q.select(F.col("nd").alias("n2"), "label"), "label").filter("n1 < n2")
-    return V.rank_pvalues(e, ranks(v, 20, "cosine"), vectors(v).count(), 20, strict).withColumn("p", F.round("p", 8))
+    """Every row divisible by 50 against all rows of its label, both places among all vectors."""
+    a, (near, n, k) = vectors(v), all_ranks(v, "cosine")
+    one, other = a.filter("nd % 50 = 0").select(F.col("nd").alias("x"), "label"), a.select(F.col("nd").alias("y"), "label")
+    e = one.join(other, "label").filter("x <> y").select(F.least("x", "y").alias("n1"), F.greatest("x", "y").alias("n2")).distinct()
+    return V.rank_pvalues(e, near, n, k, strict).withColumn("p", F.round("p", 8))
 
 
 @query(PV + "SELECT n1, n2, round(sqrt(p1 * p2), 8) AS p FROM p")
@@ -610,25 +600,6 @@ def edge_rank_pvalue_strict(v: Views) -> DataFrame:
     return pvalues(v, True)
 
 
-def pvalues_all(v: Views, strict: bool) -> DataFrame:
-    """Every row divisible by 50 against all rows of its label, both places among all vectors, kept as far as the network's size allows."""
-    a, n = vectors(v), vectors(v).count()
-    one, other = a.filter("nd % 50 = 0").select(F.col("nd").alias("x"), "label"), a.select(F.col("nd").alias("y"), "label")
-    e = one.join(other, "label").filter("x <> y").select(F.least("x", "y").alias("n1"), F.greatest("x", "y").alias("n2")).distinct()
-    k = int(V.max_neighbours(n) * n) if n else 0
-    return V.rank_pvalues(e, V.nearest(a, a, k, "cosine"), n, k, strict).withColumn("p", F.round("p", 8))
-
-
-@query()
-def edge_rank_pvalue_all(v: Views) -> DataFrame:
-    return pvalues_all(v, False)
-
-
-@query()
-def edge_rank_pvalue_strict_all(v: Views) -> DataFrame:
-    return pvalues_all(v, True)
-
-
 @query("WITH r AS (" + KNN.format(L2, 100_000_000) + "), t AS (SELECT q AS nd, rank FROM r JOIN embeddings AS a ON a.vec_id = q JOIN embeddings AS b ON b.vec_id = r.nd WHERE a.label = b.label AND q <> r.nd), d AS (SELECT nd, count(*) AS degree FROM t GROUP BY nd) SELECT nd, err, round(avg((rank <= degree + err * (SELECT count(*) FROM embeddings))::INT), 6) AS share FROM t JOIN d USING (nd), (VALUES (0.0), (0.05), (0.1)) AS x(err) GROUP BY ALL")
 def pvalue_error_curve(v: Views) -> DataFrame:
     lab = vectors(v).select("nd", "label")
@@ -662,9 +633,12 @@ def coverage_metrics(v: Views) -> DataFrame:
 # --- random, reproducible --------------------------------------------------------------------------------------------
 
 
-@query()
+FREE = "u AS (SELECT nd, row_number() OVER (ORDER BY nd) - 1 AS place FROM (SELECT DISTINCT nd FROM uni)), g AS (SELECT n1, place - row_number() OVER (PARTITION BY n1 ORDER BY place) + 1 AS gap FROM (SELECT DISTINCT n1, nd FROM taken) JOIN u USING (nd)), gl AS (SELECT n1, list(gap) AS gaps FROM g GROUP BY n1)"
+
+
+@query(f", uni AS (SELECT n2 AS nd FROM cb), taken AS (SELECT n1, n2 AS nd FROM cb UNION ALL SELECT n1, n1 FROM cb), {FREE}, t AS (SELECT n1, unnest(range(1, n + 1)) AS i FROM (SELECT n1, count(DISTINCT n2) AS n FROM cb GROUP BY n1)), f AS (SELECT t.n1, i, coalesce(gaps, []) AS gaps, (SELECT count(*) FROM u) - len(coalesce(gaps, [])) AS free FROM t LEFT JOIN gl ON gl.n1 = t.n1), k AS (SELECT n1, gaps, (('0x' || substr(md5('11|' || n1), 1, 12))::BIGINT + i * (2305843009213693951 % free)) % free AS k FROM f WHERE free > 0 AND i <= free) SELECT n1, nd AS n2 FROM k JOIN u ON u.place = k + len(list_filter(gaps, lambda x: x <= k))", "cb")
 def neg_sampling_hash(v: Views) -> DataFrame:
-    return V.negatives(v.cus_buy_prt(True), 11)
+    return V.negatives(v.cus_buy_prt(), 11)
 
 
 @query()

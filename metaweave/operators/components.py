@@ -1,17 +1,42 @@
-"""Connected components of string ids by minima that spread over joins."""
+"""Connected components of ids: links that fit a task are joined up there, more by minima that spread over joins."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaweave.session import saved
 
+#: Links for each task.
+PER_TASK = 1 << 18
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least id reachable) of all links of a task; places in the order of ids stand for them."""
+    links = [b for b in batches if b.num_rows]
+    if not links:
+        return
+    t = pa.Table.from_batches(links)
+    ids, at = np.unique(np.concatenate([t.column(k).to_numpy() for k in (0, 1)]), return_inverse=True)
+    u, v, label = at[: t.num_rows], at[t.num_rows :], np.arange(len(ids))
+    while (label[u] != label[v]).any():
+        np.minimum.at(label, np.maximum(label[u], label[v]), np.minimum(label[u], label[v]))
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, t.schema.field(0).type), pa.array(ids[label], t.schema.field(0).type)], ["node", "component"])
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (least id reachable): stars drawn to the least neighbour in turn until nothing moves."""
     e = saved(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
     mark = None
+    if e.count() <= PER_TASK:
+        kind = e.schema["u"].dataType.simpleString()
+        return _with_loops(links, e.coalesce(1).mapInArrow(_joined_up, f"node {kind}, component {kind}"), a, b)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -24,5 +49,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark = now
     stars = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return _with_loops(links, stars, a, b)
+
+
+def _with_loops(links: DataFrame, stars: DataFrame, a: str, b: str) -> DataFrame:
+    stars = saved(stars, "components")
     loops = links.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct().join(stars, "node", "left_anti")
     return stars.unionByName(loops.select("node", F.col("node").alias("component")))

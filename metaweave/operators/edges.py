@@ -56,8 +56,8 @@ def map_updated(e: DataFrame, column: str, updates: DataFrame, mapping: DataFram
 def resolve_names(e: DataFrame, column: str, primary: DataFrame, synonyms: DataFrame, conflicts: DataFrame, prefix: str) -> DataFrame:
     """Names to ids: ids with the prefix pass, names in conflict (raw or upper case) go, then upper-case primary names and synonyms."""
     raw, up = F.col(column), F.upper(column)
-    c = conflicts.select(F.col("name").alias("c"))
-    left = e.join(c, (raw == F.col("c")) | (up == F.col("c")), "left_anti").withColumn("up", up)
+    c = conflicts.select(F.col("name").alias("c")).distinct()
+    left = e.withColumn("up", up).join(c, raw == F.col("c"), "left_anti").join(c, F.col("up") == F.col("c"), "left_anti")
     p, s = primary.select(F.col("src").alias("up"), F.col("dst").alias("p")), synonyms.select(F.col("src").alias("up"), F.col("dst").alias("s"))
     out = left.join(p, "up", "left").join(s, "up", "left").withColumn(column, F.when(raw.startswith(prefix), raw).otherwise(F.coalesce("p", "s")))
     return out.filter(F.col(column).isNotNull()).select(*e.columns)
