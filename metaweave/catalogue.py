@@ -73,9 +73,9 @@ def evidence_list_filter(v: Views) -> DataFrame:
     return e.filter(E.has_evidence(listed, ["high", "purchase"])).select("event_id", "event_type")
 
 
-@query("SELECT n1, parent AS n2 FROM cbs JOIN hp ON n2 = child", "cbs hp")
+@query("SELECT n1, parent AS n2 FROM cb JOIN hp ON n2 = child", "cb hp")
 def map_one_to_many(v: Views) -> DataFrame:
-    return E.map_ids(v.cus_buy_prt(True).select("n1", "n2"), ren(v.parts(), child="src", parent="dst"), "n2")
+    return E.map_ids(v.cus_buy_prt().select("n1", "n2"), ren(v.parts(), child="src", parent="dst"), "n2")
 
 
 @query("SELECT DISTINCT least(x.parent, y.parent) AS n1, greatest(x.parent, y.parent) AS n2 FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m < b.m JOIN hp AS x ON x.child = a.m JOIN hp AS y ON y.child = b.m WHERE x.parent <> y.parent", "mem hp")
@@ -232,8 +232,8 @@ def information_content(v: Views) -> DataFrame:
 
 def edges_of(v: Views) -> Callable[[str, str], DataFrame]:
     table = {
-        ("CUS-buy-PRT", "all"): v.cus_buy_prt, ("CUS-buy-PRT", "sparse"): lambda: v.cus_buy_prt(True),
-        ("PRT-sby-SUP", "all"): v.prt_sby_sup, ("PRT-sby-SUP", "sparse"): lambda: v.prt_sby_sup(True),
+        ("CUS-buy-PRT", "all"): v.cus_buy_prt,
+        ("PRT-sby-SUP", "all"): v.prt_sby_sup,
         ("CUS-loc-NAT", "all"): lambda: v.loc_nat("CUS"), ("SUP-loc-NAT", "all"): lambda: v.loc_nat("SUP"),
         ("PRT-hsp-TYP", "all"): lambda: v.t("part").select(v.id("PRT", "p_partkey").alias("n1"), v.id("TYP", "p_type").alias("n2")),
     }
@@ -274,19 +274,19 @@ def metapath_2hop_dwpc_pruned(v: Views) -> DataFrame:
     return run(v, TWO.format("all", ""))
 
 
-@query(two_hop_sql("cbs", "pss", "kr <= nr AND kc <= nc"), "cbs pss")
+@query(two_hop_sql("cb", "ps", "kr <= nr AND kc <= nc"), "cb ps")
 def metapath_2hop_pruned_intersection(v: Views) -> DataFrame:
-    return run(v, TWO.format("sparse", "pruning_method\tintersection"))
+    return run(v, TWO.format("all", "pruning_method\tintersection"))
 
 
-@query(two_hop_sql("cbs", "pss", "true").replace("least(250", "least(100000000"), "cbs pss")
+@query(two_hop_sql("cb", "ps", "true").replace("least(250", "least(100000000"), "cb ps")
 def metapath_2hop_dwpc(v: Views) -> DataFrame:
-    return run(v, TWO.format("sparse", "pruning_cutoffs\t1.0,3,100000000"))
+    return run(v, TWO.format("all", "pruning_cutoffs\t1.0,3,100000000"))
 
 
-@query("SELECT cbs.n1 AS r, pss.n2 AS c, count(*)::DOUBLE AS w FROM cbs JOIN pss ON cbs.n2 = pss.n1 GROUP BY ALL", "cbs pss")
+@query("SELECT cb.n1 AS r, ps.n2 AS c, count(*)::DOUBLE AS w FROM cb JOIN ps ON cb.n2 = ps.n1 GROUP BY ALL", "cb ps")
 def metapath_2hop_count(v: Views) -> DataFrame:
-    return run(v, TWO.format("sparse", "compute_dwpc\tFalse\npruning_cutoffs\t1.0,3,100000000"))
+    return run(v, TWO.format("all", "compute_dwpc\tFalse\npruning_cutoffs\t1.0,3,100000000"))
 
 
 @query("SELECT n1 AS r, n2 AS c, 1.0::DOUBLE AS w FROM cb", "cb")
@@ -295,20 +295,20 @@ def metapath_1hop(v: Views) -> DataFrame:
 
 
 def shared_sql() -> str:
-    return f""", a AS (SELECT n1, n2, 1.0 AS w FROM cbs), {dwpc_sql('a', 'a')},
+    return f""", a AS (SELECT n1, n2, 1.0 AS w FROM cb), {dwpc_sql('a', 'a')},
 p AS (SELECT x.n1 AS r, y.n1 AS c, round(sum(x.w * y.w), 8) AS w FROM af AS x JOIN af AS y ON x.n2 = y.n2 GROUP BY ALL),
 k AS (SELECT greatest(3, least(250, round_even((SELECT count(DISTINCT n1) FROM a) * 0.05, 0))) AS n),
 q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p, k)
 SELECT r, c, w FROM q WHERE (kr <= n OR kc <= n) AND r <> c"""
 
 
-@query(shared_sql(), "cbs")
+@query(shared_sql(), "cb")
 def metapath_symmetric_shared(v: Views) -> DataFrame:
-    return run(v, "metapath\tCUS-buy-PRT-buy-CUS\ndatasets\tsparse||sparse")
+    return run(v, "metapath\tCUS-buy-PRT-buy-CUS\ndatasets\tall||all")
 
 
 @query("""
-, a AS (SELECT n1, n2, 1.0 AS w FROM cbs WHERE n2 IN (SELECT n1 FROM pss)), b0 AS (SELECT n1, n2, 1.0 AS w FROM pss WHERE n1 IN (SELECT n2 FROM cbs)), c0 AS (SELECT n1, n2, 1.0 AS w FROM sn WHERE n1 IN (SELECT n2 FROM b0)),
+, a AS (SELECT n1, n2, 1.0 AS w FROM cb WHERE n2 IN (SELECT n1 FROM ps)), b0 AS (SELECT n1, n2, 1.0 AS w FROM ps WHERE n1 IN (SELECT n2 FROM cb)), c0 AS (SELECT n1, n2, 1.0 AS w FROM sn WHERE n1 IN (SELECT n2 FROM b0)),
 af AS (SELECT n1, n2, w * w * pow(sum(w) OVER (PARTITION BY n1), -0.5) * pow(sum(w) OVER (PARTITION BY n2), -0.5) AS w FROM a),
 bf AS (SELECT n1, n2, w * w * pow(sum(w) OVER (PARTITION BY n1), -0.5) * pow(sum(w) OVER (PARTITION BY n2), -0.5) AS w FROM b0),
 cf AS (SELECT n1, n2, w * w * pow(sum(w) OVER (PARTITION BY n1), -0.5) * pow(sum(w) OVER (PARTITION BY n2), -0.5) AS w FROM c0),
@@ -318,36 +318,36 @@ q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row
 p2 AS (SELECT q.r, cf.n2 AS c, round(sum(q.w * cf.w), 8) AS w, any_value(nn) AS nn, any_value(nc) AS nc FROM q JOIN cf ON q.c = cf.n1 WHERE kr <= nr OR kc <= nc GROUP BY q.r, cf.n2),
 q2 AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p2)
 SELECT r, c, w FROM q2 WHERE kr <= nn OR kc <= nc
-""", "cbs pss sn")
+""", "cb ps sn")
 def metapath_3hop_ordered(v: Views) -> DataFrame:
-    return run(v, "metapath\tCUS-buy-PRT-sby-SUP-loc-NAT\ndatasets\tsparse||sparse||all")
+    return run(v, "metapath\tCUS-buy-PRT-sby-SUP-loc-NAT\ndatasets\tall||all||all")
 
 
-@query("SELECT r, c, w FROM (SELECT n1 AS r, n2 AS c, count(*)::DOUBLE AS w FROM (SELECT n1, n2 FROM cn UNION ALL SELECT cbs.n1, sn.n2 FROM cbs JOIN pss ON cbs.n2 = pss.n1 JOIN sn ON sn.n1 = pss.n2) GROUP BY ALL)", "cbs pss cn sn")
+@query("SELECT r, c, w FROM (SELECT n1 AS r, n2 AS c, count(*)::DOUBLE AS w FROM (SELECT n1, n2 FROM cn UNION ALL SELECT cb.n1, sn.n2 FROM cb JOIN ps ON cb.n2 = ps.n1 JOIN sn ON sn.n1 = ps.n2) GROUP BY ALL)", "cb ps cn sn")
 def metapath_union_of_paths(v: Views) -> DataFrame:
-    return run(v, "metapath\tCUS-loc-NAT\tCUS-buy-PRT-sby-SUP-loc-NAT\ndatasets\tall\tsparse||sparse||all\ncompute_dwpc\tFalse\npruning_cutoffs\t1.0,3,100000000")
+    return run(v, "metapath\tCUS-loc-NAT\tCUS-buy-PRT-sby-SUP-loc-NAT\ndatasets\tall\tall||all||all\ncompute_dwpc\tFalse\npruning_cutoffs\t1.0,3,100000000")
 
 
-@query("SELECT cbs.n1, pss.n2 FROM cbs JOIN pss ON cbs.n2 = pss.n1 GROUP BY ALL HAVING count(*) = 1", "cbs pss")
+@query("SELECT cb.n1, ps.n2 FROM cb JOIN ps ON cb.n2 = ps.n1 GROUP BY ALL HAVING count(*) = 1", "cb ps")
 def metapath_bridge_exactly_one(v: Views) -> DataFrame:
-    return E.bridge_paths(v.cus_buy_prt(True), v.prt_sby_sup(True))
+    return E.bridge_paths(v.cus_buy_prt(), v.prt_sby_sup())
 
 
-@query("SELECT 1 AS hop, n1, n2 FROM cbs WHERE n2 IN (SELECT n1 FROM pss) UNION ALL SELECT 2, n1, n2 FROM pss WHERE n1 IN (SELECT n2 FROM cbs)", "cbs pss")
+@query("SELECT 1 AS hop, n1, n2 FROM cb WHERE n2 IN (SELECT n1 FROM ps) UNION ALL SELECT 2, n1, n2 FROM ps WHERE n1 IN (SELECT n2 FROM cb)", "cb ps")
 def metapath_bridging_semijoin(v: Views) -> DataFrame:
-    a, b = E.bridged([v.cus_buy_prt(True).select("n1", "n2"), v.prt_sby_sup(True)])
+    a, b = E.bridged([v.cus_buy_prt().select("n1", "n2"), v.prt_sby_sup()])
     return a.select(F.lit(1).alias("hop"), "n1", "n2").unionByName(b.select(F.lit(2).alias("hop"), "n1", "n2"))
 
 
-@query("SELECT 'prt' AS side, id FROM (SELECT n2 AS id FROM cbs INTERSECT SELECT n1 FROM pss) UNION ALL SELECT 'cus', n1 FROM cbs GROUP BY n1", "cbs pss")
+@query("SELECT 'prt' AS side, id FROM (SELECT n2 AS id FROM cb INTERSECT SELECT n1 FROM ps) UNION ALL SELECT 'cus', n1 FROM cb GROUP BY n1", "cb ps")
 def universe_fit_chain(v: Views) -> DataFrame:
-    a, _ = M.fit([M.matrix(v.cus_buy_prt(True)), M.matrix(v.prt_sby_sup(True))])
+    a, _ = M.fit([M.matrix(v.cus_buy_prt()), M.matrix(v.prt_sby_sup())])
     return a.cols.select(F.lit("prt").alias("side"), "id").unionByName(a.rows.select(F.lit("cus").alias("side"), "id"))
 
 
-@query("SELECT n1 AS r, n2 AS c, 1.0::DOUBLE AS w FROM cbs WHERE n2 IN (SELECT n1 FROM pss)", "cbs pss")
+@query("SELECT n1 AS r, n2 AS c, 1.0::DOUBLE AS w FROM cb WHERE n2 IN (SELECT n1 FROM ps)", "cb ps")
 def drop_empty_lines(v: Views) -> DataFrame:
-    return M.drop_empty(M.fit([M.matrix(v.cus_buy_prt(True)), M.matrix(v.prt_sby_sup(True))]))[0].cells
+    return M.drop_empty(M.fit([M.matrix(v.cus_buy_prt()), M.matrix(v.prt_sby_sup())]))[0].cells
 
 
 @query("SELECT r, c, 1.0::DOUBLE AS w FROM (SELECT a.m AS r, b.m AS c FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m <> b.m UNION SELECT a.m, a.m FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m <> b.m)", "mem")
@@ -356,27 +356,27 @@ def self_loop_set(v: Views) -> DataFrame:
 
 
 @query("""
-, a AS (SELECT n1, n2, w FROM cbs), x AS (SELECT n1, n2, round(w / sum(w) OVER (PARTITION BY n2), 8) AS w FROM a), y AS (SELECT n1, n2, round(w / sum(w) OVER (PARTITION BY n1), 8) AS w FROM a),
+, a AS (SELECT n1, n2, w FROM cb), x AS (SELECT n1, n2, round(w / sum(w) OVER (PARTITION BY n2), 8) AS w FROM a), y AS (SELECT n1, n2, round(w / sum(w) OVER (PARTITION BY n1), 8) AS w FROM a),
 k AS (SELECT greatest(1, least(250, round_even(count(DISTINCT n2) * 0.01, 0))) AS nr, greatest(1, least(250, round_even(count(DISTINCT n1) * 0.01, 0))) AS nc FROM a),
 x2 AS (SELECT n1, n2, w FROM (SELECT x.*, nr, row_number() OVER (PARTITION BY n1 ORDER BY w DESC, n2) AS q FROM x, k) WHERE q <= nr), y2 AS (SELECT n1, n2, w FROM (SELECT y.*, nc, row_number() OVER (PARTITION BY n2 ORDER BY w DESC, n1) AS q FROM y, k) WHERE q <= nc)
 SELECT n1 AS r, n2 AS c, round(sum(s), 6) AS w FROM (SELECT n1, n2, rank() OVER (PARTITION BY n1 ORDER BY w) / count(*) OVER (PARTITION BY n1) AS s FROM x2 UNION ALL SELECT n1, n2, rank() OVER (PARTITION BY n2 ORDER BY w) / count(*) OVER (PARTITION BY n2) FROM y2) GROUP BY ALL
-""", "cbs")
+""", "cb")
 def metapath_norm_prune(v: Views) -> DataFrame:
-    m = M.matrix(v.cus_buy_prt(True), weight=F.col("w"))
+    m = M.matrix(v.cus_buy_prt(), weight=F.col("w"))
     return M.norm_prune(m).select("r", "c", F.round("w", 6).alias("w"))
 
 
 # --- graphs ----------------------------------------------------------------------------------------------------------
 
 
-LINKS = "e AS (SELECT n1 AS a, n2 AS b FROM cbs WHERE w >= 45), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), re AS (SELECT a AS node, a AS seen FROM u UNION SELECT re.node, u.b FROM re JOIN u ON u.a = re.seen)"
+LINKS = "e AS (SELECT n1 AS a, n2 AS b FROM cb WHERE w >= 45), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), re AS (SELECT a AS node, a AS seen FROM u UNION SELECT re.node, u.b FROM re JOIN u ON u.a = re.seen)"
 
 
 def heavy(v: Views) -> DataFrame:
-    return v.cus_buy_prt(True).filter("w >= 45")
+    return v.cus_buy_prt().filter("w >= 45")
 
 
-@query(f", {LINKS} SELECT node, min(seen) AS component FROM re GROUP BY node", "cbs")
+@query(f", {LINKS} SELECT node, min(seen) AS component FROM re GROUP BY node", "cb")
 def connected_components(v: Views) -> DataFrame:
     return components(ren(heavy(v), n1="a", n2="b"))
 
@@ -384,14 +384,14 @@ def connected_components(v: Views) -> DataFrame:
 @query(f""", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node),
 s AS (SELECT component, count(*) AS n, count(*) FILTER (node LIKE 'CUS%') / (SELECT count(DISTINCT a) FROM e) AS fr, count(*) FILTER (node LIKE 'PRT%') / (SELECT count(DISTINCT b) FROM e) AS fc FROM co GROUP BY component),
 k AS (SELECT component, row_number() OVER (ORDER BY n DESC, component) AS number FROM s WHERE n = (SELECT max(n) FROM s) OR (fr >= 0.005 AND fc >= 0.005))
-SELECT node AS id, number AS component FROM co JOIN k USING (component)""", "cbs")
+SELECT node AS id, number AS component FROM co JOIN k USING (component)""", "cb")
 def component_retention(v: Views) -> DataFrame:
     return network.retained(M.matrix(heavy(v)), 0.005)
 
 
-@query(", n AS (SELECT DISTINCT n1 AS nd, 0 AS s FROM cbs UNION SELECT DISTINCT n2, 1 FROM cbs), d AS (SELECT nd, count(*) AS degree FROM (SELECT n1 AS nd FROM cbs UNION ALL SELECT n2 FROM cbs) GROUP BY nd) SELECT n.nd, row_number() OVER (ORDER BY s, n.nd) AS id, degree FROM n JOIN d ON d.nd = n.nd", "cbs")
+@query(", n AS (SELECT DISTINCT n1 AS nd, 0 AS s FROM cb UNION SELECT DISTINCT n2, 1 FROM cb), d AS (SELECT nd, count(*) AS degree FROM (SELECT n1 AS nd FROM cb UNION ALL SELECT n2 FROM cb) GROUP BY nd) SELECT n.nd, row_number() OVER (ORDER BY s, n.nd) AS id, degree FROM n JOIN d ON d.nd = n.nd", "cb")
 def dense_ids_degree(v: Views) -> DataFrame:
-    m = M.matrix(v.cus_buy_prt(True))
+    m = M.matrix(v.cus_buy_prt())
     return network.nodes_and_edges(m, False, 0.0)[0].select("nd", "id", "degree")
 
 
@@ -426,7 +426,7 @@ def gini_degree(v: Views) -> DataFrame:
 @query(f""", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node), s AS (SELECT component, count(*) AS n FROM co GROUP BY component),
 t AS (SELECT row_number() OVER w AS k, sum(n) OVER w / (SELECT sum(n) FROM s) AS y, count(*) OVER () AS m FROM s WINDOW w AS (ORDER BY n DESC, component ROWS UNBOUNDED PRECEDING)),
 z AS (SELECT k, y, m, lag(y) OVER (ORDER BY k) AS b FROM t)
-SELECT round(max(CASE WHEN k = 1 THEN y END), 6) AS c1, round(sum((y + b) / 2) / (max(m) - 1), 6) AS auc FROM z""", "cbs")
+SELECT round(max(CASE WHEN k = 1 THEN y END), 6) AS c1, round(sum((y + b) / 2) / (max(m) - 1), 6) AS auc FROM z""", "cb")
 def coverage_auc(v: Views) -> DataFrame:
     return S.component_coverage(components(ren(heavy(v), n1="a", n2="b"))).select(F.round("c1", 6).alias("c1"), F.round("auc", 6).alias("auc"))
 
@@ -584,9 +584,13 @@ def all_ranks(v: Views, metric: str) -> tuple[DataFrame, int, int]:
 
 def pvalues(v: Views, strict: bool) -> DataFrame:
     """Every row divisible by 50 against all rows of its label, both places among all vectors."""
-    a, (near, n, k) = vectors(v), all_ranks(v, "cosine")
+    a = vectors(v)
+    n = a.count()
+    k = int(V.max_neighbours(n) * n) if n else 0
     one, other = a.filter("nd % 50 = 0").select(F.col("nd").alias("x"), "label"), a.select(F.col("nd").alias("y"), "label")
     e = one.join(other, "label").filter("x <> y").select(F.least("x", "y").alias("n1"), F.greatest("x", "y").alias("n2")).distinct()
+    ends = e.select(F.col("n1").alias("q"), F.col("n2").alias("nd")).unionByName(e.select(F.col("n2").alias("q"), F.col("n1").alias("nd")))
+    near = V.places(ends, a, "cosine").filter(F.col("rank") < k)
     return V.rank_pvalues(e, near, n, k, strict).withColumn("p", F.round("p", 8))
 
 
@@ -624,9 +628,9 @@ def roc_curve_points(v: Views) -> DataFrame:
     return V.roc_curve(scored(v), ["g"]).withColumns({c: F.round(c, 8) for c in ("fpr", "tpr")})
 
 
-@query(", n AS (SELECT DISTINCT n1 AS nd FROM cbs), k AS (SELECT n1, n2 FROM cn), x AS (SELECT n1 AS nd FROM k UNION SELECT n2 FROM k) SELECT round((SELECT count(*) FROM n JOIN x USING (nd)) / (SELECT count(*) FROM n), 8) AS nodes_cov, round((SELECT count(*) FROM n JOIN x USING (nd)) / (SELECT count(*) FROM x), 8) AS val_nodes_cov, (SELECT count(*) FROM k WHERE n1 IN (FROM n) AND n2 IN (FROM n)) / (SELECT count(*) FROM k) AS val_edges_cov", "cbs cn")
+@query(", n AS (SELECT DISTINCT n1 AS nd FROM cb), k AS (SELECT n1, n2 FROM cn), x AS (SELECT n1 AS nd FROM k UNION SELECT n2 FROM k) SELECT round((SELECT count(*) FROM n JOIN x USING (nd)) / (SELECT count(*) FROM n), 8) AS nodes_cov, round((SELECT count(*) FROM n JOIN x USING (nd)) / (SELECT count(*) FROM x), 8) AS val_nodes_cov, (SELECT count(*) FROM k WHERE n1 IN (FROM n) AND n2 IN (FROM n)) / (SELECT count(*) FROM k) AS val_edges_cov", "cb cn")
 def coverage_metrics(v: Views) -> DataFrame:
-    c = V.coverage(None, v.cus_buy_prt(True).select(F.col("n1").alias("nd")), v.loc_nat("CUS"))
+    c = V.coverage(None, v.cus_buy_prt().select(F.col("n1").alias("nd")), v.loc_nat("CUS"))
     return c.withColumns({x: F.round(x, 8) for x in ("nodes_cov", "val_nodes_cov")})
 
 
@@ -641,16 +645,31 @@ def neg_sampling_hash(v: Views) -> DataFrame:
     return V.negatives(v.cus_buy_prt(), 11)
 
 
-@query()
+WALKS = """, e AS (SELECT n1, n2, w FROM cb WHERE w >= 45), b AS (SELECT n1 AS a, n2 AS b, w FROM e UNION ALL SELECT n2, n1, w FROM e), g AS (SELECT a, b, sum(w) AS w FROM b GROUP BY ALL),
+s AS (SELECT a, b, sum(w) OVER o / sum(w) OVER p AS hi, sum(w) OVER o / sum(w) OVER p - w / sum(w) OVER p AS lo FROM g WINDOW o AS (PARTITION BY a ORDER BY b ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY a)),
+wk AS (SELECT a AS start, unnest(range(1, 11)) AS rep, [a] AS walk, 1 AS k FROM (SELECT DISTINCT a FROM s) UNION ALL
+SELECT start, rep, list_append(walk, b), k + 1 FROM wk JOIN s ON s.a = walk[-1] WHERE k < 20 AND ('0x' || substr(md5('1|' || start || '|' || rep || '|' || k), 1, 8))::BIGINT / 4294967296 >= lo AND ('0x' || substr(md5('1|' || start || '|' || rep || '|' || k), 1, 8))::BIGINT / 4294967296 < hi),
+walks AS (SELECT start, rep, walk FROM wk WHERE k = 20)"""
+
+
+@query(f"{WALKS} SELECT start, rep, array_to_string(walk, ' ') AS walk FROM walks", "cb")
 def random_walks(v: Views) -> DataFrame:
-    return K.random_walks(heavy(v), 2, 8)
+    return K.random_walks(heavy(v)).withColumn("walk", F.array_join("walk", " "))
 
 
-@query()
+@query(f"{WALKS}, x AS (SELECT unnest(walk) AS x FROM walks) SELECT (SELECT count(DISTINCT start) FROM walks) AS sources, (SELECT count(*) FROM walks) AS walks, 0::BIGINT AS interrupted, (SELECT count(*) FROM x) AS words, (SELECT count(DISTINCT x) FROM x) AS vocabulary", "cb")
 def walk_corpus_stats(v: Views) -> DataFrame:
-    return K.corpus_stats(K.random_walks(heavy(v), 2, 6), 6)
+    return K.corpus_stats(K.random_walks(heavy(v)), 20)
+
+
+@query()
+def typed_walks(v: Views) -> DataFrame:
+    """Walks along purchases and suppliers from every customer, ids prefixed by a letter for their type."""
+    e = v.cus_buy_prt().select("n1", "n2", F.lit("buy").alias("metaedge")).unionByName(v.prt_sby_sup().select("n1", "n2", F.lit("sby").alias("metaedge")))
+    starts = v.t("customer").select(v.id("CUS", "c_custkey").alias("nd"))
+    return K.prefixed(K.typed_walks(e, ["buy", "sby"], starts, 3), {"CUS": "c", "PRT": "p", "SUP": "s"}).withColumn("walk", F.array_join("walk", " "))
 
 
 @query()
 def word2vec_vectors(v: Views) -> DataFrame:
-    return K.skip_gram(K.random_walks(heavy(v), 2, 6), size=16, iterations=1, least=1)
+    return K.skip_gram(K.random_walks(heavy(v)))

@@ -176,12 +176,12 @@ def weighted_ranking(v: Views) -> DataFrame:
     return top.join(more, "w").select("nd", "w", (F.col("before") + 1).alias("place"))
 
 
-@query(f", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node), s AS (SELECT component, count(*) AS n FROM co GROUP BY component), c AS (SELECT *, row_number() OVER (ORDER BY n DESC, component) AS number, coalesce(sum(n) OVER (ORDER BY n DESC, component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM s) SELECT component, n, number FROM c WHERE before < 0.9 * total", "cbs")
+@query(f", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node), s AS (SELECT component, count(*) AS n FROM co GROUP BY component), c AS (SELECT *, row_number() OVER (ORDER BY n DESC, component) AS number, coalesce(sum(n) OVER (ORDER BY n DESC, component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM s) SELECT component, n, number FROM c WHERE before < 0.9 * total", "cb")
 def components_until_covered(v: Views) -> DataFrame:
     return N.until_covered(components(ren(heavy(v), n1="a", n2="b")), 0.9)
 
 
-@query(f", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node), b AS (SELECT component FROM co GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT n1, n2, w FROM cbs WHERE w >= 45 AND n1 IN (SELECT node FROM co JOIN b USING (component))", "cbs")
+@query(f", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node), b AS (SELECT component FROM co GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT n1, n2, w FROM cb WHERE w >= 45 AND n1 IN (SELECT node FROM co JOIN b USING (component))", "cb")
 def largest_component_edges(v: Views) -> DataFrame:
     return N.largest_component(heavy(v))
 
@@ -192,9 +192,9 @@ def neighbour_lists(v: Views) -> DataFrame:
     return n.select("nd", F.array_join("neighbours", ",").alias("neighbours"), F.aggregate("weights", F.lit(0.0), lambda s, x: s + x).alias("w"))
 
 
-@query("SELECT n1, n2, 1.0::DOUBLE AS w FROM cbs", "cbs")
+@query("SELECT n1, n2, 1.0::DOUBLE AS w FROM cb", "cb")
 def final_edges(v: Views) -> DataFrame:
-    return network.nodes_and_edges(M.matrix(v.cus_buy_prt(True)), False, 0.0)[1]
+    return network.nodes_and_edges(M.matrix(v.cus_buy_prt()), False, 0.0)[1]
 
 
 @query(", d AS (SELECT nd, pow(sum(w), -0.5) AS f FROM (SELECT n1 AS nd, w FROM cb UNION ALL SELECT n2, w FROM cb) GROUP BY nd) SELECT n1, n2, round(w * w * x.f * y.f, 8) AS w FROM cb JOIN d AS x ON x.nd = n1 JOIN d AS y ON y.nd = n2", "cb")
