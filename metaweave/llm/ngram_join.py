@@ -352,7 +352,8 @@ class Join:
     def _shared(self, keyed: DataFrame) -> DataFrame:
         """(key, set) of the keys that several sets have. Keys that many sets have, told by a sample of the sets, are counted without meeting in a task."""
         often = keyed.filter(F.pmod("set", F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter("n >= 32").select("key")
-        often = self.work.sized(often, MOST_BROADCAST, "often")
+        # never empty, so that the plan is the same at every size; any key may go either way
+        often = self.work.sized(often.unionByName(keyed.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"))), MOST_BROADCAST, "often")
         whole = Window.partitionBy("key")
         rest = keyed.join(often, "key", "left_anti").select("key", "set", F.min("set").over(whole).alias("low"), F.max("set").over(whole).alias("high"))
         rest = rest.filter("low <> high").select("key", "set").distinct()
