@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 BATCH_BYTES = 8 << 20
+#: Bytes of a saved table that a join may broadcast.
+MOST_BYTES = 256 << 20
 
 
 class Work:
@@ -45,9 +47,13 @@ class Work:
         return out
 
     def sized(self, df: DataFrame, most_rows: int, name: str = "t") -> DataFrame:
-        """The saved rows, to be broadcast in a join if they are counted to be most_rows at most; beyond it the join shuffles."""
+        """The saved rows, to be broadcast in a join if they are counted to be most_rows at most and their files MOST_BYTES; beyond it the join shuffles."""
         saved = self.save(df, name)
-        return F.broadcast(saved) if saved.count() <= most_rows else saved
+        return F.broadcast(saved) if saved.count() <= most_rows and self.bytes(saved) <= MOST_BYTES else saved
+
+    def bytes(self, saved: DataFrame) -> int:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(saved._work_path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
