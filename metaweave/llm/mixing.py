@@ -14,6 +14,7 @@ without words takes nothing. The list of sources, with one sum each, is the only
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,14 +105,42 @@ class Source:
         return turn, block, words
 
 
+def _stirling(n: int) -> float:
+    """What Stirling's formula lacks of log n!."""
+    if n < 16:
+        return math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi) if n else 0)
+    return (1 / 12 - (1 / 360 - 1 / 1260 / n**2) / n**2) / n
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Log of the binomial probability of x in n, by its saddle point, which loses no digits however large n is."""
+    if x in (0, n):
+        return n * math.log(p) if x else n * math.log1p(-p)
+
+    def off(x: int, mean: float) -> float:
+        u = (x - mean) / mean
+        return mean * ((1 + u) * math.log1p(u) - u)
+
+    near = _stirling(n) - _stirling(x) - _stirling(n - x) - off(x, n * p) - off(n - x, n * (1 - p))
+    return near - 0.5 * math.log(2 * math.pi * x * ((n - x) / n))
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Good ones among n drawn without replacement; beyond 10**9 of a kind, where numpy stops, by the normal limit (off by less than the draw's own error)."""
-    if max(good, bad) < 10**9:
-        return int(rng.hypergeometric(good, bad, n)) if good + bad else 0
-    total = good + bad
-    mean = n * (good / total)
-    sd = (mean * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5
-    return int(np.clip(round(rng.normal(mean, sd)), max(0, n - bad), min(n, good)))
+    """Good ones among n drawn without replacement, by rejection under the envelope that all log-concave probabilities share: about five tries at every size."""
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    p = n / (good + bad)
+    log = lambda k: _log_binomial(k, good, p) + _log_binomial(n - k, bad, p)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
+    at = log(mode)
+    top = math.exp(at - _log_binomial(n, good + bad, p))
+    w = 1 + top / 2
+    while True:
+        y = (rng.random() * w if rng.random() <= w / (1 + w) else w + rng.standard_exponential()) / top
+        k = mode + round(y) * (1 if rng.random() < 0.5 else -1)
+        if low <= k <= high and rng.random() * min(1.0, math.exp(w - top * y)) <= math.exp(log(k) - at):
+            return k
 
 
 class Tree:

@@ -1,5 +1,6 @@
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -30,6 +31,30 @@ def test_tree_sums_to_totals():
         run += c
 
 
+def test_draws_follow_the_distribution():
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((5, 7, 4), (1, 9, 5), (40, 3, 20), (300, 500, 200)):
+        times, got = 4000, Counter()
+        for _ in range(times):
+            got[mixing.hypergeometric(rng, good, bad, n)] += 1
+        want = {k: times * math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+        assert set(got) <= set(want)
+        some = {k: w for k, w in want.items() if w >= 5}
+        assert sum((got[k] - w) ** 2 / w for k, w in some.items()) < len(some) + 6 * math.sqrt(2 * len(some))
+
+
+def test_draws_beyond_a_thousand_million():
+    rng, good, bad, n = np.random.default_rng(6), 3 * 10**12, 5 * 10**12, 4 * 10**12
+    sd = math.sqrt(n * (3 / 8) * (5 / 8) * ((good + bad - n) / (good + bad - 1)))
+    z = (np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(3000)]) - n * 3 / 8) / sd
+    assert abs(z.mean()) < 0.1 and abs(z.std() - 1) < 0.06 and abs((np.abs(z) < 1).mean() - 0.6827) < 0.04
+
+
+def test_draws_without_choice():
+    rng = np.random.default_rng(7)
+    assert [mixing.hypergeometric(rng, *x) for x in ((0, 0, 0), (5, 0, 3), (0, 5, 3), (5, 7, 0), (5, 7, 12))] == [0, 3, 0, 0, 5]
+
+
 def make(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, size int, target int")
 
@@ -51,6 +76,30 @@ def test_taken(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_taken_against_brute_force(spark):
+    """Every word of every slot counted one by one."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 200))), rng.choice(["a", "a", "a", "b", "z"]), 0, 1, 1) for i in range(300)]
+    rows += [(901, "one", None, 0, 0, 0), (902, None, "a", 0, 0, 0), rows[3]]
+    mix = mixing.Mix(make(spark, rows), block=16, shard_slots=100)
+    sizes, slots = mix.sizes.collect(), mix.slots().collect()
+    owner = defaultdict(list)  # a source's words in their order, each as its row
+    for r in sorted(sizes, key=lambda r: (r.source_index, r.start, r.size)):
+        assert len(owner[r.source_index]) == r.start
+        owner[r.source_index] += [(r.source_index, r.chunk, r.n)] * r.size
+    shards = defaultdict(list)
+    for s in slots:
+        shards[s.shard].append(s.slot)
+    assert all(sorted(x) == list(range(100 if k < max(shards) else len(x))) for k, x in shards.items())
+    used = Counter((s.source_index, s.turn, s.block) for s in slots)
+    assert set(used.values()) == {1}
+    last = {i: max(s.turn for s in slots if s.source_index == i) for i in {s.source_index for s in slots}}
+    assert all(sum(s.source_index == i and s.turn == t for s in slots) == -(-len(owner[i]) // 16) for i, m in last.items() for t in range(m))
+    took = Counter(w for s in slots for w in owner[s.source_index][s.block * 16 : s.block * 16 + s.words])
+    want = sorted((r.doc_id, r.size, r.source_size, r.target, took[r.source_index, r.chunk, r.n]) for r in sizes)
+    assert sorted(tuple(r) for r in mix.taken().collect()) == want and sum(took.values()) == sum(round(t) for t in mix.targets)
+
+
 def test_texts_hold_the_taken_words(spark):
     rows = [(i, f"  a{i} b\nc " + "d " * (i % 90), "s" + str(i % 3), 9, 1, 1) for i in range(200)]
     mix = mixing.Mix(make(spark, rows), keep=True)
