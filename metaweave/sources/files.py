@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +18,106 @@ def edges(spark: SparkSession, path: str, sep: str = "\t", header: bool = True,
     return e.withColumns({"n1": F.least("n1", "n2"), "n2": F.greatest("n1", "n2")}) if undirected else e
 
 
-def table(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True, encoding: str = "UTF-8", skip_prefix: str | None = None) -> DataFrame:
-    """Delimited text with an explicit schema; lines that start with skip_prefix (one character) are a preamble."""
-    return spark.read.csv(path, sep=sep, header=header, schema=schema, encoding=encoding, comment=skip_prefix)
+def table(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True, encoding: str = "UTF-8", skip_prefix: str | None = None, skip_lines: int = 0) -> DataFrame:
+    """Delimited text with an explicit schema; lines that start with skip_prefix (one character) or are the first skip_lines of a file are a preamble.
+
+    With skip_lines, a record is one line: a quoted cell holds no line break.
+    """
+    if not skip_lines:
+        return spark.read.csv(path, sep=sep, header=header, schema=schema, encoding=encoding, comment=skip_prefix)
+    rows = after_lines(spark, path, skip_lines + header).filter("trim(value) <> ''")
+    rows = rows.filter(~F.col("value").startswith(skip_prefix)) if skip_prefix else rows
+    return rows.select(F.from_csv("value", schema, {"sep": sep}).alias("x")).select("x.*")
+
+
+def after_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """value: the lines of each file but its first n, which all lie in the split that starts at byte 0."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            keep = pd.Series(True, index=batch.index)
+            for file, rows in batch[batch["start"] == 0].groupby("file"):
+                gone = min(len(rows), n - seen.get(file, 0))
+                keep[rows.index[:gone]] = False
+                seen[file] = seen.get(file, 0) + gone
+            yield batch.loc[keep, ["value"]]
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return lines.mapInPandas(cut, "value string")
+
+
+def excel(spark: SparkSession, path: str, schema: str, sheet: str | int = 0, skip_rows: int = 1, columns: Sequence[int] | None = None) -> DataFrame:
+    """Rows of a sheet (by name or place) of xlsx workbooks below skip_rows, the columns by place; each workbook is one task's, as a sheet holds 2**20 rows at most."""
+    fields = spark.createDataFrame([], schema).schema.fields
+    places = list(columns) if columns is not None else list(range(len(fields)))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows = list(workbook_rows(content, sheet))[skip_rows:]
+                if rows:
+                    yield pd.DataFrame({f"c{i}": [r.get(p) for r in rows] for i, p in enumerate(places)}, dtype=object)
+
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, ", ".join(f"c{i} string" for i in range(len(places))))
+    return raw.select(*[F.expr(f"try_cast(c{i} AS {f.dataType.simpleString()})").alias(f.name) for i, f in enumerate(fields)])
+
+
+def workbook_rows(content: bytes, sheet: str | int) -> Iterator[dict[int, str]]:
+    """Each row's texts by column place; shared and inline strings resolved; a row that the sheet leaves out is empty."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    name = lambda x: x.tag.rsplit("}", 1)[-1]
+    text = lambda x: "".join(t.text or "" for t in x.iter() if name(t) == "t")
+    book = zipfile.ZipFile(io.BytesIO(content))
+    tree = lambda member: ElementTree.fromstring(book.read(member))
+    shared = [text(x) for x in tree("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in book.namelist() else []
+    sheets = [x.attrib for x in tree("xl/workbook.xml").iter() if name(x) == "sheet"]
+    chosen = sheets[sheet] if isinstance(sheet, int) else next(x for x in sheets if x["name"] == sheet)
+    link = next(v for k, v in chosen.items() if k.endswith("}id"))
+    target = next(x.attrib["Target"] for x in tree("xl/_rels/workbook.xml.rels") if x.attrib["Id"] == link)
+    done = 0
+    for row in (x for x in tree(target.lstrip("/") if target.startswith("/") else f"xl/{target}").iter() if name(x) == "row"):
+        number = int(row.attrib.get("r", done + 1))
+        yield from ({} for _ in range(number - done - 1))
+        done, out = number, {}
+        for place, cell in enumerate(row):
+            if letters := cell.attrib.get("r", "").rstrip("0123456789"):
+                place = 0
+                for letter in letters:
+                    place = place * 26 + ord(letter) - 64
+                place -= 1
+            kind, value = cell.attrib.get("t"), next((x.text for x in cell if name(x) == "v"), None)
+            got = text(cell) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value is not None else value
+            if got is not None:
+                out[place] = got
+        yield out
+
+
+def pages(spark: SparkSession, url: str, numbers: Sequence[int], schema: str, field: str, tries: int = 3) -> DataFrame:
+    """Records of a paged JSON service: url holds {page}; each page is fetched by a task, and field lists its records."""
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+        import urllib.request
+
+        for batch in batches:
+            for page in batch["page"]:
+                for left in reversed(range(tries)):
+                    try:
+                        with urllib.request.urlopen(url.format(page=page), timeout=60) as r:
+                            yield pd.DataFrame({"body": [r.read().decode()]})
+                        break
+                    except OSError:
+                        if not left:
+                            raise
+                        time.sleep(1)
+
+    asked = spark.createDataFrame([(int(n),) for n in numbers], "page long").repartition(max(1, len(numbers)))
+    body = asked.mapInPandas(fetch, "body string").select(F.from_json("body", f"`{field}` array<struct<{schema}>>").alias("x"))
+    return body.select(F.inline(F.col(f"x.`{field}`")))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -28,6 +128,32 @@ def xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
+def mapping(spark: SparkSession, path: str, source: int, target: int, columns: int, sep: str = "\t", header: bool = True, within: str | None = None) -> DataFrame:
+    """src, dst of two columns (by place) of a mapping file; a cell that lists several values by the separator within counts as so many rows; empty cells go."""
+    raw = spark.read.csv(path, sep=sep, header=header, schema=", ".join(f"c{i} string" for i in range(columns)), enforceSchema=True)
+    for c in {source, target} if within else ():
+        raw = raw.withColumn(f"c{c}", F.explode(F.split(f"c{c}", "\\Q" + within + "\\E")))
+    pair = raw.select(F.trim(f"c{source}").alias("src"), F.trim(f"c{target}").alias("dst"))
+    return pair.filter("src <> '' AND dst <> ''").distinct()
+
+
+def dense_cells(m: DataFrame, undirected: bool = False) -> DataFrame:
+    """r, c, w: the non-zero cells of a matrix given as rows (r, v), places from 0; of an undirected one the upper triangle."""
+    cells = m.select("r", F.posexplode("v").alias("c", "w")).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "w").filter("w <> 0")
+    return cells.filter("r <= c") if undirected else cells
+
+
+def embedding(spark: SparkSession, path: str, universe: DataFrame | None = None) -> DataFrame:
+    """nd, v of a folder of vectors, of the nodes of a universe only where one is given."""
+    e = spark.read.parquet(path).select("nd", "v")
+    return e.join(universe.select("nd").distinct(), "nd", "left_semi") if universe is not None else e
+
+
+def node_components(spark: SparkSession, path: str) -> DataFrame:
+    """nd, component of a network written by write_network."""
+    return spark.read.parquet(f"{path}/nodes").select("nd", "component")
+
+
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
     """A query run by the database, joins and predicates included."""
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
@@ -110,3 +236,36 @@ def write_edges(e: DataFrame, path: str) -> None:
 
 def write_text_edges(e: DataFrame, path: str) -> None:
     e.orderBy("n1", "n2").write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def write_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A network's nodes (id, component, nd) and its edges (n1, n2, further columns) with ids for labels."""
+    nodes.select("id", "component", "nd").write.mode("overwrite").parquet(f"{path}/nodes")
+    _relabelled(edges, nodes, "nd", "id").write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def read_network(spark: SparkSession, path: str) -> DataFrame:
+    """The edges of a written network, with their labels again."""
+    return _relabelled(spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/nodes"), "id", "nd")
+
+
+def _relabelled(e: DataFrame, nodes: DataFrame, old: str, new: str) -> DataFrame:
+    columns = e.columns
+    for side in ("n1", "n2"):
+        e = e.join(nodes.select(F.col(old).alias(side), F.col(new).alias("__new")), side).withColumn(side, F.col("__new")).drop("__new")
+    return e.select(columns)
+
+
+def write_walks(walks: DataFrame, path: str) -> None:
+    """Gzipped text, a walk a line."""
+    walks.select(F.array_join("walk", " ").alias("value")).write.mode("overwrite").text(path, compression="gzip")
+
+
+def read_walks(spark: SparkSession, path: str) -> DataFrame:
+    """start, walk."""
+    return spark.read.text(path).select(F.split("value", " ").alias("walk")).select(F.col("walk")[0].alias("start"), "walk")
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """name, value as one text file of lines: a statistics table has few rows."""
+    stats.select("name", F.col("value").cast("string")).coalesce(1).sortWithinPartitions("name").write.mode("overwrite").csv(path, sep="\t", header=True)
