@@ -424,11 +424,11 @@ def gini_degree(v: Views) -> DataFrame:
 
 
 @query(f""", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node), s AS (SELECT component, count(*) AS n FROM co GROUP BY component),
-t AS (SELECT row_number() OVER w AS k, sum(n) OVER w / (SELECT sum(n) FROM s) AS y, count(*) OVER () AS m FROM s WINDOW w AS (ORDER BY n DESC, component ROWS UNBOUNDED PRECEDING)),
-z AS (SELECT k, y, m, lag(y) OVER (ORDER BY k) AS b FROM t)
-SELECT round(max(CASE WHEN k = 1 THEN y END), 6) AS c1, round(sum((y + b) / 2) / (max(m) - 1), 6) AS auc FROM z""", "cb")
+t AS (SELECT row_number() OVER w AS k, sum(n) OVER w / (SELECT sum(n) FROM s) AS y FROM s WINDOW w AS (ORDER BY n DESC, component ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT k, y, coalesce(lag(y) OVER (ORDER BY k), 0) AS b FROM t)
+SELECT round(max(CASE WHEN k = 1 THEN y END), 6) AS c1, round(CASE WHEN count(*) = 1 THEN 1 ELSE sum((y + b) / 2) / (count(*) + 1) END, 6) AS auc FROM z""", "cb")
 def coverage_auc(v: Views) -> DataFrame:
-    return S.component_coverage(components(ren(heavy(v), n1="a", n2="b"))).select(F.round("c1", 6).alias("c1"), F.round("auc", 6).alias("auc"))
+    return S.component_coverage(components(ren(heavy(v), n1="a", n2="b")).withColumn("kind", F.lit("all"))).select(F.round("c1", 6).alias("c1"), F.round("auc", 6).alias("auc"))
 
 
 # --- measurements ----------------------------------------------------------------------------------------------------

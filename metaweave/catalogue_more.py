@@ -12,6 +12,8 @@ from metaweave.operators import harmonise as H
 from metaweave.operators import matrix as M
 from metaweave.operators import nodes as N
 from metaweave.operators import ontology as O
+from metaweave.operators import stats as S
+from metaweave.operators import swap as W
 from metaweave.operators import text as T
 from metaweave.operators import validate as L
 from metaweave.operators import walks as K
@@ -207,10 +209,77 @@ def walker_memory(v: Views) -> DataFrame:
     return N.walker_bytes(v.cus_buy_prt())
 
 
-@query("SELECT 'x' AS nd, 0::BIGINT AS n WHERE false")
+@query("SELECT nd, 1::BIGINT AS n FROM (SELECT n1 AS nd FROM cb WHERE w >= 45 UNION SELECT n2 FROM cb WHERE w >= 45) WHERE nd LIKE '%7'", "cb")
 def walk_check(v: Views) -> DataFrame:
+    """The check of a corpus that has lost the second walk of every node whose id ends in 7."""
     e = heavy(v)
-    return N.walk_check(K.random_walks(e, 2, 4), e.select(F.explode(F.array("n1", "n2")).alias("nd")), 2)
+    walks = K.random_walks(e, 2, 4).filter("NOT (start LIKE '%7' AND rep = 2)")
+    return N.walk_check(walks, e.select(F.explode(F.array("n1", "n2")).alias("nd")), 2)
+
+
+@query(f""", {LINKS}, co AS (SELECT node, left(node, 3) AS kind, min(seen) AS component FROM re GROUP BY node), ed AS (SELECT n1, n2, w FROM cb WHERE w >= 45),
+nn AS (SELECT nd, left(nd, 3) AS kind, count(*) AS degree, quantile_cont(w, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM (SELECT n1 AS nd, w FROM ed UNION ALL SELECT n2, w FROM ed) GROUP BY nd),
+ds AS (SELECT kind, 'degree' AS what, degree::DOUBLE AS x FROM nn UNION ALL SELECT kind, 'weight_q' || ((i - 1) * 25), q[i]::DOUBLE FROM nn, range(1, 6) AS r(i)),
+st AS (SELECT kind, what, avg(x) AS mean, min(x) AS min, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75, max(x) AS max FROM ds GROUP BY ALL),
+sz AS (SELECT component, count(*) AS n FROM co GROUP BY component),
+gi AS (SELECT CASE WHEN count(*) = 1 THEN 1 ELSE sum((2 * i - k - 1) * x) / (any_value(k) * sum(x)) END AS gini FROM (SELECT n + 1e-7 AS x, row_number() OVER (ORDER BY n) AS i, count(*) OVER () AS k FROM sz)),
+ks AS (SELECT kind, component, count(co.node) AS n FROM (SELECT DISTINCT kind FROM co) CROSS JOIN sz LEFT JOIN co USING (kind, component) GROUP BY ALL),
+cu AS (SELECT kind, n / sum(n) OVER (PARTITION BY kind) AS share, sum(n) OVER (PARTITION BY kind ORDER BY n DESC, component ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY kind) AS y FROM ks),
+cv AS (SELECT kind, max(share) AS c1, CASE WHEN count(*) = 1 THEN 1 ELSE sum(y - share / 2) / (count(*) + 1) END AS auc FROM cu GROUP BY kind),
+al AS (SELECT 'edges' AS name, count(*)::DOUBLE AS value FROM ed UNION ALL SELECT 'components', count(*) FROM sz UNION ALL SELECT 'gini', gini FROM gi
+  UNION ALL SELECT 'nodes:' || kind, count(*) FROM co GROUP BY kind UNION ALL SELECT 'c1:' || kind, c1 FROM cv UNION ALL SELECT 'auc:' || kind, auc FROM cv
+  UNION ALL SELECT what || ':' || kind || ':' || stat, value FROM (UNPIVOT st ON mean, min, q25, q50, q75, max INTO NAME stat VALUE value))
+SELECT name, round(value, 6) AS value FROM al""", "cb")
+def network_statistics(v: Views) -> DataFrame:
+    e = heavy(v)
+    comp = components(ren(e, n1="a", n2="b")).withColumn("kind", F.substring("node", 1, 3))
+    return S.network_stats(e, comp).select("name", F.round("value", 6).alias("value"))
+
+
+@query(""", pw AS (SELECT a.m AS r, b.m AS c, count(*)::DOUBLE AS w FROM mem AS a JOIN mem AS b ON a.g = b.g AND a.m <> b.m GROUP BY ALL),
+k AS (SELECT greatest(1, least(250, round_even(count(DISTINCT c) * 0.01, 0))) AS n FROM pw), x AS (SELECT r, c, round(w / sum(w) OVER (PARTITION BY c), 8) AS w FROM pw),
+t AS (SELECT r, c, w FROM x QUALIFY row_number() OVER (PARTITION BY r ORDER BY w DESC, c) <= (SELECT n FROM k))
+SELECT r, c, round(rank() OVER (PARTITION BY r ORDER BY w) / count(*) OVER (PARTITION BY r), 6) AS w FROM t""", "mem")
+def norm_prune_symmetric(v: Views) -> DataFrame:
+    """Parts by the orders that they share."""
+    m = v.together()
+    pairs = m.select("g", F.col("m").alias("n1")).join(m.select("g", F.col("m").alias("n2")), "g").filter("n1 < n2").groupBy("n1", "n2").agg(F.count("*").alias("w"))
+    return M.norm_prune(M.matrix(pairs, undirected=True, weight=F.col("w")), symmetric=True).select("r", "c", F.round("w", 6).alias("w"))
+
+
+@query()
+def edge_swap_negatives(v: Views) -> DataFrame:
+    return W.swapped(v.cus_buy_prt())
+
+
+# --- several vocabularies --------------------------------------------------------------------------------------------
+
+
+def part_vocabularies(v: Views) -> DataFrame:
+    """Brands know the large parts, types the small ones; some are in neither."""
+    p = v.t("part")
+    of = lambda rows, kind, key: O.closure(rows.select(v.id("PRT", "p_partkey").alias("child"), v.id(kind, key).alias("parent")))
+    return O.vocabularies({"brand": of(p.filter("p_size > 30"), "BRD", "p_brand"), "type": of(p.filter("p_size <= 25"), "TYP", "p_type")})
+
+
+PARTS_OF = """bv AS (SELECT 'brand' AS otgy, 'PRT:' || p_partkey AS node, 'BRD:' || p_brand AS anc FROM part WHERE p_size > 30 UNION ALL SELECT 'type', 'PRT:' || p_partkey, 'TYP:' || p_type FROM part WHERE p_size <= 25),
+b AS (SELECT DISTINCT otgy, node, anc FROM bv UNION SELECT otgy, node, node FROM bv UNION SELECT otgy, anc, anc FROM bv)"""
+
+
+@query(f", {PARTS_OF} SELECT DISTINCT otgy, n1, n2 FROM cb LEFT JOIN (SELECT DISTINCT otgy, node FROM b) AS o ON o.node = n2", "cb")
+def edges_by_vocabulary(v: Views) -> DataFrame:
+    return O.by_vocabulary(v.cus_buy_prt(), "n2", part_vocabularies(v))
+
+
+@query(f""", {PARTS_OF}, av AS (SELECT 'CUS:' || c_custkey AS node, 'SEG:' || c_mktsegment AS anc FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'CUS:' || c_custkey, 'NAT:' || c_nationkey FROM customer WHERE c_custkey % 3 = 0),
+a AS (SELECT node, anc FROM av UNION SELECT node, node FROM av), ed AS (SELECT n1, n2 FROM cb WHERE w >= 40)
+SELECT a.anc AS n1, b.anc AS n2 FROM ed JOIN a ON a.node = n1 JOIN b ON b.node = n2
+UNION SELECT n1, n2 FROM ed WHERE n1 NOT IN (SELECT node FROM a) AND n2 NOT IN (SELECT node FROM b)""", "cb")
+def propagate_dispatch_vocabularies(v: Views) -> DataFrame:
+    c = v.t("customer")
+    of = lambda rows, kind, key: O.closure(rows.select(v.id("CUS", "c_custkey").alias("child"), v.id(kind, key).alias("parent")))
+    parties = O.vocabularies({"segment": of(c.filter("c_custkey % 2 = 0"), "SEG", "c_mktsegment"), "nation": of(c.filter("c_custkey % 3 = 0"), "NAT", "c_nationkey")})
+    return O.dispatch(v.cus_buy_prt().filter("w >= 40"), O.of_kind(parties, ["segment", "nation"]), O.of_kind(part_vocabularies(v), ["brand", "type"]))
 
 
 # --- correlations ----------------------------------------------------------------------------------------------------

@@ -103,17 +103,17 @@ def l1(cells: DataFrame, by: str) -> DataFrame:
     return cells.join(s, by).withColumn("w", F.col("w") / F.col("s")).select("r", "c", "w")
 
 
-def norm_prune(m: Matrix, share: float = 0.01, low: int = 1, high: int = 250, digits: int = 8) -> DataFrame:
-    """Column-normalised cells' ranks among the kept of their row plus row-normalised cells' ranks among the kept of their column."""
+def norm_prune(m: Matrix, share: float = 0.01, low: int = 1, high: int = 250, digits: int = 8, symmetric: bool = False) -> DataFrame:
+    """Column-normalised cells' ranks among the kept of their row plus row-normalised cells' ranks among the kept of their column; of a symmetric matrix the former alone."""
     out = []
-    for by, line, labels in (("c", "r", m.cols), ("r", "c", m.rows)):
+    for by, line, labels in (("c", "r", m.cols), ("r", "c", m.rows))[: 1 if symmetric else 2]:
         n = neighbours(labels, share, low, high)
         cells = l1(m.cells, by).withColumn("w", F.round("w", digits))
         other = "c" if line == "r" else "r"
         kept = cells.withColumn("k", F.row_number().over(Window.partitionBy(line).orderBy(F.desc("w"), other))).crossJoin(F.broadcast(n)).filter("k <= n")
         score = F.rank().over(Window.partitionBy(line).orderBy("w")) / F.count("*").over(Window.partitionBy(line))
         out.append(kept.select("r", "c", score.alias("w")))
-    return out[0].unionByName(out[1]).groupBy("r", "c").agg(F.sum("w").alias("w"))
+    return out[0] if symmetric else out[0].unionByName(out[1]).groupBy("r", "c").agg(F.sum("w").alias("w"))
 
 
 def sum_of(ms: list[Matrix]) -> Matrix:

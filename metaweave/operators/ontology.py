@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +65,26 @@ def dispatch(e: DataFrame, c1: DataFrame, c2: DataFrame, strict: bool = True) ->
     return propagate(hit.filter(~drop).select("n1", "n2"), c1, c2)
 
 
+def vocabularies(closures: Mapping[str, DataFrame]) -> DataFrame:
+    """otgy, node, anc: the closures of several vocabularies as one table."""
+    out = [c.select(F.lit(name).alias("otgy"), "node", "anc") for name, c in closures.items()]
+    rows = out[0]
+    for c in out[1:]:
+        rows = rows.unionByName(c)
+    return rows
+
+
+def of_kind(table: DataFrame, names: Sequence[str]) -> DataFrame:
+    """node, anc of the vocabularies of a node type; a node in several has the ancestors of each, so dispatch and propagate meet every pair of vocabularies at once."""
+    return table.filter(F.col("otgy").isin(list(names))).select("node", "anc").distinct()
+
+
+def by_vocabulary(e: DataFrame, side: str, table: DataFrame) -> DataFrame:
+    """otgy, n1, n2: edges at each vocabulary that holds their end, with a null otgy where none does."""
+    own = table.select("otgy", F.col("node").alias(side)).distinct()
+    return e.select("n1", "n2").distinct().join(own, side, "left").select("otgy", "n1", "n2")
+
+
 def leaf_counts(c: DataFrame) -> DataFrame:
     """node, leaves below or at it, subsumers above it, hyponyms below it."""
     strict = c.filter("node <> anc")

@@ -39,11 +39,37 @@ def quantiles(d: DataFrame, column: str) -> DataFrame:
 
 
 def component_coverage(comp: DataFrame) -> DataFrame:
-    """One row: share of the largest component, and the trapezoid area under the cumulative coverage by size."""
-    s = comp.groupBy("component").agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("n"), "component")
-    s = s.withColumns({"k": F.row_number().over(w), "cum": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "m": F.count("*").over(Window.partitionBy()), "all": F.sum("n").over(Window.partitionBy())})
-    y = F.col("cum") / F.col("all")
-    s = s.select("k", "m", y.alias("y"), F.lag(y).over(Window.orderBy("k")).alias("before"))
-    area = F.sum((F.col("y") + F.col("before")) / 2) / (F.max("m") - 1)
-    return s.agg(F.max(F.when(F.col("k") == 1, F.col("y"))).alias("c1"), F.coalesce(F.when(F.max("m") > 1, area), F.lit(1.0)).alias("auc"))
+    """kind, c1, auc from node, kind, component: the share of a kind in its best component, and the area under its shares summed from the best component on, against all components and an empty start.
+
+    Components of one size are one row, so no task sorts all components; a single component has 1 for both.
+    """
+    sizes = comp.groupBy("kind", "component").agg(F.count("*").alias("n")).groupBy("kind", "n").agg(F.count("*").alias("m"))
+    larger = Window.partitionBy("kind").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    n, m = F.col("n"), F.col("m")
+    runs = sizes.withColumn("before", F.coalesce(F.sum(n * m).over(larger), F.lit(0)))
+    g = runs.groupBy("kind").agg(F.max("n").alias("best"), F.sum(n * m).alias("nodes"), F.sum("m").alias("own"), F.sum(m * F.col("before") + n * m * m / 2).alias("area"))
+    g = g.crossJoin(F.broadcast(comp.agg(F.count_distinct("component").alias("all"))))  # one row
+    auc = F.when(F.col("all") == 1, 1.0).otherwise((F.col("area") / F.col("nodes") + F.col("all") - F.col("own")) / (F.col("all") + 1))
+    return g.select("kind", (F.col("best") / F.col("nodes")).alias("c1"), auc.alias("auc"))
+
+
+def network_stats(e: DataFrame, comp: DataFrame) -> DataFrame:
+    """name, value of a network (n1, n2, w; node, kind, component): edges, components, their sizes' Gini, nodes of each kind, its coverage, and how degrees and each node's weight quartiles are spread over its nodes."""
+    ends = e.select(F.explode(F.array("n1", "n2")).alias("node"), "w")
+    quartiles = F.percentile("w", F.array(*[F.lit(x / 4) for x in range(5)]))
+    nodes = ends.groupBy("node").agg(F.count("*").cast("double").alias("degree"), quartiles.alias("q")).join(comp, "node")
+    what = [F.struct(F.lit("degree").alias("what"), F.col("degree").alias("x")), *[F.struct(F.lit(f"weight_q{25 * i}").alias("what"), F.col("q")[i].alias("x")) for i in range(5)]]
+    spread = nodes.select("kind", F.inline(F.array(*what))).groupBy("kind", "what", "x").agg(F.count("*").alias("n"))
+    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
+    spread = spread.groupBy("kind", "what").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
+    spread = spread.select("kind", "what", "mean", "min", *[F.col("q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))], "max")
+    each = lambda d, name, columns: d.select(F.inline(F.array(*[F.struct(F.concat_ws(":", *name(c)).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])))
+    sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
+    out = each(e.agg(F.count("*").alias("edges")), lambda c: [F.lit(c)], ["edges"])
+    out = out.unionByName(each(sizes.agg(F.count("*").alias("components")), lambda c: [F.lit(c)], ["components"]))
+    one = sizes.agg(F.count("*").alias("k"))
+    g = gini(sizes, "n").crossJoin(F.broadcast(one)).select(F.when(F.col("k") == 1, 1.0).otherwise(F.col("gini")).alias("gini"))
+    out = out.unionByName(each(g, lambda c: [F.lit(c)], ["gini"]))
+    out = out.unionByName(each(comp.groupBy("kind").agg(F.count("*").alias("nodes")), lambda c: [F.lit(c), F.col("kind")], ["nodes"]))
+    out = out.unionByName(each(component_coverage(comp), lambda c: [F.lit(c), F.col("kind")], ["c1", "auc"]))
+    return out.unionByName(each(spread, lambda c: [F.col("what"), F.col("kind"), F.lit(c)], ["mean", "min", "q25", "q50", "q75", "max"]))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from metaweave.operators import evaluate, nodes, numbering, validate
+from metaweave.operators import evaluate, nodes, numbering, stats, swap, validate
 from metaweave.operators.components import components
 
 
@@ -62,3 +62,44 @@ def test_characterised_depropagates_first(spark):
     scored = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("p", "b", 0.2), ("b", "a", 0.8)], "n1 string, n2 string, score double")
     r = validate.characterised(ids, known, scored, closure).first()
     assert (r.n_known, r.n_inside, r.auroc, r.coverage) == (1, 1, 1.0, 1.0)
+
+
+def test_swapped_edges_keep_degrees(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    banned = spark.createDataFrame([("a1", "b1"), ("a2", "b2")], "n1 string, n2 string")
+    # even degrees, and hubs joined to nearly all, whose edges cannot all be swapped
+    for first in (lambda: int(rng.integers(0, 60)), lambda: int(rng.zipf(1.6)) % 60):
+        e = sorted({(f"a{first()}", f"b{int(rng.integers(0, 80))}") for _ in range(700)})
+        df = spark.createDataFrame(e + e[:9] + [(None, "b1"), ("x", "x")], "n1 string, n2 string").repartition(4)
+        got = [tuple(r) for r in swap.swapped(df, tries=8, banned=banned).collect()]
+        pairs = [r[:2] for r in got]
+        assert len(set(pairs)) == len(pairs) <= len(e) and not set(pairs) & (set(e) | {("a1", "b1"), ("a2", "b2")})
+        exact = [r[:2] for r in got if r[2]]
+        for side in (0, 1):
+            have, want = Counter(p[side] for p in exact), Counter(p[side] for p in e)
+            assert all(have[n] <= want[n] for n in have)
+        degree, others = Counter(p[0] for p in e), len({p[1] for p in e})
+        reachable = sum(min(d, others - d) for d in degree.values())
+        assert 0.8 * reachable < len(exact) <= reachable
+        assert sorted(got) == sorted(tuple(r) for r in swap.swapped(df, tries=8, banned=banned).collect())
+    ring = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 40}") for i in range(40)], "n1 string, n2 string")
+    both = [(r.n1, r.n2) for r in swap.swapped(ring, undirected=True, fill=False).collect()]
+    assert all(a < b for a, b in both) and max(Counter(x for p in both for x in p).values()) <= 2
+    full = spark.createDataFrame([(f"a{i}", f"b{j}") for i in range(3) for j in range(3)], "n1 string, n2 string")
+    assert swap.swapped(full, tries=3).count() == 0 and swap.swapped(full.limit(0)).count() == 0
+
+
+def test_coverage_against_its_definition(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"{k}{i}", k, int(rng.zipf(1.5)) % 30) for k in "pq" for i in range(150)] + [("r0", "r", 3)]
+    got = {r.kind: (r.c1, r.auc) for r in stats.component_coverage(spark.createDataFrame(rows, "node string, kind string, component long")).collect()}
+    all_ = {c for *_, c in rows}
+    for kind in "pqr":
+        own = [c for _, k, c in rows if k == kind]
+        share = sorted((own.count(c) / len(own) for c in all_), reverse=True)
+        y = np.concatenate([[0], np.cumsum(share)])
+        assert np.allclose(got[kind], (share[0], ((y[1:] + y[:-1]) / 2).sum() / len(y)))
+    one = spark.createDataFrame([("a", "x", 1), ("b", "x", 1)], "node string, kind string, component long")
+    assert tuple(stats.component_coverage(one).first()) == ("x", 1.0, 1.0)
