@@ -5,6 +5,10 @@
 3. n-gram Jaccard join on five words at 0.8: one document of each group stays, the least doc_id;
 4. mixing sources to target weights: one row for each pass that takes words of a document, cut to those words;
 5. packing into sequences of 1024 tokens.
+
+Rows with nulls in any column pass through all stages like others; a null or empty text has no lines, links with nothing
+and holds no words, so that mixing leaves it out. Repeated rows are one document to the line and join stages. Further
+columns are carried under their names, whatever they are, up to packing. An empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: The classifier, permutations and the tokenizer are beyond SQL; tests hold each stage against brute force.
+#: The classifier, permutations and the tokenizer are beyond SQL. Tests hold lines and joins against brute force here, words taken and packed pieces in the operators' own tests, and the classifier to held-out accuracy.
 ORACLE_SQL = None
 
 
