@@ -1,10 +1,10 @@
-"""The ten queries over the driver's tables, and the SQL that says the same where SQL can."""
+"""The thirteen queries over the driver's tables, and the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, lines, mixing, ngram_join, packing, quality, repeats, toxicity, vectors, warc
+from . import audio, exponion, language, lines, mixing, ngram_join, packing, quality, repeats, toxicity, vectors, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,22 @@ def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.Alignments(made, "vec_id", "recording").rows()
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.Whitening(_table(spark, sf_dir, "embeddings")).digest()
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(_table(spark, sf_dir, "documents"))
+
+
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.Exponion(_table(spark, sf_dir, "embeddings")).digest().drop("scanned")
+
+
 QUERIES = {
+    "op11_whitening": op11_whitening,
+    "op12_language": op12_language,
+    "op13_exponion": op13_exponion,
     "op3_audio": op3_audio,
     "op9_embeddings": op9_embeddings,
     "op6_repeats": op6_repeats,
@@ -66,7 +81,22 @@ QUERIES = {
     "op8_packing": op8_packing,
 }
 
+def _clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every distance of every round, by definition."""
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, x FROM v ORDER BY sha256('1:' || vec_id) LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.vec_id, v.x, c.k, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v, c{r} AS c) GROUP BY vec_id)")
+        if r < rounds:
+            parts.append(f"m{r} AS (SELECT k, list(m ORDER BY i) AS x FROM (SELECT k, i, floor(sum(x[i]) / count(*))::BIGINT AS m FROM a{r}, range(1, 65) AS r(i) GROUP BY k, i) GROUP BY k)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} ON m{r}.k = c{r}.k)")
+    return f"WITH {', '.join(parts)} SELECT vec_id, a{rounds}.k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a{rounds}.k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.k = a{rounds}.k"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_exponion": _clustering_sql(),
     # Brute force; the graph search is approximate, and finds all links at the small scales.
     "op9_embeddings": """
 WITH RECURSIVE v AS (
