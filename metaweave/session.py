@@ -31,8 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written once to the shared folder and reread: cuts lineage in iterative operators."""
+def saved(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
+    """df written once to the shared folder and reread: cuts lineage in iterative operators; by: columns whose values have folders of their own."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(t._saved_path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
