@@ -528,7 +528,7 @@ na AS (SELECT doc, sqrt(sum(i2)) AS n FROM x JOIN i USING (term) GROUP BY doc)
 SELECT n1, n2, dist FROM (SELECT a.doc AS n1, b.doc AS n2, round(1 - sum(i2) / (any_value(p.n) * any_value(q.n)), 4) + 0.0 AS dist FROM t AS a JOIN t AS b ON a.term = b.term AND a.doc < b.doc JOIN i ON i.term = a.term JOIN na AS p ON p.doc = a.doc JOIN na AS q ON q.doc = b.doc GROUP BY a.doc, b.doc) WHERE dist < 0.8""")
 def tfidf_cosine_pairs(v: Views) -> DataFrame:
     t = T.terms(v.t("documents"), "doc_id", "text")
-    return T.tfidf_pairs(t, t).filter("n1 < n2")
+    return T.tfidf_pairs(t)
 
 
 @query(f"""WITH {TERMS}, k AS (SELECT doc, count(*) AS k FROM t GROUP BY doc)
