@@ -29,9 +29,10 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
 from ._text import slices
-from .toxicity import BUCKET_BITS, folded, grams, held_out
+from .toxicity import folded, grams, held_out
 
 SIZES = (2, 3, 4)
+BUCKET_BITS = 18
 UNKNOWN = "und"
 
 

@@ -1,9 +1,10 @@
 """Toxicity by subword bags.
 
-A window of a few words is the average of the embeddings of its character n-grams, put through a linear softmax; both
-are trained jointly in numpy. A text scores by its worst window, so a long clean text does not hide a short insult, and
-a misspelling that was never seen still shares most n-gram vectors with the word. For scoring, embeddings and softmax
-fold into one number for each n-gram bucket.
+A window is the average of the embeddings of its character n-grams and its whole words, put through a linear softmax;
+both are trained jointly in numpy. A text scores by its worst window of one or two words, so neither a long clean text nor
+a long clean neighbour hides a short insult, and a misspelling that was never seen still shares most n-gram vectors with
+the word. For scoring, embeddings and softmax fold into one number for each bucket. The logistic curve that turns the
+worst window into a score is fitted on texts kept apart from training.
 
 Labels come from a bounded sample of training rows (most_toxic, most_clean, the lowest by a hash of doc_id); every text
 is scored whole. Defined cases: null and empty texts score as a text without n-grams; null doc_ids and labels are never
@@ -15,19 +16,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._text import LOWER, byte_table, slices
+from ._text import LOWER, byte_table, prefix_hash, slices, span_hash
 
 SIZES = (3, 4, 5)
-BUCKET_BITS = 18
+BUCKET_BITS = 21
 #: Marks that end a word as a space does.
-BREAKS = b" \t\n\x0b\x0c\r.,;:!?\"()[]"
+BREAKS = b" \t\n\x0b\x0c\r.,;:!?\"()[]#$%&*|"
 FOLD = LOWER.copy()
 FOLD[list(BREAKS)] = 32
 TABLE = (byte_table(11) >> np.uint64(32)).astype(np.uint32)
+WORDS = byte_table(12)
+#: Log-likelihood ratio from which a word of a toxic text is learned as toxic.
+SURE = 5.0
 STEP, SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -54,29 +59,46 @@ def folded(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offs + np.arange(n + 1), out
 
 
-def windows(offs: np.ndarray, raw: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, end byte, text) of windows of so many words, each half over the one before; one at least for a text with a word."""
-    inside = raw != 32
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+def whole_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, valid) at each byte; valid where a word starts."""
+    edge = np.diff((raw != 32).astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    bucket, valid = np.zeros(len(raw), dtype=np.int32), np.zeros(len(raw), dtype=bool)
+    bucket[starts] = (span_hash(prefix_hash(raw, WORDS), starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    valid[starts] = True
+    return bucket, valid
+
+
+def features(raw: np.ndarray):
+    """(bytes, bucket, valid) of the n-grams of each size, and of whole words by their first byte."""
+    for s in SIZES:
+        if len(raw) >= s:
+            yield s, *grams(raw, s)
+    if len(raw):
+        yield 1, *whole_words(raw)
+
+
+def windows(offs: np.ndarray, raw: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end byte, text), by text, of all windows of so many words; a text of fewer words is one window."""
+    edge = np.diff((raw != 32).astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     first = np.searchsorted(starts, offs)
-    counts = np.diff(first)
-    half = max(1, words // 2)
-    per = np.where(counts > 0, np.maximum(1, -(-(counts - half) // half)), 0)
-    text = np.repeat(np.arange(len(counts)), per)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    lo = first[text] + k * half
-    hi = np.minimum(lo + words, first[text + 1]) - 1
-    return starts[lo] - 1, ends[hi] + 1, text
+    counts, got = np.diff(first), []
+    for words in sizes:
+        per = np.where(counts > 0, np.maximum(1, counts - words + 1), 0)
+        text = np.repeat(np.arange(len(counts)), per)
+        lo = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+        hi = np.minimum(lo + words, first[text + 1]) - 1
+        got.append((starts[lo] - 1, ends[hi] + 1, text))
+    lo, hi, text = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(text, kind="stable")
+    return lo[order], hi[order], text[order]
 
 
 def window_means(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Mean weight of the valid n-grams within each window."""
+    """Mean weight of the valid features within each window."""
     total, count = np.zeros(len(lo)), np.zeros(len(lo))
-    for s in SIZES:
-        if len(raw) < s:
-            continue
-        bucket, valid = grams(raw, s)
+    for s, bucket, valid in features(raw):
         v = np.where(valid, weight[bucket], np.float32(0))
         c, n = np.zeros(len(v) + 1), np.zeros(len(v) + 1, dtype=np.int64)
         np.cumsum(v, out=c[1:])
@@ -90,22 +112,18 @@ def window_means(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.nda
 
 
 def window_ids(raw: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    out = []
-    for s in SIZES:
-        if hi - lo >= s:
-            bucket, valid = grams(raw[lo:hi], s)
-            out.append(bucket[valid])
+    out = [bucket[valid] for _, bucket, valid in features(raw[lo:hi])]
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
 
 
 class Model:
-    def __init__(self, weight: np.ndarray, scale: float = 1.0, bias: float = 0.0, words: int = 2):
+    def __init__(self, weight: np.ndarray, scale: float = 1.0, bias: float = 0.0, words: tuple[int, ...] = (1, 2)):
         self.weight, self.scale, self.bias, self.words = weight.astype(np.float32), scale, bias, words
 
     def worst(self, texts: pa.Array) -> np.ndarray:
         """Largest window mean of each text; 0 for one without words."""
         out = np.zeros(len(texts))
-        for i, j, offs, raw in slices(texts):
+        for i, j, offs, raw in slices(pc.utf8_lower(texts.cast(pa.large_string()))):
             offs, raw = folded(offs, raw)
             lo, hi, text = windows(offs, raw, self.words)
             if len(text):
@@ -118,36 +136,77 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.worst(texts) + self.bias, -60, 60)))
 
 
-def train(texts: list[str], toxic: np.ndarray, words: int = 2, dim: int = 6, rounds: int = 3, epochs: int = 80, rate: float = 0.1, top: int = 2, seed: int = 5) -> Model:
-    """Windows are chosen by the model so far (first by log-odds of n-grams): the worst of toxic texts, the worst and a random one of clean texts."""
+def train(texts: list[str], toxic: np.ndarray, words: tuple[int, ...] = (1, 2), apart: float = 0.25, seed: int = 5, **more) -> Model:
+    """The model of all texts, and the curve of one that has not seen the texts it is fitted on."""
     toxic = np.asarray(toxic, dtype=bool)
     if not toxic.any() or toxic.all():
         return Model(np.zeros(1 << BUCKET_BITS), 0.0, -60.0, words)
+    rng, away = np.random.default_rng(seed), np.zeros(len(texts), dtype=bool)
+    for kind in (toxic, ~toxic):
+        own = rng.permutation(np.flatnonzero(kind))
+        away[own[: int(apart * len(own))]] = True
+    away = away if toxic[away].any() and not toxic[away].all() else np.ones(len(texts), dtype=bool)
+    seen = ~away if (~away).any() else away
+    model = Model(weights([t for t, s in zip(texts, seen, strict=True) if s], toxic[seen], words, seed=seed, **more), words=words)
+    x = model.worst(pa.array([t for t, s in zip(texts, away, strict=True) if s], pa.large_string()))
+    scale, bias = platt(x, toxic[away].astype(float))
+    return Model(weights(texts, toxic, words, seed=seed, **more), scale, bias, words)
+
+
+def weights(texts: list[str], toxic: np.ndarray, words: tuple[int, ...], dim: int = 6, rounds: int = 2, epochs: int = 30, rate: float = 0.1, top: int = 3, hard: int = 6, seed: int = 5) -> np.ndarray:
+    """Trained on the windows of toxic texts that are surest to be toxic by their features, and on windows of clean texts: some random ones, and in each round the worst by the model so far."""
     rng = np.random.default_rng(seed)
-    bags = [folded(np.array([0, len(b)]), np.frombuffer(b, dtype=np.uint8)) for b in (t.encode() for t in texts)]
+    bags = [folded(np.array([0, len(b)]), np.frombuffer(b, dtype=np.uint8)) for b in (t.lower().encode() for t in texts)]
     spans = [windows(o, r, words)[:2] for o, r in bags]
     seen = np.zeros((2, 1 << BUCKET_BITS))
     for (_, r), t in zip(bags, toxic, strict=True):
         seen[int(t), np.unique(window_ids(r, 0, len(r)))] += 1
-    n = np.array([(~toxic).sum(), toxic.sum()])
-    weight = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    weight[seen.sum(0) < 3] = 0
-    weight = np.maximum(weight, 0) ** 2  # only what speaks for toxicity chooses the first windows
+    weight = evidence(seen, np.array([(~toxic).sum(), toxic.sum()]))
+    ids, label = [], []
+    for (_, r), t in zip(bags, toxic, strict=True):
+        if t:
+            for a, e in surest(r, weight, top):
+                ids.append(window_ids(r, a, e))
+                label.append(True)
+    if not ids:  # too few labels for any word to stand out
+        for (_, r), (lo, hi), t in zip(bags, spans, toxic, strict=True):
+            if t and len(lo):
+                w = int(window_means(r, lo, hi, weight).argmax())
+                ids.append(window_ids(r, lo[w], hi[w]))
+                label.append(True)
+    if not ids:
+        return np.zeros(1 << BUCKET_BITS)
     for _ in range(rounds):
-        ids, label = [], []
         for (_, r), (lo, hi), t in zip(bags, spans, toxic, strict=True):
-            if not len(lo):
+            if t or not len(lo):
                 continue
-            worst = np.argsort(-window_means(r, lo, hi, weight), kind="stable")[:top]
-            for w in worst if t else {*worst.tolist(), *rng.integers(len(lo), size=top).tolist()}:
+            means = window_means(r, lo, hi, weight)
+            worst = np.argpartition(-means, hard - 1)[:hard] if len(means) > hard else np.arange(len(means))
+            for w in {*worst.tolist(), *rng.integers(len(lo), size=top).tolist()}:
                 if len(g := window_ids(r, lo[w], hi[w])):
                     ids.append(g)
-                    label.append(t)
+                    label.append(False)
         weight = fit(ids, np.array(label, dtype=float), dim, epochs, rate, rng)
-    model = Model(weight, words=words)
-    x = model.worst(pa.array(texts, pa.large_string()))
-    model.scale, model.bias = platt(x, toxic.astype(float))
-    return model
+    return weight
+
+
+def surest(raw: np.ndarray, weight: np.ndarray, top: int) -> list[tuple[int, int]]:
+    """(first byte, end byte) of the words of a text that are surest to be toxic as whole words: n-grams that an insult shares with a common word say nothing here."""
+    bucket, valid = whole_words(raw)
+    starts = np.flatnonzero(valid)
+    own = weight[bucket[starts]]
+    best = own.argsort(kind="stable")[::-1][:top]
+    best = best[own[best] >= max(SURE, own.max() / 2)] if len(own) else best
+    ends = np.flatnonzero(np.diff((raw != 32).astype(np.int8), prepend=0, append=0) == -1)
+    return [(int(starts[k]) - 1, int(ends[k]) + 1) for k in best]
+
+
+def evidence(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How far a feature's share among toxic texts exceeds that among all, as a log-likelihood ratio; 0 where it does not."""
+    both = np.maximum(seen.sum(0), 1e-9)
+    term = lambda a, p: a * np.log(np.maximum(a, 1e-9) / (both * p))
+    share = n / n.sum()
+    return np.where(seen[1] > both * share[1], term(seen[1], share[1]) + term(seen[0], share[0]), 0.0)
 
 
 def fit(ids: list[np.ndarray], y: np.ndarray, dim: int, epochs: int, rate: float, rng: np.random.Generator) -> np.ndarray:

@@ -25,7 +25,9 @@ def test_window_means_are_means_of_window_ids():
     offs = np.cumsum([0] + [len(t.encode()) for t in texts])
     offs, buf = T.folded(offs, np.frombuffer(raw, dtype=np.uint8))
     weight = rng.normal(size=1 << T.BUCKET_BITS).astype(np.float32)
-    lo, hi, text = T.windows(offs, buf, 2)
+    lo, hi, text = T.windows(offs, buf, (1, 2))
+    counts = [len(bytes(buf[offs[i] : offs[i + 1]]).split()) for i in range(6)]
+    assert [int((text == i).sum()) for i in range(6)] == [0 if not c else c + max(1, c - 1) for c in counts]
     got = T.window_means(buf, lo, hi, weight)
     want = [weight[g].mean() if len(g := T.window_ids(buf, a, b)) else 0 for a, b in zip(lo, hi, strict=True)]
     assert np.allclose(got, want, atol=1e-5)
@@ -50,6 +52,21 @@ def test_learns_and_meets_misspellings():
     assert m.proba(pa.array([None, "", "  "])).max() < 0.3
 
 
+def test_an_insult_beside_a_long_clean_word():
+    texts, y = corpus(600, 4)
+    m = T.train(texts, y)
+    far = "abcdefgh" * 12
+    assert m.proba(pa.array([f"{far} zwonk {far}", f"{far} ZWONKY!!! {far}"])).min() >= 0.3 > m.proba(pa.array([far, f"{far} {far}"])).max()
+
+
+def test_recall_and_false_alarms_apart(spark):
+    """Held-out labels of the larger documents, of which one in eight is toxic and a tenth of these hold no word that others share."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = T.classify(docs, labels).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").filter("toxic IS NOT NULL").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert len(toxic) > 100 and np.mean(toxic) >= 0.92 and np.mean(clean) <= 0.02
+
+
 def test_query_shape_and_nulls(spark):
     texts, y = corpus(800, 3)
     rows = [(i, t, "x", 0.0, 1) for i, t in enumerate(texts)] + [(None, "zwonky", "x", 0.0, 1), (900, None, "", 0.0, 0), (901, "", None, 0.0, 0), (0, texts[0], "x", 0.0, 1)]
