@@ -56,11 +56,11 @@ def bag(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """languages in order; weight: bucket, language; a temperature and a rejection bound."""
 
-    def __init__(self, languages: list[str], weight: np.ndarray, bias: np.ndarray, temperature: float = 1.0, bound: float = 0.0):
-        self.languages, self.weight, self.bias, self.temperature, self.bound = languages, np.ascontiguousarray(weight.T, dtype=np.float32), bias, temperature, bound
+    def __init__(self, languages: list[str], weight: np.ndarray, temperature: float = 1.0, bound: float = 0.0):
+        self.languages, self.weight, self.temperature, self.bound = languages, np.ascontiguousarray(weight.T, dtype=np.float32), temperature, bound
 
     def logits(self, texts: pa.Array) -> np.ndarray:
-        out = np.tile(self.bias, (len(texts), 1)).astype(float)
+        out = np.zeros((len(texts), len(self.languages)))
         for i, j, offs, raw in slices(pc.utf8_lower(texts.cast(pa.large_string()))):
             offs, raw = folded(offs, raw)
             total, count = np.zeros((j - i, len(self.languages))), np.zeros(j - i)
@@ -74,7 +74,7 @@ class Model:
                 count += np.where(own, np.add.reduceat(valid.astype(np.int64), heads), 0)
                 for k, w in enumerate(self.weight):
                     total[:, k] += np.where(own, np.add.reduceat(np.append(w, np.float32(0))[bucket], heads, dtype=np.float64), 0)
-            out[i:j] += total / np.maximum(count, 1)[:, None]
+            out[i:j] = total / np.maximum(count, 1)[:, None]
         return out
 
     def proba(self, texts: pa.Array) -> np.ndarray:
@@ -86,13 +86,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(-1, keepdims=True)
 
 
-def descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, dim: int, epochs: int, rate: float, batch: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings and softmax by stochastic gradient descent over small batches, steps scaled by the gradients so far."""
+def descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, dim: int, epochs: int, rate: float, batch: int, rng: np.random.Generator) -> np.ndarray:
+    """Embeddings and softmax, which has no bias, so that a text of n-grams never met is equally likely in all languages, by stochastic gradient descent over small batches, steps scaled by the gradients so far."""
     used, flat = np.unique(np.concatenate([b for b, _ in bags]), return_inverse=True)
     size = np.array([len(b) for b, _ in bags])
     ends, share = np.cumsum(size), np.concatenate([s for _, s in bags])
-    e, w, b = rng.normal(0, 0.1, (len(used), dim)), rng.normal(0, 0.3, (dim, k)), np.zeros(k)
-    ge, gw, gb = np.full((len(used), 1), 1e-8), np.full_like(w, 1e-8), np.full(k, 1e-8)
+    e, w = rng.normal(0, 0.1, (len(used), dim)), rng.normal(0, 0.3, (dim, k))
+    ge, gw = np.full((len(used), 1), 1e-8), np.full_like(w, 1e-8)
     weight = np.bincount(y, minlength=k)
     weight = len(y) / (k * np.maximum(weight, 1))
     for epoch in range(epochs):
@@ -103,7 +103,7 @@ def descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, di
             pick = np.repeat(ends[rows] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
             ids, s, of = flat[pick], share[pick], np.repeat(np.arange(len(rows)), n)
             mean = np.add.reduceat(e[ids] * s[:, None], np.cumsum(n) - n, axis=0)
-            d = softmax(mean @ w + b)
+            d = softmax(mean @ w)
             d[np.arange(len(rows)), y[rows]] -= 1
             d *= weight[y[rows], None] / len(rows)
             back = d @ w.T
@@ -111,12 +111,12 @@ def descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, di
             grad = np.stack([np.bincount(inverse, back[of, c] * s, len(own)) for c in range(dim)], 1)
             ge[own] += (grad * grad).mean(1, keepdims=True)
             e[own] -= step * grad / np.sqrt(ge[own])
-            for p, g, seen in ((w, mean.T @ d, gw), (b, d.sum(0), gb)):
-                seen += g * g
-                p -= step * g / np.sqrt(seen)
+            g = mean.T @ d
+            gw += g * g
+            w -= step * g / np.sqrt(gw)
     out = np.zeros((1 << BUCKET_BITS, k))
     out[used] = e @ w
-    return out, b
+    return out
 
 
 def cuts(text: str, runs: int, rng: np.random.Generator) -> list[str]:
@@ -138,7 +138,7 @@ def train(texts: list[str], lang: list[str], frequency: dict[str, int] | None =
     k, rng = len(languages), np.random.default_rng(seed)
     y = np.searchsorted(np.array(languages, dtype=object), np.array(lang, dtype=object))
     if k == 1:
-        return Model(languages, np.zeros((1 << BUCKET_BITS, 1)), np.zeros(1))
+        return Model(languages, np.zeros((1 << BUCKET_BITS, 1)))
     kept_apart = rng.random(len(texts)) < apart
     parts = {True: ([], []), False: ([], [])}
     for text, c, away in zip(texts, y, kept_apart, strict=True):
@@ -153,8 +153,8 @@ def train(texts: list[str], lang: list[str], frequency: dict[str, int] | None =
             bags.append((ids, share))
             labels.append(c)
     if not bags:
-        return Model(languages, np.zeros((1 << BUCKET_BITS, k)), np.zeros(k))
-    model = Model(languages, *descend(bags, np.array(labels), k, dim, epochs, rate, batch, rng))
+        return Model(languages, np.zeros((1 << BUCKET_BITS, k)))
+    model = Model(languages, descend(bags, np.array(labels), k, dim, epochs, rate, batch, rng))
     pieces, truth = parts[True]
     if pieces:
         truth = np.array(truth)

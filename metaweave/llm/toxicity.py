@@ -7,7 +7,7 @@ the word. For scoring, embeddings and softmax fold into one number for each buck
 worst window into a score is fitted on texts kept apart from training.
 
 Labels come from a bounded sample of training rows (most_toxic, most_clean, the lowest by a hash of doc_id); every text
-is scored whole. Defined cases: null and empty texts score as a text without n-grams; null doc_ids and labels are never
+is scored whole. Defined cases: texts without words, null and empty ones included, score nearly 0; null doc_ids and labels are never
 trained on; repeated labels of one doc_id count as toxic if any is; without both classes all scores are 0; columns other
 than the named ones pass through untouched.
 """
@@ -33,6 +33,8 @@ TABLE = (byte_table(11) >> np.uint64(32)).astype(np.uint32)
 WORDS = byte_table(12)
 #: Log-likelihood ratio from which a word of a toxic text is learned as toxic.
 SURE = 5.0
+#: What a text without words has for its worst window.
+NOTHING = -1e9
 STEP, SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -121,8 +123,8 @@ class Model:
         self.weight, self.scale, self.bias, self.words = weight.astype(np.float32), scale, bias, words
 
     def worst(self, texts: pa.Array) -> np.ndarray:
-        """Largest window mean of each text; 0 for one without words."""
-        out = np.zeros(len(texts))
+        """Largest window mean of each text; NOTHING for one without words."""
+        out = np.full(len(texts), NOTHING)
         for i, j, offs, raw in slices(pc.utf8_lower(texts.cast(pa.large_string()))):
             offs, raw = folded(offs, raw)
             lo, hi, text = windows(offs, raw, self.words)
@@ -149,7 +151,8 @@ def train(texts: list[str], toxic: np.ndarray, words: tuple[int, ...] = (1, 2),
     seen = ~away if (~away).any() else away
     model = Model(weights([t for t, s in zip(texts, seen, strict=True) if s], toxic[seen], words, seed=seed, **more), words=words)
     x = model.worst(pa.array([t for t, s in zip(texts, away, strict=True) if s], pa.large_string()))
-    scale, bias = platt(x, toxic[away].astype(float))
+    some = x > NOTHING
+    scale, bias = platt(x[some], toxic[away][some].astype(float)) if some.any() else (0.0, -60.0)
     return Model(weights(texts, toxic, words, seed=seed, **more), scale, bias, words)
 
 
@@ -233,8 +236,11 @@ def fit(ids: list[np.ndarray], y: np.ndarray, dim: int, epochs: int, rate: float
             v += 0.001 * (g * g - v)
             q -= rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-10)
     e, w, _ = params
-    out = np.zeros(1 << BUCKET_BITS)
-    out[used] = e @ (w[:, 1] - w[:, 0])
+    own = e @ (w[:, 1] - w[:, 0])
+    mean = np.add.reduceat(own[flat], heads) / count
+    # a feature never met counts as clean as half the mean of clean windows
+    out = np.full(1 << BUCKET_BITS, min(0.0, float(mean[y == 0].mean()) / 2) if (y == 0).any() else 0.0)
+    out[used] = own
     return out
 
 

@@ -21,12 +21,12 @@ def corpus(n, seed, names=("aa", "bb", "cc")):
 def test_bags_and_scores_agree():
     rng = np.random.default_rng(0)
     texts = ["Çedilla über alles", "", "x", "?? !!", "one two, three", "É", None, "long" * 3000]
-    weight, bias = rng.normal(size=(1 << L.BUCKET_BITS, 3)), np.array([0.1, 0.2, 0.3])
-    got = L.Model(["a", "b", "c"], weight, bias).logits(pa.array(texts))
+    weight = rng.normal(size=(1 << L.BUCKET_BITS, 3))
+    got = L.Model(["a", "b", "c"], weight).logits(pa.array(texts))
     for row, text in zip(got, texts, strict=True):
         b = (text or "").lower().encode()
         ids, share = L.bag(L.folded(np.array([0, len(b)]), np.frombuffer(b, dtype=np.uint8))[1])
-        assert np.allclose(row, share @ weight[ids] + bias, atol=1e-5)
+        assert np.allclose(row, share @ weight[ids], atol=1e-5)
 
 
 def test_calibration_and_rejection():
