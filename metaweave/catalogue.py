@@ -12,11 +12,13 @@ from metaweave.operators import evaluate as V
 from metaweave.operators import harmonise as H
 from metaweave.operators import matrix as M
 from metaweave.operators import ontology as O
+from metaweave.operators import ranks as R
 from metaweave.operators import stats as S
 from metaweave.operators import text as T
 from metaweave.operators import walks as K
 from metaweave.operators.components import components
 from metaweave.plans import metapath, network
+from metaweave.session import saved
 from metaweave.views import Views, with_views
 
 FLAGSHIP = "metapath_2hop_dwpc_pruned"
@@ -571,26 +573,27 @@ def knn_cosine(v: Views) -> DataFrame:
 
 #: Ranks of all vectors, kept as far as the network's size allows.
 ALL_RANKS = "k AS (SELECT count(*) AS n, floor(count(*) * CASE WHEN count(*) < 25000 THEN 0.75 WHEN count(*) < 50000 THEN 0.5 WHEN count(*) < 75000 THEN 0.25 WHEN count(*) < 100000 THEN 0.1 ELSE 5000 / count(*) END)::BIGINT AS k FROM embeddings), r AS (SELECT q, nd, d, rank FROM (SELECT q, nd, d, row_number() OVER (PARTITION BY q ORDER BY d, nd) - 1 AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS nd, round({0}, 6) AS d FROM embeddings AS a, embeddings AS b)), k WHERE rank < k)"
-PV = "WITH " + ALL_RANKS.format(COS) + ", e AS (SELECT DISTINCT least(a.vec_id, b.vec_id) AS n1, greatest(a.vec_id, b.vec_id) AS n2 FROM embeddings AS a JOIN embeddings AS b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), p AS (SELECT e.n1, e.n2, coalesce(x.rank + 1, k + 1) / n AS p1, coalesce(y.rank + 1, k + 1) / n AS p2 FROM e CROSS JOIN k LEFT JOIN r AS x ON x.q = e.n1 AND x.nd = e.n2 LEFT JOIN r AS y ON y.q = e.n2 AND y.nd = e.n1) "
+# The pairs' distances and places are computed once for the pairs' ends, not joined out of all ranks.
+PV = f"""WITH k AS (SELECT count(*) AS n, floor(count(*) * CASE WHEN count(*) < 25000 THEN 0.75 WHEN count(*) < 50000 THEN 0.5 WHEN count(*) < 75000 THEN 0.25 WHEN count(*) < 100000 THEN 0.1 ELSE 5000 / count(*) END)::BIGINT AS k FROM embeddings),
+v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS u FROM embeddings),
+r AS MATERIALIZED (SELECT q, nd, same, row_number() OVER (PARTITION BY q ORDER BY d, nd) AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS nd, a.label = b.label AS same, round(1 - list_inner_product(a.u, b.u), 6) AS d FROM v AS a, v AS b)),
+e AS MATERIALIZED (SELECT q, nd, rank FROM r WHERE same AND q <> nd AND (q % 50 = 0 OR nd % 50 = 0)),
+p AS (SELECT a.q AS n1, a.nd AS n2, least(a.rank, k + 1) / n AS p1, least(b.rank, k + 1) / n AS p2 FROM e AS a JOIN e AS b ON a.q = b.nd AND a.nd = b.q, k WHERE a.q < a.nd) """
 
 
-def all_ranks(v: Views, metric: str) -> tuple[DataFrame, int, int]:
-    """Ranks of all vectors against all, how many vectors there are, how many places are kept."""
-    a = vectors(v)
-    n = a.count()
-    k = int(V.max_neighbours(n) * n) if n else 0
-    return V.nearest(a, a, k, metric), n, k
+def kept_places(v: Views) -> tuple[int, int]:
+    """How many vectors there are, and how many places of each are kept."""
+    n = vectors(v).count()
+    return n, int(V.max_neighbours(n) * n) if n else 0
 
 
 def pvalues(v: Views, strict: bool) -> DataFrame:
     """Every row divisible by 50 against all rows of its label, both places among all vectors."""
-    a = vectors(v)
-    n = a.count()
-    k = int(V.max_neighbours(n) * n) if n else 0
+    a, (n, k) = vectors(v), kept_places(v)
     one, other = a.filter("nd % 50 = 0").select(F.col("nd").alias("x"), "label"), a.select(F.col("nd").alias("y"), "label")
     e = one.join(other, "label").filter("x <> y").select(F.least("x", "y").alias("n1"), F.greatest("x", "y").alias("n2")).distinct()
     ends = e.select(F.col("n1").alias("q"), F.col("n2").alias("nd")).unionByName(e.select(F.col("n2").alias("q"), F.col("n1").alias("nd")))
-    near = V.places(ends, a, "cosine").filter(F.col("rank") < k)
+    near = saved(R.ranked(a, k, "cosine", asked=ends), "places")
     return V.rank_pvalues(e, near, n, k, strict).withColumn("p", F.round("p", 8))
 
 
@@ -607,7 +610,9 @@ def edge_rank_pvalue_strict(v: Views) -> DataFrame:
 @query("WITH r AS (" + KNN.format(L2, 100_000_000) + "), t AS (SELECT q AS nd, rank FROM r JOIN embeddings AS a ON a.vec_id = q JOIN embeddings AS b ON b.vec_id = r.nd WHERE a.label = b.label AND q <> r.nd), d AS (SELECT nd, count(*) AS degree FROM t GROUP BY nd) SELECT nd, err, round(avg((rank <= degree + err * (SELECT count(*) FROM embeddings))::INT), 6) AS share FROM t JOIN d USING (nd), (VALUES (0.0), (0.05), (0.1)) AS x(err) GROUP BY ALL")
 def pvalue_error_curve(v: Views) -> DataFrame:
     lab = vectors(v).select("nd", "label")
-    t = ranks(v, 100_000_000, "l2").join(lab.select(F.col("nd").alias("q"), F.col("label").alias("lq")), "q").join(lab, "nd").filter("lq = label AND q <> nd").select(F.col("q").alias("nd"), "rank")
+    a = vectors(v)
+    mates = lab.filter("nd % 50 = 0").withColumnRenamed("nd", "q").join(lab, "label").filter("q <> nd").select("q", "nd")
+    t = V.places(mates, a, "l2").select(F.col("q").alias("nd"), "rank")
     return V.error_curve(t, t.groupBy("nd").agg(F.count("*").alias("degree")), vectors(v).count(), [0.0, 0.05, 0.1]).withColumn("share", F.round("share", 6))
 
 
@@ -662,7 +667,14 @@ def walk_corpus_stats(v: Views) -> DataFrame:
     return K.corpus_stats(K.random_walks(heavy(v)), 20)
 
 
-@query()
+def typed_walks_sql(second: str) -> str:
+    """s2: start, rep, b1, b2 of three walks a customer along purchases and then the second view's edges, null where a walk is stuck."""
+    hop = lambda view: f"(SELECT n1 AS a, n2 AS b, row_number() OVER (PARTITION BY n1 ORDER BY n2) AS place, count(*) OVER (PARTITION BY n1) AS n FROM (SELECT DISTINCT n1, n2 FROM {view}))"
+    pick = lambda k: f"place = floor(('0x' || substr(md5('1|' || start || '|' || rep || '|{k}'), 1, 8))::BIGINT / 4294967296 * n) + 1"
+    return f", st AS (SELECT 'CUS:' || c_custkey AS start, unnest([1, 2, 3]) AS rep FROM customer), s1 AS (SELECT start, rep, b AS b1 FROM st LEFT JOIN {hop('cb')} ON a = start AND {pick(0)}), s2 AS (SELECT start, rep, b1, b AS b2 FROM s1 LEFT JOIN {hop(second)} ON a = b1 AND {pick(1)})"
+
+
+@query(f"{typed_walks_sql('ps')} SELECT start, rep, concat_ws(' ', 'c' || start, 'p' || b1, 's' || b2) AS walk FROM s2", "cb ps")
 def typed_walks(v: Views) -> DataFrame:
     """Walks along purchases and suppliers from every customer, ids prefixed by a letter for their type."""
     e = v.cus_buy_prt().select("n1", "n2", F.lit("buy").alias("metaedge")).unionByName(v.prt_sby_sup().select("n1", "n2", F.lit("sby").alias("metaedge")))

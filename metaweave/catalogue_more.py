@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaweave.catalogue import ALL_RANKS, COS, FREE, L2, LINKS, all_ranks, heavy, query, ren, vectors
+from metaweave.catalogue import ALL_RANKS, COS, FREE, L2, LINKS, heavy, kept_places, query, ren, typed_walks_sql, vectors
 from metaweave.operators import edges as E
 from metaweave.operators import evaluate as V
 from metaweave.operators import harmonise as H
 from metaweave.operators import matrix as M
 from metaweave.operators import nodes as N
 from metaweave.operators import ontology as O
+from metaweave.operators import ranks as R
+from metaweave.operators import skipgram as G
 from metaweave.operators import stats as S
 from metaweave.operators import swap as W
 from metaweave.operators import text as T
@@ -19,6 +21,7 @@ from metaweave.operators import validate as L
 from metaweave.operators import walks as K
 from metaweave.operators.components import components
 from metaweave.plans import network
+from metaweave.session import saved
 from metaweave.views import Views
 
 # --- filters and labels ----------------------------------------------------------------------------------------------
@@ -357,11 +360,15 @@ b AS (SELECT n1, repeat, kind, (sum(o) FILTER (label = 1) - count(*) FILTER (lab
 SELECT n1 AS nd, kind AS score, round(avg(auroc), 8) AS mean, round(min(auroc), 8) AS least FROM b GROUP BY ALL""")
 def roc_validation(v: Views) -> DataFrame:
     """Positives of each row divisible by 50 against three repeats of negatives, by distance and by both ends' places."""
-    a, e, (near, n, k) = vectors(v), mates(v), all_ranks(v, "l2")
+    a, e, (n, k) = vectors(v), mates(v), kept_places(v)
     p = L.positives(e)
     taken = e.unionByName(e.select("n1", F.col("n1").alias("n2")))
     neg = L.negatives(taken, p, a.select("nd"), 3)
-    scored = lambda pairs: L.four_scores(pairs, near, n, k)
+    far = saved(L.farthest(R.ranked(a, k, what="sums")), "far")
+    pairs = saved(p.select("n1", "n2", F.lit(0).alias("repeat")).unionByName(neg.select("n1", "n2", "repeat")), "pairs")
+    ends = pairs.select(F.col("n1").alias("q"), F.col("n2").alias("nd")).unionByName(pairs.select(F.col("n2").alias("q"), F.col("n1").alias("nd")))
+    near = saved(R.ranked(a, k, asked=ends), "places")
+    scored = lambda pairs: L.four_scores(pairs, near, far, n, k)
     out = L.bootstrap_auroc(scored(p.select("n1", "n2")), scored(neg.select("n1", "n2", "repeat")), ["dist", "gmean", "least", "most"])
     return out.select("nd", "score", F.round("mean", 8).alias("mean"), F.round("least", 8).alias("least"))
 
@@ -410,3 +417,108 @@ def realigned_vectors(v: Views) -> DataFrame:
 @query()
 def near_duplicates_lsh(v: Views) -> DataFrame:
     return N.without_near_duplicates(vectors(v).select("nd", F.col("v").cast("array<double>").alias("v")), 64)
+
+
+# --- characterisation by other datasets ------------------------------------------------------------------------------
+
+LADDER = "clo AS (SELECT vec_id AS node, vec_id AS anc FROM embeddings UNION SELECT vec_id, vec_id - vec_id % 10 FROM embeddings UNION SELECT vec_id, vec_id - vec_id % 100 FROM embeddings)"
+NEAR_IDS = "kn AS (SELECT DISTINCT a.vec_id AS n1, b.vec_id AS n2, (26 - (b.vec_id - a.vec_id))::DOUBLE AS w FROM embeddings AS a JOIN embeddings AS b ON a.label = b.label AND b.vec_id - a.vec_id BETWEEN 1 AND 25)"
+AREA = "round((sum(o) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 8) AS auroc"
+
+
+def near_ids(v: Views) -> DataFrame:
+    """n1, n2, w: equal labels up to 25 ids apart, the nearer the heavier."""
+    a = vectors(v)
+    ahead = a.select(F.col("nd").alias("n1"), "label", F.explode(F.sequence(F.col("nd") + 1, F.col("nd") + 25)).alias("n2"))
+    return ahead.join(a.select(F.col("nd").alias("n2"), "label"), ["n2", "label"]).select("n1", "n2", (26 - (F.col("n2") - F.col("n1"))).cast("double").alias("w"))
+
+
+def scored_pairs(v: Views) -> DataFrame:
+    """Every row divisible by 50 against all others, the nearer the higher."""
+    a = vectors(v)
+    return V.distances(a.filter("nd % 50 = 0"), a, "l2").filter("q <> nd").select(F.col("q").alias("n1"), F.col("nd").alias("n2"), (-F.col("d")).alias("score"))
+
+
+@query(f"""WITH {PAIRS_SCORED}, {NEAR_IDS}, {LADDER}, up AS (SELECT DISTINCT p.anc AS n1, q.anc AS n2 FROM kn JOIN clo AS p ON p.node = kn.n1 JOIN clo AS q ON q.node = kn.n2 WHERE p.anc <> kn.n1 OR q.anc <> kn.n2),
+ke AS (SELECT n1, n2 FROM kn ANTI JOIN up USING (n1, n2)), ei AS (SELECT n1, n2 FROM ke UNION SELECT n2, n1 FROM ke), l AS (SELECT score, (ei.n1 IS NOT NULL)::INT AS label FROM sc LEFT JOIN ei ON ei.n1 = sc.n1 AND ei.n2 = sc.n2),
+o AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS o FROM l)
+SELECT {AREA}, (SELECT count(*) FROM kn) AS n_known, (SELECT count(*) FROM kn) AS n_covered, (SELECT count(*) FROM ke) AS n_kept, 1.0::DOUBLE AS coverage FROM o""")
+def characterise_metanode(v: Views) -> DataFrame:
+    """Curated pairs of one node type, depropagated over a hierarchy of ids, tens and hundreds, against distances."""
+    a = vectors(v)
+    nd = F.col("nd")
+    tens, hundreds = nd - nd % 10, nd - nd % 100
+    h = a.select(nd.alias("child"), tens.alias("parent")).unionByName(a.select(tens.alias("child"), hundreds.alias("parent"))).filter("child <> parent")
+    ends = O.closure(h)
+    alone = a.select(nd.alias("node"), nd.alias("anc"))
+    out = L.metanode_characterised(a.select("nd"), near_ids(v), scored_pairs(v), ends.unionByName(alone).distinct())
+    return out.withColumn("auroc", F.round("auroc", 8))
+
+
+@query(f"""WITH {PAIRS_SCORED}, {NEAR_IDS}, b AS (SELECT n1, n2, w FROM kn UNION ALL SELECT n2, n1, w FROM kn), r AS (SELECT *, row_number() OVER (PARTITION BY n1 ORDER BY w DESC) - 1 AS k, count(*) OVER (PARTITION BY n1) AS n FROM b),
+c AS (SELECT tier, n1, n2, w, max(w) FILTER (k = greatest(0, floor(n * share) - 1)) OVER (PARTITION BY tier, n1) AS cut FROM r, (VALUES ('max', 0.0), ('quarter', 0.25), ('half', 0.5), ('all', 1.0)) AS t(tier, share)),
+ti AS (SELECT DISTINCT tier, n1, n2 FROM c WHERE w >= cut), l AS (SELECT t.tier, score, (ti.n1 IS NOT NULL)::INT AS label FROM sc CROSS JOIN (VALUES ('max'), ('quarter'), ('half'), ('all')) AS t(tier) LEFT JOIN ti ON ti.tier = t.tier AND ti.n1 = sc.n1 AND ti.n2 = sc.n2),
+o AS (SELECT *, rank() OVER (PARTITION BY tier ORDER BY score) + (count(*) OVER (PARTITION BY tier, score) - 1) / 2 AS o FROM l), e AS (SELECT n1 AS nd FROM kn UNION SELECT n2 FROM kn),
+a AS (SELECT tier, {AREA} FROM o GROUP BY tier)
+SELECT a.tier, auroc, (SELECT count(*) FROM ti WHERE ti.tier = a.tier) AS pairs, round((SELECT count(*) FROM e) / (SELECT count(DISTINCT vec_id) FROM embeddings), 8) AS nodes_cov, 1.0::DOUBLE AS val_nodes_cov, 1.0::DOUBLE AS val_edges_cov FROM a""")
+def characterise_intra(v: Views) -> DataFrame:
+    """Another dataset of the same pairs, tier by tier of its weights, against distances."""
+    out = L.intra_characterised(vectors(v).select("nd"), near_ids(v), scored_pairs(v), {"max": 0.0, "quarter": 0.25, "half": 0.5, "all": 1.0})
+    return out.withColumns({c: F.round(c, 8) for c in ("auroc", "nodes_cov", "val_nodes_cov", "val_edges_cov")})
+
+
+@query(", g AS (SELECT g, 'PGN:' || substr(sha256(string_agg(m, '|' ORDER BY m)), 1, 16) AS node FROM mem GROUP BY g), h AS (SELECT DISTINCT node, m FROM mem JOIN g USING (g)) SELECT 'has' AS metaedge, node AS n1, m AS n2 FROM h UNION ALL SELECT DISTINCT 'hits', node, ps.n2 FROM h JOIN ps ON ps.n1 = h.m", "mem ps")
+def perturbation_edges(v: Views) -> DataFrame:
+    """Orders as sets of parts: equal sets are one node, joined to its parts and to all their suppliers."""
+    hits = v.prt_sby_sup().select(F.col("n1").alias("m"), F.col("n2").alias("cell"))
+    return N.perturbations(v.together(), "g", "m", hits, "cell")
+
+
+@query("""WITH x AS (SELECT 'place' AS kind, 'NAT:' || n_nationkey AS nd FROM nation WHERE n_regionkey IN (0, 1) AND n_nationkey <> 3 UNION ALL SELECT 'place', 'REG:' || r_regionkey FROM region WHERE r_regionkey IN (0, 1)
+UNION ALL SELECT 'party', 'CUS:' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2 AND n_nationkey <> 8 UNION ALL SELECT 'party', 'SUP:' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2
+UNION ALL SELECT 'thing', 'TYP:' || p_type FROM part UNION ALL SELECT 'thing', 'PRT:' || p_partkey FROM part WHERE p_brand = 'Brand#11')
+SELECT DISTINCT kind, nd FROM x""")
+def universes_by_rule(v: Views) -> DataFrame:
+    """Three node types from four vocabularies: below roots, without subtrees, of a namespace, the union of several."""
+    edge = lambda table, kind, key, to: v.t(table).select(v.id(kind, key).alias("child"), v.id("NAT", to).alias("parent"))
+    closures = {"places": O.closure(v.places()), "customers": O.closure(v.places().unionByName(edge("customer", "CUS", "c_custkey", "c_nationkey"))), "suppliers": O.closure(v.places().unionByName(edge("supplier", "SUP", "s_suppkey", "s_nationkey"))), "parts": O.closure(v.parts())}
+    table = O.vocabularies(closures)
+    spaces = table.select("node", F.substring("node", 1, 3).alias("namespace")).distinct()
+    rules = [
+        O.Rule("place", "places", ("REG:0", "REG:1"), ("NAT:3",)),
+        O.Rule("party", "customers", ("REG:2",), ("NAT:8",), "CUS"),
+        O.Rule("party", "suppliers", ("REG:2",), namespace="SUP"),
+        O.Rule("thing", "parts", namespace="TYP"),
+        O.Rule("thing", "parts", ("BRD:Brand#11",), with_roots=False),
+    ]
+    return O.universes(rules, table, spaces)
+
+
+# --- walks that end early --------------------------------------------------------------------------------------------
+
+
+def stuck_walks(v: Views) -> DataFrame:
+    """Walks from customers over purchases to suppliers of parts returned in lots of 45 and more; customers without orders and other parts end them."""
+    lots = v.t("lineitem").filter("l_returnflag = 'R' AND l_quantity >= 45").select(v.id("PRT", "l_partkey").alias("n1"), v.id("SUP", "l_suppkey").alias("n2")).distinct()
+    e = v.cus_buy_prt().select("n1", "n2", F.lit("buy").alias("metaedge")).unionByName(lots.withColumn("metaedge", F.lit("sby")))
+    return K.typed_walks(e, ["buy", "sby"], v.t("customer").select(v.id("CUS", "c_custkey").alias("nd")), 3)
+
+
+LOTS = "(SELECT 'PRT:' || l_partkey AS n1, 'SUP:' || l_suppkey AS n2 FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)"
+STUCK = typed_walks_sql(LOTS) + ", z AS (SELECT start, rep, 1 + (b1 IS NOT NULL)::INT + (b2 IS NOT NULL)::INT AS n FROM s2)"
+
+
+@query(f"{STUCK} SELECT CASE WHEN n < 2 THEN 3 ELSE 4 END AS quarter, CASE WHEN n < 2 THEN 2 ELSE 3 END AS below, count(*) AS walks, count(DISTINCT start) AS nodes FROM z WHERE n < 3 GROUP BY ALL", "cb")
+def walk_interruptions(v: Views) -> DataFrame:
+    return K.interruptions(stuck_walks(v), 3)
+
+
+@query(f"{STUCK} SELECT start AS nd, count(*) AS walks, rank() OVER (ORDER BY count(*) DESC) AS place FROM z WHERE n < 3 GROUP BY start", "cb")
+def interrupted_nodes(v: Views) -> DataFrame:
+    return K.interrupted_nodes(stuck_walks(v), 3)
+
+
+@query()
+def skipgram_vectors(v: Views) -> DataFrame:
+    """Skip-gram with negative samples over walks on all purchases."""
+    return G.skip_gram(K.random_walks(v.cus_buy_prt()))

@@ -46,6 +46,19 @@ def hyper_nodes(members: DataFrame, group: str, member: str, prefix: str = "PGN"
     return g.select(group, F.concat(F.lit(f"{prefix}:"), F.substring(F.sha2(F.array_join("m", "|"), 256), 1, 16)).alias("node"))
 
 
+def perturbations(members: DataFrame, group: str, member: str, hits: DataFrame, cell: str, prefix: str = "PGN") -> DataFrame:
+    """metaedge, n1, n2: groups of members as nodes with their edges: to each member (`has`) and to every cell (`hits`) that any member hits.
+
+    hits: member, cell. Equal groups are one node with the edges of either; a null member or cell has no edge.
+    """
+    known = members.select(F.col(group).alias("__g"), F.col(member).alias("__m")).filter("__g IS NOT NULL AND __m IS NOT NULL").distinct()
+    node = hyper_nodes(known, "__g", "__m", prefix, 1)
+    own = known.join(node, "__g").select(F.col("node").alias("n1"), "__m").distinct()
+    cells = hits.select(F.col(member).alias("__m"), F.col(cell).alias("n2")).filter("n2 IS NOT NULL").distinct()
+    to = own.join(cells, "__m").select(F.lit("hits").alias("metaedge"), "n1", "n2").distinct()
+    return own.select(F.lit("has").alias("metaedge"), "n1", F.col("__m").alias("n2")).unionByName(to)
+
+
 def crowded(df: DataFrame, by: str, least: int = 2) -> DataFrame:
     """The rows of groups of so many rows or more."""
     keep = df.groupBy(by).agg(F.count("*").alias("n")).filter(F.col("n") >= least)

@@ -2,27 +2,52 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaweave.session import saved
+from metaweave.session import drop, saved
 
 
-def closure(h: DataFrame, limit: int = 64) -> DataFrame:
-    """node, anc: every ancestor, the node itself included, by doubling path lengths; a cycle raises an error."""
-    h = h.select(F.col("child").alias("node"), F.col("parent").alias("anc")).filter("node <> anc").distinct()
+def _reached(h: DataFrame, limit: int) -> DataFrame:
+    """node, anc: every pair joined by a path of one step or more, by doubling path lengths; a node of a cycle reaches itself."""
     known = saved(h, "closure")
     n = known.count()
     for _ in range(limit):
         step = known.join(known.select(F.col("node").alias("anc"), F.col("anc").alias("top")), "anc").select("node", F.col("top").alias("anc"))
-        known = saved(known.unionByName(step).distinct(), "closure")
-        if not known.filter("node = anc").isEmpty():
-            raise ValueError("the hierarchy has a cycle")
+        old, known = known, saved(known.unionByName(step).distinct(), "closure")
+        drop(old)
         if (m := known.count()) == n:
             break
         n = m
+    return known
+
+
+def cyclic(h: DataFrame, limit: int = 64) -> DataFrame:
+    """node, part: the terms (child, parent) that lie on a cycle, and the least term of their strongly connected part: terms that reach each other."""
+    h = h.select(F.col("child").alias("node"), F.col("parent").alias("anc")).filter("node <> anc").distinct()
+    known = _reached(h, limit)
+    back = known.select(F.col("anc").alias("node"), F.col("node").alias("anc"))
+    return known.join(back, ["node", "anc"]).groupBy("node").agg(F.min("anc").alias("part"))
+
+
+def closure(h: DataFrame, limit: int = 64, cycles: str = "skip") -> DataFrame:
+    """node, anc: every ancestor, the node itself included.
+
+    Terms on a cycle are skipped with a warning, with their own links, and the rest is closed; cycles="raise" raises instead.
+    """
+    h = h.select(F.col("child").alias("node"), F.col("parent").alias("anc")).filter("node <> anc").distinct()
+    known = _reached(h, limit)
+    loops = saved(known.filter("node = anc").select("node"), "cyclic")
+    if n := loops.count():
+        if cycles == "raise":
+            raise ValueError("the hierarchy has a cycle")
+        warnings.warn(f"{n} terms lie on cycles and are skipped", stacklevel=2)
+        h = h.join(loops, "node", "left_anti").join(loops.select(F.col("node").alias("anc")), "anc", "left_anti").select("node", "anc")
+        known = _reached(h, limit)
     ids = h.select("node").unionByName(h.select(F.col("anc").alias("node"))).distinct()
     return known.unionByName(ids.select("node", F.col("node").alias("anc")))
 
@@ -110,3 +135,35 @@ def youngest(nodes: DataFrame, c: DataFrame) -> DataFrame:
     """The nodes of a set that have no descendant in it."""
     up = nodes.join(c, "node").filter("node <> anc").select(F.col("anc").alias("node"))
     return nodes.join(up, "node", "left_anti")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Which terms of one vocabulary are nodes of a type: those below roots (all terms without any), of a namespace if one is named, without whole subtrees."""
+
+    kind: str
+    vocabulary: str
+    roots: tuple[str, ...] = ()
+    skip: tuple[str, ...] = ()
+    namespace: str | None = None
+    with_roots: bool = True
+
+
+def universes(rules: Sequence[Rule], table: DataFrame, spaces: DataFrame | None = None) -> DataFrame:
+    """kind, nd: the union of the rules' terms by type; table: otgy, node, anc (closures), spaces: node, namespace.
+
+    A rule for a vocabulary or root that the table lacks gives no term; a term under several rules of a type counts once.
+    """
+    if not rules:
+        return table.select(F.lit("").alias("kind"), F.col("node").alias("nd")).limit(0)
+    out = None
+    for r in rules:
+        own = table.filter(F.col("otgy") == r.vocabulary).select("node", "anc")
+        nd = descendants(own, r.roots, r.skip, r.with_roots) if r.roots else own.select("node").distinct()
+        if r.skip and not r.roots:
+            nd = nd.join(own.filter(F.col("anc").isin(list(r.skip))).select("node"), "node", "left_anti")
+        if r.namespace is not None:
+            nd = nd.join(spaces.filter(F.col("namespace") == r.namespace).select("node"), "node", "left_semi")
+        nd = nd.select(F.lit(r.kind).alias("kind"), F.col("node").alias("nd"))
+        out = nd if out is None else out.unionByName(nd)
+    return out.distinct()
