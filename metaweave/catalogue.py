@@ -371,16 +371,13 @@ def metapath_norm_prune(v: Views) -> DataFrame:
 # --- graphs ----------------------------------------------------------------------------------------------------------
 
 
-LINKS = "e AS (SELECT n1 AS a, n2 AS b FROM cb WHERE w >= 45), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), re AS (SELECT a AS node, a AS seen FROM u UNION SELECT re.node, u.b FROM re JOIN u ON u.a = re.seen)"
-
-
-def heavy(v: Views) -> DataFrame:
-    return v.cus_buy_prt().filter("w >= 45")
+# One row a node, whose least reachable id falls until nothing changes.
+LINKS = "e AS (SELECT n1 AS a, n2 AS b FROM cb), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), re(node, seen) USING KEY (node) AS (SELECT a, a FROM u GROUP BY a UNION SELECT u.b, min(re.seen) FROM re JOIN u ON u.a = re.node JOIN recurring.re AS k ON k.node = u.b WHERE re.seen < k.seen GROUP BY u.b)"
 
 
 @query(f", {LINKS} SELECT node, min(seen) AS component FROM re GROUP BY node", "cb")
 def connected_components(v: Views) -> DataFrame:
-    return components(ren(heavy(v), n1="a", n2="b"))
+    return components(ren(v.cus_buy_prt(), n1="a", n2="b"))
 
 
 @query(f""", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node),
@@ -388,7 +385,7 @@ s AS (SELECT component, count(*) AS n, count(*) FILTER (node LIKE 'CUS%') / (SEL
 k AS (SELECT component, row_number() OVER (ORDER BY n DESC, component) AS number FROM s WHERE n = (SELECT max(n) FROM s) OR (fr >= 0.005 AND fc >= 0.005))
 SELECT node AS id, number AS component FROM co JOIN k USING (component)""", "cb")
 def component_retention(v: Views) -> DataFrame:
-    return network.retained(M.matrix(heavy(v)), 0.005)
+    return network.retained(M.matrix(v.cus_buy_prt()), 0.005)
 
 
 @query(", n AS (SELECT DISTINCT n1 AS nd, 0 AS s FROM cb UNION SELECT DISTINCT n2, 1 FROM cb), d AS (SELECT nd, count(*) AS degree FROM (SELECT n1 AS nd FROM cb UNION ALL SELECT n2 FROM cb) GROUP BY nd) SELECT n.nd, row_number() OVER (ORDER BY s, n.nd) AS id, degree FROM n JOIN d ON d.nd = n.nd", "cb")
@@ -430,7 +427,7 @@ t AS (SELECT row_number() OVER w AS k, sum(n) OVER w / (SELECT sum(n) FROM s) AS
 z AS (SELECT k, y, coalesce(lag(y) OVER (ORDER BY k), 0) AS b FROM t)
 SELECT round(max(CASE WHEN k = 1 THEN y END), 6) AS c1, round(CASE WHEN count(*) = 1 THEN 1 ELSE sum((y + b) / 2) / (count(*) + 1) END, 6) AS auc FROM z""", "cb")
 def coverage_auc(v: Views) -> DataFrame:
-    return S.component_coverage(components(ren(heavy(v), n1="a", n2="b")).withColumn("kind", F.lit("all"))).select(F.round("c1", 6).alias("c1"), F.round("auc", 6).alias("auc"))
+    return S.component_coverage(components(ren(v.cus_buy_prt(), n1="a", n2="b")).withColumn("kind", F.lit("all"))).select(F.round("c1", 6).alias("c1"), F.round("auc", 6).alias("auc"))
 
 
 # --- measurements ----------------------------------------------------------------------------------------------------
@@ -650,7 +647,7 @@ def neg_sampling_hash(v: Views) -> DataFrame:
     return V.negatives(v.cus_buy_prt(), 11)
 
 
-WALKS = """, e AS (SELECT n1, n2, w FROM cb WHERE w >= 45), b AS (SELECT n1 AS a, n2 AS b, w FROM e UNION ALL SELECT n2, n1, w FROM e), g AS (SELECT a, b, sum(w) AS w FROM b GROUP BY ALL),
+WALKS = """, e AS (SELECT n1, n2, w FROM cb), b AS (SELECT n1 AS a, n2 AS b, w FROM e UNION ALL SELECT n2, n1, w FROM e), g AS (SELECT a, b, sum(w) AS w FROM b GROUP BY ALL),
 s AS (SELECT a, b, sum(w) OVER o / sum(w) OVER p AS hi, sum(w) OVER o / sum(w) OVER p - w / sum(w) OVER p AS lo FROM g WINDOW o AS (PARTITION BY a ORDER BY b ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY a)),
 wk AS (SELECT a AS start, unnest(range(1, 11)) AS rep, [a] AS walk, 1 AS k FROM (SELECT DISTINCT a FROM s) UNION ALL
 SELECT start, rep, list_append(walk, b), k + 1 FROM wk JOIN s ON s.a = walk[-1] WHERE k < 20 AND ('0x' || substr(md5('1|' || start || '|' || rep || '|' || k), 1, 8))::BIGINT / 4294967296 >= lo AND ('0x' || substr(md5('1|' || start || '|' || rep || '|' || k), 1, 8))::BIGINT / 4294967296 < hi),
@@ -659,12 +656,12 @@ walks AS (SELECT start, rep, walk FROM wk WHERE k = 20)"""
 
 @query(f"{WALKS} SELECT start, rep, array_to_string(walk, ' ') AS walk FROM walks", "cb")
 def random_walks(v: Views) -> DataFrame:
-    return K.random_walks(heavy(v)).withColumn("walk", F.array_join("walk", " "))
+    return K.random_walks(v.cus_buy_prt()).withColumn("walk", F.array_join("walk", " "))
 
 
 @query(f"{WALKS}, x AS (SELECT unnest(walk) AS x FROM walks) SELECT (SELECT count(DISTINCT start) FROM walks) AS sources, (SELECT count(*) FROM walks) AS walks, 0::BIGINT AS interrupted, (SELECT count(*) FROM x) AS words, (SELECT count(DISTINCT x) FROM x) AS vocabulary", "cb")
 def walk_corpus_stats(v: Views) -> DataFrame:
-    return K.corpus_stats(K.random_walks(heavy(v)), 20)
+    return K.corpus_stats(K.random_walks(v.cus_buy_prt()), 20)
 
 
 def typed_walks_sql(second: str) -> str:
@@ -684,4 +681,4 @@ def typed_walks(v: Views) -> DataFrame:
 
 @query()
 def word2vec_vectors(v: Views) -> DataFrame:
-    return K.skip_gram(K.random_walks(heavy(v)))
+    return K.skip_gram(K.random_walks(v.cus_buy_prt()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaweave.catalogue import ALL_RANKS, COS, FREE, L2, LINKS, heavy, kept_places, query, ren, typed_walks_sql, vectors
+from metaweave.catalogue import ALL_RANKS, COS, FREE, L2, LINKS, kept_places, query, ren, typed_walks_sql, vectors
 from metaweave.operators import edges as E
 from metaweave.operators import evaluate as V
 from metaweave.operators import harmonise as H
@@ -183,12 +183,12 @@ def weighted_ranking(v: Views) -> DataFrame:
 
 @query(f", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node), s AS (SELECT component, count(*) AS n FROM co GROUP BY component), c AS (SELECT *, row_number() OVER (ORDER BY n DESC, component) AS number, coalesce(sum(n) OVER (ORDER BY n DESC, component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM s) SELECT component, n, number FROM c WHERE before < 0.9 * total", "cb")
 def components_until_covered(v: Views) -> DataFrame:
-    return N.until_covered(components(ren(heavy(v), n1="a", n2="b")), 0.9)
+    return N.until_covered(components(ren(v.cus_buy_prt(), n1="a", n2="b")), 0.9)
 
 
-@query(f", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node), b AS (SELECT component FROM co GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT n1, n2, w FROM cb WHERE w >= 45 AND n1 IN (SELECT node FROM co JOIN b USING (component))", "cb")
+@query(f", {LINKS}, co AS (SELECT node, min(seen) AS component FROM re GROUP BY node), b AS (SELECT component FROM co GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT n1, n2, w FROM cb WHERE n1 IN (SELECT node FROM co JOIN b USING (component))", "cb")
 def largest_component_edges(v: Views) -> DataFrame:
-    return N.largest_component(heavy(v))
+    return N.largest_component(v.cus_buy_prt())
 
 
 @query("SELECT nd, string_agg(o, ',' ORDER BY o) AS neighbours, sum(w) AS w FROM (SELECT n1 AS nd, n2 AS o, w FROM cb UNION ALL SELECT n2, n1, w FROM cb) GROUP BY nd", "cb")
@@ -212,15 +212,15 @@ def walker_memory(v: Views) -> DataFrame:
     return N.walker_bytes(v.cus_buy_prt())
 
 
-@query("SELECT nd, 1::BIGINT AS n FROM (SELECT n1 AS nd FROM cb WHERE w >= 45 UNION SELECT n2 FROM cb WHERE w >= 45) WHERE nd LIKE '%7'", "cb")
+@query("SELECT nd, 1::BIGINT AS n FROM (SELECT n1 AS nd FROM cb UNION SELECT n2 FROM cb) WHERE nd LIKE '%7'", "cb")
 def walk_check(v: Views) -> DataFrame:
     """The check of a corpus that has lost the second walk of every node whose id ends in 7."""
-    e = heavy(v)
+    e = v.cus_buy_prt()
     walks = K.random_walks(e, 2, 4).filter("NOT (start LIKE '%7' AND rep = 2)")
     return N.walk_check(walks, e.select(F.explode(F.array("n1", "n2")).alias("nd")), 2)
 
 
-@query(f""", {LINKS}, co AS (SELECT node, left(node, 3) AS kind, min(seen) AS component FROM re GROUP BY node), ed AS (SELECT n1, n2, w FROM cb WHERE w >= 45),
+@query(f""", {LINKS}, co AS (SELECT node, left(node, 3) AS kind, min(seen) AS component FROM re GROUP BY node), ed AS (SELECT n1, n2, w FROM cb),
 nn AS (SELECT nd, left(nd, 3) AS kind, count(*) AS degree, quantile_cont(w, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM (SELECT n1 AS nd, w FROM ed UNION ALL SELECT n2, w FROM ed) GROUP BY nd),
 ds AS (SELECT kind, 'degree' AS what, degree::DOUBLE AS x FROM nn UNION ALL SELECT kind, 'weight_q' || ((i - 1) * 25), q[i]::DOUBLE FROM nn, range(1, 6) AS r(i)),
 st AS (SELECT kind, what, avg(x) AS mean, min(x) AS min, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75, max(x) AS max FROM ds GROUP BY ALL),
@@ -234,7 +234,7 @@ al AS (SELECT 'edges' AS name, count(*)::DOUBLE AS value FROM ed UNION ALL SELEC
   UNION ALL SELECT what || ':' || kind || ':' || stat, value FROM (UNPIVOT st ON mean, min, q25, q50, q75, max INTO NAME stat VALUE value))
 SELECT name, round(value, 6) AS value FROM al""", "cb")
 def network_statistics(v: Views) -> DataFrame:
-    e = heavy(v)
+    e = v.cus_buy_prt()
     comp = components(ren(e, n1="a", n2="b")).withColumn("kind", F.substring("node", 1, 3))
     return S.network_stats(e, comp).select("name", F.round("value", 6).alias("value"))
 
