@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .numbering import running_total
+
 
 def merge_replicates(m: DataFrame, how: str = "avg") -> DataFrame:
     return m.groupBy("sample", "feature").agg({"avg": F.avg, "median": F.median, "max": F.max, "min": F.min}[how]("value").alias("value"))
@@ -56,7 +58,7 @@ def ecdf_standardised(m: DataFrame) -> DataFrame:
     # the global distribution from counts of distinct values, so that no task sorts all cells
     counts = f.groupBy("p").agg(F.count("*").alias("n"))
     total = f.agg(F.count("*").alias("total"))
-    cum = counts.withColumn("cum", F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(total))
+    cum = running_total(counts, "p", "n", "cum").crossJoin(F.broadcast(total))  # total: one row
     return f.join(cum.select("p", (F.col("cum") / F.col("total")).alias("value_")), "p").select("sample", "feature", F.col("value_").alias("value"))
 
 

@@ -29,6 +29,16 @@ def numbered(df: DataFrame, by: list[str], out: str) -> DataFrame:
     return rows.join(F.broadcast(starts), part).withColumn(out, F.col("__start") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, out)
 
 
+def running_total(df: DataFrame, by: str, n: str, out: str) -> DataFrame:
+    """df with the sum of n over the rows up to each in the order of by, which tells rows apart: by range, each summed by its task from where those before end."""
+    part = "__part"
+    rows = saved(df.repartitionByRange(F.col(by)).withColumn(part, F.spark_partition_id()), "ranges")
+    ends = rows.groupBy(part).agg(F.sum(n).alias("__n"))  # a row for each task
+    starts = ends.select(part, (F.sum("__n").over(Window.orderBy(part)) - F.col("__n")).alias("__start"))
+    own = F.sum(n).over(Window.partitionBy(part).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__own", own).join(F.broadcast(starts), part).withColumn(out, F.col("__start") + F.col("__own")).select(*df.columns, out)
+
+
 #: Places or gaps of one source that are put in order by one task; a hub's are dealt into spans of so many.
 SPAN = 1 << 16
 

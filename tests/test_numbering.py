@@ -37,3 +37,13 @@ def test_negatives_of_a_hub(spark):
     neg = evaluate.negatives(e, 1)
     count = {r.n1: (r.n, r.d) for r in neg.groupBy("n1").agg(F.count("*").alias("n"), F.count_distinct("n2").alias("d")).collect()}
     assert count["hub"] == (n, n) and count["other"] == (10, 10) and neg.join(e, ["n1", "n2"], "left_semi").count() == 0
+
+
+def test_running_totals_over_ranges(spark):
+    rng = np.random.default_rng(9)
+    keys = rng.permutation(3000)
+    df = spark.createDataFrame([(int(k), int(k) % 7) for k in keys], "k long, n long").repartition(6)
+    got = {r.k: r.total for r in numbering.running_total(df, "k", "n", "total").collect()}
+    want = np.cumsum([k % 7 for k in range(3000)])
+    assert got == {k: int(want[k]) for k in range(3000)}
+    assert numbering.running_total(df.limit(0), "k", "n", "total").count() == 0
