@@ -522,3 +522,29 @@ def interrupted_nodes(v: Views) -> DataFrame:
 def skipgram_vectors(v: Views) -> DataFrame:
     """Skip-gram with negative samples over walks on all purchases."""
     return G.skip_gram(K.random_walks(v.cus_buy_prt()))
+
+
+# --- cross references ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH raw AS (SELECT 'customers' AS source, 'ORPHA:' || c_custkey AS n1, c_nationkey AS k FROM customer UNION ALL SELECT 'suppliers', 'UMLS:' || s_suppkey, s_nationkey FROM supplier)
+SELECT DISTINCT source, n1, 'DOID:' || CASE WHEN k % 2 = 1 THEN k - 1 ELSE k END AS n2 FROM raw""")
+def xref_normalised_sources(v: Views) -> DataFrame:
+    """Two sources with ids written in their own ways; every odd id of the reference is an alternative of the one before."""
+    c = v.t("customer").select(F.concat(F.lit("Orphanet_"), F.col("c_custkey").cast("string")).alias("n1"), F.concat(F.lit("doid:"), F.col("c_nationkey").cast("string")).alias("n2"))
+    s = v.t("supplier").select(F.concat(F.lit("umls_cui:"), F.col("s_suppkey").cast("string")).alias("n1"), F.concat(F.lit("DOID_"), F.col("s_nationkey").cast("string")).alias("n2"))
+    odd = v.t("nation").filter("n_nationkey % 2 = 1").select(v.id("DOID", "n_nationkey").alias("src"), F.concat(F.lit("DOID:"), (F.col("n_nationkey") - 1).cast("string")).alias("dst"))
+    return E.cross_references({"customers": c, "suppliers": s}, odd)
+
+
+@query("""WITH c AS (SELECT 'CUS:' || c_custkey AS n1, 'NAT:' || c_nationkey AS n2 FROM customer WHERE c_custkey % 3 = 0), p AS (SELECT 'CUS:' || c_custkey AS n1, 'NAT:' || (c_custkey % 25) AS n2, round(1 - 1 / (1 + c_custkey % 7), 6) AS score FROM customer)
+SELECT n1, n2, 'curated' AS evidence, 1.0::DOUBLE AS score FROM c UNION ALL SELECT n1, n2, 'predicted', score FROM p WHERE n1 NOT IN (SELECT n1 FROM c)""")
+def xref_assembly(v: Views) -> DataFrame:
+    """Curated pairs written either way round and some within one vocabulary, over predicted ones."""
+    t = v.t("customer")
+    cus, nat = v.id("CUS", "c_custkey"), v.id("NAT", "c_nationkey")
+    some = t.filter("c_custkey % 3 = 0")
+    curated = some.filter("c_custkey % 2 = 0").select(cus.alias("n1"), nat.alias("n2")).unionByName(some.filter("c_custkey % 2 = 1").select(nat.alias("n1"), cus.alias("n2")))
+    curated = curated.unionByName(t.select(cus.alias("n1"), F.concat(F.lit("CUS:"), (F.col("c_custkey") + 1).cast("string")).alias("n2")))
+    predicted = t.select(F.concat(F.lit("NAT:"), (F.col("c_custkey") % 25).cast("string")).alias("n1"), cus.alias("n2"), (1 / (1 + F.col("c_custkey") % 7)).alias("dist"))
+    return T.assembled_xrefs(curated, predicted, "NAT").withColumn("score", F.round("score", 6))

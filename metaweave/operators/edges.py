@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +77,26 @@ def normalise_id(column: Column) -> Column:
     return out
 
 
+def normalised(e: DataFrame, columns: Sequence[str], alt: DataFrame | None = None) -> DataFrame:
+    """Raw ids of the columns normalised, alternative ids (alt: src, dst, both normalised) replaced by their term's; rows with an id of no known vocabulary go."""
+    out = e
+    for c in columns:
+        out = out.withColumn(c, normalise_id(F.col(c))).filter(F.col(c).isNotNull())
+        if alt is not None:
+            one = alt.groupBy(F.col("src").alias(c)).agg(F.min("dst").alias("__main"))
+            out = out.join(one, c, "left").withColumn(c, F.coalesce("__main", c)).drop("__main")
+    return out.select(*e.columns)
+
+
+def cross_references(sources: Mapping[str, DataFrame], alt: DataFrame | None = None) -> DataFrame:
+    """source, n1, n2: the pairs of several sources through one normalisation, each once a source, without pairs of an id with itself."""
+    out = None
+    for name, pairs in sources.items():
+        rows = normalised(pairs.select("n1", "n2"), ["n1", "n2"], alt).filter("n1 <> n2").distinct().select(F.lit(name).alias("source"), "n1", "n2")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def to_reference(e: DataFrame, mapping: DataFrame, column: str, keep_prefix: str) -> DataFrame:
     """Foreign ids to reference ids (src, dst); ids with the reference prefix pass, others without a mapping go."""
     met = e.join(mapping.select(F.col("src").alias(column), "dst"), column, "left")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metaweave.operators import nodes, ontology, ranks, validate, walks
+from metaweave.operators import edges, nodes, ontology, ranks, text, validate, walks
 
 
 def test_cycles_are_skipped_and_the_rest_closed(spark):
@@ -106,3 +106,17 @@ def test_ranks_of_blocks_against_all_distances(spark, metric, monkeypatch):
     far = validate.farthest(ranks.ranked(v, 40, metric, what="sums")).first().far
     assert abs(far - (kept.max() + kept.std())) < 1e-4
     assert ranks.ranked(v.limit(0), 5, metric, what="all").count() == 0 and ranks.ranked(v, 5, metric, asked=asked.filter(F.col("q") == 7)).count() == 0
+
+
+def test_cross_references_are_normalised_once(spark):
+    pairs = spark.createDataFrame([("omim_12", "DOID:7"), ("OMIM:12", "doid:7"), ("mesh:D1", "HP_0003"), ("what", "DOID:1"), (None, "DOID:1"), ("DOID:8", "DOID_7")], "n1 string, n2 string")
+    alt = spark.createDataFrame([("DOID:8", "DOID:7"), ("HP:0003", "HP:9"), ("HP:0003", "HP:8")], "src string, dst string")
+    got = sorted(tuple(r) for r in edges.cross_references({"one": pairs, "two": pairs.limit(0)}, alt).collect())
+    assert got == [("one", "MESH:D1", "HP:8"), ("one", "OMIM:12", "DOID:7")]
+
+
+def test_xrefs_are_oriented_and_curated_ones_win(spark):
+    curated = spark.createDataFrame([("R:1", "A:1"), ("A:1", "R:1"), ("A:2", "B:2"), ("R:1", "R:2"), (None, "R:3")], "n1 string, n2 string")
+    predicted = spark.createDataFrame([("A:1", "R:9", 0.1), ("R:5", "B:2", 0.25), ("B:2", "R:5", 0.5), ("A:3", "A:4", 0.0)], "n1 string, n2 string, dist double")
+    got = sorted(tuple(r) for r in text.assembled_xrefs(curated, predicted, "R").collect())
+    assert got == [("A:1", "R:1", "curated", 1.0), ("B:2", "R:5", "predicted", 0.75)]
