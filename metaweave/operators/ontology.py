@@ -34,16 +34,16 @@ def cyclic(h: DataFrame, limit: int = 64) -> DataFrame:
     return known.join(back, ["node", "anc"]).groupBy("node").agg(F.min("anc").alias("part"))
 
 
-def closure(h: DataFrame, limit: int = 64, cycles: str = "skip") -> DataFrame:
+def closure(h: DataFrame, limit: int = 64, cycles: str = "raise") -> DataFrame:
     """node, anc: every ancestor, the node itself included.
 
-    Terms on a cycle are skipped with a warning, with their own links, and the rest is closed; cycles="raise" raises instead.
+    A cycle raises an error; with cycles="skip" its terms are skipped with a warning, with their own links, and the rest is closed.
     """
     h = h.select(F.col("child").alias("node"), F.col("parent").alias("anc")).filter("node <> anc").distinct()
     known = _reached(h, limit)
     loops = saved(known.filter("node = anc").select("node"), "cyclic")
     if n := loops.count():
-        if cycles == "raise":
+        if cycles != "skip":
             raise ValueError("the hierarchy has a cycle")
         warnings.warn(f"{n} terms lie on cycles and are skipped", stacklevel=2)
         h = h.join(loops, "node", "left_anti").join(loops.select(F.col("node").alias("anc")), "anc", "left_anti").select("node", "anc")
