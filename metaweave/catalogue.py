@@ -262,7 +262,7 @@ def dwpc_sql(name: str, source: str) -> str:
 def two_hop_sql(cb: str, ps: str, keep: str) -> str:
     return f""", a AS (SELECT n1, n2, 1.0 AS w FROM {cb} WHERE n2 IN (SELECT n1 FROM {ps})), b AS (SELECT n1, n2, 1.0 AS w FROM {ps} WHERE n1 IN (SELECT n2 FROM {cb})),
 {dwpc_sql('a', 'a')}, {dwpc_sql('b', 'b')},
-p AS (SELECT af.n1 AS r, bf.n2 AS c, round(sum(af.w * bf.w), 8) AS w FROM af JOIN bf ON af.n2 = bf.n1 GROUP BY ALL),
+p AS (SELECT af.n1 AS r, bf.n2 AS c, floor((round_even(sum(af.w * bf.w) * 1e12, 0) + 5000) / 10000) / 1e8 AS w FROM af JOIN bf ON af.n2 = bf.n1 GROUP BY ALL),
 k AS (SELECT greatest(3, least(250, round_even((SELECT count(DISTINCT n2) FROM b) * 0.05, 0))) AS nr, greatest(3, least(250, round_even((SELECT count(DISTINCT n1) FROM a) * 0.05, 0))) AS nc),
 q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p, k)
 SELECT r, c, w FROM q WHERE {keep}"""
@@ -298,7 +298,7 @@ def metapath_1hop(v: Views) -> DataFrame:
 
 def shared_sql() -> str:
     return f""", a AS (SELECT n1, n2, 1.0 AS w FROM cb), {dwpc_sql('a', 'a')},
-p AS (SELECT x.n1 AS r, y.n1 AS c, round(sum(x.w * y.w), 8) AS w FROM af AS x JOIN af AS y ON x.n2 = y.n2 GROUP BY ALL),
+p AS (SELECT x.n1 AS r, y.n1 AS c, floor((round_even(sum(x.w * y.w) * 1e12, 0) + 5000) / 10000) / 1e8 AS w FROM af AS x JOIN af AS y ON x.n2 = y.n2 GROUP BY ALL),
 k AS (SELECT greatest(3, least(250, round_even((SELECT count(DISTINCT n1) FROM a) * 0.05, 0))) AS n),
 q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p, k)
 SELECT r, c, w FROM q WHERE (kr <= n OR kc <= n) AND r <> c"""
@@ -314,10 +314,10 @@ def metapath_symmetric_shared(v: Views) -> DataFrame:
 af AS (SELECT n1, n2, w * w * pow(sum(w) OVER (PARTITION BY n1), -0.5) * pow(sum(w) OVER (PARTITION BY n2), -0.5) AS w FROM a),
 bf AS (SELECT n1, n2, w * w * pow(sum(w) OVER (PARTITION BY n1), -0.5) * pow(sum(w) OVER (PARTITION BY n2), -0.5) AS w FROM b0),
 cf AS (SELECT n1, n2, w * w * pow(sum(w) OVER (PARTITION BY n1), -0.5) * pow(sum(w) OVER (PARTITION BY n2), -0.5) AS w FROM c0),
-p AS (SELECT af.n1 AS r, bf.n2 AS c, round(sum(af.w * bf.w), 8) AS w FROM af JOIN bf ON af.n2 = bf.n1 GROUP BY ALL),
+p AS (SELECT af.n1 AS r, bf.n2 AS c, floor((round_even(sum(af.w * bf.w) * 1e12, 0) + 5000) / 10000) / 1e8 AS w FROM af JOIN bf ON af.n2 = bf.n1 GROUP BY ALL),
 k AS (SELECT greatest(3, least(250, round_even((SELECT count(DISTINCT n2) FROM b0) * 0.05, 0))) AS nr, greatest(3, least(250, round_even((SELECT count(DISTINCT n1) FROM a) * 0.05, 0))) AS nc, greatest(3, least(250, round_even((SELECT count(DISTINCT n2) FROM c0) * 0.05, 0))) AS nn),
 q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p, k),
-p2 AS (SELECT q.r, cf.n2 AS c, round(sum(q.w * cf.w), 8) AS w, any_value(nn) AS nn, any_value(nc) AS nc FROM q JOIN cf ON q.c = cf.n1 WHERE kr <= nr OR kc <= nc GROUP BY q.r, cf.n2),
+p2 AS (SELECT q.r, cf.n2 AS c, floor((round_even(sum(q.w * cf.w) * 1e12, 0) + 5000) / 10000) / 1e8 AS w, any_value(nn) AS nn, any_value(nc) AS nc FROM q JOIN cf ON q.c = cf.n1 WHERE kr <= nr OR kc <= nc GROUP BY q.r, cf.n2),
 q2 AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY w DESC, c) AS kr, row_number() OVER (PARTITION BY c ORDER BY w DESC, r) AS kc FROM p2)
 SELECT r, c, w FROM q2 WHERE kr <= nn OR kc <= nc
 """, "cb ps sn")

@@ -76,23 +76,62 @@ def product(a: Matrix, b: Matrix) -> Matrix:
     return Matrix(j.groupBy("r", "c").agg(F.sum(F.col("x") * F.col("y")).alias("w")), a.rows, b.cols)
 
 
+def transposed(a: Matrix, b: Matrix) -> bool:
+    """Whether b is a turned over, labels included, told by counts and sums of 64-bit hashes (one small job)."""
+
+    def mark(t: DataFrame, *columns: str) -> DataFrame:
+        return t.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("s"))
+
+    marks = [mark(a.cells, "r", "c", "w"), mark(b.cells, "c", "r", "w"), mark(a.rows, "id"), mark(b.cols, "id"), mark(a.cols, "id"), mark(b.rows, "id")]
+    every = marks[0].withColumn("k", F.lit(0))
+    for k, m in enumerate(marks[1:], 1):
+        every = every.unionByName(m.withColumn("k", F.lit(k)))
+    got = {r.k: (r.n, r.s) for r in every.collect()}  # six rows
+    return all(got[k] == got[k + 1] for k in (0, 2, 4))
+
+
+def square_half(a: Matrix) -> Matrix:
+    """The product of a with itself turned over, of which the cells with r <= c are made; the others mirror them."""
+    x = a.cells.select("r", F.col("c").alias("k"), F.col("w").alias("x"))
+    y = a.cells.select(F.col("r").alias("c"), F.col("c").alias("k"), F.col("w").alias("y"))
+    half = x.join(y, "k").filter("r <= c").groupBy("r", "c").agg(F.sum(F.col("x") * F.col("y")).alias("w"))
+    return Matrix(half, a.rows, a.rows)
+
+
+def mirrored(half: DataFrame) -> DataFrame:
+    return half.unionByName(half.filter("r <> c").select(F.col("c").alias("r"), F.col("r").alias("c"), "w"))
+
+
+def rounded(w: Column | str, digits: int) -> Column:
+    """w to so many digits, halves up, by way of four more, so that sums in another order, which differ in their last bits, round alike at a half too."""
+    w = F.col(w) if isinstance(w, str) else w
+    return F.floor((F.rint(w * 10.0 ** (digits + 4)) + 5000.0) / 10000.0) / 10.0**digits
+
+
 def neighbours(labels: DataFrame, share: float, low: int, high: int) -> DataFrame:
     """One row n: how many neighbours pruning keeps, from the number of labels (half to even)."""
     return labels.agg(F.greatest(F.lit(low), F.least(F.lit(high), F.bround(F.count("*") * F.lit(share)))).alias("n"))
 
 
-def prune(m: Matrix, share: float = 0.05, low: int = 3, high: int = 250, method: str = "union", digits: int | None = None) -> Matrix:
+def prune(m: Matrix, share: float = 0.05, low: int = 3, high: int = 250, method: str = "union", digits: int | None = None, half: bool = False) -> Matrix:
     """Cells among the heaviest of their row or (union; else and) column; ties by id.
 
-    The numbers kept are counted first, so that lines are cut down to them before they are shuffled.
+    The numbers kept are counted first, so that lines are cut down to them before they are shuffled. half: m is a symmetric
+    matrix given by its cells with r <= c; its rows are ranked alone, as its columns rank the same; the result is whole.
     """
-    w = F.round("w", digits) if digits is not None else F.col("w")
+    w = rounded("w", digits) if digits is not None else F.col("w")
     cells = m.cells.withColumn("w", w)
+    cells = mirrored(cells) if half else cells
 
-    def heaviest(line: str, other: str, n: int) -> DataFrame:
+    def heaviest(line: str, other: str, labels: DataFrame) -> DataFrame:
+        n = int(neighbours(labels, share, low, high).first().n)
         return cells.withColumn("k", F.row_number().over(Window.partitionBy(line).orderBy(F.desc("w"), other))).filter(F.col("k") <= n).select("r", "c", "w")
 
-    rows, cols = (heaviest(*x, int(neighbours(labels, share, low, high).first().n)) for *x, labels in (("r", "c", m.cols), ("c", "r", m.rows)))
+    rows = heaviest("r", "c", m.cols)
+    if half:
+        pairs = rows.groupBy(F.least("r", "c").alias("r"), F.greatest("r", "c").alias("c")).agg(F.min("w").alias("w"), F.count("*").alias("n"))
+        return replace(m, cells=mirrored((pairs if method == "union" else pairs.filter("n = 2 OR r = c")).drop("n")))
+    cols = heaviest("c", "r", m.rows)
     if method != "union":
         return replace(m, cells=rows.intersect(cols))
     return replace(m, cells=rows.unionByName(cols).distinct())
