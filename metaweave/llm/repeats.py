@@ -278,24 +278,25 @@ class Repeats:
         return windows
 
     def digest(self) -> DataFrame:
-        """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+        """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining text; where a cut leaves part of a character
+        behind, kept shows U+FFFD in its place, while the hash is over the bytes as they are."""
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 offs, raw = buffers(batch.column(1))
-                cols: list[list] = [[] for _ in range(4)]
+                cols: list[list] = [[] for _ in range(5)]
                 for k in range(batch.num_rows):
-                    own, at, gone, sha = raw[offs[k] : offs[k + 1]], 0, 0, hashlib.sha256()
+                    own, at, rest = raw[offs[k] : offs[k + 1]], 0, []
                     cuts = covered([(p["s"], p["e"]) for p in batch.column(2)[k].as_py() or ()])
                     for a, b in cuts:
-                        sha.update(own[at:a])
-                        at, gone = b, gone + b - a
-                    sha.update(own[at:])
-                    for c, v in zip(cols, (len(own), gone, len(cuts), sha.hexdigest()), strict=True):
+                        rest.append(own[at:a])
+                        at = b
+                    kept = b"".join([*rest, own[at:]])
+                    for c, v in zip(cols, (len(own), len(own) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-        return self.rows.join(self.spans, "uid", "left").select("doc_id", "text", "spans").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return self.rows.join(self.spans, "uid", "left").select("doc_id", "text", "spans").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 CUT = "uid long, at long, windows long, lead long, context long, anchor long, check long, n long, bytes binary"

@@ -31,7 +31,8 @@ def brute(texts, length):
             if n[x[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
         spans = sum(1 for i in range(len(x)) if gone[i] and (i == 0 or not gone[i - 1]))
-        out.append((len(x), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(x, gone, strict=True) if not g)).hexdigest()))
+        rest = bytes(c for c, g in zip(x, gone, strict=True) if not g)
+        out.append((len(x), sum(gone), spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace")))
     return out
 
 
