@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from metaweave.session import saved
+
 from .components import components
 from .evaluate import dot
+from .matrix import lines, met
 
 
 def universe(sources: Mapping[str, Sequence[DataFrame]]) -> DataFrame:
@@ -42,8 +45,13 @@ def joined_labels(df: DataFrame, by: Sequence[str], label: str, sep: str = "|")
 
 def hyper_nodes(members: DataFrame, group: str, member: str, prefix: str = "PGN", least: int = 2) -> DataFrame:
     """group, node: groups of so many members or more as nodes named by a hash of their sorted members, so equal groups are one node."""
+    return _named(members, group, member, prefix, least).select(group, "node")
+
+
+def _named(members: DataFrame, group: str, member: str, prefix: str, least: int) -> DataFrame:
+    """group, m, node: each group's sorted members and the name of their node."""
     g = members.groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("m")).filter(F.size("m") >= least)
-    return g.select(group, F.concat(F.lit(f"{prefix}:"), F.substring(F.sha2(F.array_join("m", "|"), 256), 1, 16)).alias("node"))
+    return g.withColumn("node", F.concat(F.lit(f"{prefix}:"), F.substring(F.sha2(F.array_join("m", "|"), 256), 1, 16)))
 
 
 def perturbations(members: DataFrame, group: str, member: str, hits: DataFrame, cell: str, prefix: str = "PGN") -> DataFrame:
@@ -51,11 +59,12 @@ def perturbations(members: DataFrame, group: str, member: str, hits: DataFrame,
 
     hits: member, cell. Equal groups are one node with the edges of either; a null member or cell has no edge.
     """
-    known = members.select(F.col(group).alias("__g"), F.col(member).alias("__m")).filter("__g IS NOT NULL AND __m IS NOT NULL").distinct()
-    node = hyper_nodes(known, "__g", "__m", prefix, 1)
-    own = known.join(node, "__g").select(F.col("node").alias("n1"), "__m").distinct()
-    cells = hits.select(F.col(member).alias("__m"), F.col(cell).alias("n2")).filter("n2 IS NOT NULL").distinct()
-    to = own.join(cells, "__m").select(F.lit("hits").alias("metaedge"), "n1", "n2").distinct()
+    known = members.select(F.col(group).alias("__g"), F.col(member).alias("__m")).filter("__g IS NOT NULL AND __m IS NOT NULL")
+    sets = _named(known, "__g", "__m", prefix, 1).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("m"))).alias("m"))
+    own = saved(sets.select(F.col("node").alias("n1"), F.explode("m").alias("__m")), "members")
+    cells = hits.select(F.col(member).alias("__m"), F.col(cell).alias("n2")).filter("__m IS NOT NULL AND n2 IS NOT NULL").distinct()
+    # cells travel to a node in the lists of its members, and are told apart where the node is
+    to = met(own, "n1", "__m", lines(cells, "__m", "n2")).select("n1", F.explode("n2").alias("n2")).distinct().select(F.lit("hits").alias("metaedge"), "n1", "n2")
     return own.select(F.lit("has").alias("metaedge"), "n1", F.col("__m").alias("n2")).unionByName(to)
 
 
