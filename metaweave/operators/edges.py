@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .matrix import lines, met
+
 
 def canonical(e: DataFrame, distinct: bool = True) -> DataFrame:
     """Undirected pairs with the lesser id first, without self loops."""
@@ -162,7 +164,8 @@ def bridged(hops: Sequence[DataFrame]) -> list[DataFrame]:
 
 def bridge_paths(a: DataFrame, b: DataFrame, paths: int | None = 1, least: int = 1) -> DataFrame:
     """Hops composed over the node between; pairs with exactly so many paths, or with paths None at least so many."""
-    n = a.join(b.select(F.col("n1").alias("n2"), F.col("n2").alias("n3")), "n2").groupBy("n1", F.col("n3").alias("n2")).agg(F.count("*").alias("n"))
+    far = met(a.select("n1", "n2"), "n1", "n2", lines(b.select(F.col("n1").alias("n2"), F.col("n2").alias("n3")), "n2", "n3"))
+    n = far.select("n1", F.explode("n3").alias("n2")).groupBy("n1", "n2").agg(F.count("*").alias("n"))
     return n.filter(F.col("n") == paths if paths is not None else F.col("n") >= least).select("n1", "n2")
 
 
