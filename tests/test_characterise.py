@@ -108,6 +108,34 @@ def test_ranks_of_blocks_against_all_distances(spark, metric, monkeypatch):
     assert ranks.ranked(v.limit(0), 5, metric, what="all").count() == 0 and ranks.ranked(v, 5, metric, asked=asked.filter(F.col("q") == 7)).count() == 0
 
 
+@pytest.mark.parametrize(("metric", "held"), [("l2", 500), ("cosine", 500), ("cosine", 50_000)])
+def test_places_are_counted_by_thousands_of_queries(spark, metric, held, monkeypatch):
+    monkeypatch.setattr(ranks, "PACK", 16)
+    monkeypatch.setattr(ranks, "HELD", held)
+    x = np.repeat(np.round(np.random.default_rng(6).normal(size=(150, 4)), 1) + 0.05, 2, axis=0)  # every vector twice
+    x[::7] = x[0]
+    x = x.astype(np.float32).astype(np.float64)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "nd long, v array<double>").repartition(4)
+    norm = np.sqrt((x * x).sum(1))
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 6) if metric == "l2" else np.round(1 - x @ x.T / np.outer(norm, norm), 6) + 0.0
+    place = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable")
+    asked = spark.createDataFrame([(q, nd) for q in range(300) for nd in range(0, 300, 10 if q % 2 else 90)], "q long, nd long")  # few and many partners
+    df = ranks.ranked(v, 300, metric, asked=asked)
+    got = {(r.q, r.nd): r["rank"] for r in df.collect()}
+    assert len(got) == asked.count() and np.mean([got[p] == place[p] for p in got]) > (0.999 if metric == "l2" else 0.98)
+    assert {r.q for r in ranks.ranked(v, 0, metric, what="sums").collect()} == set()
+
+
+def test_distances_in_units_are_those_pair_by_pair():
+    x = np.random.default_rng(7).normal(size=(60, 64)).astype(np.float32).astype(np.float64)
+    y = np.concatenate([x[:20], x[20:40] + 1e-7, np.random.default_rng(8).normal(size=(60, 64)), np.zeros((1, 64))])
+    for metric in ("l2", "cosine"):
+        got = ranks._units(x, y, metric, 6)
+        want = np.array([ranks._whole(ranks._one_by_one(np.repeat(a[None], len(y), 0), y, metric, 6)) for a in x])
+        assert (got == want).all() and (got[np.arange(20), np.arange(20)] == 0).all()
+        assert metric == "l2" or (got[:, -1] == ranks.NO_NUMBER).all()
+
+
 def test_cross_references_are_normalised_once(spark):
     pairs = spark.createDataFrame([("omim_12", "DOID:7"), ("OMIM:12", "doid:7"), ("mesh:D1", "HP_0003"), ("what", "DOID:1"), (None, "DOID:1"), ("DOID:8", "DOID_7")], "n1 string, n2 string")
     alt = spark.createDataFrame([("DOID:8", "DOID:7"), ("HP:0003", "HP:9"), ("HP:0003", "HP:8")], "src string, dst string")
