@@ -46,6 +46,8 @@ FIRST_BLOCKS = 4
 SLACK, TURNS = (13, 10), 8
 #: Points in a box of the tree.
 FAN = 16
+#: One set in so many is asked for keys that many sets have.
+SAMPLED = 64
 #: Rows of a counted side that a join may broadcast.
 MOST_BROADCAST = 500_000
 MIXERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -156,6 +158,12 @@ def names(s: np.ndarray, bits: int) -> tuple[np.uint64, np.uint64]:
     return mix(s).sum(dtype=np.uint64) & np.uint64((1 << bits) - 1), mix(s ^ MIXERS[30]).sum(dtype=np.uint64)
 
 
+def _names(parts: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """s1 and s2 of every set."""
+    own = np.array([names(s, bits) for s in parts], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    return np.ascontiguousarray(own[:, 0]), np.ascontiguousarray(own[:, 1])
+
+
 def likeness(bound: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The overlap bound against the sizes, in millionths."""
     return (bound * 2_000_000) // (n + m)
@@ -294,7 +302,7 @@ class Join:
         self.n, self.t, self.box, self.bits = n, Fraction(t), box, name_bits
         self.work = work = Work(df.sparkSession, "ngrams")
         self.rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        found = work.save(self.rows.mapInArrow(self._shingler(), "doc_id long, n long, s1 long, s2 long, point binary, keys array<long>"), "found")
+        found = work.save(self.rows.mapInArrow(self._shingler(), "doc_id long, n long, s1 long, s2 long, point binary"), "found")
         self.sized = work.save(found.select("doc_id", "n", "s1", "s2"), "sized")
         self.clash = None
         ids = self.sized.filter("n > 0").groupBy("s1").agg(F.min("s2").alias("low"), F.max("s2").alias("high"))
@@ -303,8 +311,11 @@ class Join:
             self.clash = clash
         self.sized, found_ = self._named(self.sized), self._named(found)
         self.reps = work.save(self.sized.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
-        met = work.save(self._shared(found_.select(F.explode("keys").alias("key"), "set")), "met")
+        # keys are many times the rest of a set, so they are made where they are shuffled and never stored
+        met = work.save(self._shared(self._keyed(), self._keyed(SAMPLED)), "met")
+        work.sweep()
         met = self._told_apart(met)
+        work.sweep()
         sets_ = found_.filter("n > 0").select("set", "n", "point").join(met.select("set").distinct(), "set", "left_semi")
         self.points = work.save(sets_.dropDuplicates(["set"]), "points")
         work.drop(found)
@@ -349,16 +360,21 @@ class Join:
         known = F.broadcast(self.clash.select(F.col("s1").alias("clash")))
         return df.join(known, F.col("s1") == F.col("clash"), "left").withColumn("set", F.when(F.col("clash").isNull(), F.col("s1")).otherwise(F.xxhash64("s1", "s2"))).drop("clash")
 
-    def _shared(self, keyed: DataFrame) -> DataFrame:
+    def _keyed(self, one_in: int = 1) -> DataFrame:
+        """(key, set) of every set, or of about one set in so many."""
+        keys = self.rows.mapInArrow(self._keyer(one_in), "s1 long, s2 long, keys array<long>")
+        return self._named(keys).select(F.explode("keys").alias("key"), "set")
+
+    def _shared(self, keyed: DataFrame, sample: DataFrame) -> DataFrame:
         """(key, set) of the keys that several sets have. Keys that many sets have, told by a sample of the sets, are counted without meeting in a task."""
-        often = keyed.filter(F.pmod("set", F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter("n >= 32").select("key")
+        often = sample.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 32").select("key")
         # never empty, so that the plan is the same at every size; any key may go either way
         often = self.work.sized(often.unionByName(keyed.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"))), MOST_BROADCAST, "often")
-        whole = Window.partitionBy("key")
-        rest = keyed.join(often, "key", "left_anti").select("key", "set", F.min("set").over(whole).alias("low"), F.max("set").over(whole).alias("high"))
-        rest = rest.filter("low <> high").select("key", "set").distinct()
-        many = keyed.join(often, "key", "left_semi").distinct()
-        return rest.unionByName(many)
+        # a key that many sets have is dealt by set, so that keys are made and shuffled once
+        dealt = keyed.join(often.withColumn("often", F.lit(True)), "key", "left").withColumn("spread", F.when(F.col("often"), F.col("set")).otherwise(F.lit(0)))
+        whole = Window.partitionBy("key", "spread")
+        rest = dealt.select("key", "spread", "set", "often", F.min("set").over(whole).alias("low"), F.max("set").over(whole).alias("high"))
+        return rest.filter("often OR low <> high").select("key", "spread", "set").distinct().select("key", "set")
 
     def _told_apart(self, met: DataFrame) -> DataFrame:
         """One block of those with the same two members or more."""
@@ -384,27 +400,36 @@ class Join:
         return True
 
     def _shingler(self):
-        n, bits, sizes = self.n, self.bits, Sizes(self.t)
+        n, bits = self.n, self.bits
 
         def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, counts, g in sets(batch.column(1), n):
+                    parts = [g[e - c : e] for c, e in zip(counts, np.cumsum(counts), strict=True)]
+                    s1, s2 = _names(parts, bits)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(counts)), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), pa.array([point(s) for s in parts], pa.binary())], ["doc_id", "n", "s1", "s2", "point"])
+
+        return shingle
+
+    def _keyer(self, one_in: int):
+        n, bits, sizes = self.n, self.bits, Sizes(self.t)
+
+        def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[tuple[int, int]] = set()  # copies of a set met before in this task emit no keys: the map side of pre-aggregation
             for batch in batches:
-                ids = batch.column(0)
                 for i, counts, g in sets(batch.column(1), n):
-                    ends = np.cumsum(counts)
-                    whole, keys = np.zeros((len(counts), 2), dtype=np.uint64), []
-                    for k, (c, e) in enumerate(zip(counts, ends, strict=True)):
-                        s = g[e - c : e]
-                        whole[k] = names(s, bits)
-                        name = int(whole[k, 0]), int(whole[k, 1])
-                        new = c > 0 and ids[i + k].is_valid and name not in seen
-                        keys.append(signatures(s, int(c), sizes) if new else s[:0])
-                        if new:
+                    parts = [g[e - c : e] for c, e in zip(counts, np.cumsum(counts), strict=True)]
+                    s1, s2 = _names(parts, bits)
+                    new = []
+                    for k, name in enumerate(zip(s1.tolist(), s2.tolist(), strict=True)):
+                        if counts[k] and batch.column(0)[i + k].is_valid and name[0] % one_in == 0 and name not in seen:
                             seen.add(name)
-                    s1, s2 = (np.ascontiguousarray(whole[:, k]).view(np.int64) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, len(counts)), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), pa.array([point(g[e - c : e]) for c, e in zip(counts, ends, strict=True)], pa.binary()), long_list(np.concatenate(keys), np.array([len(k) for k in keys]))], ["doc_id", "n", "s1", "s2", "point", "keys"])
+                            new.append(k)
+                    if new:
+                        keys = [signatures(parts[k], int(counts[k]), sizes) for k in new]
+                        yield pa.RecordBatch.from_arrays([pa.array(s1[new]), pa.array(s2[new]), long_list(np.concatenate(keys), np.array([len(k) for k in keys]))], ["s1", "s2", "keys"])
 
-        return shingle
+        return key
 
     def _packer(self):
         n, bits = self.n, self.bits

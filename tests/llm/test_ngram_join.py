@@ -167,3 +167,13 @@ def test_sql_twin(spark):
     duckdb.sql(f"create or replace view documents as select * from '{d}/documents.parquet'")
     want = sorted(duckdb.sql(ORACLE_SQL["op1_ngram_join"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["op1_ngram_join"](spark, d).collect()) == want
+
+
+def test_keys_are_not_stored_and_keys_of_many_sets_are_kept(spark, monkeypatch):
+    saved, save = [], J.Work.save
+    monkeypatch.setattr(J.Work, "save", lambda self, df, name="t": (saved.append((name, df.columns)), save(self, df, name))[1])
+    same = " ".join(f"c{i}" for i in range(60))
+    rows = [(d, f"{same} x{d % 700} y{d % 350} z") for d in range(2_500)] + [(5_000, "a b"), (5_001, None)]
+    got = {r.doc_id: r.component_id for r in J.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), n=4, t="0.85", box=64).classes().collect()}
+    assert all(got[d] == 0 for d in range(2_500)) and got[5_000] == 5_000 and got[5_001] == 5_001
+    assert not any("keys" in columns for _, columns in saved)
