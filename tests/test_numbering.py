@@ -47,3 +47,17 @@ def test_running_totals_over_ranges(spark):
     want = np.cumsum([k % 7 for k in range(3000)])
     assert got == {k: int(want[k]) for k in range(3000)}
     assert numbering.running_total(df.limit(0), "k", "n", "total").count() == 0
+
+
+def test_negatives_read_their_edges_once(spark, monkeypatch):
+    from metaweave.operators import evaluate as V
+
+    kept, save = [], V.saved
+    monkeypatch.setattr(V, "saved", lambda df, name="t": (kept.append(name), save(df, name))[1])
+    rows = [(f"a{i % 5}", f"b{(i * i) % 7}") for i in range(30)]
+    out = V.negatives(spark.createDataFrame(rows, "n1 string, n2 string"), 3).collect()
+    targets, own = {b for _, b in rows}, {(a, b) for a, b in rows}
+    for a in {a for a, _ in rows}:
+        got, has = [r.n2 for r in out if r.n1 == a], {b for x, b in own if x == a}
+        assert len(got) == len(set(got)) == min(len(has), len(targets - has)) and not has & set(got)
+    assert kept == ["edges"]
