@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 from metaweave.session import drop, saved
 
-from .numbering import draw, drawn, nth_free, numbered
+from .numbering import drawn, nth_free, numbered
 
 #: Edges that are dealt into one bucket and paired there.
 BUCKET = 4096
 #: Partners that an edge proposes a swap to in one round, once edges left over meet those swapped before.
 PARTNERS = 4
+#: Edges left over whose swaps are sent to the pairs known, instead of all those being shuffled.
+FEW = 100_000
 #: A prime far above any number of nodes, so that steps of its remainder meet every place once.
 STRIDE = (1 << 61) - 1
 
@@ -26,7 +28,7 @@ def _mates(pool: DataFrame, done: DataFrame | None, n: int, n_done: int, seed: i
     """a, b: edges of the pool paired by draws among themselves; with done, each with some edges of the pool and of a drawn part of done."""
     share = min(1.0, (2 * PARTNERS * n + BUCKET) / max(1, n_done)) if done is not None else 0.0
     buckets = F.lit(int(-(-(n + share * n_done) // BUCKET)))
-    order = draw(F.lit(seed), F.lit(k), F.col("n1"), F.col("n2"))
+    order = F.xxhash64(F.lit(seed), F.lit(k), F.lit("order"), "n1", "n2")
     dealt = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "n1", "n2"), buckets)).withColumn("order", order)
     w = Window.partitionBy("bucket").orderBy("order", "n1", "n2")
     edge = F.struct("n1", "n2")
@@ -43,19 +45,32 @@ def _mates(pool: DataFrame, done: DataFrame | None, n: int, n_done: int, seed: i
     return each.join(others.drop("many"), ["bucket", "j"]).filter("a <> b").select("a", "b").distinct()
 
 
-def _accepted(mates: DataFrame, known: list[DataFrame], undirected: bool) -> DataFrame:
-    """a, b, x, y: swaps whose new pairs x and y are no loops and not known, no two of which use one edge or make one pair."""
+def _accepted(mates: DataFrame, known: list[DataFrame], undirected: bool, alone: bool, few: bool) -> DataFrame:
+    """a, b, x, y: swaps whose new pairs x and y are no loops and not known, no two of which use one edge or make one pair.
+
+    A swap goes by a number while its pairs and edges are shuffled. alone: no edge is in two of the mates; few: the mates
+    can be broadcast.
+    """
     new = mates.withColumns({"x": _pair(F.col("a.n1"), F.col("b.n2"), undirected), "y": _pair(F.col("b.n1"), F.col("a.n2"), undirected)})
-    new = new.filter("x.n1 <> x.n2 AND y.n1 <> y.n2 AND x <> y").withColumn("turn", F.xxhash64("a", "b"))
-    ends = new.select("a", "b", F.explode(F.array("x", "y")).alias("z")).select("a", "b", "z.n1", "z.n2")
+    new = new.filter("x.n1 <> x.n2 AND y.n1 <> y.n2 AND x <> y").withColumn("turn", F.xxhash64("a", "b")).withColumn("id", F.monotonically_increasing_id())
+    new = saved(new, "new")  # numbers have to stay
+    pairs = new.select("id", "turn", F.explode(F.array("x", "y")).alias("z")).select("id", "turn", "z.n1", "z.n2")
+    ends = pairs
     for other in known:
-        ends = ends.join(other.select("n1", "n2"), ["n1", "n2"], "left_anti")
-    free = new.join(ends.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n = 2").drop("n"), ["a", "b"])
-    free = saved(free, "free")
-    # of the swaps that want one edge or pair the first in turn has it; a swap is made if it has all four
-    wants = free.select("a", "b", "turn", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("a").alias("e")), F.struct(F.lit(0).alias("kind"), F.col("b").alias("e")), F.struct(F.lit(1).alias("kind"), F.col("x").alias("e")), F.struct(F.lit(1).alias("kind"), F.col("y").alias("e")))).alias("r"))
-    has = wants.groupBy("r").agg(F.min(F.struct("turn", "a", "b")).alias("one")).groupBy("one").agg(F.count("*").alias("n")).filter("n = 4")
-    return free.join(has.select("one.a", "one.b"), ["a", "b"]).select("a", "b", "x", "y")
+        other = other.select("n1", "n2")
+        other = other.join(F.broadcast(pairs.select("n1", "n2").distinct()), ["n1", "n2"], "left_semi") if few else other
+        ends = ends.join(other, ["n1", "n2"], "left_anti")
+    if not alone:  # a swap that cannot be made takes no edge from others
+        ends = saved(ends, "ends")
+        ends = ends.join(ends.groupBy("id").agg(F.count("*").alias("n")).filter("n = 2").select("id"), "id")
+    # of the swaps that want one edge or pair the first in turn has it; a swap is made if it has all
+    one = F.min(F.struct("turn", "id")).alias("one")
+    has = ends.groupBy("n1", "n2").agg(one).select("one")
+    if not alone:
+        free = new.join(ends.select("id").distinct(), "id").select("id", "turn", F.explode(F.array("a", "b")).alias("z")).select("id", "turn", "z.n1", "z.n2")
+        has = has.unionByName(free.groupBy("n1", "n2").agg(one).select("one"))
+    made = has.groupBy(F.col("one.id").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") == (2 if alone else 4)).select("id")
+    return new.join(made, "id").select("a", "b", "x", "y")
 
 
 def swapped(e: DataFrame, tries: int = 20, seed: int = 1, undirected: bool = False, banned: DataFrame | None = None, fill: bool = True) -> DataFrame:
@@ -66,7 +81,7 @@ def swapped(e: DataFrame, tries: int = 20, seed: int = 1, undirected: bool = Fal
     also meet pairs made before: such a pair gives way to two new ones. With fill, an edge that no round could swap keeps
     its first end and takes another second end: first drawn among the ends of all edges, so by degree, then any that the
     first end has free, so an edge is only left out where its first end has none. A null end, a loop or a repeated edge is
-    left out of e first. Draws are md5 of their round and edge: reruns agree.
+    left out of e first. Draws are hashes of their round and edge: reruns agree.
     """
     own = lambda df: df.select(_pair(F.col("n1"), F.col("n2"), undirected).alias("x")).select("x.*")
     start = saved(own(e.select("n1", "n2").filter("n1 IS NOT NULL AND n2 IS NOT NULL AND n1 <> n2")).distinct(), "edges")
@@ -76,8 +91,10 @@ def swapped(e: DataFrame, tries: int = 20, seed: int = 1, undirected: bool = Fal
     for k in range(tries):
         if not n or (done is None and n < 2):
             break
-        got = saved(_accepted(_mates(pool, None if plain or done is None else done, n, total - n, seed, k), known if done is None else [*known, done], undirected), "swaps")
+        alone, few = plain or done is None, n <= FEW
+        got = saved(_accepted(_mates(pool, None if alone else done, n, total - n, seed, k), known if done is None else [*known, done], undirected, alone, few), "swaps")
         used = got.select(F.explode(F.array("a", "b")).alias("z")).select("z.*")
+        used = F.broadcast(used) if few else used
         made = got.select(F.explode(F.array("x", "y")).alias("z")).select("z.*")
         old, before, left = (pool, done), done, n
         pool = saved(pool.join(used, ["n1", "n2"], "left_anti"), "pool")

@@ -103,3 +103,20 @@ def test_coverage_against_its_definition(spark):
         assert np.allclose(got[kind], (share[0], ((y[1:] + y[:-1]) / 2).sum() / len(y)))
     one = spark.createDataFrame([("a", "x", 1), ("b", "x", 1)], "node string, kind string, component long")
     assert tuple(stats.component_coverage(one).first()) == ("x", 1.0, 1.0)
+
+
+def test_swaps_shuffle_numbers_instead_of_pairs(spark, monkeypatch):
+    from metaweave.operators import swap as W
+
+    kept, save = [], W.saved
+    monkeypatch.setattr(W, "saved", lambda df, name="t": (kept.append((name, df.columns)), save(df, name))[1])
+    rows = sorted({(f"a{(i * 7) % 23}", f"b{(i * i) % 31}") for i in range(150)})
+    e = spark.createDataFrame(rows, "n1 string, n2 string")
+    for few in (0, 100_000):  # known pairs shuffled, and narrowed by the mates
+        monkeypatch.setattr(W, "FEW", few)
+        got = [(r.n1, r.n2) for r in W.swapped(e, tries=8, fill=False).filter("exact").collect()]
+        assert len(got) > len(rows) // 2 and len(got) == len(set(got)) and not set(got) & set(rows)
+        for end in (0, 1):
+            for x in {r[end] for r in got}:
+                assert sum(g[end] == x for g in got) <= sum(r[end] == x for r in rows)
+    assert ("new", ["a", "b", "x", "y", "turn", "id"]) in kept
