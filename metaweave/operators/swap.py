@@ -45,15 +45,20 @@ def _mates(pool: DataFrame, done: DataFrame | None, n: int, n_done: int, seed: i
     return each.join(others.drop("many"), ["bucket", "j"]).filter("a <> b").select("a", "b").distinct()
 
 
+def _exchanged(mates: DataFrame, undirected: bool) -> DataFrame:
+    """mates with the new pairs x and y, which need not be written."""
+    return mates.withColumns({"x": _pair(F.col("a.n1"), F.col("b.n2"), undirected), "y": _pair(F.col("b.n1"), F.col("a.n2"), undirected)})
+
+
 def _accepted(mates: DataFrame, known: list[DataFrame], undirected: bool, alone: bool, few: bool) -> DataFrame:
-    """a, b, x, y: swaps whose new pairs x and y are no loops and not known, no two of which use one edge or make one pair.
+    """a, b: swaps whose new pairs x and y are no loops and not known, no two of which use one edge or make one pair.
 
     A swap goes by a number while its pairs and edges are shuffled. alone: no edge is in two of the mates; few: the mates
     can be broadcast.
     """
-    new = mates.withColumns({"x": _pair(F.col("a.n1"), F.col("b.n2"), undirected), "y": _pair(F.col("b.n1"), F.col("a.n2"), undirected)})
-    new = new.filter("x.n1 <> x.n2 AND y.n1 <> y.n2 AND x <> y").withColumn("turn", F.xxhash64("a", "b")).withColumn("id", F.monotonically_increasing_id())
-    new = saved(new, "new")  # numbers have to stay
+    new = _exchanged(mates, undirected).filter("x.n1 <> x.n2 AND y.n1 <> y.n2 AND x <> y")
+    new = saved(new.select("a", "b").withColumn("id", F.monotonically_increasing_id()), "new")  # numbers have to stay
+    new = _exchanged(new, undirected).withColumn("turn", F.xxhash64("a", "b"))
     pairs = new.select("id", "turn", F.explode(F.array("x", "y")).alias("z")).select("id", "turn", "z.n1", "z.n2")
     ends = pairs
     for other in known:
@@ -70,7 +75,7 @@ def _accepted(mates: DataFrame, known: list[DataFrame], undirected: bool, alone:
         free = new.join(ends.select("id").distinct(), "id").select("id", "turn", F.explode(F.array("a", "b")).alias("z")).select("id", "turn", "z.n1", "z.n2")
         has = has.unionByName(free.groupBy("n1", "n2").agg(one).select("one"))
     made = has.groupBy(F.col("one.id").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") == (2 if alone else 4)).select("id")
-    return new.join(made, "id").select("a", "b", "x", "y")
+    return new.join(made, "id").select("a", "b")
 
 
 def swapped(e: DataFrame, tries: int = 20, seed: int = 1, undirected: bool = False, banned: DataFrame | None = None, fill: bool = True) -> DataFrame:
@@ -95,7 +100,7 @@ def swapped(e: DataFrame, tries: int = 20, seed: int = 1, undirected: bool = Fal
         got = saved(_accepted(_mates(pool, None if alone else done, n, total - n, seed, k), known if done is None else [*known, done], undirected, alone, few), "swaps")
         used = got.select(F.explode(F.array("a", "b")).alias("z")).select("z.*")
         used = F.broadcast(used) if few else used
-        made = got.select(F.explode(F.array("x", "y")).alias("z")).select("z.*")
+        made = _exchanged(got, undirected).select(F.explode(F.array("x", "y")).alias("z")).select("z.*")
         old, before, left = (pool, done), done, n
         pool = saved(pool.join(used, ["n1", "n2"], "left_anti"), "pool")
         done = saved(made if before is None else before.join(used, ["n1", "n2"], "left_anti").unionByName(made), "done")
