@@ -1,9 +1,12 @@
 """Queries that meet vectors in blocks, against every distance."""
 
+import inspect
+
 import numpy as np
 import pytest
 
-from metaweave.operators import evaluate, pairs, validate
+from metaweave import catalogue, catalogue_more  # noqa: F401
+from metaweave.operators import evaluate, pairs, ranks, validate
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
@@ -49,3 +52,32 @@ def test_areas_of_scores_are_those_of_rows(spark, monkeypatch):
     assert same(*got(lambda s: validate.intra_characterised(ids, known, s, {"max": 0.0, "half": 0.5, "all": 1.0})))
     none = validate.characterised(ids, known.filter("n1 = 7 AND n2 = 999"), of).first()
     assert none.auroc is None and none.n_known == 1
+
+
+def test_steps_of_a_product_round_as_differences_do():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    x[50:100] = x[:50] + rng.choice([0.0, 1e-7, 5e-7, 1.5e-6, 3e-3], size=(50, 6))
+    x[100:] = np.round(x[100:], 1)
+    x[200:250] = np.arange(50)[:, None] * np.array([3e-6, 0, 0, 0, 0, 0])  # halves of a step
+    for a in (x * 0.5, x * 0.01, (x * 0.5).astype(np.float32).astype(float)):
+        assert (pairs._steps(a, a, 6) / 1e6 == ranks._apart(a, a, "l2", 6)).all()
+    assert pairs._steps(x * 1e4, x, 6) is None and pairs._steps(np.full((1, 6), np.nan), x, 6) is None
+
+
+def test_metanode_scores_all_pairs_and_keeps_all_known(spark, tmp_path):
+    n = 70
+    x = np.round(np.random.default_rng(4).normal(size=(n, 4)), 2)
+    spark.createDataFrame([(i, r.tolist(), i % 2) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label long").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalogue.QUERIES["characterise_metanode"](spark, str(tmp_path)).first()
+    known = {(i, j) for i in range(n) for j in range(i + 1, min(n, i + 26)) if i % 2 == j % 2}
+    up = lambda i: {i, i - i % 10, i - i % 100}
+    above = {(p, q) for i, j in known for p in up(i) for q in up(j) if (p, q) != (i, j)}
+    kept = known - above
+    f = x.astype(np.float32).astype(float)
+    score = -np.round(np.sqrt(((f[:, None] - f[None]) ** 2).sum(2)), 6)
+    pos = [score[i, j] for i in range(n) for j in range(n) if (i, j) in kept or (j, i) in kept]
+    neg = [score[i, j] for i in range(n) for j in range(n) if i != j and (i, j) not in kept and (j, i) not in kept]
+    area = np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg])
+    assert (got.n_known, got.n_kept) == (len(known), len(kept)) and abs(got.auroc - area) < 2e-8
+    assert inspect.signature(validate.metanode_characterised).parameters["most"].default is None
